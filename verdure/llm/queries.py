@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from verdure.llm import toxicity
 from verdure.llm.dedup import near_duplicates
+from verdure.llm.labelled import remainder, training_rows
 from verdure.llm.packing import pack
-from verdure.llm.store import table
+from verdure.llm.store import Store, table
+
+#: Bound of the labelled rows that the toxicity model learns from.
+TOXICITY_ROWS = 24_000
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +27,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = Store(spark, "toxicity")
+    model = toxicity.fit(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", TOXICITY_ROWS, store))
+    store.drop("labelled-toxic")
+    scored = toxicity.score(docs, model).withColumn("held_out", remainder() == 0)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup,
         op2_best_fit_packing,
+        op5_toxicity,
     )
 }
 
