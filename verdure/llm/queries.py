@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdure.llm import toxicity
+from verdure.llm import quality, toxicity
 from verdure.llm.dedup import near_duplicates
 from verdure.llm.labelled import remainder, training_rows
 from verdure.llm.packing import pack
@@ -15,6 +15,8 @@ from verdure.llm.store import Store, table
 
 #: Bound of the labelled rows that the toxicity model learns from.
 TOXICITY_ROWS = 24_000
+#: Bound of the labelled rows that the quality model learns from.
+QUALITY_ROWS = 4_000
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = Store(spark, "quality")
+    model = quality.fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_ROWS, store))
+    store.drop("labelled-quality")
+    scored = quality.score(docs, model).withColumn("held_out", remainder() == 0)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, "toxicity")
@@ -41,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_dedup,
         op2_best_fit_packing,
+        op3_quality_classifier,
         op5_toxicity,
     )
 }
