@@ -11,6 +11,7 @@ from verdure.llm import quality, toxicity
 from verdure.llm.dedup import near_duplicates
 from verdure.llm.labelled import remainder, training_rows
 from verdure.llm.packing import pack
+from verdure.llm.sharding import shard
 from verdure.llm.store import Store, table
 
 #: Bound of the labelled rows that the toxicity model learns from.
@@ -47,6 +48,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
 
 
+def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_quality_classifier,
         op5_toxicity,
+        op10_histogram_sharding,
     )
 }
 
