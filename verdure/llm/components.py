@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verdure.llm.store import Store
@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return row[0], row[1]
-
-
 def components(edges: DataFrame, store: Store, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (u, v): component is the smallest node reachable.
 
@@ -34,13 +29,21 @@ def components(edges: DataFrame, store: Store, name: str, most_rounds: int = 60)
     that a node with very many neighbours is pre-aggregated and its join partition
     split. Self-links and repeated links are allowed; no edges give no rows.
     """
-    now = store.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    state = _state(now)
+
+    def keep(df: DataFrame, table: str) -> tuple[DataFrame, tuple[int, int]]:
+        """Writes the edges; their number and a fingerprint are observed on the way."""
+        seen = Observation()
+        saved = store.save(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), table)
+        return saved, (seen.get["n"], seen.get["x"])
+
+    now, state = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     for k in range(1, most_rounds + 1):
+        if not state[0]:
+            break
         large = store.save(_large_star(now), f"{name}-{k}l")
-        after = store.save(_small_star(large), f"{name}-{k}")
+        last = state
+        now, state = keep(_small_star(large), f"{name}-{k}")
         store.drop(f"{name}-{k}l", f"{name}-{k - 1}")
-        now, last, state = after, state, _state(after)
         if state == last:
             break
     else:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,7 +130,7 @@ def _blocks_of_bucket(similarity: int, n_minima: int, most: int):
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rep), n_minima)
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
-        xs, ys = [], []
+        xs, ys, cut = [], [], False
         for k in left:
             may = right[(comp[right] != comp[k]) & (100 * np.minimum(size[right], size[k]) >= similarity * np.maximum(size[right], size[k]))]
             if i == j:
@@ -139,16 +139,17 @@ def _blocks_of_bucket(similarity: int, n_minima: int, most: int):
                 continue
             same = np.count_nonzero(sketch[may] == sketch[k], axis=1)
             may, same = may[same >= least], same[same >= least]
-            if len(may) > most:  # the best of each component now; the rest is left to the next wave
+            if len(may) > most:  # the best of each component now; a further wave takes the rest
                 order = np.lexsort((rep[may], -same, comp[may]))
                 c = comp[may][order]
                 rank = np.arange(len(c)) - np.searchsorted(c, c)
+                cut |= bool((rank >= most).any())
                 may = may[order[rank < most]]
             xs.append(np.full(len(may), rep[k]))
             ys.append(rep[may])
         none = np.zeros(0, np.int64)
         x, y = np.concatenate(xs or [none]), np.concatenate(ys or [none])
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "cut": np.full(len(x), cut)})
 
     return run
 
@@ -208,10 +209,9 @@ def near_duplicates(
     links = confirmed(tested, "links-0")
     found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), store, "stars")
 
-    wave, most = 0, 8
+    wave, most = 0, 64
+    found = store.save(found, "found-0")
     while True:
-        wave += 1
-        found = store.save(found, f"found-{wave}")
         placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
         placed = store.save(placed, f"placed-{wave}")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
@@ -220,19 +220,28 @@ def near_duplicates(
         # A member goes to each pair of blocks that holds its own block: n / BLOCK rows.
         spread = held.select("bucket", "rep", "component", "n_shingles", "sketch", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         spread = spread.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "n_shingles", "sketch", "part")
-        pairs = spread.groupBy("bucket", "i", "j").applyInArrow(_blocks_of_bucket(similarity, n_minima, most), "x long, y long").distinct()
-        new = store.save(pairs.join(tested, ["x", "y"], "left_anti"), f"new-{wave}")
+        pairs = spread.groupBy("bucket", "i", "j").applyInArrow(_blocks_of_bucket(similarity, n_minima, most), "x long, y long, cut boolean")
+        pairs = pairs.groupBy("x", "y").agg(F.max("cut").alias("cut"))
+        seen, fresh = Observation(), Observation()
+        pairs = pairs.observe(seen, F.max("cut").alias("cut"))
+        new = pairs.join(tested, ["x", "y"], "left_anti").select("x", "y").observe(fresh, F.count(F.lit(1)).alias("n"))
+        new = store.save(new, f"new-{wave}")
         store.drop(f"placed-{wave}")
-        if new.isEmpty():
+        most *= 16
+        if not fresh.get["n"]:
+            if seen.get["cut"]:
+                continue
             break
-        links = links.union(confirmed(new, f"links-{wave}"))
+        links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(confirmed(new, f"links-{wave + 1}"))
         tested = tested.union(new)
-        found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), store, f"wave-{wave}")
-        most *= 8
+        found = store.save(components(links, store, f"wave-{wave + 1}"), f"found-{wave + 1}")
+        wave += 1
+        if not seen.get["cut"]:  # every pair across components has been tested
+            break
 
     moved = classes.select("key_a", "key_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     moved = store.save(moved.select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("found")), "moved")
-    store.drop("members", "sets", "new-%d" % wave, *[f"{t}-{k}" for k in range(wave) for t in ("tested", "new", "links", "found")])
+    store.drop("members", "sets", "classes", *[f"{t}-{k}" for k in range(wave + 1) for t in ("tested", "new", "links", "found")])
     out = sketched.select("doc_id", "n_shingles", "key_a", "key_b").join(moved, ["key_a", "key_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
