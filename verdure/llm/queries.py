@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdure.llm import quality, toxicity
 from verdure.llm.dedup import near_duplicates
+from verdure.llm.htmltext import main_text
 from verdure.llm.labelled import remainder, training_rows
 from verdure.llm.packing import pack
 from verdure.llm.sharding import shard
@@ -48,6 +49,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_quality_classifier,
         op5_toxicity,
+        op9_html_main_text,
         op10_histogram_sharding,
     )
 }
