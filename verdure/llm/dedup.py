@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,37 +119,44 @@ def _estimate(similarity: int, n: int) -> int:
     return int(np.floor(n * (s - 5 * np.sqrt(s * (1 - s) / n))))
 
 
-def _blocks_of_bucket(similarity: int, n_minima: int, most: int):
-    """Pairs across components in two blocks of a bucket whose sizes and minima allow a link."""
+def _blocks_of_bucket(similarity: int, n_minima: int, n_bands: int):
+    """Links across components between two blocks of a bucket, as few as join the components they link.
+
+    Sizes and minima rule out most pairs; the rest is confirmed here on the full sets. A
+    pair that meets in several buckets is looked at in the first of its bands alone.
+    """
     least = _estimate(similarity, n_minima)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        rep, comp, size = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        part = rows.column("part").to_numpy()
+        bucket, i, j = (k.as_py() for k in key)
+        rep, comp, size, part = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "part"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rep), n_minima)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), n_bands)
+        sets = [np.frombuffer(x.as_buffer(), U) for x in rows.column("hashes")]
+        comp = comp.copy()
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
-        xs, ys, cut = [], [], False
+        xs, ys = [], []
         for k in left:
             may = right[(comp[right] != comp[k]) & (100 * np.minimum(size[right], size[k]) >= similarity * np.maximum(size[right], size[k]))]
             if i == j:
-                may = may[rep[may] > rep[k]]
+                may = may[may > k]
             if not len(may):
                 continue
-            same = np.count_nonzero(sketch[may] == sketch[k], axis=1)
-            may, same = may[same >= least], same[same >= least]
-            if len(may) > most:  # the best of each component now; a further wave takes the rest
-                order = np.lexsort((rep[may], -same, comp[may]))
-                c = comp[may][order]
-                rank = np.arange(len(c)) - np.searchsorted(c, c)
-                cut |= bool((rank >= most).any())
-                may = may[order[rank < most]]
-            xs.append(np.full(len(may), rep[k]))
-            ys.append(rep[may])
-        none = np.zeros(0, np.int64)
-        x, y = np.concatenate(xs or [none]), np.concatenate(ys or [none])
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "cut": np.full(len(x), cut)})
+            may = may[np.count_nonzero(sketch[may] == sketch[k], axis=1) >= least]
+            met = bands[may] == bands[k]
+            may = may[bands[k][met.argmax(axis=1)] == bucket]
+            if not len(may):
+                continue
+            held = np.concatenate([sets[y] for y in may])
+            at = np.minimum(np.searchsorted(sets[k], held), len(sets[k]) - 1)
+            common = np.add.reduceat((sets[k][at] == held).astype(np.int64), np.concatenate(([0], np.cumsum(size[may])[:-1])))
+            for y in may[100 * common >= similarity * (size[may] + size[k] - common)]:
+                if comp[y] != comp[k]:
+                    comp[comp == comp[y]] = comp[k]
+                    xs.append(rep[k])
+                    ys.append(rep[y])
+        return pa.table({"u": pa.array(xs, pa.int64()), "v": pa.array(ys, pa.int64())})
 
     return run
 
@@ -205,43 +212,27 @@ def near_duplicates(
     stars = stars.join(small.select(F.col("rep").alias("x"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("left_sketch")), "x")
     stars = stars.join(small.select(F.col("rep").alias("y"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("right_sketch")), "y")
     stars = stars.where(f"100 * least(nx, ny) >= {similarity} * greatest(nx, ny)").select("x", "y", "left_sketch", "right_sketch")
-    tested = store.save(stars.mapInArrow(alike, "x long, y long"), "tested-0")
-    links = confirmed(tested, "links-0")
+    tested = store.save(stars.mapInArrow(alike, "x long, y long"), "tested")
+    links = confirmed(tested, "links")
     found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), store, "stars")
 
-    wave, most = 0, 64
     found = store.save(found, "found-0")
-    while True:
-        placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        placed = store.save(placed, f"placed-{wave}")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-        held = placed.join(mixed, "bucket").join(small, "rep").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        # A member goes to each pair of blocks that holds its own block: n / BLOCK rows.
-        spread = held.select("bucket", "rep", "component", "n_shingles", "sketch", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        spread = spread.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "component", "n_shingles", "sketch", "part")
-        pairs = spread.groupBy("bucket", "i", "j").applyInArrow(_blocks_of_bucket(similarity, n_minima, most), "x long, y long, cut boolean")
-        pairs = pairs.groupBy("x", "y").agg(F.max("cut").alias("cut"))
-        seen, fresh = Observation(), Observation()
-        pairs = pairs.observe(seen, F.max("cut").alias("cut"))
-        new = pairs.join(tested, ["x", "y"], "left_anti").select("x", "y").observe(fresh, F.count(F.lit(1)).alias("n"))
-        new = store.save(new, f"new-{wave}")
-        store.drop(f"placed-{wave}")
-        most *= 16
-        if not fresh.get["n"]:
-            if seen.get["cut"]:
-                continue
-            break
-        links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(confirmed(new, f"links-{wave + 1}"))
-        tested = tested.union(new)
-        found = store.save(components(links, store, f"wave-{wave + 1}"), f"found-{wave + 1}")
-        wave += 1
-        if not seen.get["cut"]:  # every pair across components has been tested
-            break
+    placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = store.save(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    held = placed.join(mixed, "bucket").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(sets, "rep")
+    held = held.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # A member goes to each pair of blocks that holds its own block: n / BLOCK rows.
+    names = ["rep", "component", "n_shingles", "sketch", "bands", "hashes", "part"]
+    spread = held.select("bucket", *names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *names)
+    more = store.save(spread.groupBy("bucket", "i", "j").applyInArrow(_blocks_of_bucket(similarity, n_minima, bands), "u long, v long"), "more")
+    found = store.save(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), store, "all"), "found")
 
     moved = classes.select("key_a", "key_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     moved = store.save(moved.select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("found")), "moved")
-    store.drop("members", "sets", "classes", *[f"{t}-{k}" for k in range(wave + 1) for t in ("tested", "new", "links", "found")])
+    store.drop("members", "sets", "classes", "tested", "links", "found-0", "placed", "more", "found")
     out = sketched.select("doc_id", "n_shingles", "key_a", "key_b").join(moved, ["key_a", "key_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

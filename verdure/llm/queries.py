@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdure.llm import quality, toxicity
+from verdure.llm.ann import nearest
+from verdure.llm.chat import maximal_conversations
 from verdure.llm.dedup import near_duplicates
 from verdure.llm.htmltext import main_text
 from verdure.llm.labelled import remainder, training_rows
@@ -40,6 +42,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, "toxicity")
@@ -49,6 +55,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
 
 
+def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -63,11 +73,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_minhash_dedup,
         op2_best_fit_packing,
         op3_quality_classifier,
+        op4_chat_snapshots,
         op5_toxicity,
+        op7_adaptive_scan,
         op9_html_main_text,
         op10_histogram_sharding,
     )
 }
 
 #: DuckDB SQL of the same rows, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_snapshots": """
+WITH whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    list(struct_pack(t := turn, r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (SELECT conv_id, n_turns, turns, list_transform(turns, lambda s: struct_pack(r := s.r, x := s.x))::VARCHAR AS whole,
+    list_transform(turns, lambda s: struct_pack(r := s.r, x := s.x)) AS body FROM whole),
+prefixes AS (SELECT DISTINCT body[:k]::VARCHAR AS whole FROM hashed, LATERAL (SELECT unnest(range(1, n_turns)) AS k)),
+kept AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM hashed GROUP BY whole HAVING whole NOT IN (SELECT whole FROM prefixes))
+SELECT conv_id, CAST(n_turns AS INTEGER) AS n_turns, n_copies,
+  array_to_string(list_transform(turns, lambda s: '<|im_start|>' || coalesce(nullif(replace(s.r, '<|', '<\u200b|'), ''), 'unknown') || chr(10) || coalesce(replace(s.x, '<|', '<\u200b|'), '') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM kept JOIN hashed USING (conv_id)""",
+}
