@@ -42,6 +42,18 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     return c
 
 
+def probes_for(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+    """Lists to probe so that this share of the sample's neighbours, found by brute force, lies in them."""
+    q = x[np.random.default_rng(2).permutation(len(x))[:queries]]
+    norms = (centroids * centroids).sum(1)
+    at = np.argmin(norms - 2 * (x @ centroids.T), axis=1)
+    order = np.argsort(np.argsort(norms - 2 * (q @ centroids.T), axis=1), axis=1)
+    d = (x * x).sum(1) - 2 * (q @ x.T)
+    near = np.argsort(d, axis=1)[:, 1 : k + 1]
+    ranks = np.take_along_axis(order, at[near], axis=1)
+    return int(np.quantile(ranks, recall)) + 1 if ranks.size else 1
+
+
 def scan_list(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, turn: np.ndarray, width: int = 16, z: float = 3.0) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its k nearest (squared distances, ids) of a list, ties to smaller ids; never its own id."""
     dim = vectors.shape[1]
@@ -82,14 +94,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, query: Column, *, k: int = 10, sample: int = 20_000, list_rows: int = 1_000, most_lists: int = 4096, probe: float = 0.5,
+    vectors: DataFrame, query: Column, *, k: int = 10, sample: int = 20_000, list_rows: int = 100, most_lists: int = 4096, recall: float = 0.975,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row of ``vectors`` (vec_id, embedding) that ``query`` selects.
 
     The score is the Euclidean distance of the original vectors in double precision; ties
     go to the smaller vec_id; a query's own row is no candidate. Every valid row is
     indexed; centroids are learned from at most about ``sample`` rows, and each query
-    probes the share ``probe`` of the lists. Vectors that are null, empty, zero, of
+    probes as many lists as hold the share ``recall`` of the neighbours within that sample,
+    16 at least: a smaller table needs a larger share of its lists than the whole one does. Vectors that are null, empty, zero, of
     another length than most or that hold null or non-finite components take no part, nor do
     rows with a null vec_id. Rows that repeat a vec_id are candidates each, but never of
     a query with that id. An empty table gives no rows; further columns are not read.
@@ -113,7 +126,7 @@ def nearest(
         x = np.ones((1, dim))
     lists = int(min(most_lists, len(x), max(1, n // list_rows)))
     centroids = kmeans(x, lists)
-    probes = max(1, int(np.ceil(lists * probe)))
+    probes = min(lists, max(16, probes_for(x, centroids, k, recall)))
     turn = rotation(dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
