@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdure.llm import quality, toxicity
 from verdure.llm.ann import nearest
 from verdure.llm.chat import maximal_conversations
+from verdure.llm.decontam import contaminated
 from verdure.llm.dedup import near_duplicates
 from verdure.llm.htmltext import main_text
 from verdure.llm.labelled import remainder, training_rows
@@ -55,6 +56,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_classifier,
         op4_chat_snapshots,
         op5_toxicity,
+        op6_simhash_decontamination,
         op7_adaptive_scan,
         op9_html_main_text,
         op10_histogram_sharding,
