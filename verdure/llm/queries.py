@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdure.llm import quality, toxicity
+from verdure.llm import lm, quality, toxicity
 from verdure.llm.ann import nearest
 from verdure.llm.chat import maximal_conversations
 from verdure.llm.decontam import contaminated
@@ -64,6 +64,10 @@ def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity,
         op6_simhash_decontamination,
         op7_adaptive_scan,
+        op8_recurrent_lm,
         op9_html_main_text,
         op10_histogram_sharding,
     )
