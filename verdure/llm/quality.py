@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import scan
+from verdure.llm.rows import filter_text
 
 U = np.uint64
 GRAMS = (3, 4, 5)
@@ -132,3 +133,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def of_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(text: pa.Array) -> np.ndarray:
+        parts = [shared.value.score(raw, at) >= threshold for _, _, raw, at in scan.blocks(text, 1 << 18)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    return filter_text(docs, keep)

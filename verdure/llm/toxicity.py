@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import scan
+from verdure.llm.rows import filter_text
 
 U = np.uint64
 #: Lengths, in bytes, of the prefixes that stand behind a word.
@@ -84,15 +85,6 @@ class Model:
             out[may[hit]] = self.odds[at[hit]]
         return out
 
-    def passages(self, weight: np.ndarray) -> list[tuple[int, int, float]]:
-        """Significant segments of a document: first token, last, -ln of the expected number as good by chance."""
-        up = np.flatnonzero(weight > 0)
-        if not len(up):
-            return []
-        n = max(len(weight), 1)
-        found = [(a, b, self.lam * x - np.log(self.k * n)) for a, b, x in segments(up, weight[up], self.drift)]
-        return [x for x in found if x[2] > 0]
-
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -40, 40)))
 
@@ -145,33 +137,49 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent = np.where(here, h, parent)
 
 
+def read(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """Words, best segment's score, summed significance and significant passages of each document."""
+    s = scan.Scan(raw, at, punct=True)
+    w = model.weights(s)
+    up = np.flatnonzero(w > 0)
+    n = len(at) - 1
+    evidence, best, spans = np.zeros(n), np.zeros(n), [[] for _ in range(n)]
+    for d in np.unique(np.searchsorted(s.first, up, side="right") - 1):
+        a, b = s.first[d], s.first[d + 1]
+        pos = up[np.searchsorted(up, a) : np.searchsorted(up, b)]
+        for i, j, x in segments(pos - a, w[pos], model.drift):
+            best[d] = max(best[d], x)
+            worth = model.lam * x - np.log(model.k * max(b - a, 1))
+            if worth > 0:
+                evidence[d] += worth
+                spans[d].append({"first_word": i, "last_word": j, "start_byte": int(s.starts[a + i] - at[d]), "end_byte": int(s.ends[a + j] - at[d]), "evidence": float(worth)})
+    return np.diff(s.first).astype(np.int64), best, evidence, spans
+
+
 def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = [c for c in batch.schema.names if c != "text"]
             for lo, hi, raw, at in scan.blocks(batch.column("text")):
-                s = scan.Scan(raw, at, punct=True)
-                w = model.weights(s)
-                up = np.flatnonzero(w > 0)
-                hot = np.unique(np.searchsorted(s.first, up, side="right") - 1)
-                evidence, best, spans = np.zeros(hi - lo), np.zeros(hi - lo), [[] for _ in range(hi - lo)]
-                for d in hot:
-                    a, b = s.first[d], s.first[d + 1]
-                    pos = up[np.searchsorted(up, a) : np.searchsorted(up, b)]
-                    found = segments(pos - a, w[pos], model.drift)
-                    best[d] = max(x for _, _, x in found)
-                    for i, j, x in found:
-                        worth = model.lam * x - np.log(model.k * max(b - a, 1))
-                        if worth > 0:
-                            evidence[d] += worth
-                            spans[d].append({"first_word": i, "last_word": j, "start_byte": int(s.starts[a + i] - at[d]), "end_byte": int(s.ends[a + j] - at[d]), "evidence": float(worth)})
-                yield pa.RecordBatch.from_arrays([
-                    *[batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "text"],
-                    pa.array(np.diff(s.first).astype(np.int64)), pa.array(best), pa.array(evidence), pa.array(model.score(evidence)), pa.array(spans, _SPANS),
-                ], names=[c for c in batch.schema.names if c != "text"] + ["n_words", "best", "evidence", "score", "passages"])
+                words, best, evidence, spans = read(model, raw, at)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).slice(lo, hi - lo) for c in names], pa.array(words), pa.array(best), pa.array(evidence), pa.array(model.score(evidence)), pa.array(spans, _SPANS)],
+                    names=[*names, "n_words", "best", "evidence", "score", "passages"],
+                )
 
     return run
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+
+    def keep(text: pa.Array) -> np.ndarray:
+        parts = [model.score(read(model, raw, at)[2]) < threshold for _, _, raw, at in scan.blocks(text)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    return filter_text(docs, keep)
+
+
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("evidence", pa.float64())]))
 _ADDED = "n_words long, best double, evidence double, score double, passages array<struct<first_word:long,last_word:long,start_byte:long,end_byte:long,evidence:double>>"
 
