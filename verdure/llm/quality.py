@@ -109,12 +109,22 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int
 def fit(labelled: DataFrame, *, dim: int = 8, epochs: int = 5, rate: float = 0.3, seed: int = 1) -> Model:
     """Learns from ``labelled`` (doc_id, text, label 0/1), a bounded table, over whole texts.
 
-    The executors count features; the driver holds them for the bounded rows. Null texts
-    are empty. Without rows every score is one half.
+    Features are counted in parallel; one task, which holds those of the bounded rows,
+    trains. Null texts are empty. Without rows every score is one half.
     """
-    bags = labelled.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, ids binary, share binary").toPandas().sort_values("doc_id")
-    rows = [(int(y), np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for y, i, s in zip(bags["label"], bags["ids"], bags["share"])]
-    return _train(rows, dim, epochs, rate, seed)
+    bags = labelled.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, ids binary, share binary")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        label = table.column("label").to_pylist()
+        rows = [(y, np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float32)) for y, i, s in zip(label, table.column("ids"), table.column("share"))]
+        model = _train(rows, dim, epochs, rate, seed)
+        return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    trained = bags.withColumn("task", F.col("label") * 0).groupBy("task").applyInArrow(run, "weights binary, bias double").collect()
+    if not trained:
+        return Model(np.zeros(FAMILIES << BUCKET_BITS, np.float32), 0.0)
+    return Model(np.frombuffer(trained[0]["weights"], np.float32), trained[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
