@@ -168,8 +168,8 @@ def extract(page: str, weights: Weights) -> str:
 def observe(page: str) -> Counter:
     """(kind, name, inside) counts of a page that has a landmark of its main text; nothing from others.
 
-    What stands in surroundings that are known to be bad speaks against those alone, not
-    against plain elements that happen to be there too.
+    What stands in surroundings that are known to be bad is no main text wherever it is; it
+    speaks against those alone, not against plain elements that happen to be there too.
     """
     items = list(tokens(page))
     mark = next((f"<{x}>" for x in LANDMARKS if any(f"<{x}>" in names for kind, _, names in items if kind == "open")), "")
@@ -177,8 +177,8 @@ def observe(page: str) -> Counter:
     if not mark:
         return out
     for (kind, value, _), names in zip(items, around(items)):
-        inside = mark in names
         bad = {n for n in names if n.strip("<>") in AGAINST}
+        inside = mark in names and not bad
         if kind == "text":
             n = len(value.split())
             for name in (bad or names) | {x for x in names if x[0] == "!"} if n else ():
