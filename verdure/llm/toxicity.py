@@ -24,6 +24,8 @@ from verdure.llm.rows import filter_text
 U = np.uint64
 #: Lengths, in bytes, of the prefixes that stand behind a word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: -ln of the number of passages as good that a harmless text of the same length may have by chance.
+SIGNIFICANT = 2.3
 
 
 def levels(s: scan.Scan) -> list[np.ndarray]:
@@ -100,7 +102,10 @@ def log_odds(keys: list[np.ndarray], toxic: list[np.ndarray], other: list[np.nda
         here = {int(k): float(x) for k, x in zip(own, p)}
         odds = np.log(p / (1 - p)) - base_odds
         n = c1 + c0
-        sure = (c1 >= least) & (odds * np.sqrt(np.maximum(n * base * (1 - base), 1e-9)) >= 2.5) & (odds > 0.7)
+        # Deviance from the base: 16 is four documents of four at a base of one in seven or less.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = 2 * (np.where(c1 > 0, c1 * np.log(c1 / (n * base)), 0) + np.where(c0 > 0, c0 * np.log(c0 / (n * (1 - base))), 0))
+        sure = (c1 >= least) & (g >= 16) & (odds > 0.7)
         plain = (n >= 20) & (odds <= 0.7)  # outweighs a toxic prefix
         keep = sure | plain
         out_k.append(own[keep])
@@ -114,27 +119,42 @@ def log_odds(keys: list[np.ndarray], toxic: list[np.ndarray], other: list[np.nda
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class by (level, key, parent key)."""
+    """Documents of each class by word, with the word's prefixes."""
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi, raw, at in scan.blocks(batch.column("text")):
             s = scan.Scan(raw, at, punct=True)
-            doc = s.document()
-            parent = np.zeros(len(doc), U)
-            for level, h in enumerate(levels(s)):
-                here = h != 0
-                d, own, up = doc[here], h[here], parent[here]
-                order = np.lexsort((d, own))
-                d, own, up = d[order], own[order], up[order]
-                new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (own[1:] != own[:-1])
-                d, own, up = d[new], own[new], up[new]
-                key, first = np.unique(own, return_index=True)
-                if len(key):
-                    ones = np.add.reduceat(label[lo + d], first)
-                    n = np.diff(np.append(first, len(own)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(up[first].view(np.int64)), pa.array(ones), pa.array(n - ones)], names=["level", "key", "parent", "toxic", "other"])
-                parent = np.where(here, h, parent)
+            *prefixes, own = levels(s)
+            if not len(own):
+                continue
+            d = s.document()
+            order = np.lexsort((d, own))
+            new = np.ones(len(order), bool)
+            new[1:] = (d[order][1:] != d[order][:-1]) | (own[order][1:] != own[order][:-1])
+            order = order[new]
+            key, first = np.unique(own[order], return_index=True)
+            ones = np.add.reduceat(label[lo + d[order]], first)
+            n = np.diff(np.append(first, len(order)))
+            under = np.stack([p[order[first]] for p in prefixes], axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * len(PREFIXES), pa.int32()), pa.array(under.reshape(-1))), pa.array(ones), pa.array(n - ones),
+            ], names=["key", "prefixes", "toxic", "other"])
+
+
+def _tables(learn: DataFrame, least: int) -> DataFrame:
+    """(level, key, parent, toxic, other) of words by documents, and of prefixes by the words under them.
+
+    A prefix counts each word once, shared between the classes as that word's documents
+    are, so that one frequent word doesn't speak for all that begin like it.
+    """
+    words = learn.mapInArrow(_counts, "key long, prefixes array<long>, toxic long, other long").groupBy("key").agg(F.first("prefixes").alias("prefixes"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    share = F.col("toxic") / (F.col("toxic") + F.col("other"))
+    under = words.select(F.posexplode("prefixes").alias("level", "key"), "prefixes", share.alias("share")).where("key <> 0")
+    parent = F.when(F.col("level") > 0, F.get("prefixes", F.col("level") - 1)).otherwise(F.lit(0).cast("long"))
+    by_prefix = under.select("level", "key", parent.alias("parent"), "share").groupBy("level", "key", "parent").agg(F.sum("share").alias("toxic"), F.sum(1 - F.col("share")).alias("other"))
+    last = F.aggregate("prefixes", F.lit(0).cast("long"), lambda a, x: F.when(x != 0, x).otherwise(a))
+    by_word = words.select(F.lit(len(PREFIXES)).alias("level"), "key", last.alias("parent"), F.col("toxic").cast("double"), F.col("other").cast("double"))
+    return by_prefix.union(by_word).where(f"toxic >= {least} or (toxic + other >= 20 and toxic > 0)")
 
 
 def read(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
@@ -150,7 +170,7 @@ def read(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
         for i, j, x in segments(pos - a, w[pos], model.drift):
             best[d] = max(best[d], x)
             worth = model.lam * x - np.log(model.k * max(b - a, 1))
-            if worth > 0:
+            if worth >= SIGNIFICANT:
                 evidence[d] += worth
                 spans[d].append({"first_word": i, "last_word": j, "start_byte": int(s.starts[a + i] - at[d]), "end_byte": int(s.ends[a + j] - at[d]), "evidence": float(worth)})
     return np.diff(s.first).astype(np.int64), best, evidence, spans
@@ -198,46 +218,84 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / min(scale, 60)), float(w[1])
 
 
-def fit(labelled: DataFrame, *, prior: float = 4.0, least: int = 3, drift: float = 0.15) -> Model:
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a key that near copies are likely to share: two minima of hashed shingles."""
+    for batch in batches:
+        keys = []
+        for _, _, raw, at in scan.blocks(batch.column("text")):
+            h, runs, _ = scan.shingle_sets(scan.Scan(raw, at), 3)
+            least = np.zeros((len(at) - 1, 2), np.uint64)
+            full = np.flatnonzero(np.diff(runs))
+            if len(full):
+                edges = np.append(runs[:-1][full], runs[-1])
+                least[full, 0] = np.minimum.reduceat(h, edges[:-1])
+                least[full, 1] = np.minimum.reduceat(scan.mix(h ^ U(0x77)), edges[:-1])
+            keys.append(scan.mix(least[:, 0] * U(3) + least[:, 1]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=[*batch.schema.names, "near"])
+
+
+def _segments(model: Model):
+    """Words and all segments' scores of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, at in scan.blocks(batch.column("text")):
+                s = scan.Scan(raw, at, punct=True)
+                w = model.weights(s)
+                up = np.flatnonzero(w > 0)
+                scores = [[] for _ in range(hi - lo)]
+                for d in np.unique(np.searchsorted(s.first, up, side="right") - 1):
+                    pos = up[np.searchsorted(up, s.first[d]) : np.searchsorted(up, s.first[d + 1])]
+                    scores[d] = [x for _, _, x in segments(pos - s.first[d], w[pos], model.drift)]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(np.diff(s.first).astype(np.int64)), pa.array(scores, pa.list_(pa.float64()))], names=["label", "n_words", "scores"])
+
+    return run
+
+
+def extreme_value_law(scores: np.ndarray, words: float) -> tuple[float, float]:
+    """(lambda, k) such that harmless texts of so many words have k * words * exp(-lambda * x) segments that score x or more.
+
+    From the upper tenth of their segments, an exponential tail.
+    """
+    if len(scores) < 20:
+        return 1.0, 0.01
+    s = np.sort(scores)[::-1]
+    n = max(20, len(s) // 10)
+    level = s[min(n, len(s) - 1)]
+    lam = float(np.clip(1 / max((s[:n] - level).mean(), 0.2), 0.1, 2.0))
+    return lam, float(np.clip(n * np.exp(lam * level) / max(words, 1), 1e-9, 1.0))
+
+
+def fit(labelled: DataFrame, *, prior: float = 4.0, least: int = 3, drift: float = 0.5) -> Model:
     """Learns from ``labelled`` (doc_id, text, label 0/1), a bounded table.
 
-    Log-odds come from four fifths of the rows, the extreme-value law and the
-    calibration from the rest. Null texts are empty. With one class only, or no rows,
-    every score is that class's share.
+    Of near copies one counts. Log-odds come from three fifths of the rest, the
+    extreme-value law and the calibration from the others. Null texts are empty. With
+    one class only, or no rows, every score is that class's share.
     """
-    rows = labelled.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(5)))
-    learn = rows.where("part > 0").select("label", "text")
-    tally = learn.groupBy("label").count().collect()
-    size = {r["label"]: r["count"] for r in tally}
+    keyed = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    keyed = keyed.mapInArrow(_distinct, "doc_id long, text string, label int, near long").dropDuplicates(["near", "label"])
+    rows = keyed.withColumn("part", F.pmod(F.xxhash64("near", F.lit(6)), F.lit(5)))
+    learn = rows.where("part > 1").select("label", "text")
+    size = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     base = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-4), 1 - 1e-4)
-    # Every key that a toxic document has often enough; their number is bounded with ``most``.
-    kept = (
-        learn.mapInArrow(_counts, "level int, key long, parent long, toxic long, other long").groupBy("level", "key", "parent")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(f"toxic >= {least} or (toxic + other >= 20 and toxic > 0)").toPandas()
-    )
+    # Every key that toxic documents hold often enough; their number is bounded with the rows.
+    kept = _tables(learn, least).toPandas()
     by_level = [kept[kept.level == k] for k in range(len(PREFIXES) + 1)]
     keys, odds = log_odds(
         [(x.key.to_numpy(np.int64).view(U), x.parent.to_numpy(np.int64).view(U)) for x in by_level],
         [x.toxic.to_numpy(np.float64) for x in by_level], [x.other.to_numpy(np.float64) for x in by_level], base, prior, least,
     )
-    model = Model(keys, odds, drift, 1.0, 0.05, 0.0, float(np.log(base / (1 - base))))
-    held = rows.where("part = 0").select("label", "text").mapInArrow(_evidence(model), "label int, " + _ADDED).select("label", "n_words", "best").toPandas()
-    label, best, words = held.label.to_numpy(float), held.best.to_numpy(), np.maximum(held.n_words.to_numpy(float), 1)
-    # Maxima of harmless documents: P(best > x) = 1 - exp(-k n exp(-lam x)); both from the tail of positive maxima.
-    calm = best[(label == 0) & (best > 0)]
-    if len(calm) >= 20:
-        model.lam = float(1 / max(calm.mean() - min(calm.min(), 0.5), 0.25))
-    model.lam = min(max(model.lam, 0.3), 2.0)
-    if (label == 0).any():
-        at = np.sort(best[label == 0])[::-1]
-        level = max(float(at[min(len(at) - 1, max(1, len(at) // 100))]), 0.5)
-        over = (best[label == 0] >= level).sum() + 0.5
-        model.k = float(over / (words[label == 0].sum() * np.exp(-model.lam * level)))
-    model.k = min(max(model.k, 1e-6), 1.0)
-    if n1 and n0 and len(held):
-        evidence = rows.where("part = 0").select("label", "text").mapInArrow(_evidence(model), "label int, " + _ADDED).select("label", "evidence").toPandas()
-        model.slope, model.offset = _logistic(evidence.evidence.to_numpy(), evidence.label.to_numpy(float))
+    model = Model(keys, odds, drift, 1.0, 0.01, 0.0, float(np.log(base / (1 - base))))
+    held = rows.where("part <= 1").select("label", "text").mapInArrow(_segments(model), "label int, n_words long, scores array<double>").toPandas()
+    label, words = held.label.to_numpy(float), np.maximum(held.n_words.to_numpy(float), 1)
+    scores = [np.asarray(x, float) for x in held.scores]
+    calm = label == 0
+    model.lam, model.k = extreme_value_law(np.concatenate([np.zeros(0), *[x for x, c in zip(scores, calm) if c]]), float(words[calm].sum()))
+    if n1 and n0 and calm.any() and not calm.all():
+        worth = [model.lam * x - np.log(model.k * n) for x, n in zip(scores, words)]
+        model.slope, model.offset = _logistic(np.array([w[w >= SIGNIFICANT].sum() for w in worth]), label)
         model.slope = max(model.slope, 0.0)
     return model
 
