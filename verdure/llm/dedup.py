@@ -4,9 +4,10 @@ Documents with equal shingle sets form one class from the start; everything
 after works on one representative of each class, so that copies never meet in
 pairs. Within a band's bucket a few pivots are compared with every member; the
 linked documents are joined to components; and where a bucket still holds more
-than one component, its members are compared in blocks, by signature, across
-components. Every pair that passes the signature test is confirmed on the
-full sets. No bucket, partner list or document is capped.
+than one component, its members are compared in blocks, across components, by
+tasks that hold the full sets, so that only links that join components become
+rows. Every pair that passes the signature test is confirmed on the full sets.
+No bucket, partner list or document is capped.
 """
 
 from __future__ import annotations
