@@ -637,3 +637,97 @@ SELECT p_size AS leaf, CAST(ty * nx + tx AS BIGINT) AS tile, CAST(tx * 8 AS INTE
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = table(spark, sf_dir, "part").select(F.col("p_size").alias("leaf"), F.col("p_size").alias("w"), (F.col("p_size") % 13 + 5).alias("h")).distinct()
     return geometry.tiles(leaves, 8).select("leaf", F.col("tile").cast("long").alias("tile"), "ox", "oy")
+
+
+# --- the curation cycle ---
+
+
+@query("""
+WITH n AS (SELECT l_suppkey AS blob, l_returnflag AS family, count(*) AS c FROM lineitem GROUP BY ALL),
+s AS (SELECT *, c / sum(c) OVER (PARTITION BY blob) AS share, row_number() OVER (PARTITION BY blob ORDER BY c DESC, family) AS r FROM n),
+b AS (SELECT *, count(*) FILTER (share >= 0.35) OVER (PARTITION BY blob) AS big FROM s)
+SELECT blob, family, round(share, 6) AS share FROM b WHERE CASE WHEN big >= 2 THEN share >= 0.35 ELSE r = 1 END""")
+def significant_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators.mining import significant_families as f
+
+    return f(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag", 0.35).select(F.col("l_suppkey").alias("blob"), F.col("l_returnflag").alias("family"), r6("share").alias("share"))
+
+
+@query("""
+WITH p AS (SELECT * FROM lineitem WHERE l_discount >= 0.08 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) <= 2)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'rejected' AS family, 'mined' AS source FROM p ORDER BY 1, 2, 3, 4 LIMIT 2000""")
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators.mining import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "lineitem").select(*REGION, "l_discount"), "l_discount", 0.08, "l_orderkey", REGION, 2, 2000).drop("l_discount")
+
+
+@query("""
+SELECT p_partkey, p_size FROM part p WHERE p_size IN (SELECT p_size FROM part GROUP BY 1 HAVING count(*) > 3)
+  AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)""")
+def unmarked_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators.mining import unmarked
+
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    covered = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey")).join(part, "p_partkey")
+    reviewed = part.groupBy("p_size").count().where("count > 3").select("p_size")
+    return unmarked(part, covered, reviewed, "p_size", ["p_partkey"]).select("p_partkey", "p_size")
+
+
+@query("""
+WITH t AS (SELECT event_type AS channel, user_id % 20 AS tile, value FROM events WHERE value IS NOT NULL),
+med AS (SELECT channel, tile, median(value) AS med FROM t GROUP BY ALL),
+mad AS (SELECT channel, tile, med, median(med - value) * 1.4826 AS scale FROM t JOIN med USING (channel, tile) WHERE value <= med GROUP BY ALL),
+fl AS (SELECT channel, scale AS floor FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY scale, tile) AS r, count(*) OVER (PARTITION BY channel) AS n FROM mad WHERE scale > 0) WHERE r = round(0.25 * (n - 1)) + 1),
+z AS (SELECT channel, tile, floor, (value - med) / (greatest(scale, floor) + 1e-6) AS z FROM t JOIN mad USING (channel, tile) JOIN fl USING (channel)),
+k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY z, tile) AS r, count(*) OVER (PARTITION BY channel) AS n FROM z)
+SELECT channel, round(floor, 6) AS floor, round(z, 6) AS threshold FROM k WHERE r = round((1 - 0.01) * (n - 1)) + 1""")
+def detector_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators.mining import calibrate
+
+    t = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("channel"), (F.col("user_id") % 20).alias("tile"), "value")
+    return calibrate(t, "channel", "tile", "value", 0.01).select("channel", r6("floor").alias("floor"), r6("threshold").alias("threshold"))
+
+
+@query("""
+SELECT l_suppkey AS region, count(*) FILTER (l_partkey % 5 = 0) AS erased, count(*) FILTER (l_partkey % 5 <> 0) AS "left"
+FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_partkey % 5 = 0) > 0""")
+def erase_stroke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators.mining import erase
+
+    stroke = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("l_partkey"))
+    return erase(table(spark, sf_dir, "lineitem"), stroke, ["l_partkey"], "l_suppkey").withColumnRenamed("l_suppkey", "region")
+
+
+@query(f"""
+WITH p AS ({EXPLODED}), t AS (SELECT label, vec_id % 2 = 0 AS ok, dim, x FROM p), u AS (SELECT *, bool_or(ok) OVER (PARTITION BY label) AS lit FROM t)
+SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 5) AS value FROM u WHERE ok OR NOT lit GROUP BY 1, 2""")
+def masked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators.mining import masked_pool as f
+
+    return f(table(spark, sf_dir, "embeddings"), "label", "embedding", F.col("vec_id") % 2 == 0).withColumn("value", F.round("value", 5))
+
+
+@query("SELECT round(arg_min(tau, (abs(bias), tau)), 2) AS tau FROM (" + ORACLE_SQL["area_report_tau_sweep"] + ")")
+def best_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.best_tau(area_report_tau_sweep(spark, sf_dir)).withColumn("tau", F.round("tau", 2))
+
+
+@query("""
+SELECT l_returnflag AS sample, round(count(*) FILTER (l_discount > 0.05 AND l_tax > 0.04) / count(*) FILTER (l_discount > 0.05 OR l_tax > 0.04), 8) AS iou FROM (SELECT DISTINCT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax FROM lineitem) GROUP BY 1""")
+def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample"), *REGION, "l_discount", "l_tax").distinct()
+    keys = ["sample", *REGION]
+    return geometry.mask_iou(rows.where("l_discount > 0.05").select(*keys), rows.where("l_tax > 0.04").select(*keys), keys).withColumn("iou", F.round("iou", 8))
+
+
+@query("""
+SELECT p_partkey, round(CASE WHEN p_retailprice = 0 THEN 0 ELSE p_size * 100.0 / p_retailprice END, 6) AS damage, CAST(greatest(64, least(256, greatest(p_size, p_size % 13 + 5) * 6 + 16)) AS INTEGER) AS side,
+  round(0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * p_size / 50.0))), 9) AS rate, CASE WHEN regexp_matches(p_name, '[,"\n]') THEN '"' || replace(p_name, '"', '""') || '"' ELSE p_name END AS cell,
+  printf('%s_leaf%02d', p_brand, p_size) AS leaf FROM part""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", r6(scalars.damage_percent(size, F.col("p_retailprice"))).alias("damage"), scalars.window_side(size * 6, (size % 13 + 5) * 6).cast("int").alias("side"),
+        F.round(scalars.cosine_rate(size / 50.0, 0.001, 0.1), 9).alias("rate"), scalars.csv_field(F.col("p_name")).alias("cell"), scalars.leaf_name(F.col("p_brand"), size).alias("leaf"),
+    )
