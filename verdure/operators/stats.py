@@ -27,18 +27,22 @@ def robust_z(df: DataFrame, keys: list[str], value: str, floor: float = 0.0, val
     return df.join(scales, keys, "left").withColumn("z", z).drop("med", "mad", "scale")
 
 
+def _at_rank(df: DataFrame, keys: list[str], value: str, rank, name: str) -> DataFrame:
+    """The value at a rank, from 0, of each group's sorted values; equal values are counted before they are ordered."""
+    w = Window.partitionBy(*keys)
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    g = g.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_k", rank(F.sum("_c").over(w)))
+    return g.where((F.col("_k") < F.col("_hi")) & (F.col("_k") >= F.col("_hi") - F.col("_c"))).select(*keys, F.col(value).alias(name))
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
     """The value at index round(p / 100 * (n - 1)) of each group's sorted values."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") == F.round(F.lit(percent / 100.0) * (F.col("_n") - 1)).cast("long") + 1).select(*keys, F.col(value).alias("pct"))
+    return _at_rank(df, keys, value, lambda n: F.round(F.lit(percent / 100.0) * (n - 1)).cast("long"), "pct")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The value at index n div 2 of each group's sorted values."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    return _at_rank(df, keys, value, lambda n: F.floor(n / 2), "upper_median")
 
 
 def area_atypicality(area: Column, median: Column) -> Column:
