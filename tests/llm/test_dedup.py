@@ -68,6 +68,15 @@ def test_drifting_group_of_near_copies(spark):
     check(near_duplicates(df, width=3, similarity=85), rows, 3, 85)
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    from tests.llm.conftest import prose
+
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(5, a), (5, b), (5, b + " x"), (6, b), (7, c), (8, c), (8, a), (9, a + " y"), (10, b + " z")]
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, similarity=85).collect())
+    assert got == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 7), (8, 5), (8, 7), (9, 5), (10, 5)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     df = spark.createDataFrame(edges, "u long, v long")

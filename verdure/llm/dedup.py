@@ -130,10 +130,11 @@ def _blocks_of_bucket(similarity: int, n_minima: int, n_bands: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bucket, i, j = (k.as_py() for k in key)
-        rep, comp, size, part = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "part"))
+        rep, comp, part = (rows.column(c).to_numpy() for c in ("rep", "component", "part"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rep), n_minima)
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), n_bands)
         sets = [np.frombuffer(x.as_buffer(), U) for x in rows.column("hashes")]
+        size = np.array([len(x) for x in sets])
         comp = comp.copy()
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
@@ -174,7 +175,8 @@ def near_duplicates(
 
     Null or wordless texts have an empty set, are linked with nothing and kept. A
     text of fewer words than ``width`` is one shingle. Rows that repeat a doc_id each
-    give a row. A null doc_id has component null and kept null. Further columns are
+    give a row, with the component of its own text; if their texts differ and the id is
+    the smallest of both, these texts are one document in the links. A null doc_id has component null and kept null. Further columns are
     not read. Sets are of 54-bit hashes.
     """
     spark = docs.sparkSession
@@ -222,10 +224,10 @@ def near_duplicates(
     placed = store.save(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    held = placed.join(mixed, "bucket").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(sets, "rep")
+    held = placed.join(mixed, "bucket").join(classes.select("rep", "sketch", "bands"), "rep").join(sets, "rep")
     held = held.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # A member goes to each pair of blocks that holds its own block: n / BLOCK rows.
-    names = ["rep", "component", "n_shingles", "sketch", "bands", "hashes", "part"]
+    names = ["rep", "component", "sketch", "bands", "hashes", "part"]
     spread = held.select("bucket", *names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     spread = spread.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *names)
     more = store.save(spread.groupBy("bucket", "i", "j").applyInArrow(_blocks_of_bucket(similarity, n_minima, bands), "u long, v long"), "more")
