@@ -150,3 +150,33 @@ def duration(seconds: Column) -> Column:
     """Coarse reading of a duration."""
     s = seconds.cast("long")
     return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(n.cast("long"), 0)
+
+
+def name_matches(path: Column, query: str, status: Column | None = None, wanted: str | None = None) -> Column:
+    """Files whose name holds the query, whatever its case, and whose status is the wanted one, if one is given."""
+    hit = F.contains(F.lower(file_name(path)), F.lit(query.lower()))
+    return hit if wanted is None or status is None else hit & (status == wanted)
+
+
+def palette_rank(enabled: Column, score: Column) -> list[Column]:
+    """Sort keys of a search: what is enabled first, then the higher score."""
+    return [(~enabled).asc(), score.desc()]
+
+
+def tversky(tp: Column, fp: Column, fn: Column, alpha: float = 0.3, beta: float = 0.7) -> Column:
+    return 1 - F.try_divide(tp + 1e-6, tp + alpha * fp + beta * fn + 1e-6)
+
+
+def cross_entropy(p: Column, truth: Column, floor: float = 1e-7) -> Column:
+    q = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p))
+    return -F.when(truth, F.ln(q)).otherwise(F.ln(1 - q))
+
+
+def entropy(p: Column, floor: float = 1e-7) -> Column:
+    q = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p))
+    return -(q * F.ln(q) + (1 - q) * F.ln(1 - q))

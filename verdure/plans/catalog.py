@@ -731,3 +731,25 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", r6(scalars.damage_percent(size, F.col("p_retailprice"))).alias("damage"), scalars.window_side(size * 6, (size % 13 + 5) * 6).cast("int").alias("side"),
         F.round(scalars.cosine_rate(size / 50.0, 0.001, 0.1), 9).alias("rate"), scalars.csv_field(F.col("p_name")).alias("cell"), scalars.leaf_name(F.col("p_brand"), size).alias("leaf"),
     )
+
+
+@query()
+def domain_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdure.operators import projection
+
+    e = table(spark, sf_dir, "embeddings")
+    return projection.project(e, "vec_id", "embedding", projection.fit(e, "label", "embedding", hidden=16, epochs=50))
+
+
+@query("""
+SELECT l_suppkey AS sample, round(1 - (tp + 1e-6) / (tp + 0.3 * fp + 0.7 * fn + 1e-6), 6) AS tversky, round(bce, 6) AS bce, round(ent, 6) AS entropy FROM (
+  SELECT l_suppkey, count(*) FILTER (l_discount > 0.05 AND l_tax > 0.04) AS tp, count(*) FILTER (l_discount > 0.05 AND l_tax <= 0.04) AS fp, count(*) FILTER (l_discount <= 0.05 AND l_tax > 0.04) AS fn,
+    avg(CASE WHEN l_tax > 0.04 THEN -ln(q) ELSE -ln(1 - q) END) AS bce, avg(-(q * ln(q) + (1 - q) * ln(1 - q))) AS ent
+  FROM (SELECT *, greatest(1e-7, least(1 - 1e-7, l_discount * 8)) AS q FROM lineitem) GROUP BY 1)""")
+def loss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, t = F.col("l_discount") > 0.05, F.col("l_tax") > 0.04
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(
+        F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"),
+        F.avg(scalars.cross_entropy(F.col("l_discount") * 8, t)).alias("bce"), F.avg(scalars.entropy(F.col("l_discount") * 8)).alias("entropy"),
+    )
+    return g.select("sample", r6(scalars.tversky(F.col("tp"), F.col("fp"), F.col("fn"))).alias("tversky"), r6("bce").alias("bce"), r6("entropy").alias("entropy"))

@@ -49,3 +49,12 @@ def append_regions(stream: DataFrame, transform: Callable[[DataFrame], DataFrame
 def with_state(stream: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Known state applied to rows as they arrive."""
     return stream.join(state, keys, "left")
+
+
+def pace(progress: list[dict], total: int, least: int = 3) -> dict | None:
+    """Rows a minute and minutes left from a query's progress reports; None while too few rows are done."""
+    done = sum(p["numInputRows"] for p in progress)
+    spent = sum(p["durationMs"].get("triggerExecution", 0) for p in progress) / 60_000
+    if done < least or spent <= 0:
+        return None
+    return {"done": done, "per_minute": done / spent, "minutes_left": max(total - done, 0) * spent / done}
