@@ -46,7 +46,7 @@ def atypicality(points: DataFrame, key: str, label: str, vector: str) -> DataFra
     """(key, score): 1 less the cosine-like product with the direction of the family's summed vectors."""
     total = centroids(points, label, vector).withColumn("norm", F.sqrt(F.sum(F.col("total") * F.col("total")).over(Window.partitionBy(label))))
     sums = total.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "total"))), lambda e: e["total"]).alias("c"), F.max("norm").alias("norm"))
-    joined = points.join(F.broadcast(sums), label)
+    joined = points.join(sums, label)
     return joined.select(key, (1.0 - F.coalesce(F.try_divide(dot(F.col(vector), F.col("c")), F.col("norm")), F.lit(0.0))).alias("score"))
 
 

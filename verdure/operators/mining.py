@@ -35,7 +35,7 @@ def calibrate(signals: DataFrame, channel: str, tile: str, value: str, fp_rate:
     rank = lambda p: F.round(F.lit(p) * (F.col("n") - 1)) + 1
     ranked = mad.where("scale > 0").withColumn("r", F.row_number().over(w.orderBy("scale", tile))).withColumn("n", F.count("*").over(w))
     floors = ranked.where(F.col("r") == rank(floor_percent / 100)).select(channel, F.col("scale").alias("floor"))
-    z = signals.join(mad, [channel, tile]).join(F.broadcast(floors), channel).withColumn("z", (F.col(value) - F.col("med")) / (F.greatest("scale", "floor") + 1e-6))
+    z = signals.join(mad, [channel, tile]).join(floors, channel).withColumn("z", (F.col(value) - F.col("med")) / (F.greatest("scale", "floor") + 1e-6))
     top = z.withColumn("r", F.row_number().over(w.orderBy("z", tile))).withColumn("n", F.count("*").over(w)).where(F.col("r") == rank(1 - fp_rate))
     return top.select(channel, "floor", F.col("z").alias("threshold"))
 

@@ -1,7 +1,6 @@
 """Neighbour joins in blocks: one block of the bank meets all queries, or two blocks meet in a task.
 
-Distances are matrix products within Arrow batches; only what a join returns
-becomes rows.
+Distances are computed within Arrow batches; only what a join returns becomes rows.
 """
 
 from __future__ import annotations
@@ -25,13 +24,18 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _square(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (q @ b.T), 0)
+    """Squared distances from differences, so that equal vectors are at 0; a matrix product would leave rounding."""
+    out = np.empty((len(q), len(b)))
+    for i, x in enumerate(q):
+        d = b - x
+        out[i] = np.einsum("ij,ij->i", d, d)
+    return out
 
 
 def _smallest(d: np.ndarray, k: int, ties: str) -> np.ndarray:
     d = np.sort(d)
     if ties == "distinct":
-        d = d[np.append(True, np.diff(d) > 1e-12)]
+        d = np.unique(np.round(d, 9))
     return d[:k]
 
 

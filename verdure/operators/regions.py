@@ -54,7 +54,7 @@ def long_export(regions: DataFrame, leaves: DataFrame, names: DataFrame) -> Data
     A missing leaf counts one pixel.
     """
     named = F.when(F.col("label") < 0, "noise").otherwise(F.coalesce("name", F.concat(F.lit("Cluster "), F.col("label"))))
-    out = regions.join(leaves, "leaf", "left").join(F.broadcast(names), "label", "left")
+    out = regions.join(leaves, "leaf", "left").join(names, "label", "left")
     return out.select("leaf", "src", "region", "label", named.alias("family"), "area", (F.col("area") * 100.0 / F.greatest(F.coalesce("leaf_px", F.lit(1)), F.lit(1))).alias("leaf_pct"), lost_percent(F.coalesce("recon_area", F.lit(0)), F.coalesce("recon_whole", F.lit(0))).alias("lost_pct"))
 
 

@@ -59,7 +59,7 @@ def class_weights(df: DataFrame, label: str, crop: str | None = None, hard: Colu
     w = F.lit(float(n or 0)) / (F.lit(k or 1) * F.greatest(F.col("_c"), F.lit(floor)))
     if hard is not None:
         w = F.when(hard, w * 4).otherwise(w)
-    out = df.join(F.broadcast(per), label)
+    out = df.join(per, label)
     if crop is not None:
         w = w / F.count("*").over(Window.partitionBy(crop))
     return out.withColumn("weight", w).drop("_c")

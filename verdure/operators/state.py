@@ -53,7 +53,7 @@ def join_marks(leaves: DataFrame, marks: DataFrame, keys: list[str]) -> DataFram
 
 def name_chain(labels: DataFrame, runtime: DataFrame, head: DataFrame, label: str = "label") -> DataFrame:
     """Name given at run time, else the head's, else a numbered one; noise below 0."""
-    out = labels.join(F.broadcast(runtime.select(label, F.col("name").alias("_a"))), label, "left").join(F.broadcast(head.select(label, F.col("name").alias("_b"))), label, "left")
+    out = labels.join(runtime.select(label, F.col("name").alias("_a")), label, "left").join(head.select(label, F.col("name").alias("_b")), label, "left")
     return out.withColumn("name", F.when(F.col(label) < 0, "noise").otherwise(F.coalesce("_a", "_b", F.concat(F.lit("Cluster "), F.col(label))))).drop("_a", "_b")
 
 
@@ -65,7 +65,7 @@ def class_ids(rows: DataFrame, head: DataFrame, name: str, order: str) -> DataFr
     key = F.lower(F.trim(F.col(name)))
     seen = rows.where(F.col(name).isNotNull()).groupBy(key.alias("key")).agg(F.min(order).alias("first"))
     known = head.select(F.lower(F.trim("name")).alias("key"), "class")
-    both = seen.join(F.broadcast(known), "key", "left")
+    both = seen.join(known, "key", "left")
     top = head.agg(F.coalesce(F.max("class"), F.lit(0))).first()[0]
     fresh = F.row_number().over(Window.partitionBy(F.col("class").isNull()).orderBy("first", "key"))
     return both.select("key", F.coalesce("class", F.lit(top) + fresh).cast("long").alias("class"))

@@ -54,7 +54,7 @@ def standardize(df: DataFrame, key: str, vector: str, floor: float = 1e-6) -> Da
     """key, dim, value: each component less its mean, over its population deviation."""
     parts = df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
     stats = parts.groupBy("dim").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("sd"))
-    return parts.join(F.broadcast(stats), "dim").select(key, "dim", ((F.col("x") - F.col("mean")) / F.col("sd")).alias("value"))
+    return parts.join(stats, "dim").select(key, "dim", ((F.col("x") - F.col("mean")) / F.col("sd")).alias("value"))
 
 
 def variance_weight(df: DataFrame, vector: str, dims: int = 8, floor: float = 1e-3) -> DataFrame:

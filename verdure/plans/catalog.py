@@ -270,7 +270,7 @@ FROM lineitem JOIN m USING (l_returnflag)""")
 def upper_median_atypicality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     m = stats.upper_median(rows, ["l_returnflag"], "l_quantity")
-    return rows.join(F.broadcast(m), "l_returnflag").select(*REGION, r6(stats.area_atypicality(F.col("l_quantity"), F.col("upper_median"))).alias("score"))
+    return rows.join(m, "l_returnflag").select(*REGION, r6(stats.area_atypicality(F.col("l_quantity"), F.col("upper_median"))).alias("score"))
 
 
 EXPLODED = "SELECT vec_id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings"
@@ -714,11 +714,12 @@ def best_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_returnflag AS sample, round(count(*) FILTER (l_discount > 0.05 AND l_tax > 0.04) / count(*) FILTER (l_discount > 0.05 OR l_tax > 0.04), 8) AS iou FROM (SELECT DISTINCT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax FROM lineitem) GROUP BY 1""")
+SELECT l_returnflag AS sample, round(count(*) FILTER (a AND b) / count(*) FILTER (a OR b), 8) AS iou FROM
+(SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, bool_or(l_discount > 0.05) AS a, bool_or(l_tax > 0.04) AS b FROM lineitem GROUP BY 1, 2, 3, 4, 5) GROUP BY 1""")
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample"), *REGION, "l_discount", "l_tax").distinct()
     keys = ["sample", *REGION]
-    return geometry.mask_iou(rows.where("l_discount > 0.05").select(*keys), rows.where("l_tax > 0.04").select(*keys), keys).withColumn("iou", F.round("iou", 8))
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "sample")
+    return geometry.mask_iou(rows.where("l_discount > 0.05").select(*keys).distinct(), rows.where("l_tax > 0.04").select(*keys).distinct(), keys).withColumn("iou", F.round("iou", 8))
 
 
 @query("""
