@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from verdure.llm.store import Store
 
-#: Vectors of a list that one task holds at once.
+#: Vectors that one task holds at once.
 CHUNK = 4096
 
 
@@ -54,13 +54,13 @@ def probes_for(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, quer
     return int(np.quantile(ranks, recall)) + 1 if ranks.size else 1
 
 
-def scan_list(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, turn: np.ndarray, width: int = 16, z: float = 3.0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its k nearest (squared distances, ids) of a list, ties to smaller ids; never its own id."""
+def scan_lists(queries: np.ndarray, probed: list[np.ndarray], vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, own: np.ndarray, k: int, turn: np.ndarray, width: int = 16, z: float = 3.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query its k nearest (squared distances, ids) in its probed lists, ties to smaller ids; never its own id."""
     dim = vectors.shape[1]
     q, v = (queries @ turn).astype(np.float32), np.ascontiguousarray((vectors @ turn).astype(np.float32).T)
     out = []
     for i in range(len(q)):
-        alive = np.flatnonzero(ids != own[i])
+        alive = np.flatnonzero((ids != own[i]) & np.isin(lists, probed[i]))
         # The first k candidates, whole, set the threshold.
         first = alive[:: max(1, len(alive) // (4 * k))]
         d = ((vectors[first] - queries[i]) ** 2).sum(axis=1)
@@ -142,19 +142,30 @@ def nearest(
 
     rows = rows.withColumn("is_query", F.coalesce("is_query", F.lit(False)))
     dealt = store.save(rows.mapInArrow(assign, "vec_id long, v array<double>, list int, probed array<int>"), "dealt")
-    # A list larger than a chunk is dealt to several tasks; a query goes to each.
-    parts = dealt.groupBy("list").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # at most ``most_lists`` rows
-    held = dealt.join(parts, "list").select("list", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = dealt.where("probed is not null").select("vec_id", "v", F.explode("probed").alias("list")).join(parts, "list")
-    # Queries come in blocks of bounded size too.
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "v")
+    # Lists are dealt to tasks by their sizes, at most ``most_lists`` numbers: small ones share
+    # a task, so that a query brings back its nearest of them all; a large one takes several.
+    task, tasks_of, free, room = 0, {}, 0, 0
+    for r in sorted(dealt.groupBy("list").count().collect()):
+        if r["count"] > CHUNK:
+            n_parts = -(-r["count"] // CHUNK)
+            tasks_of[r["list"]], task = (task, n_parts), task + n_parts
+            continue
+        if room < r["count"]:
+            free, room, task = task, CHUNK, task + 1
+        tasks_of[r["list"]] = (free, 1)
+        room -= r["count"]
+    places = spark.createDataFrame([(a, t, n) for a, (t, n) in tasks_of.items()], "list int, first int, n int")
+    held = dealt.join(F.broadcast(places), "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("n"))).cast("int").alias("task"), F.lit(False).alias("asks"), "vec_id", "v", F.array("list").alias("lists"))
+    asked = dealt.where("probed is not null").select("vec_id", "v", F.explode("probed").alias("list")).join(F.broadcast(places), "list")
+    asked = asked.select("vec_id", "v", "list", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("task"))
+    asked = asked.groupBy("task", "vec_id", "v").agg(F.collect_list("list").alias("lists")).select("task", F.lit(True).alias("asks"), "vec_id", "v", "lists")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         ids, m = table.column("vec_id").to_numpy(), _matrix(table.column("v"))
-        own = ids[asks]
-        found = scan_list(m[asks], m[~asks], ids[~asks], own, k, turn) if (~asks).any() and len(own) else []
+        lists = table.column("lists").to_pylist()
+        own, at = ids[asks], np.array([x[0] for x, a in zip(lists, asks) if not a], np.int32)
+        found = scan_lists(m[asks], [np.array(x) for x, a in zip(lists, asks) if a], m[~asks], ids[~asks], at, own, k, turn) if (~asks).any() and len(own) else []
         n_found = [len(d) for d, _ in found]
         none = np.zeros(0)
         return pa.table({
@@ -162,6 +173,6 @@ def nearest(
             "vec_id": pa.array(np.concatenate([i for _, i in found] or [none]).astype(np.int64)), "score": pa.array(np.sqrt(np.concatenate([d for d, _ in found] or [none]))),
         })
 
-    near = held.union(asked).groupBy("list", "part").applyInArrow(search, "query_id long, vec_id long, score double")
+    near = held.union(asked).groupBy("task").applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
