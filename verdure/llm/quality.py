@@ -83,7 +83,7 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int
     """SGD on the softmax's log loss, with AdaGrad's step for each bucket; one document a step."""
     rng = np.random.default_rng(seed)
     size = FAMILIES << BUCKET_BITS
-    vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
+    vectors = (rng.random((size, dim), np.float32) - np.float32(0.5)) * np.float32(2 / dim)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     out += rng.uniform(-0.1, 0.1, out.shape).astype(np.float32)
     past = np.full(size, 1e-6, np.float32)
@@ -115,10 +115,9 @@ def fit(labelled: DataFrame, *, dim: int = 8, epochs: int = 5, rate: float = 0.3
     bags = labelled.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, ids binary, share binary")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
         label = table.column("label").to_pylist()
         rows = [(y, np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float32)) for y, i, s in zip(label, table.column("ids"), table.column("share"))]
-        model = _train(rows, dim, epochs, rate, seed)
+        model = _train([rows[i] for i in np.argsort(table.column("doc_id").to_numpy(), kind="stable")], dim, epochs, rate, seed)
         return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
     trained = bags.withColumn("task", F.col("label") * 0).groupBy("task").applyInArrow(run, "weights binary, bias double").collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 #: Bytes of text that are scanned at once; a longer document is scanned alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 U = np.uint64
 
