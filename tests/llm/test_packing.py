@@ -24,6 +24,16 @@ def test_fullest_against_brute_force():
         assert sum(n * k for n, k in got) == best and all(k <= counts[n] for n, k in got)
 
 
+def lower_bound(counts, room):
+    """Martello and Toth's bound: pieces over half a bin can't share one, and take room from the smaller ones."""
+    n, best = np.arange(len(counts)), 0
+    for k in range(room // 2 + 1):
+        large, middle, small = n > room - k, (n > room / 2) & (n <= room - k), (n >= k) & (n <= room / 2)
+        spare = counts[middle].sum() * room - (counts * n)[middle].sum()
+        best = max(best, counts[large].sum() + counts[middle].sum() + max(0, -(-((counts * n)[small].sum() - spare) // room)))
+    return best
+
+
 def test_bins_hold_everything_once():
     rng = random.Random(2)
     lengths = [rng.randint(1, 64) for _ in range(3000)]
@@ -35,7 +45,7 @@ def test_bins_hold_everything_once():
         for n, k in uses:
             held[n] += k * times
     assert (held == counts).all()
-    assert sum(t for _, t in bins) <= -(-sum(lengths) // 64) + 2
+    assert lower_bound(counts, 64) <= sum(t for _, t in bins) <= lower_bound(counts, 64) + 2
     slots, places = Slots(bins, 64), defaultdict(list)
     for n in range(1, 65):
         for s, o in zip(*slots.place(np.full(counts[n], n), np.arange(counts[n]))):
