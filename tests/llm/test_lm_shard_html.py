@@ -125,3 +125,17 @@ def test_main_text_rows(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert sorted(r.n_chars for r in got)[-1] == 5 * 20_000 - 1
     assert main_text(df.limit(0), Weights()).collect() == [] and main_text(df.limit(0)).collect() == []
+
+
+def test_every_training_token_reaches_a_gradient_step(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    def keep(p, stream, width):
+        np.save(f"{folder}/{len(stream)}-{int(stream.sum())}-{hash(stream.tobytes())}", stream)
+        return p
+
+    monkeypatch.setattr(lm, "train", keep)
+    rows = lm.score(spark.createDataFrame([(i, f"w{i} x{i} w{i}") for i in range(200)], "doc_id long, text string")).collect()
+    streams = [np.load(x) for x in tmp_path.glob("*.npy")]
+    assert sum(map(len, streams)) == rows[0].train_tokens > 0
+    assert len(np.unique(np.concatenate(streams))) == 1 + 2 * sum(not r.held_out for r in rows)

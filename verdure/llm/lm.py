@@ -28,6 +28,8 @@ TOP = CLASSES * WORDS
 #: The hash that stands for the end of a document.
 END = U(0xE0D)
 WINDOW = 32
+#: Parts of a chunk that are read side by side in training, at most.
+WIDTH = 256
 Weights = dict[str, np.ndarray]
 
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, tails binary, seen binary"
@@ -101,6 +103,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
 def start(top_counts: np.ndarray, tail_mass: np.ndarray, seed: int = 1) -> Weights:
     """Weights whose biases give the unigram distribution from the first step on."""
     rng = np.random.default_rng(seed)
@@ -145,17 +153,20 @@ def output(p: Weights, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
 
 
 def train(p: Weights, stream: np.ndarray, width: int, rate: float = 0.01) -> Weights:
-    """Truncated backpropagation over ``stream`` cut into ``width`` parallel parts; Adam."""
+    """Truncated backpropagation over ``stream`` cut into ``width`` parallel parts; Adam.
+
+    Every token is predicted: a part's last step predicts the first token of the next, the last part's that of the stream.
+    """
     p = {k: v.copy() for k, v in p.items()}
-    length = len(stream) // width
-    if length < 2:
+    if not len(stream):
         return p
-    grid = stream[: length * width].reshape(width, length).T
+    length = -(-len(stream) // width)
+    grid = stream[(np.arange(length + 1)[:, None] + np.arange(width) * length) % len(stream)]
     m, v2 = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     h = np.zeros((width, HIDDEN), np.float32)
     t = 0
-    for lo in range(0, length - 1, WINDOW):
-        steps = min(WINDOW, length - 1 - lo)
+    for lo in range(0, length, WINDOW):
+        steps = min(WINDOW, length - lo)
         caches, states = [], []
         for k in range(steps):
             h, cache = step(p, h, grid[lo + k])
@@ -166,7 +177,7 @@ def train(p: Weights, stream: np.ndarray, width: int, rate: float = 0.01) -> Wei
         g = {k: np.zeros_like(x) for k, x in p.items()}
         top = want < TOP
         cls = np.where(top, want // WORDS, CLASSES + want - TOP)
-        d = np.exp(_log_softmax(hs @ p["c"] + p["cb"]))
+        d = _softmax(hs @ p["c"] + p["cb"])
         d[np.arange(len(d)), cls] -= 1
         d *= scale
         g["c"], g["cb"] = hs.T @ d, d.sum(axis=0)
@@ -177,7 +188,7 @@ def train(p: Weights, stream: np.ndarray, width: int, rate: float = 0.01) -> Wei
         for k in range(CLASSES):
             rows = order[cut[k] : cut[k + 1]]
             if len(rows):
-                e = np.exp(_log_softmax(hs[rows] @ p["w"][k] + p["wb"][k]))
+                e = _softmax(hs[rows] @ p["w"][k] + p["wb"][k])
                 e[np.arange(len(rows)), want[rows] % WORDS] -= 1
                 e *= scale
                 g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(axis=0)
@@ -194,10 +205,10 @@ def train(p: Weights, stream: np.ndarray, width: int, rate: float = 0.01) -> Wei
             drh = dn @ u[:, 2 * HIDDEN :].T
             dr = drh * h0 * r * (1 - r)
             gates[k] = np.concatenate([dz, dr, dn], axis=1)
-            g["u"][:, : 2 * HIDDEN] += h0.T @ gates[k][:, : 2 * HIDDEN]
-            g["u"][:, 2 * HIDDEN :] += rh.T @ dn
             dh = dh * (1 - z) + drh * r + gates[k][:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
         flat = gates.reshape(-1, 3 * HIDDEN)
+        g["u"][:, : 2 * HIDDEN] = np.concatenate([c[0] for c in caches]).T @ flat[:, : 2 * HIDDEN]
+        g["u"][:, 2 * HIDDEN :] = np.concatenate([c[3] for c in caches]).T @ flat[:, 2 * HIDDEN :]
         g["b"] = flat.sum(axis=0)
         read = grid[lo : lo + steps].reshape(-1)
         order = np.argsort(read, kind="stable")
@@ -280,14 +291,14 @@ def _columns(batch: pa.RecordBatch, i: int) -> tuple:
     return np.array(batch.column("held")[i].as_py(), bool), sizes, _unpack(batch.column("tokens")[i].as_buffer(), int(sizes.sum())), get("words", np.uint64), get("tails", np.uint8)
 
 
-def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1", *, share: float = 0.1, rounds: int = 2, chunk_bytes: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1", *, rounds: int = 2, chunk_bytes: int = 16_000_000) -> DataFrame:
     """Log10-probabilities of every whole text of ``docs`` (doc_id, text); rows with ``held_out`` teach nothing.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are
     words and one end; the base is the smoothed unigram of all training tokens. The score
     is a distribution over the same events: each known word, and one for all unknown ones.
-    Counts cover all training documents; the network reads the share ``share`` of them in
-    each of ``rounds`` rounds, in every chunk of the corpus, so that it too grows with it.
+    Counts and the network cover all training documents: of every chunk of the corpus,
+    each of ``rounds`` rounds trains on a part, and the parts make up the chunk.
 
     A null or empty text is its end alone. Rows that repeat a doc_id are scored, and
     counted, each; a null doc_id is scored and not counted. Without training rows every
@@ -329,13 +340,13 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
                     held, sizes, tokens, words, tails = _columns(batch, i)
                     symbols = known.symbols(words, tails)
                     at = np.concatenate(([0], np.cumsum(sizes)))
-                    rng = np.random.default_rng([turn, batch.column("chunk")[i].as_py()])
-                    free = rng.permutation(np.flatnonzero(~held))
-                    picked = free[: max(1, int(np.ceil(share * len(free))))]
+                    # The same order in every round, so that the rounds' parts cover the chunk.
+                    rng = np.random.default_rng(batch.column("chunk")[i].as_py())
+                    picked = rng.permutation(np.flatnonzero(~held))[turn::rounds]
                     if not len(picked):
                         continue
                     stream = symbols[np.concatenate([tokens[at[d] : at[d + 1]] for d in picked])]
-                    new = train(p, stream, int(min(32, max(4, len(stream) // (100 * WINDOW)))))
+                    new = train(p, stream, int(min(WIDTH, max(4, len(stream) // (100 * WINDOW)))))
                     yield pa.RecordBatch.from_arrays([pa.array([float(len(stream))]), pa.array([b"".join(new[k].tobytes() for k in names)], pa.binary())], names=["n", "w"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
