@@ -127,3 +127,14 @@ def test_wide_export_of_empty_leaf(spark):
     found = spark.createDataFrame([(1, -1, 4.0), (1, 0, 2.0)], "leaf int, label int, area double")
     got = {r.leaf: r for r in regions.wide_export(found, leaves, [(-1, "noise"), (0, "a_b")], noise=-1).collect()}
     assert got[1].total_n == 1 and got[1].noise_area == 4.0 and got[2].total_n == 0 and got[2].a_b_mean is None
+
+
+def test_next_unreviewed_in_a_large_table(spark, tmp_path):
+    from verdure.plans import catalog
+
+    def first(name, keys):
+        spark.createDataFrame(keys, "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        return [r.o_orderkey for r in catalog.unreviewed_next(spark, f"{tmp_path}/{name}").collect()]
+
+    assert first("on", [(3, "O"), (700, "P"), (703, "O"), (15_701, "O"), (45_700, "O")]) == [703]
+    assert first("around", [(3, "O"), (5, "O"), (699, "O"), (700, "F")]) == [3]

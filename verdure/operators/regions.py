@@ -26,9 +26,9 @@ def fully_reviewed(leaves: DataFrame, regions: DataFrame, rejected: DataFrame, l
     return leaves.join(rejected, leaf, "left_anti").join(done, leaf, "left_semi")
 
 
-def next_unreviewed(items: DataFrame, index: str, pending: Column, start: int, n: int) -> DataFrame:
+def next_unreviewed(items: DataFrame, index: str, pending: Column, start: int) -> DataFrame:
     """The first pending index from ``start`` on, wrapping around."""
-    return items.where(pending).orderBy(F.pmod(F.col(index) - start, F.lit(n)), index).limit(1)
+    return items.where(pending).orderBy(F.col(index) < start, index).limit(1)
 
 
 def rect_overlap(regions: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:

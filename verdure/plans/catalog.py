@@ -123,7 +123,7 @@ def fully_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY ((o_orderkey - 700) % 15000 + 15000) % 15000, o_orderkey LIMIT 1")
 def unreviewed_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.next_unreviewed(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderstatus") == "O", 700, 15_000).select("o_orderkey")
+    return regions.next_unreviewed(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderstatus") == "O", 700).select("o_orderkey")
 
 
 BOX = "SELECT p_partkey AS region, CAST(floor(p_retailprice) AS BIGINT) % 400 AS x, (p_partkey * 37) % 300 AS y, p_size AS w, p_size % 13 + 5 AS h FROM part"
