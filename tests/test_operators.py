@@ -138,3 +138,20 @@ def test_next_unreviewed_in_a_large_table(spark, tmp_path):
 
     assert first("on", [(3, "O"), (700, "P"), (703, "O"), (15_701, "O"), (45_700, "O")]) == [703]
     assert first("around", [(3, "O"), (5, "O"), (699, "O"), (700, "F")]) == [3]
+
+
+def test_elbow_of_vectors_of_any_scale(spark, tmp_path, monkeypatch):
+    from verdure.plans import catalog
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    far = e.withColumn("embedding", F.transform("embedding", lambda x: (x * 16).cast("float")))
+    far.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = catalog.eps_elbow(spark, "/root/testdata/sf0.001").first().eps
+    assert catalog.eps_elbow(spark, str(tmp_path)).first().eps == pytest.approx(16 * want, abs=1e-5)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(50, 3)) * 40
+    v[7] = v[3]
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    got = {r.point_id: r.d for r in neighbors.kth_distance(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "point_id long, v array<double>"), 5).collect()}
+    every = np.sort(np.sqrt(((v[:, None] - v) ** 2).sum(2)), axis=1)
+    assert len(got) == 50 and all(got[i] == pytest.approx(every[i][5]) for i in range(50))

@@ -99,11 +99,6 @@ def eps_pairs(points: DataFrame, eps: float) -> DataFrame:
     Points are dealt to blocks of bounded size; each pair of blocks meets in one task, and
     only neighbours become rows.
     """
-    p = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null and point_id is not null")
-    blocks = max(1, -(-p.count() // BLOCK))
-    own = p.withColumn("own", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
-    spread = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point_id", "v")
-
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[0].as_py(), key[1].as_py()
         ids, m, block = table.column("point_id").to_numpy(), _matrix(table.column("v")), table.column("own").to_numpy()
@@ -120,4 +115,57 @@ def eps_pairs(points: DataFrame, eps: float) -> DataFrame:
             a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
         return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
 
-    return spread.groupBy("i", "j").applyInArrow(run, "a long, b long, d double")
+    return _block_pairs(points).groupBy("i", "j").applyInArrow(run, "a long, b long, d double")
+
+
+def kth_distance(points: DataFrame, k: int) -> DataFrame:
+    """(point_id, d): the distance to the k-th nearest other point; points (point_id, v) with fewer than k others give no row.
+
+    Each pair of blocks meets in one task, as in ``eps_pairs``; a point's k nearest of a block become one row.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        ids, m, block = table.column("point_id").to_numpy(), _matrix(table.column("v")), table.column("own").to_numpy()
+        sides = [np.flatnonzero(block == i), np.flatnonzero(block == j)]
+        at, near, n = [], [], []
+        for rows, others in [sides] if i == j else [sides, sides[::-1]]:
+            for lo in range(0, len(rows), 64):
+                part = rows[lo : lo + 64]
+                x, d = _nearest(m[part], m[others], np.not_equal.outer(ids[part], ids[others]), k)
+                at.append(ids[part])
+                near.append(d)
+                n.append(np.bincount(x, minlength=len(part)))
+        at, near, n = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (near, float), (n, np.int64)))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        return pa.table({"point_id": pa.array(at), "near": pa.ListArray.from_arrays(offsets, pa.array(near))})
+
+    near = _block_pairs(points).groupBy("i", "j").applyInArrow(run, "point_id long, near array<double>")
+    best = near.groupBy("point_id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    return best.where(F.size("near") >= k).select("point_id", F.element_at("near", k).alias("d"))
+
+
+def _nearest(q: np.ndarray, b: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, distance) to its k nearest rows of b that it may meet, in order.
+
+    A matrix product chooses: all that its rounding leaves among the k nearest; distances come from differences.
+    """
+    q2, b2 = (np.einsum("ij,ij->i", x, x) for x in (q, b))
+    if len(b) > k and np.isfinite(q2).all() and np.isfinite(b2).all():
+        about = np.where(may, q2[:, None] + b2 - 2 * (q @ b.T), np.inf)
+        slack = 16 * q.shape[1] * np.finfo(float).eps * (q2 + b2.max())
+        may = may & (about <= (np.partition(about, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+    x, y = np.nonzero(may)
+    d = np.sqrt(((b[y] - q[x]) ** 2).sum(1))
+    order = np.lexsort((d, x))
+    x, d = x[order], d[order]
+    keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+    return x[keep], d[keep]
+
+
+def _block_pairs(points: DataFrame) -> DataFrame:
+    """(i, j, own, point_id, v): each point, of block ``own``, once for every pair i <= j of blocks that it is in."""
+    p = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null and point_id is not null")
+    blocks = max(1, -(-p.count() // BLOCK))
+    own = p.withColumn("own", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
+    return own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point_id", "v")

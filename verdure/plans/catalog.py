@@ -368,10 +368,7 @@ WITH k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT a, d,
 s AS (SELECT min(d) AS lo, max(d) AS hi, count(*) AS n FROM k)
 SELECT round(arg_max(d, (round(abs((hi - lo) * i - (n - 1) * (d - lo)) / sqrt((n - 1) ** 2 + (hi - lo) ** 2), 12), -i)), 6) AS eps FROM k, s""")
 def eps_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    near = neighbors.eps_pairs(p, 2.1).where("a <> b")
-    kth = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where("r = 5").select(F.col("a").alias("point_id"), "d")
-    eps = cluster.elbow(kth, 5)
+    eps = cluster.elbow(neighbors.kth_distance(points(spark, sf_dir), 5), 5)
     return spark.createDataFrame([(None if eps is None else round(eps, 6),)], "eps double")
 
 
