@@ -109,6 +109,17 @@ def test_extract():
     assert extract("", w) == "" and extract("only plain words", w) == "only plain words" and extract("<p></p>", w) == "" and extract("<", w) in ("<", "")
 
 
+def test_listed_words_round_the_whole_page():
+    w = weigh({k: 3 * n for k, n in observe(PAGE).items()})
+    want = extract(PAGE, w)
+    assert want.endswith("Last words of all")
+    assert extract(PAGE.replace("<body>", "<body class='no-sidebar'>"), w) == want
+    assert extract(PAGE.replace("<article>", "<article class='post social'>"), w) == want
+    assert extract(PAGE.replace("<body>", "<body><form id='f'>").replace("</body>", "</form></body>").replace("<form><label>Mail</label><input></form>", ""), w) == want
+    plain = "<body><form><div class='ad'>Buy now</div><p>" + "word " * 50 + "</p></form></body>"
+    assert extract(plain, w) == ("word " * 50).strip()
+
+
 def test_maximal_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):

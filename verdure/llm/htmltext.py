@@ -43,6 +43,8 @@ PRIOR = 4.0
 EVERYWHERE = frozenset({"<html>", "<body>"})
 #: What a word in bad surroundings costs; it is left out of the text in any case.
 BAD_WORD = -0.5
+#: An element with such a share of a page's words stands round the page, and its listed words say nothing.
+WHOLE = 0.8
 Path = tuple[str, ...]
 
 
@@ -71,9 +73,40 @@ def around(items: list[tuple[str, str, frozenset[str]]]) -> list[frozenset[str]]
     return [cache[names] for _, _, names in items]
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
-    """(kind, value, surroundings): kind is "text", "open" or "close"; surroundings name open elements, classes, ids and roles."""
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+def tokens(page: str) -> list[tuple[str, str, frozenset[str]]]:
+    """(kind, value, surroundings): kind is "text", "open" or "close"; surroundings name open elements, classes, ids and roles.
+
+    Listed words count but from elements that are a part of the page: not from html, body, the
+    landmark with the most words, what it stands in, or what holds nearly all words of the page.
+    """
+    elements: list[tuple[int, frozenset[str]]] = [(0, frozenset())]
+    items = list(_tokens(page, elements))
+    words = [0] * len(elements)
+    for kind, value, at in items:
+        if kind == "text":
+            words[at] += len(value.split())
+    # Elements come after those that they stand in.
+    for i in range(len(elements) - 1, 0, -1):
+        words[elements[i][0]] += words[i]
+    round_page = {i for i in range(1, len(elements)) if words[i] >= WHOLE * words[0] > 0}
+    marks = next((m for x in LANDMARKS if (m := [i for i in range(1, len(elements)) if f"<{x}>" in elements[i][1]])), [])
+    k = max(marks, key=lambda i: words[i], default=0)
+    while k:
+        round_page.add(k)
+        k = elements[k][0]
+    names = [frozenset()]
+    for i, (parent, own) in enumerate(elements[1:], 1):
+        if own & EVERYWHERE:
+            own = own & EVERYWHERE
+        elif i in round_page:
+            own = frozenset(n for n in own if n.strip("<>") not in AGAINST)
+        names.append(names[parent] | own)
+    return [(kind, value, names[at]) for kind, value, at in items]
+
+
+def _tokens(page: str, elements: list[tuple[int, frozenset[str]]]) -> Iterator[tuple[str, str, int]]:
+    """(kind, value, place of the innermost open element); adds to ``elements`` the place of the outer one and the element's names."""
+    stack: list[tuple[str, int]] = [("", 0)]
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -111,7 +144,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
         for a in ATTRIBUTE.finditer(attributes):
             names.update(WORDS.findall((a[2] or a[3] or a[4] or "").lower()))
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((name, stack[-1][1] | names))
+            elements.append((stack[-1][1], frozenset(names)))
+            stack.append((name, len(elements) - 1))
         yield "open", name, stack[-1][1]
 
 
@@ -129,7 +163,7 @@ def maximal(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """Blocks of the main text, in page order, joined by one newline."""
-    items = list(tokens(page))
+    items = tokens(page)
     items = [(kind, value, names) for (kind, value, _), names in zip(items, around(items))]
     scores, against, cache = [], [], {}
     for kind, value, names in items:
@@ -171,7 +205,7 @@ def observe(page: str) -> Counter:
     What stands in surroundings that are known to be bad is no main text wherever it is; it
     speaks against those alone, not against plain elements that happen to be there too.
     """
-    items = list(tokens(page))
+    items = tokens(page)
     mark = next((f"<{x}>" for x in LANDMARKS if any(f"<{x}>" in names for kind, _, names in items if kind == "open")), "")
     out: Counter = Counter()
     if not mark:
