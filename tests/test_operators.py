@@ -155,3 +155,16 @@ def test_elbow_of_vectors_of_any_scale(spark, tmp_path, monkeypatch):
     got = {r.point_id: r.d for r in neighbors.kth_distance(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "point_id long, v array<double>"), 5).collect()}
     every = np.sort(np.sqrt(((v[:, None] - v) ** 2).sum(2)), axis=1)
     assert len(got) == 50 and all(got[i] == pytest.approx(every[i][5]) for i in range(50))
+
+
+def test_registered_heads_are_trained_to_the_end(spark, tmp_path):
+    from verdure.plans import catalog
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    far = e.withColumn("embedding", F.transform("embedding", lambda x: (x * 16).cast("float")))
+    far.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select(F.col("label").alias("class"), F.lit(1.0).alias("weight"), F.col("embedding").cast("array<double>").alias("x"))
+    _, losses = head.retrain(rows, list(range(10)), np.zeros((10, 65)), iterations=2_000)
+    assert 11 < len(losses) < 2_000 and losses[10] > losses[-1] * (1 + 1e-6)
+    assert catalog.ml_head_retrain(spark, str(tmp_path)).first().loss == pytest.approx(losses[-1], rel=1e-7)
+    assert len(catalog.domain_projection(spark, "/root/testdata/sf0.001").first().v) == 64

@@ -467,7 +467,7 @@ def ml_head_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("class"), F.lit(1.0).alias("weight"), F.col("embedding").cast("array<double>").alias("x"))
-    w, losses = head.retrain(rows, list(range(10)), np.zeros((10, 65)), iterations=10)
+    w, losses = head.retrain(rows, list(range(10)), np.zeros((10, 65)), iterations=2_000)
     return spark.createDataFrame([(c, float(np.linalg.norm(w[c, :-1])), float(w[c, -1]), losses[-1]) for c in range(10)], "class int, norm double, intercept double, loss double")
 
 
@@ -736,7 +736,7 @@ def domain_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdure.operators import projection
 
     e = table(spark, sf_dir, "embeddings")
-    return projection.project(e, "vec_id", "embedding", projection.fit(e, "label", "embedding", hidden=16, epochs=50))
+    return projection.project(e, "vec_id", "embedding", projection.fit(e, "label", "embedding"))
 
 
 @query("""
