@@ -63,6 +63,12 @@ def test_fast_ids_are_the_library_ids(text):
     assert encoder(PATH)(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "\n" * 1_000_000, "x\u3000" + "\t " * 200_000, "z" * 300_000, "?!" * 200_000])
+def test_very_long_runs(text):
+    own = Tokenizer.from_file(PATH)
+    assert encoder(PATH)(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(spark, edge, edge_rows, empty):
     own = Tokenizer.from_file(PATH)
     rows = pack(edge, PATH, keep_ids=True).collect()

@@ -10,6 +10,7 @@ counts allow. The search needs only how many pieces have each length, at most
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 from verdure.llm.store import Store
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
+#: White space that the fast engine isn't trusted with: its pattern's stack ends between 100,000 and 1,000,000 characters.
+LONG_RUN = re.compile(r"\s{10000}")
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
@@ -101,8 +104,9 @@ def encoder(path: str):
     """text -> uint32 ids, as ``tokenizers`` gives them without added special tokens.
 
     A byte-level BPE whose ids follow its merges is run by the tiktoken engine, some
-    five times as fast for the same ids. Texts with a special token's string, and
-    other tokenizers, go through ``tokenizers`` itself.
+    five times as fast for the same ids. Texts with a special token's string or a very
+    long run of white space, at which that engine's pattern gives up, and other
+    tokenizers go through ``tokenizers`` itself.
     """
     from tokenizers import Tokenizer
 
@@ -130,7 +134,7 @@ def encoder(path: str):
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def quick(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or LONG_RUN.search(text):
             return plain(text)
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
@@ -164,9 +168,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end: int = 2, capacity: int = 1024,
     One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset,
     and, with ``keep_ids``, its ids as little-endian unsigned 32-bit numbers. A null
     or empty text is its end token alone. Only documents longer than ``capacity`` are
-    cut, from the end, so that the first piece is the shorter one. Rows that repeat a
-    doc_id are packed each; a null doc_id is kept. An empty table gives no rows.
-    Further columns are not read.
+    cut, from the end, so that the first piece is the shorter one. Texts of any length
+    are read whole. Rows that repeat a doc_id are packed each; a null doc_id is kept. An
+    empty table gives no rows. Further columns are not read.
     """
     store = Store(docs.sparkSession, "pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
