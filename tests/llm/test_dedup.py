@@ -83,3 +83,59 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(df, Store(spark, "t"), "c").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + k: 100 for k in range(50)}}
     assert components(df.where("u < 0"), Store(spark, "t"), "c").collect() == []
+
+
+def drifting(n, seed=3, size=120, changes=9):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(size)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, changes)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_rounds_of_pivots_outside_the_largest_component(spark, monkeypatch):
+    from verdure.llm import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK", 16)
+    rows = drifting(250, 5, 100, 5)
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=3, similarity=85), rows, 3, 85)
+
+
+def test_rows_of_a_drifting_group_stay_in_proportion(spark, monkeypatch):
+    """What goes to the block step grows with a group's members, not with their pairs, and stays exact."""
+    from verdure.llm import dedup
+
+    shipped = []
+
+    def spread(placed, mixed, f=dedup.spread):
+        shipped.append(f(placed, mixed).count())
+        return f(placed, mixed)
+
+    monkeypatch.setattr(dedup, "spread", spread)
+    for n in (500, 1000):
+        rows = drifting(n)
+        check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=3, similarity=85), rows, 3, 85)
+    assert 0 < shipped[1] <= 2.8 * shipped[0], shipped
+
+
+def test_spread_meets_every_pair_across_components_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from verdure.llm import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    placed = spark.createDataFrame([(1, i, 10, 0 if i < 11 else 100 + i % 3) for i in range(25)], "bucket long, rep long, n_shingles long, component long")
+    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.sum(F.expr("int(component <> 0)")).alias("outer"), F.lit(140).alias("outer_shingles")).withColumn("largest", F.lit(0).cast("long"))
+    rows = dedup.spread(placed, mixed).collect()
+    assert len(rows) == 25 * 4 + 14 * 7
+    met = []
+    for a in rows:
+        for b in rows:
+            if a.asks and not b.asks and (a.i, a.j) == (b.i, b.j) and a.component != b.component and (not b.outside or b.rep > a.rep):
+                met.append((min(a.rep, b.rep), max(a.rep, b.rep)))
+    part = {r.rep: r.component for r in placed.collect()}
+    assert sorted(met) == [(x, y) for x in range(25) for y in range(x + 1, 25) if part[x] != part[y]]

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Narrow rows of a file that a step writes; more partitions than that need are merged before the write.
+FILE_ROWS = 100_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1_000
 
@@ -39,12 +41,17 @@ class Store:
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: set[str] = set()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
+    def save(self, df: DataFrame, table: str, rows: int | None = None) -> DataFrame:
+        """The same rows, read from a table. ``rows``: their likely number, if they are narrow; a small table isn't dealt to many files."""
+        if rows is not None:
+            df = df.coalesce(1 + rows // FILE_ROWS)
         df.write.mode("overwrite").parquet(self.path(table))
+        self.saved.add(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
@@ -53,6 +60,7 @@ class Store:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.path(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.saved.discard(table)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
