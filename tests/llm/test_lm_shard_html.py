@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from verdure.llm import lm
-from verdure.llm.htmltext import Weights, extract, main_text, maximal, observe, weigh
+from verdure.llm.htmltext import Weights, extract, main_text, maximal, observe, parse, region, scores, weigh
 from verdure.llm.sharding import shard
 
 
@@ -120,6 +120,48 @@ def test_listed_words_round_the_whole_page():
     assert extract(plain, w) == ("word " * 50).strip()
 
 
+@pytest.mark.parametrize("names", ["post legal", "alert-news", "share-story", "tags", "comment social ad"])
+def test_names_of_the_article_itself_have_no_veto(names):
+    w = weigh({k: 3 * n for k, n in observe(PAGE).items()})
+    want = extract(PAGE, w)
+    assert extract(PAGE.replace("<article>", f"<article class='{names}'>"), w) == want
+    plain = PAGE.replace("<article>", f"<div class='{names}'>").replace("</article>", "</div>").replace("Last words of all", "more " * 60)
+    assert extract(plain, w) == want.replace("Last words of all", ("more " * 60).strip())
+
+
+def test_region_is_the_best_of_all():
+    """The region's score is the largest of any contiguous run of tokens, whatever the page."""
+    rng = np.random.default_rng(5)
+    w = Weights({"<p>": 1.5, "x": -2.0, "<li>": 0.4, "<b>": 0.7}, {"p": -0.2, "b": -0.1, "div": -0.9})
+    for _ in range(150):
+        page = "".join(str(rng.choice(["<p>", "</p>", "<b>", "</b>", "<div>", "<div class='x'>", "</div>", "<li>", "w w w ", "w ", "<br>", "<aside>", "</aside>"])) for _ in range(rng.integers(1, 40)))
+        first, last, _ = region(parse(page), w)
+        s = scores(parse(page), w)[0]
+        best = max([sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)], default=0)
+        assert sum(s[first:last]) == pytest.approx(max(best, 0))
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 200_000, "<div>" * 90_000 + "</x>" * 90_000, "<b>" + "<div>" * 50_000 + "</b>" * 90_000, "<script" * 140_000, "<a x=\"" * 160_000, "<p " + "class   " * 120_000 + ">", "<!--" * 250_000])
+def test_a_megabyte_of_broken_markup_ends(page):
+    import time
+
+    began = time.process_time()
+    extract("<p>first words</p>" + page, Weights())
+    observe("<article>" + page)
+    assert time.process_time() - began < 10
+
+
+def test_tokens():
+    kinds = lambda page: [(k, v) for k, v, _ in parse(page).items]
+    assert kinds("a < b <3 c") == [("text", "a < b <3 c")]
+    assert kinds("<p title='a > b'>x</p ><!-- <b> -->y") == [("open", "p"), ("text", "x"), ("close", "p"), ("text", "y")]
+    assert kinds("x<style>p > q</STYLE >y<a href=it's>z") == [("text", "x"), ("text", "y"), ("open", "a"), ("text", "z")]
+    assert kinds("<![CDATA[a<b]]>x<?php ?><!DOCTYPE html>") == [("text", "a<b"), ("text", "x")]
+    assert kinds("x<p class='never closed") == [("text", "x")]
+    page = parse("<div><p>one<p>two<b>x<div>y</b></div></div>z")
+    assert [page.parents[i] for i in range(1, 6)] == [0, 1, 1, 3, 1]
+
+
 def test_maximal_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -3,8 +3,9 @@
 A page is read as a sequence of tokens. Each word scores by how much more often
 words in its surroundings belong to main text than not, each tag by how rarely
 it stands inside main text; both weights are learned from labelled pages. One
-linear scan finds the contiguous region of the highest sum. Within it, blocks in
-surroundings that count against main text (adverts, forms, comments) are left out.
+linear scan finds the contiguous region of the highest sum. Of the elements that
+lie inside it, those whose own names count against main text (adverts, forms,
+comments) are left out; what stands round the region has no say in that.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag. Quotes count after an equals sign alone; nothing is read twice.
+REST = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+>")
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
@@ -41,11 +45,13 @@ AGAINST = frozenset(
 PRIOR = 4.0
 #: Elements around all text, which say nothing.
 EVERYWHERE = frozenset({"<html>", "<body>"})
-#: What a word in bad surroundings costs; it is left out of the text in any case.
-BAD_WORD = -0.5
-#: An element with such a share of a page's words stands round the page, and its listed words say nothing.
-WHOLE = 0.8
-Path = tuple[str, ...]
+#: Bounds of a word's score: text amid the region that counts against it can't part it at once.
+WORST, BEST = -0.5, 2.0
+#: Log-odds from which on an element's names speak against its text.
+AGAINST_ODDS = -1.0
+#: An element with such a share of a page's words stands round the page: its listed classes, or listed tags, say nothing.
+ROUND, WHOLE = 0.5, 0.8
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 @dataclass
@@ -55,98 +61,142 @@ class Weights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def word(self, names: frozenset[str]) -> float:
-        """The strongest evidence among what surrounds a word, against main text or else for it."""
-        odds = [self.words.get(n, -3.0 if n in AGAINST else 0.0) for n in names]
-        low, high = min(odds, default=0.0), max(odds, default=0.0)
-        return low if low <= -1.0 else max(high, 0.1)
+    def name(self, name: str) -> float:
+        return self.words.get(name, -3.0 if name in AGAINST else 0.0)
 
     def tag(self, name: str) -> float:
         """Between -1 and 0, so that an advert amid the text can't part it."""
         return min(max(self.tags.get(name, -1.0 if name in AGAINST else -0.5), -1.0), 0.0)
 
 
-def around(items: list[tuple[str, str, frozenset[str]]]) -> list[frozenset[str]]:
-    """Surroundings of each token; on a page with a landmark, what lies outside it is told so."""
-    mark = next((f"<{x}>" for x in LANDMARKS if any(f"<{x}>" in names for kind, _, names in items if kind == "open")), "")
-    cache = {names: names - EVERYWHERE | (set() if not mark or mark in names else {f"!{mark}"}) for _, _, names in items}
-    return [cache[names] for _, _, names in items]
-
-
-def tokens(page: str) -> list[tuple[str, str, frozenset[str]]]:
-    """(kind, value, surroundings): kind is "text", "open" or "close"; surroundings name open elements, classes, ids and roles.
-
-    Listed words count but from elements that are a part of the page: not from html, body, the
-    landmark with the most words, what it stands in, or what holds nearly all words of the page.
+@dataclass
+class Page:
+    """Tokens (kind, value, element), kind "text", "open" or "close"; and by element, in page order, its parent and its names."""
+
+    items: list[tuple[str, str, int]]
+    parents: list[int]
+    names: list[frozenset[str]]
+
+    def __post_init__(self) -> None:
+        n = len(self.parents)
+        self.words = [0] * n
+        for kind, value, at in self.items:
+            if kind == "text":
+                self.words[at] += len(value.split())
+        self.total = list(self.words)
+        for i in range(n - 1, 0, -1):
+            self.total[self.parents[i]] += self.total[i]
+        # The landmark with the most words labels the main text.
+        marks: list[int] = []
+        self.mark = ""
+        for x in LANDMARKS:
+            if marks := [i for i in range(1, n) if f"<{x}>" in self.names[i]]:
+                self.mark = f"<{x}>"
+                break
+        around, k = set(), max(marks, key=lambda i: self.total[i], default=0)
+        while k:
+            around.add(k)
+            k = self.parents[k]
+        self.inside = [False] * n
+        for i in range(1, n):
+            own = self.names[i]
+            self.inside[i] = self.inside[self.parents[i]] or (bool(self.mark) and self.mark in own)
+            if own & EVERYWHERE:
+                own = own & EVERYWHERE
+            elif i in around or self.total[i] >= WHOLE * self.total[0] > 0:
+                own = frozenset(x for x in own if x.strip("<>") not in AGAINST)
+            elif self.total[i] >= ROUND * self.total[0] > 0:
+                own = frozenset(x for x in own if x not in AGAINST or f"<{x}>" in own)
+            self.names[i] = own
+
+
+def parse(page: str) -> Page:
+    """Tokens and elements in time linear in the page, however its tags nest or fail to close.
+
+    A tag or comment that never ends is read to the end of the page, as browsers do.
     """
-    elements: list[tuple[int, frozenset[str]]] = [(0, frozenset())]
-    items = list(_tokens(page, elements))
-    words = [0] * len(elements)
-    for kind, value, at in items:
-        if kind == "text":
-            words[at] += len(value.split())
-    # Elements come after those that they stand in.
-    for i in range(len(elements) - 1, 0, -1):
-        words[elements[i][0]] += words[i]
-    round_page = {i for i in range(1, len(elements)) if words[i] >= WHOLE * words[0] > 0}
-    marks = next((m for x in LANDMARKS if (m := [i for i in range(1, len(elements)) if f"<{x}>" in elements[i][1]])), [])
-    k = max(marks, key=lambda i: words[i], default=0)
-    while k:
-        round_page.add(k)
-        k = elements[k][0]
-    names = [frozenset()]
-    for i, (parent, own) in enumerate(elements[1:], 1):
-        if own & EVERYWHERE:
-            own = own & EVERYWHERE
-        elif i in round_page:
-            own = frozenset(n for n in own if n.strip("<>") not in AGAINST)
-        names.append(names[parent] | own)
-    return [(kind, value, names[at]) for kind, value, at in items]
-
-
-def _tokens(page: str, elements: list[tuple[int, frozenset[str]]]) -> Iterator[tuple[str, str, int]]:
-    """(kind, value, place of the innermost open element); adds to ``elements`` the place of the outer one and the element's names."""
+    items: list[tuple[str, str, int]] = []
+    parents, names = [0], [frozenset()]
     stack: list[tuple[str, int]] = [("", 0)]
-    at, n = 0, len(page)
+    where: dict[str, list[int]] = {}  # places of open elements by name
+    blocks = [0]  # places of open block elements
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+
+    at = begin = 0
+    n = len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            yield "text", page[at:], stack[-1][1]
-            return
-        if m.start() > at:
-            yield "text", page[at : m.start()], stack[-1][1]
-        at = m.end()
-        if m[1] is not None:
-            yield "text", m[1], stack[-1][1]
-        name = (m[3] or m[6] or "").lower()
-        if not name:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            break
+        c, kind = page[lt + 1], ""
+        attributes = name = ""
+        inner = None
+        if c == "!" and page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            inner = page[lt + 9 : end if end >= 0 else n]
+            at = end + 3 if end >= 0 else n
+        elif c == "!" and page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+        elif c in "!?" or (c == "/" and not NAME.match(page, lt + 2)):
+            end = page.find(">", lt + 2)
+            at = end + 1 if end >= 0 else n
+        elif c == "/":
+            name, kind = NAME.match(page, lt + 2)[0].lower(), "close"
+            end = page.find(">", lt + 2)
+            at = end + 1 if end >= 0 else n
+        elif m := NAME.match(page, lt + 1):
+            name, kind = m[0].lower(), "open"
+            rest = REST.match(page, m.end())
+            attributes, at = (rest[0][:-1], rest.end()) if rest else ("", n)
+            if not rest:
+                kind = ""
+        else:
+            at = lt + 1  # no tag
             continue
-        if m[2] or m[5]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+        if lt > begin:
+            items.append(("text", page[begin:lt], stack[-1][1]))
+        if inner:
+            items.append(("text", inner, stack[-1][1]))
+        begin = at
+        if kind == "close":
+            k = where[name][-1] if where.get(name) else 0
             # A stray end tag closes nothing; one of an inline element doesn't close blocks.
-            if k and (name in BLOCK or all(x not in BLOCK for x, _ in stack[k + 1 :])):
-                del stack[k:]
-            yield "close", name, stack[-1][1]
+            if k and (name in BLOCK or k > blocks[-1]):
+                close(k)
+            items.append(("close", name, stack[-1][1]))
+        if kind != "open":
             continue
-        attributes = m[4] or m[7] or ""
+        empty = attributes.rstrip().endswith("/")
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if not attributes.rstrip().endswith("/"):
-                at = end.end() if end else n
+            if not empty:
+                m = _RAW_END[name].search(page, at)
+                end = page.find(">", m.end()) if m else -1
+                begin = at = end + 1 if end >= 0 else n
             continue
-        if name in CLOSES_P or name == "p":
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if k and all(x not in BLOCK for x, _ in stack[k + 1 :]):
-                del stack[k:]
+        if (name in CLOSES_P or name == "p") and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name:
-            stack.pop()
-        names = {f"<{name}>"} | ({name} if name in AGAINST else set())
-        for a in ATTRIBUTE.finditer(attributes):
-            names.update(WORDS.findall((a[2] or a[3] or a[4] or "").lower()))
-        if name not in VOID and not attributes.rstrip().endswith("/"):
-            elements.append((stack[-1][1], frozenset(names)))
-            stack.append((name, len(elements) - 1))
-        yield "open", name, stack[-1][1]
+            close(len(stack) - 1)
+        if name not in VOID and not empty:
+            own = {f"<{name}>"} | ({name} if name in AGAINST else set())
+            for a in ATTRIBUTE.finditer(attributes):
+                own.update(WORDS.findall((a[2] or a[3] or a[4] or "").lower()))
+            parents.append(stack[-1][1])
+            names.append(frozenset(own))
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
+            stack.append((name, len(parents) - 1))
+        items.append(("open", name, stack[-1][1]))
+    if begin < n:
+        items.append(("text", page[begin:], stack[-1][1]))
+    return Page(items, parents, names)
 
 
 def maximal(scores: list[float]) -> tuple[int, int]:
@@ -161,33 +211,52 @@ def maximal(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def extract(page: str, weights: Weights) -> str:
+def scores(page: Page, weights: Weights) -> tuple[list[float], list[bool]]:
+    """The score of each token, and by element whether its own names speak against it.
+
+    A word has the strongest evidence among what surrounds it, against main text or else for it.
+    """
+    outside = weights.name(f"!{page.mark}") if page.mark else 0.0
+    low, high, against, word = [0.0], [0.0], [False], []
+    cache: dict[frozenset[str], tuple[float, float]] = {}
+    for i, (up, own) in enumerate(zip(page.parents, page.names)):
+        if i:
+            if own not in cache:
+                odds = [weights.name(x) for x in own]
+                cache[own] = min(odds, default=0.0), max(odds, default=0.0)
+            a, b = cache[own]
+            low.append(min(low[up], a))
+            high.append(max(high[up], b))
+            against.append(a <= AGAINST_ODDS)
+        worst = low[i] if page.inside[i] else min(low[i], outside)
+        word.append(min(max(worst if worst <= AGAINST_ODDS else max(high[i], 0.1), WORST), BEST))
+    return [word[at] * len(value.split()) if kind == "text" else weights.tag(value) for kind, value, at in page.items], against
+
+
+def region(page: Page, weights: Weights) -> tuple[int, int, list[bool]]:
+    """First token, last + 1 of the maximum-scoring region, and by element whether it is left out of it."""
+    value, against = scores(page, weights)
+    first, last = maximal(value)
+    # Elements that begin inside the region and aren't all of it may be left out.
+    held = sum(len(v.split()) for kind, v, _ in page.items[first:last] if kind == "text")
+    starts = {at for kind, _, at in page.items[first:last] if kind == "open"}
+    gone = [False] * len(page.parents)
+    for i in range(1, len(gone)):
+        gone[i] = gone[page.parents[i]] or (against[i] and i in starts and page.total[i] < max(held, 1))
+    # Between two landmarks' text lies what is in neither.
+    if page.mark and weights.name(f"!{page.mark}") <= AGAINST_ODDS and any(page.inside[at] for _, _, at in page.items[first:last]):
+        gone = [g or not page.inside[i] for i, g in enumerate(gone)]
+    return first, last, gone
+
+
+def extract(text: str, weights: Weights) -> str:
     """Blocks of the main text, in page order, joined by one newline."""
-    items = tokens(page)
-    items = [(kind, value, names) for (kind, value, _), names in zip(items, around(items))]
-    scores, against, cache = [], [], {}
-    for kind, value, names in items:
-        if kind == "text":
-            if names not in cache:
-                cache[names] = weights.word(names)
-            w = cache[names]
-            scores.append((w if w > -1.0 else BAD_WORD) * len(value.split()))
-            against.append(w <= -1.0)
-        else:
-            scores.append(weights.tag(value))
-            against.append(False)
-    first, last = maximal(scores)
-    # Tags cost; text of the same surroundings that the cut leaves at its edges belongs to it.
-    inside = {items[i][2] for i in range(first, last) if items[i][0] == "text" and not against[i]}
-    while first > 0 and (items[first - 1][0] != "text" or items[first - 1][2] in inside or not items[first - 1][1].strip()):
-        first -= 1
-    while last < len(items) and (items[last][0] != "text" or items[last][2] in inside or not items[last][1].strip()):
-        last += 1
+    page = parse(text)
+    first, last, gone = region(page, weights)
     blocks, part = [], []
-    for i in range(first, last):
-        kind, value, _ = items[i]
+    for kind, value, at in page.items[first:last]:
         if kind == "text":
-            if not against[i]:
+            if not gone[at]:
                 part.append(value)
         elif value in BLOCK:
             blocks.append(part)
@@ -199,26 +268,45 @@ def extract(page: str, weights: Weights) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def observe(page: str) -> Counter:
+def observe(text: str) -> Counter:
     """(kind, name, inside) counts of a page that has a landmark of its main text; nothing from others.
 
-    What stands in surroundings that are known to be bad is no main text wherever it is; it
-    speaks against those alone, not against plain elements that happen to be there too.
+    Listed elements that are a small part of the page label their text as no main text, wherever they
+    stand; that speaks against the listed names alone, not against plain elements that they are in or hold.
     """
-    items = tokens(page)
-    mark = next((f"<{x}>" for x in LANDMARKS if any(f"<{x}>" in names for kind, _, names in items if kind == "open")), "")
+    page = parse(text)
     out: Counter = Counter()
-    if not mark:
+    if not page.mark:
         return out
-    for (kind, value, _), names in zip(items, around(items)):
-        bad = {n for n in names if n.strip("<>") in AGAINST}
-        inside = mark in names and not bad
-        if kind == "text":
-            n = len(value.split())
-            for name in (bad or names) | {x for x in names if x[0] == "!"} if n else ():
-                out["word", name, inside] += n
-        elif not bad or value in AGAINST:
-            out["tag", value, inside] += 1
+    n = len(page.parents)
+    listed = [frozenset(x for x in own if x.strip("<>") in AGAINST) for own in page.names]
+    bad = [False] * n
+    for i in range(1, n):
+        bad[i] = bad[page.parents[i]] or bool(listed[i])
+    yes = [w if page.inside[i] and not bad[i] else 0 for i, w in enumerate(page.words)]
+    no = [w if not page.inside[i] and not bad[i] else 0 for i, w in enumerate(page.words)]
+    out["word", f"!{page.mark}", False] = sum(w for i, w in enumerate(page.words) if not page.inside[i])
+    for i in range(n - 1, 0, -1):
+        yes[page.parents[i]] += yes[i]
+        no[page.parents[i]] += no[i]
+    # A name counts a word once, for the outermost element that bears it.
+    open_: list[tuple[int, list[str]]] = []
+    names: set[str] = set()
+    for i in range(1, n):
+        while open_ and open_[-1][0] != page.parents[i]:
+            names.difference_update(open_.pop()[1])
+        new = [x for x in (listed[i] if bad[i] else page.names[i]) if x not in names]
+        names.update(new)
+        open_.append((i, new))
+        for x in new:
+            if bad[i]:
+                out["word", x, False] += page.total[i]
+            else:
+                out["word", x, True] += yes[i]
+                out["word", x, False] += no[i]
+    for kind, value, at in page.items:
+        if kind != "text" and (not bad[at] or value in AGAINST):
+            out["tag", value, page.inside[at] and not bad[at]] += 1
     return out
 
 
@@ -248,8 +336,7 @@ def learn(pages: DataFrame, *, most: int = 2_000) -> Weights:
 
 
 def weigh(counts: dict[tuple[str, str, bool], float]) -> Weights:
-    from math import log
-
+    """Log-odds of all counted names; listed ones have a prior against them."""
     out = Weights()
     for kind, into in (("word", out.words), ("tag", out.tags)):
         names = {n for k, n, _ in counts if k == kind}
@@ -269,7 +356,8 @@ def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
 
     Null or empty html gives an empty text. Character references are decoded, white space
     within a block is one space, blocks are joined by one newline. Rows that repeat a
-    page_id each give a row; further columns are not read; an empty table gives no rows.
+    page_id each give a row; very long or ill-formed pages are read whole, in linear time;
+    further columns are not read; an empty table gives no rows.
     """
     known = weights if weights is not None else learn(pages)
 
