@@ -29,14 +29,55 @@ def test_segments_are_all_maximal():
     rng = random.Random(1)
     for _ in range(300):
         n = rng.randint(1, 25)
-        scores = [rng.choice([1.3, 2.1, 0.7]) * (1 + rng.random()) if rng.random() < 0.35 else -0.9 for _ in range(n)]
-        up = np.array([i for i, s in enumerate(scores) if s > 0], int)
-        got = toxicity.segments(up, np.array(scores)[up], 0.9)
+        scores = [rng.choice([1.3, 2.1, 0.7]) * (1 + rng.random()) if rng.random() < 0.35 else -0.9 * rng.random() for _ in range(n)]
+        got = toxicity.segments(np.array(scores))
         want = brute_segments(scores)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([x for _, _, x in got], [x for _, _, x in want])
 
 
+def test_segments_in_linear_time():
+    import time
+
+    for scores in (np.tile([1.0, -3.0], 200_000), np.tile([3.0, -1.0], 200_000), np.tile([1.0, -1.5, 2.0, -2.0], 100_000)):
+        began = time.process_time()
+        toxicity.segments(scores)
+        assert time.process_time() - began < 3
+
+
+def test_log_odds_against_the_definition():
+    """Signed odds of the classes' smoothed distributions, each word's prior dealt out by its prefix."""
+    own = np.array([11, 12, 13], np.uint64), np.array([21, 22, 23, 24, 25], np.uint64)
+    parent = np.zeros(3, np.uint64), np.array([11, 11, 12, 13, 99], np.uint64)
+    c1, c0 = (np.array([5.0, 0.0, 1.0]), np.array([9.0, 0.0, 0.0, 0.0, 3.0])), (np.array([1.0, 40.0, 6.0]), np.array([0.0, 2.0, 30.0, 0.0, 0.0]))
+    base, prior = 1 / 7, 4.0
+    keys, odds = toxicity.log_odds([(own[k], parent[k], c1[k], c0[k]) for k in (0, 1)], base, prior)
+    got = dict(zip(keys.tolist(), odds.tolist()))
+    assert keys.tolist() == sorted(keys.tolist())
+
+    def smoothed(one, other, p):
+        return np.log((one + prior * p) / base) - np.log((other + prior * (1 - p)) / (1 - base)), (one + prior * p) / (one + other + prior)
+
+    prefix = {k: smoothed(a, b, base) for k, a, b in zip(own[0].tolist(), c1[0], c0[0])}
+    for k, p, a, b in zip(own[1].tolist(), parent[1].tolist(), c1[1], c0[1]):
+        want = smoothed(a, b, prefix[p][1] if p in prefix and p in got else base)[0]
+        if k in got:
+            assert got[k] == pytest.approx(want)
+        else:
+            assert abs(want - (prefix[p][0] if p in got else 0)) < toxicity.SAME + 1e-9
+    assert got[21] > 2 and got[23] < -1 and 24 not in got and got[12] < 0 < got[11]
+
+
+def test_extreme_value_law():
+    """From segments with an exponential tail of known rate, the law of how many score high."""
+    rng = np.random.default_rng(3)
+    scores = rng.exponential(1 / 0.8, 50_000)
+    lam, k = toxicity.extreme_value_law(scores, 1_000_000)
+    assert lam == pytest.approx(0.8, rel=0.05)
+    for x in (4.0, 6.0, 8.0):
+        assert k * 1_000_000 * np.exp(-lam * x) == pytest.approx((scores >= x).sum(), rel=0.25)
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     rows, labels = labelled_rows(900)
@@ -55,6 +96,8 @@ def test_toxicity(spark, data, edge, empty):
     scored = toxicity.score(edge, model).collect()
     assert len(scored) == 16 and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.score(empty, model).collect() == []
+    by_words = {r.n_words: r.score for r in scored}
+    assert by_words[0] < 0.5
     clean = toxicity.without_toxic(edge, model)
     assert clean.columns == edge.columns and clean.count() == 16
     found = [r for r in toxicity.score(docs, model).collect() if r.passages]

@@ -13,15 +13,21 @@ def remainder() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, store: Store) -> DataFrame:
-    """(doc_id, text, label) of labelled documents that aren't held out (remainder 0), about ``most`` at most.
-
-    The bound holds through a hash of doc_id, taken on the labels alone; what is left
-    of them is small enough to broadcast, and their whole texts are kept in a table.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, store: Store, most_bytes: int = 64_000_000) -> DataFrame:
+    """(doc_id, text, label) of labelled documents that aren't held out (remainder 0), about ``most`` rows and ``most_bytes`` of text at most.
+
+    The bounds hold through a hash of doc_id, the first taken on the labels alone; what is
+    left of them is small enough to broadcast, and their whole texts are kept in a table.
+    Labels other than 0 and 1 and null ids are left out; of conflicting labels of an id the
+    larger counts; documents that repeat an id come each, null texts too. Further columns
+    are not read.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).where(remainder() != 0)
     share = min(1.0, most / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
+    known = known.where(place < int(share * 1_000_000))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return store.save(rows.join(F.broadcast(known), "doc_id"), f"labelled-{label}")
+    saved = store.save(rows.join(F.broadcast(known), "doc_id"), f"labelled-{label}")
+    size = saved.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return saved if size <= most_bytes else saved.where(place < int(share * 1_000_000 * most_bytes / size))

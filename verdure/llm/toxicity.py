@@ -1,15 +1,15 @@
 """Toxicity: token log-odds, maximum-scoring segments, extreme-value calibration.
 
-Each word has log-odds of coming from a toxic document, with a chain of Dirichlet
-priors: the whole corpus, then the word's prefixes of growing length, then the
-word. A linear scan over a document's tokens finds all maximal-scoring segments;
-their scores are turned to significance by the extreme-value law that scores of
-harmless documents follow, and a logistic calibration makes the sum a score.
+Each token has signed log-odds between the word distributions of toxic and other
+documents, with a chain of Dirichlet priors: the whole corpus, then the word's
+prefixes of growing length, then the word. A linear scan over a document's
+tokens finds all maximal-scoring segments of log-odds less a constant; their
+scores are turned to significance by the extreme-value law that scores of
+harmless documents follow, and a logistic calibration makes that a score.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +26,10 @@ U = np.uint64
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: -ln of the number of passages as good that a harmless text of the same length may have by chance.
 SIGNIFICANT = 2.3
+#: Words that a text counts as at least, and the evidence of a text without any segment.
+SHORT, NOTHING = 50, -6.0
+#: Log-odds nearer than this to those of the prefix behind are left to it.
+SAME = 0.05
 
 
 def levels(s: scan.Scan) -> list[np.ndarray]:
@@ -38,29 +42,23 @@ def levels(s: scan.Scan) -> list[np.ndarray]:
     return [*out, s.words ^ U(1)]
 
 
-def segments(where: np.ndarray, weight: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments of a token sequence, in linear time: first token, last, score.
-
-    ``where``: positions of the tokens with a positive weight; every other token costs ``drift``.
-    """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
-    total, last = 0.0, -1
-    for p, w in zip(where.tolist(), weight.tolist()):
-        total -= drift * (p - last - 1)
-        left, first = total, p
-        total += w
-        last, right = p, total
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                # A segment that starts no lower can't be extended by this one, nor by later ones that reach as far.
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                stack.append((first, p, left, right))
-                break
-            first, left = stack[j][0], stack[j][2]
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments of a sequence of signed scores, in linear time: first token, last, score."""
+    total = np.concatenate(([0.0], np.cumsum(scores)))
+    up = np.concatenate(([False], scores > 0, [False]))
+    first, last = np.flatnonzero(up[1:-1] & ~up[:-2]), np.flatnonzero(up[1:-1] & ~up[2:])
+    # first token, last, total before, total after, place of the nearest entry that starts lower
+    stack: list[tuple[int, int, float, float, int]] = []
+    for a, b, left, right in zip(first.tolist(), last.tolist(), total[first].tolist(), total[last + 1].tolist()):
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < right:
+            a, left, under = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in stack]
+            j = under
+        stack.append((a, b, left, right, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in stack]
 
 
 @dataclass
@@ -74,48 +72,61 @@ class Model:
     offset: float
 
     def weights(self, s: scan.Scan) -> np.ndarray:
-        """Log-odds of each token: those of the longest prefix, or the word, that is known."""
+        """Log-odds of each token: those of the word, or else of its longest known prefix; 0 if neither is known."""
         out = np.zeros(len(s.starts), np.float64)
         if not len(self.keys) or not len(out):
             return out
-        known = np.zeros(1 << 20, bool)
-        known[(self.keys >> U(44)).astype(np.int64)] = True
+        if not hasattr(self, "_known"):
+            self._known = np.zeros(1 << 22, bool)
+            self._known[(self.keys >> U(42)).astype(np.int64)] = True
         for h in levels(s):
-            may = np.flatnonzero(known[(h >> U(44)).astype(np.int64)])
+            may = np.flatnonzero(self._known[(h >> U(42)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.keys, h[may]), len(self.keys) - 1)
             hit = self.keys[at] == h[may]
             out[may[hit]] = self.odds[at[hit]]
         return out
 
+    def worth(self, scores: np.ndarray, words: int) -> np.ndarray:
+        """-ln of the number of segments that score as high in a harmless text of so many words."""
+        return self.lam * np.asarray(scores, np.float64) - np.log(self.k * max(words, SHORT))
+
+    def evidence(self, scores: np.ndarray, words: int) -> float:
+        """The significant segments' worth together, or else that of the best segment."""
+        worth = self.worth(scores, words)
+        return float(max(worth[worth >= SIGNIFICANT].sum() or NOTHING, worth.max(initial=NOTHING)))
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -40, 40)))
 
 
-def log_odds(keys: list[np.ndarray], toxic: list[np.ndarray], other: list[np.ndarray], base: float, prior: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds by key, level by level; keys[k] are (own, parent) hashes. Only those that differ from the base are kept."""
-    above = {0: base}
-    out_k, out_o = [], []
+def log_odds(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], base: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and signed log-odds; a level has (own, parent, toxic, other), parents are in the levels before.
+
+    ``prior`` pseudo-counts are dealt to the two classes as the parent's odds have it, so that
+    the odds are those of the classes' smoothed distributions: (c1 + prior * p) / N1 over
+    (c0 + prior * (1 - p)) / N0, ``base`` being N1's share. A key that says no more than
+    its parent is left out, but never one that has kept children to overrule.
+    """
+    known, share = np.zeros(0, U), np.zeros(0)
     base_odds = np.log(base / (1 - base))
-    for (own, parent), c1, c0 in zip(keys, toxic, other):
-        p0 = np.array([above.get(int(p), base) for p in parent])
+    out_k, out_o = [], []
+    for own, parent, c1, c0 in levels:
+        p0 = np.full(len(own), base)
+        if len(known) and len(own):
+            at = np.minimum(np.searchsorted(known, parent), len(known) - 1)
+            p0 = np.where(known[at] == parent, share[at], base)
         p = (c1 + prior * p0) / (c1 + c0 + prior)
-        here = {int(k): float(x) for k, x in zip(own, p)}
         odds = np.log(p / (1 - p)) - base_odds
-        n = c1 + c0
-        # Deviance from the base: 16 is four documents of four at a base of one in seven or less.
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = 2 * (np.where(c1 > 0, c1 * np.log(c1 / (n * base)), 0) + np.where(c0 > 0, c0 * np.log(c0 / (n * (1 - base))), 0))
-        sure = (c1 >= least) & (g >= 16) & (odds > 0.7)
-        plain = (n >= 20) & (odds <= 0.7)  # outweighs a toxic prefix
-        keep = sure | plain
-        out_k.append(own[keep])
-        out_o.append(np.where(sure, odds, -0.0)[keep])
-        above |= here
+        tell = np.abs(odds - (np.log(p0 / (1 - p0)) - base_odds)) >= SAME
+        # What is left out reads as its parent, and so do its own children.
+        p = np.where(tell, p, p0)
+        out_k.append(own[tell])
+        out_o.append(odds[tell])
+        known, first = np.unique(np.concatenate([own, known]), return_index=True)
+        share = np.concatenate([p, share])[first]
     k, o = np.concatenate(out_k), np.concatenate(out_o)
-    order = np.argsort(k, kind="stable")
-    k, o = k[order], o[order]
-    last = np.append(k[1:] != k[:-1], True) if len(k) else np.zeros(0, bool)
-    return k[last], o[last]
+    k, first = np.unique(k, return_index=True)
+    return k, o[first]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +152,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["key", "prefixes", "toxic", "other"])
 
 
-def _tables(learn: DataFrame, least: int) -> DataFrame:
+def _tables(learn: DataFrame) -> DataFrame:
     """(level, key, parent, toxic, other) of words by documents, and of prefixes by the words under them.
 
     A prefix counts each word once, shared between the classes as that word's documents
@@ -154,47 +165,48 @@ def _tables(learn: DataFrame, least: int) -> DataFrame:
     by_prefix = under.select("level", "key", parent.alias("parent"), "share").groupBy("level", "key", "parent").agg(F.sum("share").alias("toxic"), F.sum(1 - F.col("share")).alias("other"))
     last = F.aggregate("prefixes", F.lit(0).cast("long"), lambda a, x: F.when(x != 0, x).otherwise(a))
     by_word = words.select(F.lit(len(PREFIXES)).alias("level"), "key", last.alias("parent"), F.col("toxic").cast("double"), F.col("other").cast("double"))
-    return by_prefix.union(by_word).where(f"toxic >= {least} or (toxic + other >= 20 and toxic > 0)")
+    return by_prefix.union(by_word)
 
 
-def read(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
-    """Words, best segment's score, summed significance and significant passages of each document."""
+def _scanned(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[scan.Scan, list[list[tuple[int, int, float]]]]:
+    """Words and segments of each document. As in the counts, a word speaks for toxicity once in a document."""
     s = scan.Scan(raw, at, punct=True)
     w = model.weights(s)
     up = np.flatnonzero(w > 0)
-    n = len(at) - 1
-    evidence, best, spans = np.zeros(n), np.zeros(n), [[] for _ in range(n)]
-    for d in np.unique(np.searchsorted(s.first, up, side="right") - 1):
-        a, b = s.first[d], s.first[d + 1]
-        pos = up[np.searchsorted(up, a) : np.searchsorted(up, b)]
-        for i, j, x in segments(pos - a, w[pos], model.drift):
-            best[d] = max(best[d], x)
-            worth = model.lam * x - np.log(model.k * max(b - a, 1))
-            if worth >= SIGNIFICANT:
-                evidence[d] += worth
-                spans[d].append({"first_word": i, "last_word": j, "start_byte": int(s.starts[a + i] - at[d]), "end_byte": int(s.ends[a + j] - at[d]), "evidence": float(worth)})
-    return np.diff(s.first).astype(np.int64), best, evidence, spans
-
-
-def _evidence(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [c for c in batch.schema.names if c != "text"]
-            for lo, hi, raw, at in scan.blocks(batch.column("text")):
-                words, best, evidence, spans = read(model, raw, at)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(lo, hi - lo) for c in names], pa.array(words), pa.array(best), pa.array(evidence), pa.array(model.score(evidence)), pa.array(spans, _SPANS)],
-                    names=[*names, "n_words", "best", "evidence", "score", "passages"],
-                )
+    again = np.ones(len(up), bool)
+    again[np.unique(s.words[up] + scan.mix(s.document()[up].astype(U)), return_index=True)[1]] = False
+    w[up[again]] = 0.0
+    w -= model.drift
+    return s, [segments(w[a:b]) if b > a else [] for a, b in zip(s.first[:-1], s.first[1:])]
 
-    return run
+
+def read(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """Words, best segment's score, evidence and significant passages of each document."""
+    s, found = _scanned(model, raw, at)
+    n = np.diff(s.first).astype(np.int64)
+    evidence, best, spans = np.full(len(n), NOTHING), np.zeros(len(n)), [[] for _ in n]
+    for d, segs in enumerate(found):
+        if not segs:
+            continue
+        x = np.array([g[2] for g in segs])
+        best[d], evidence[d] = x.max(), model.evidence(x, int(n[d]))
+        worth, a = model.worth(x, int(n[d])), s.first[d]
+        for k in np.flatnonzero(worth >= SIGNIFICANT):
+            i, j, _ = segs[k]
+            spans[d].append({"first_word": i, "last_word": j, "start_byte": int(s.starts[a + i] - at[d]), "end_byte": int(s.ends[a + j] - at[d]), "evidence": float(worth[k])})
+    return n, best, evidence, spans
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` whose ``text`` scores below the threshold, with all their columns.
+
+    Null, empty and wordless texts score as texts without any segment. Rows that repeat
+    are judged each; texts are read whole; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(text: pa.Array) -> np.ndarray:
-        parts = [model.score(read(model, raw, at)[2]) < threshold for _, _, raw, at in scan.blocks(text)]
+        parts = [shared.value.score(read(shared.value, raw, at)[2]) < threshold for _, _, raw, at in scan.blocks(text)]
         return np.concatenate(parts) if parts else np.zeros(0, bool)
 
     return filter_text(docs, keep)
@@ -205,9 +217,8 @@ _ADDED = "n_words long, best double, evidence double, score double, passages arr
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset by Newton's method."""
-    scale = max(float(np.abs(x).max(initial=0)), 1.0)
-    z = np.stack([np.minimum(x, 60) / min(scale, 60), np.ones_like(x)], 1)
+    """Slope and offset by Newton's method; evidence beyond 60 counts as 60."""
+    z = np.stack([np.minimum(x, 60) / 10, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -215,7 +226,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / min(scale, 60)), float(w[1])
+    return float(w[0] / 10), float(w[1])
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +245,14 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=[*batch.schema.names, "near"])
 
 
-def _segments(model: Model):
-    """Words and all segments' scores of each document."""
+def _segments(shared):
+    """Label, words and all segments' scores of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, at in scan.blocks(batch.column("text")):
-                s = scan.Scan(raw, at, punct=True)
-                w = model.weights(s)
-                up = np.flatnonzero(w > 0)
-                scores = [[] for _ in range(hi - lo)]
-                for d in np.unique(np.searchsorted(s.first, up, side="right") - 1):
-                    pos = up[np.searchsorted(up, s.first[d]) : np.searchsorted(up, s.first[d + 1])]
-                    scores[d] = [x for _, _, x in segments(pos - s.first[d], w[pos], model.drift)]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(np.diff(s.first).astype(np.int64)), pa.array(scores, pa.list_(pa.float64()))], names=["label", "n_words", "scores"])
+                s, found = _scanned(shared.value, raw, at)
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(np.diff(s.first).astype(np.int64)), pa.array([[x for _, _, x in f] for f in found], pa.list_(pa.float64()))], names=["label", "n_words", "scores"])
 
     return run
 
@@ -262,49 +267,64 @@ def extreme_value_law(scores: np.ndarray, words: float) -> tuple[float, float]:
     s = np.sort(scores)[::-1]
     n = max(20, len(s) // 10)
     level = s[min(n, len(s) - 1)]
-    lam = float(np.clip(1 / max((s[:n] - level).mean(), 0.2), 0.1, 2.0))
+    lam = float(np.clip(1 / max((s[:n] - level).mean(), 0.2), 0.1, 5.0))
     return lam, float(np.clip(n * np.exp(lam * level) / max(words, 1), 1e-9, 1.0))
 
 
-def fit(labelled: DataFrame, *, prior: float = 4.0, least: int = 3, drift: float = 0.5) -> Model:
-    """Learns from ``labelled`` (doc_id, text, label 0/1), a bounded table.
+def fit(labelled: DataFrame, *, prior: float = 4.0, drift: float = 0.8) -> Model:
+    """Learns from ``labelled`` (doc_id, text, label 0/1), a bounded table, over whole texts.
 
     Of near copies one counts. Log-odds come from three fifths of the rest, the
-    extreme-value law and the calibration from the others. Null texts are empty. With
-    one class only, or no rows, every score is that class's share.
+    extreme-value law and the calibration from the others. ``drift`` is what a token of
+    neither class costs, so that harmless text scores below zero. Null texts are empty.
+    With one class only, or no rows, every score is that class's share.
     """
+    spark = labelled.sparkSession
     keyed = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
     keyed = keyed.mapInArrow(_distinct, "doc_id long, text string, label int, near long").dropDuplicates(["near", "label"])
     rows = keyed.withColumn("part", F.pmod(F.xxhash64("near", F.lit(6)), F.lit(5)))
     learn = rows.where("part > 1").select("label", "text")
     size = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    base = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-4), 1 - 1e-4)
-    # Every key that toxic documents hold often enough; their number is bounded with the rows.
-    kept = _tables(learn, least).toPandas()
-    by_level = [kept[kept.level == k] for k in range(len(PREFIXES) + 1)]
-    keys, odds = log_odds(
-        [(x.key.to_numpy(np.int64).view(U), x.parent.to_numpy(np.int64).view(U)) for x in by_level],
-        [x.toxic.to_numpy(np.float64) for x in by_level], [x.other.to_numpy(np.float64) for x in by_level], base, prior, least,
-    )
-    model = Model(keys, odds, drift, 1.0, 0.01, 0.0, float(np.log(base / (1 - base))))
-    held = rows.where("part <= 1").select("label", "text").mapInArrow(_segments(model), "label int, n_words long, scores array<double>").toPandas()
-    label, words = held.label.to_numpy(float), np.maximum(held.n_words.to_numpy(float), 1)
-    scores = [np.asarray(x, float) for x in held.scores]
+    # Keys and counts of the bounded rows' words.
+    table = _tables(learn).toArrow()
+    level, key, parent, toxic, other = (table.column(c).to_numpy() for c in ("level", "key", "parent", "toxic", "other"))
+    words = level == len(PREFIXES)
+    total = float(toxic[words].sum()), float(other[words].sum())
+    base = min(max((total[0] + 0.5) / (sum(total) + 1), 1e-4), 1 - 1e-4)
+    keys, odds = log_odds([(key[here].view(U), parent[here].view(U), toxic[here], other[here]) for here in (level == k for k in range(len(PREFIXES) + 1))], base, prior)
+    if not (n1 and n0):
+        keys, odds = keys[:0], odds[:0]
+    share = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-4), 1 - 1e-4)
+    model = Model(keys, odds, drift, 1.0, 0.01, 0.0, float(np.log(share / (1 - share))))
+    held = rows.where("part <= 1").select("label", "text").mapInArrow(_segments(spark.sparkContext.broadcast(model)), "label int, n_words long, scores array<double>").toArrow()
+    label, n_words = held.column("label").to_numpy().astype(float), held.column("n_words").to_numpy()
+    scores = [np.asarray(x.values) for x in held.column("scores")]
     calm = label == 0
-    model.lam, model.k = extreme_value_law(np.concatenate([np.zeros(0), *[x for x, c in zip(scores, calm) if c]]), float(words[calm].sum()))
+    model.lam, model.k = extreme_value_law(np.concatenate([np.zeros(0), *[x for x, c in zip(scores, calm) if c]]), float(np.maximum(n_words[calm], 1).sum()))
     if n1 and n0 and calm.any() and not calm.all():
-        worth = [model.lam * x - np.log(model.k * n) for x, n in zip(scores, words)]
-        model.slope, model.offset = _logistic(np.array([w[w >= SIGNIFICANT].sum() for w in worth]), label)
+        model.slope, model.offset = _logistic(np.array([model.evidence(x, int(n)) for x, n in zip(scores, n_words)]), label)
         model.slope = max(model.slope, 0.0)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, n_words, best, evidence, score and passages for every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_evidence(model), "doc_id long, " + _ADDED)
+    """``doc_id``, n_words, best, evidence, score and passages for every row of ``docs`` (doc_id, text).
 
+    Null, empty and wordless texts have no segment, best 0 and the score of that. Rows that
+    repeat a doc_id are scored each; a null doc_id is kept; texts are read whole; further
+    columns are not read; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def describe(model: Model) -> str:
-    return json.dumps({"keys": len(model.keys), "lambda": model.lam, "k": model.k, "slope": model.slope, "offset": model.offset})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, at in scan.blocks(batch.column(1)):
+                words, best, evidence, spans = read(shared.value, raw, at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(words), pa.array(best), pa.array(evidence), pa.array(shared.value.score(evidence)), pa.array(spans, _SPANS)],
+                    names=["doc_id", "n_words", "best", "evidence", "score", "passages"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + _ADDED)
