@@ -131,3 +131,40 @@ def test_features_average_each_family(spark):
     alone = [float(model.score(raw, at)[0]) for t in texts for _, _, raw, at in scan.blocks(pa.array([t]))]
     together = [float(x) for _, _, raw, at in scan.blocks(pa.array(texts)) for x in model.score(raw, at)]
     assert np.allclose(alone, together)
+
+
+def test_features_against_brute_force():
+    """Words, word bigrams and runs of 3 to 5 characters, counted one by one."""
+    import re
+    from collections import Counter
+
+    texts = ["ünï ünï cödé ☃ 字字字 ab", "", "aa aa aa", "x", "The the  end.\n字", "ab"]
+    ((_, _, raw, at),) = scan.blocks(pa.array(texts))
+    bag_of: dict[int, dict] = {}
+    for f, (bucket, offsets) in enumerate(quality.features(raw, at)):
+        for d, t in enumerate(texts):
+            w = re.findall(r"[^\x20\x09-\x0d]+", t)
+            want = [(("again",) if k and w[k - 1] == x else (w[k - 1] if k else None, x)) for k, x in enumerate(w)] if f == 0 else w if f == 1 else [t[k : k + f + 1] for k in range(len(t) - f)]
+            got = bucket[offsets[d] : offsets[d + 1]].tolist()
+            assert len(got) == len(want) and all(b >> quality.BUCKET_BITS == f for b in got)
+            for b, g in zip(got, want):
+                assert bag_of.setdefault(f, {}).setdefault(g, b) == b
+        assert len(set(bag_of[f].values())) == len(bag_of[f])
+    assert Counter(len(v) for v in bag_of.values())
+
+
+def test_bags_and_training_step():
+    """A packed document gives the features' shares back, and the model's score is the softmax of the averaged vectors."""
+    text = "one two two three ☃☃☃"
+    (b,) = quality._bags([pa.RecordBatch.from_pydict({"doc_id": [1], "label": pa.array([1], pa.int32()), "text": [text]})])
+    ids, share = quality.bag(b.column("n")[0].as_py(), b.column("ids")[0].as_buffer(), b.column("counts")[0].as_buffer())
+    ((_, _, raw, at),) = scan.blocks(pa.array([text]))
+    want = {}
+    for bucket, _ in quality.features(raw, at):
+        for x in bucket:
+            want[int(x)] = want.get(int(x), 0) + 1 / (quality.FAMILIES * len(bucket))
+    assert dict(zip(ids.tolist(), share.tolist())) == pytest.approx(want)
+    model = quality._train([(1, b.column("n")[0].as_py(), b.column("ids")[0].as_buffer(), b.column("counts")[0].as_buffer())], 4, 3, 0.3, 1)
+    total = sum(share[k] * float(model.weights[i]) for k, i in enumerate(ids)) + model.bias
+    assert float(model.score(raw, at)[0]) == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-5)
+    assert float(model.score(raw, at)[0]) > 0.5

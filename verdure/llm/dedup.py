@@ -35,7 +35,7 @@ ROUNDS = 4
 _SKETCH = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("key_a", T.LongType()), T.StructField("key_b", T.LongType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("text_hash", T.LongType()),
 ])
 
 
@@ -78,7 +78,7 @@ def _sketches(width: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(key_a), pa.array(key_b),
                     pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(values.reshape(-1))),
-                    scan.binary_rows(small.reshape(-1), np.arange(hi - lo + 1) * bands * rows),
+                    scan.binary_rows(small.reshape(-1), np.arange(hi - lo + 1) * bands * rows), batch.column(2).slice(lo, hi - lo),
                 ], names=_SKETCH.names)
 
     return run
@@ -183,11 +183,11 @@ def spread(placed: DataFrame, mixed: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, similarity: int = 80, bands: int = 32, rows: int = 5, pivots: int = 4,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * |A & B| >= similarity * |A | B| on their sets
     of ``width``-word shingles, lower-cased in A-Z. component_id is the smallest
-    doc_id reachable over links. The banding misses a link of similarity s with
+    doc_id reachable over links; text_hash is xxhash64 of the text. The banding misses a link of similarity s with
     probability (1 - s**rows)**bands: 3e-6 at 0.8, 7e-9 at 0.85.
 
     Null or wordless texts have an empty set, are linked with nothing and kept. A
@@ -201,7 +201,7 @@ def near_duplicates(
     store = Store(spark, "dedup")
     n_minima = bands * rows
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = store.save(text.mapInArrow(_sketches(width, bands, rows), _SKETCH), "sketches")
+    sketched = store.save(text.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches(width, bands, rows), _SKETCH), "sketches")
 
     # One representative, the smallest doc_id, of each class of equal sets.
     n_rows = sketched.count()
@@ -267,6 +267,29 @@ def near_duplicates(
     moved = classes.select("key_a", "key_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     moved = store.save(moved.select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("found")), "moved", n_rows)
     store.drop(*store.saved - {"sketches", "moved"})
-    out = sketched.select("doc_id", "n_shingles", "key_a", "key_b").join(moved, ["key_a", "key_b", "n_shingles"], "left")
+    out = sketched.select("doc_id", "n_shingles", "key_a", "key_b", "text_hash").join(moved, ["key_a", "key_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_hash")
+
+
+def without_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 80) -> DataFrame:
+    """One row of each group of near copies in ``docs`` (doc_id, text), with all its columns: one of the smallest doc_id.
+
+    Texts of one id are one document, as far as they come first in their classes of equal
+    texts. Where the smallest id repeats, a row of its smallest text_hash stays. Null and wordless texts are copies of nothing and stay, as do
+    rows with a null doc_id, whose texts are in no group. An empty table gives no rows.
+    """
+    found = near_duplicates(docs, width=width, similarity=similarity).where("doc_id is not null and n_shingles > 0")
+    found = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = Store(docs.sparkSession, "copies").save(found, "found")
+    only = found.where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("only"), F.count("*").alias("texts")).where("texts > 1")
+    gone = found.where("not kept").select("doc_id", "text_hash").union(found.where("kept").join(only, "doc_id").where("text_hash <> only").select("doc_id", "text_hash"))
+    # The rows' own columns stay in one, so that no name can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    kept = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    repeats = found.where("kept and n > 1").select("doc_id", "text_hash")
+    if not repeats.isEmpty():  # rows alike in id and text: one of them, picked by a partial aggregate
+        one = kept.join(repeats, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+        kept = kept.join(repeats, ["doc_id", "text_hash"], "left_anti").select("row").union(one.select("row"))
+    return kept.select("row.*")

@@ -35,17 +35,6 @@ Weights = dict[str, np.ndarray]
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, tails binary, seen binary"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Small numbers, byte plane by byte plane, compressed: they cross the network more than once."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: pa.Buffer, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-
-
 def _encode(docs_chunk: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for a partition: its documents as numbers of its own dictionary, and the dictionary."""
     ids, held, sizes, hashes, tails, chunk = [], [], [], [], [], None
@@ -79,7 +68,7 @@ def _encode(docs_chunk: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one = lambda x: pa.array([x], pa.binary())
     yield pa.RecordBatch.from_arrays([
         pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[bool(x) for x in held]], pa.list_(pa.bool_())), pa.array([n.tolist()], pa.list_(pa.int32())),
-        one(_pack(tokens)), one(words.tobytes()), one(np.concatenate(tails)[first].tobytes()), one(_pack(seen)),
+        one(scan.pack_numbers(tokens)), one(words.tobytes()), one(np.concatenate(tails)[first].tobytes()), one(scan.pack_numbers(seen)),
     ], names=[f.split()[0] for f in _CHUNK.split(", ")])
 
 
@@ -87,7 +76,7 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             words, tails = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("words", np.int64), ("tails", np.uint8)))
-            seen = _unpack(batch.column("seen")[i].as_buffer(), len(words)).astype(np.int64)
+            seen = scan.unpack_numbers(batch.column("seen")[i].as_buffer(), len(words)).astype(np.int64)
             chunk = batch.column("chunk")[i].as_py()
             for lo in range(0, len(words), 100_000):
                 part = slice(lo, lo + 100_000)
@@ -288,7 +277,7 @@ class Vocabulary:
 def _columns(batch: pa.RecordBatch, i: int) -> tuple:
     get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)
     sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
-    return np.array(batch.column("held")[i].as_py(), bool), sizes, _unpack(batch.column("tokens")[i].as_buffer(), int(sizes.sum())), get("words", np.uint64), get("tails", np.uint8)
+    return np.array(batch.column("held")[i].as_py(), bool), sizes, scan.unpack_numbers(batch.column("tokens")[i].as_buffer(), int(sizes.sum())), get("words", np.uint64), get("tails", np.uint8)
 
 
 def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1", *, rounds: int = 2, chunk_bytes: int = 16_000_000) -> DataFrame:

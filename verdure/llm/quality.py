@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings, averaged per document.
 
-Every word bigram and every run of 3 to 5 bytes of a text is hashed to a learned
-vector; a document is the average of its vectors, each family of n-grams weighing the same, and a softmax over two classes
-reads it. Training is stochastic gradient descent in numpy.
+Every word, every word bigram and every run of 3 to 5 characters of a text is hashed
+to a learned vector; a document is the average of its vectors, each family of n-grams
+weighing the same, and a softmax over two classes reads it. Training is stochastic
+gradient descent in numpy.
 """
 
 from __future__ import annotations
@@ -43,12 +44,15 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     pair = np.where(before == w, U(0x5EED), scan.mix(before * U(3) + w))
     yield _bucket(scan.mix(pair), 0), first
     yield _bucket(w, 1), first
-    size = np.diff(at)
+    # Where each character begins, in UTF-8, and the end of the last one.
+    chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    from_ = np.searchsorted(chars, at)
+    size = np.diff(from_)
     for k, n in enumerate(GRAMS):
         total = np.maximum(size - n + 1, 0)
         offsets = np.concatenate(([0], np.cumsum(total)))
-        start = np.arange(offsets[-1]) + np.repeat(at[:-1] - offsets[:-1], total)
-        yield _bucket(s.hashes(start, start + n), 2 + k), offsets
+        start = np.arange(offsets[-1]) + np.repeat(from_[:-1] - offsets[:-1], total)
+        yield _bucket(s.hashes(chars[start], chars[start + n]), 2 + k), offsets
 
 
 FAMILIES = 2 + len(GRAMS)
@@ -69,17 +73,26 @@ class Model:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features of each document and their share of it."""
+    """Distinct features of each document, as steps from one to the next, with their counts, both compressed."""
     for batch in batches:
         for i in range(batch.num_rows):
             for _, _, raw, at in scan.blocks(batch.column("text").slice(i, 1)):
-                parts = [np.unique(bucket, return_counts=True) + (len(bucket),) for bucket, _ in features(raw, at)]
-                ids = np.concatenate([p[0] for p in parts])
-                share = np.concatenate([p[1] / max(FAMILIES * p[2], 1) for p in parts]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], names=["doc_id", "label", "ids", "share"])
+                parts = [np.unique(bucket, return_counts=True) for bucket, _ in features(raw, at)]
+                ids, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([len(ids)], pa.int64()), pa.array([scan.pack_numbers(np.diff(ids, prepend=0))], pa.binary()), pa.array([scan.pack_numbers(counts)], pa.binary())],
+                    names=["doc_id", "label", "n", "ids", "counts"],
+                )
 
 
-def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int, rate: float, seed: int) -> Model:
+def bag(n: int, ids: pa.Buffer, counts: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of a document and their shares of it; each family of n-grams that it has weighs the same."""
+    i, c = np.cumsum(scan.unpack_numbers(ids, n).astype(np.int64)), scan.unpack_numbers(counts, n).astype(np.float64)
+    family = i >> BUCKET_BITS
+    return i, (c / (FAMILIES * np.maximum(np.bincount(family, c, FAMILIES), 1)[family])).astype(np.float32)
+
+
+def _train(rows: list[tuple[int, int, pa.Buffer, pa.Buffer]], dim: int, epochs: int, rate: float, seed: int) -> Model:
     """SGD on the softmax's log loss, with AdaGrad's step for each bucket; one document a step."""
     rng = np.random.default_rng(seed)
     size = FAMILIES << BUCKET_BITS
@@ -90,7 +103,8 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(rows)):
-            label, ids, share = rows[i]
+            label, *packed = rows[i]
+            ids, share = bag(*packed)
             v = vectors[ids]
             mean = share @ v
             logits = out @ mean + bias
@@ -107,17 +121,18 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int
 
 
 def fit(labelled: DataFrame, *, dim: int = 8, epochs: int = 5, rate: float = 0.3, seed: int = 1) -> Model:
-    """Learns from ``labelled`` (doc_id, text, label 0/1), a bounded table, over whole texts.
+    """Learns from ``labelled`` (doc_id, text, label 0/1), a table bounded in rows and bytes, over whole texts.
 
-    Features are counted in parallel; one task, which holds those of the bounded rows,
-    trains. Null texts are empty. Without rows every score is one half.
+    Features are counted in parallel; one task, which holds those of the bounded rows in
+    compressed form, trains. Null texts are empty. Without rows every score is one half.
     """
-    bags = labelled.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, ids binary, share binary")
+    bags = labelled.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, n long, ids binary, counts binary")
 
     def run(table: pa.Table) -> pa.Table:
         label = table.column("label").to_pylist()
-        rows = [(y, np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float32)) for y, i, s in zip(label, table.column("ids"), table.column("share"))]
-        model = _train([rows[i] for i in np.argsort(table.column("doc_id").to_numpy(), kind="stable")], dim, epochs, rate, seed)
+        n = table.column("n").to_numpy()
+        rows = [(y, int(k), i.as_buffer(), c.as_buffer()) for y, k, i, c in zip(label, n, table.column("ids"), table.column("counts"))]
+        model = _train([rows[i] for i in np.lexsort((n, table.column("doc_id").to_numpy()))], dim, epochs, rate, seed)
         return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
     trained = bags.withColumn("task", F.col("label") * 0).groupBy("task").applyInArrow(run, "weights binary, bias double").collect()
@@ -130,7 +145,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text): the probability of label 1.
 
     An empty or null text gets the score of the bias alone. Rows that repeat a doc_id
-    each get a score; further columns are not read.
+    each get a score; a null doc_id is kept; texts are read whole; further columns are
+    not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by the buckets
@@ -145,7 +161,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def of_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least the threshold, with all their columns."""
+    """The rows of ``docs`` whose ``text`` scores at least the threshold, with all their columns.
+
+    Null and empty texts have the score of the bias alone. Rows that repeat are judged
+    each; texts are read whole; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(text: pa.Array) -> np.ndarray:

@@ -20,12 +20,12 @@ from verdure.llm.store import Store, table
 
 #: Bound of the labelled rows that the toxicity model learns from.
 TOXICITY_ROWS = 24_000
-#: Bound of the labelled rows that the quality model learns from.
-QUALITY_ROWS = 4_000
+#: Bounds of the labelled rows, and of their bytes, that the quality model learns from.
+QUALITY_ROWS, QUALITY_BYTES = 4_000, 32_000_000
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=85).drop("text_hash")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, "quality")
-    model = quality.fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_ROWS, store))
+    model = quality.fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_ROWS, store, QUALITY_BYTES))
     store.drop("labelled-quality")
     scored = quality.score(docs, model).withColumn("held_out", remainder() == 0)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

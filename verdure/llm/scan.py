@@ -157,11 +157,6 @@ def distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h & U((1 << 54) - 1), at
 
 
-def reduce_min(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Minimum of each non-empty run; ``at`` must not have empty runs."""
-    return np.minimum.reduceat(values, at[:-1])
-
-
 def run_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of each run, empty ones included."""
     sums = np.zeros(len(values) + 1, np.float64)
@@ -174,3 +169,14 @@ def binary_rows(values: np.ndarray, at: np.ndarray) -> pa.Array:
     values = np.ascontiguousarray(values)
     offsets = (np.asarray(at, np.int64) * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.view(np.uint8).reshape(-1))])
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane, compressed: most are small."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_numbers(data: pa.Buffer, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
