@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 
 from verdure.llm import quality, toxicity
 from verdure.llm.decontam import without_contaminated
-from verdure.llm.dedup import near_duplicates
+from verdure.llm.dedup import without_near_duplicates
 from verdure.llm.labelled import training_rows
 from verdure.llm.packing import pack
-from verdure.llm.queries import QUALITY_ROWS, TOXICITY_ROWS
+from verdure.llm.queries import QUALITY_BYTES, QUALITY_ROWS, TOXICITY_ROWS
 from verdure.llm.store import Store, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 for toxicity."""
+    """Documents that score below 0.5 for toxicity.
+
+    Null, empty and wordless texts score as texts without any toxic passage, so they stay
+    where toxic documents are the fewer. Repeated rows are judged each; all columns of
+    ``docs`` are kept, whatever their names; an empty table gives no rows.
+    """
     store = Store(spark, "stage-toxicity")
     model = toxicity.fit(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", TOXICITY_ROWS, store))
     store.drop("labelled-toxic")
@@ -28,26 +33,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.3 for quality."""
+    """Documents that score at least 0.3 for quality.
+
+    Null and empty texts score as the model's bias alone, one half without labels. Repeated
+    rows are judged each; all columns of ``docs`` are kept, whatever their names; an empty
+    table gives no rows.
+    """
     store = Store(spark, "stage-quality")
-    model = quality.fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_ROWS, store))
+    model = quality.fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_ROWS, store, QUALITY_BYTES))
     store.drop("labelled-quality")
     return quality.of_quality(docs, model, 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8."""
-    groups = near_duplicates(docs, width=5, similarity=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, that of the smallest doc_id: five-word shingles, similarity 0.8.
+
+    Repeated rows are near copies too: one stays. Null, empty and wordless texts and rows
+    with a null doc_id stay; all columns of ``docs`` are kept, whatever their names; an
+    empty table gives no rows.
+    """
+    return without_near_duplicates(docs, width=5, similarity=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null, empty and wordless texts hold none. Repeated rows are judged each; all columns of
+    ``docs`` are kept, whatever their names; an empty table gives no rows.
+    """
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens.
+
+    A null or empty text is its end token alone. Repeated rows and null ids are packed
+    each; columns other than doc_id and text are not read; an empty table gives no rows.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
