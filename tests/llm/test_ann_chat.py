@@ -44,6 +44,46 @@ def test_recall_and_scores(spark):
         assert [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
 
 
+def test_recall_with_most_lists_left_out(spark, monkeypatch):
+    """20,000 rows in 200 lists: a good part of the lists is left out, and nine of ten neighbours are still found."""
+    from verdure.llm import ann
+
+    probed, real = [], ann.probes_for
+    monkeypatch.setattr(ann, "probes_for", lambda *a: probed.append((real(*a), len(a[1]))) or probed[-1][0])
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(60, 24))
+    x = centre[rng.integers(0, 60, 20_000)] + rng.normal(size=(20_000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 200 == 0).collect()
+    hits = 0
+    for q in range(0, 20_000, 200):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits / 1000 >= 0.9
+    assert probed[0][1] == 200 and probed[0][0] <= 100
+
+
+def test_probes_are_counted_on_true_neighbours():
+    import pyarrow as pa
+
+    from verdure.llm import ann
+
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(300, 5)), rng.normal(size=(12, 5))
+    run = ann.true_neighbours(x[:4], np.arange(4), c, 6)
+    batches = [pa.RecordBatch.from_pydict({"vec_id": pa.array(np.arange(lo, lo + 100)), "v": pa.array(x[lo : lo + 100].tolist())}) for lo in (0, 100, 200)]
+    (out,) = run(iter(batches))
+    for j in range(4):
+        d = ((x - x[j]) ** 2).sum(axis=1)
+        d[j] = np.inf
+        want = np.argsort(d)[:6]
+        here = out.column("judge").to_numpy() == j
+        assert np.allclose(np.sort(out.column("d").to_numpy()[here]), d[want])
+        assert sorted(out.column("list").to_numpy()[here]) == sorted(ann.lists_of(x[want], c))
+    assert (ann.lists_of(x, c) == ((x[:, None] - c) ** 2).sum(-1).argmin(1)).all()
+
+
 def test_ann_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [0.0, 2.0])]

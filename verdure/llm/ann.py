@@ -21,6 +21,8 @@ from verdure.llm.store import Store
 
 #: Vectors that one task holds at once.
 CHUNK = 4096
+#: Numbers of a block of distances.
+CELLS = 1 << 21
 
 
 def rotation(dim: int, seed: int = 1) -> np.ndarray:
@@ -28,30 +30,55 @@ def rotation(dim: int, seed: int = 1) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def lists_of(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, in blocks of bounded size."""
+    norms, step = (centroids * centroids).sum(1), max(1, CELLS // len(centroids))
+    return np.concatenate([np.argmin(norms - 2 * (x[lo : lo + step] @ centroids.T), axis=1) for lo in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     """Centroids of a bounded sample."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1)
+        near = lists_of(x, c)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
+        order = np.argsort(near, kind="stable")
         full = n > 0
-        c[full] = sums[full] / n[full, None]
+        sums = np.add.reduceat(x[order], np.concatenate(([0], np.cumsum(n)[:-1]))[full], axis=0)
+        c[full] = sums / n[full, None]
     return c
 
 
-def probes_for(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
-    """Lists to probe so that this share of the sample's neighbours, found by brute force, lies in them."""
-    q = x[np.random.default_rng(2).permutation(len(x))[:queries]]
-    norms = (centroids * centroids).sum(1)
-    at = np.argmin(norms - 2 * (x @ centroids.T), axis=1)
-    order = np.argsort(np.argsort(norms - 2 * (q @ centroids.T), axis=1), axis=1)
-    d = (x * x).sum(1) - 2 * (q @ x.T)
-    near = np.argsort(d, axis=1)[:, 1 : k + 1]
-    ranks = np.take_along_axis(order, at[near], axis=1)
-    return int(np.quantile(ranks, recall)) + 1 if ranks.size else 1
+def true_neighbours(judges: np.ndarray, own: np.ndarray, centroids: np.ndarray, k: int):
+    """For each partition its k nearest rows to each judge: the judge's number, the distance, and the list of the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q2, step = (judges * judges).sum(1), max(1, CELLS // len(judges))
+        best = np.full((len(judges), k), np.inf)
+        held = np.zeros((len(judges), k, judges.shape[1]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                m, ids = _matrix(part.column("v")), part.column("vec_id").to_numpy()
+                d = np.maximum(q2[:, None] + (m * m).sum(1) - 2 * (judges @ m.T), 0)
+                d[own[:, None] == ids] = np.inf
+                both = np.concatenate([best, d], axis=1)
+                near = np.argpartition(both, k - 1, axis=1)[:, :k]
+                old = np.take_along_axis(held, np.minimum(near, k - 1)[:, :, None], axis=1)
+                held = np.where((near < k)[:, :, None], old, m[np.maximum(near - k, 0)])
+                best = np.take_along_axis(both, near, axis=1)
+        q, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best[q, at]), pa.array(lists_of(held[q, at], centroids), pa.int64())], names=["judge", "d", "list"])
+
+    return run
+
+
+def probes_for(judges: np.ndarray, centroids: np.ndarray, judge: np.ndarray, lists: np.ndarray, recall: float) -> int:
+    """Lists to probe so that this share of the judges' true neighbours, found by brute force, lies in them."""
+    order = np.argsort(np.argsort((centroids * centroids).sum(1) - 2 * (judges @ centroids.T), axis=1, kind="stable"), axis=1)
+    ranks = order[judge, lists]
+    return int(np.quantile(ranks, recall, method="higher")) + 1 if ranks.size else 1
 
 
 def scan_lists(queries: np.ndarray, probed: list[np.ndarray], vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, own: np.ndarray, k: int, turn: np.ndarray, width: int = 16, z: float = 3.0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -94,16 +121,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, query: Column, *, k: int = 10, sample: int = 20_000, list_rows: int = 100, most_lists: int = 4096, recall: float = 0.975,
+    vectors: DataFrame, query: Column, *, k: int = 10, sample: int = 20_000, list_rows: int = 100, most_lists: int = 4096, recall: float = 0.96, judges: int = 128,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row of ``vectors`` (vec_id, embedding) that ``query`` selects.
 
     The score is the Euclidean distance of the original vectors in double precision; ties
     go to the smaller vec_id; a query's own row is no candidate. Every valid row is
-    indexed; centroids are learned from at most about ``sample`` rows, and each query
-    probes as many lists as hold the share ``recall`` of the neighbours within that sample,
-    16 at least: a smaller table needs a larger share of its lists than the whole one does. Vectors that are null, empty, zero, of
-    another length than most or that hold null or non-finite components take no part, nor do
+    indexed; centroids are learned from at most about ``sample`` rows. Each query probes as
+    many lists as hold the share ``recall`` of the true neighbours, among all rows, of
+    ``judges`` rows of that sample. Vectors that are null, empty, zero, of another length than most or that hold null or non-finite components take no part, nor do
     rows with a null vec_id. Rows that repeat a vec_id are candidates each, but never of
     a query with that id. An empty table gives no rows; further columns are not read.
     """
@@ -119,20 +145,27 @@ def nearest(
     rows = rows.where(F.size("v") == dim)
     share = min(1.0, sample / n)
     h = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000))
-    learned = rows.where(h < int(share * 1_000_000)).select("vec_id", "v").toPandas().sort_values("vec_id")
-    x = np.array(learned.v.tolist(), np.float64).reshape(-1, dim)
-    x = np.unique(x, axis=0)  # a vector that is repeated very often is one point to learn from
+    learned = rows.where(h < int(share * 1_000_000)).select("vec_id", "v").toArrow()
+    x, ids = _matrix(learned.column("v")).reshape(-1, dim), learned.column("vec_id").to_numpy()
+    # A vector that is repeated very often is one point to learn from.
+    x, first = np.unique(x, axis=0, return_index=True)
+    ids = ids[first]
     if not len(x):
-        x = np.ones((1, dim))
+        x, ids = np.ones((1, dim)), np.full(1, -1)
     lists = int(min(most_lists, len(x), max(1, n // list_rows)))
     centroids = kmeans(x, lists)
-    probes = min(lists, max(16, probes_for(x, centroids, k, recall)))
+    some = np.random.default_rng(2).permutation(len(x))[:judges]
+    judged = Window.partitionBy("judge").orderBy("d", "list")
+    near = rows.select("vec_id", "v").mapInArrow(true_neighbours(x[some], ids[some], centroids, k), "judge long, d double, list long")
+    near = near.withColumn("r", F.row_number().over(judged)).where(F.col("r") <= k).select("judge", "list").toArrow()
+    probes = min(lists, probes_for(x[some], centroids, near.column("judge").to_numpy(), near.column("list").to_numpy(), recall))
     turn = rotation(dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            step = max(1, CELLS // lists)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 m = _matrix(part.column("v"))
                 d = (centroids * centroids).sum(1) - 2 * (m @ centroids.T)
                 near = np.argpartition(d, min(probes, lists) - 1, axis=1)[:, :probes]

@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash windows.
 
-Every benchmark item has a 64-bit SimHash of its weighted shingles. Windows of
-the item's number of words slide over each document; their SimHashes are looked
-up in an index over radius + 1 blocks of bits, one of which must agree for any
-fingerprint within the radius. Candidates are verified by exact weighted-shingle
-similarity. Only windows that share a shingle with an item are fingerprinted:
-others have similarity 0 to all of them.
+Every benchmark item has a 256-bit SimHash of its weighted shingles. Windows of
+the item's number of words slide over each document. A window's fingerprint is
+held against those of the items in blocks of 16 bits: within the radius, one
+block differs in so few bits that all others are ruled out without a look at the
+rest. What is left within the radius is verified by exact weighted-shingle
+similarity. A window is held only against items that it shares a shingle with:
+its similarity to all others is 0.
 """
 
 from __future__ import annotations
@@ -25,99 +26,90 @@ from verdure.llm.rows import filter_text
 U = np.uint64
 #: Items that are held at once; a larger benchmark is taken in blocks of so many.
 ITEMS = 20_000
+#: Bits of a fingerprint and of its blocks.
+BITS, BLOCK_BITS = 256, 16
+#: Shingles whose signs are summed at once.
+RUN = 4096
 _BITS = np.arange(64, dtype=U)
+_SALT = scan.randoms(BITS // 64, 23)
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    """(n, 64) of +1 and -1."""
-    return (((scan.mix(hashes)[:, None] >> _BITS) & U(1)).astype(np.int32) << 1) - 1
+    """(n, BITS) of +1 and -1."""
+    words = scan.mix(hashes[:, None] + _SALT)
+    return ((((words[:, :, None] >> _BITS) & U(1)).astype(np.int32) << 1) - 1).reshape(len(hashes), BITS)
 
 
 def pack_bits(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(U) << _BITS).sum(axis=1, dtype=U)
+    """(n, BITS / 64) words of the signs of (n, BITS) sums."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")
 
 
-def bit_blocks(radius: int) -> list[U]:
-    """Masks of radius + 1 disjoint blocks of the 64 bits."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [U(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(cuts, cuts[1:])]
+def apart(prints: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which fingerprints pass the block test, and all Hamming distances.
+
+    Of B blocks, one of a pair within ``radius`` differs in radius // B bits at most, so that
+    the test passes all pairs within the radius.
+    """
+    far = np.bitwise_count((prints ^ other).view("<u2"))
+    return (far <= radius // (BITS // BLOCK_BITS)).any(axis=1), far.sum(axis=1, dtype=np.int32)
+
+
+def plain(raw: np.ndarray) -> np.ndarray:
+    """The bytes with punctuation beyond ASCII blanked: U+00A0-00BF, U+2000-206F, U+3000-303F and full-width marks."""
+    lead = np.flatnonzero((raw == 0xC2) | (raw == 0xE2) | (raw == 0xE3) | (raw == 0xEF))
+    if not len(lead):
+        return raw
+    raw, x = raw.copy(), np.append(raw, np.zeros(2, np.uint8))
+    a, b, c = x[lead], x[lead + 1], x[lead + 2]
+    two = lead[(a == 0xC2) & (b >= 0xA0)]
+    wide = (a == 0xEF) & (((b == 0xBC) & (((c >= 0x81) & (c <= 0x8F)) | ((c >= 0x9A) & (c <= 0xA0)) | (c >= 0xBB))) | ((b == 0xBD) & (((c >= 0x9B) & (c <= 0xA5)) | (c == 0x80))))
+    three = lead[((a == 0xE2) & ((b == 0x80) | ((b == 0x81) & (c < 0xB0)))) | ((a == 0xE3) & (b == 0x80)) | wide]
+    for k in range(2):
+        raw[two + k] = 32
+    for k in range(3):
+        raw[three + k] = 32
+    return raw
 
 
 @dataclass
 class Item:
     item_id: int
-    n_words: int
     keys: np.ndarray
     counts: np.ndarray
     total: int
-    print: U
-
-
-@dataclass
-class Group:
-    """Items of one length: their shingles' keys with the items that hold them, and the block index."""
-
-    width: int
-    size: int
-    items: list[Item]
-    prints: np.ndarray
-    index: list[dict[int, np.ndarray]]
+    print: np.ndarray
 
 
 class Index:
-    """Items by length, and which shingle keys occur in any of them."""
+    """Items with their fingerprints, and which of them hold a shingle."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int):
-        self.radius, self.masks = radius, bit_blocks(radius)
-        grouped: dict[tuple[int, int], list[Item]] = {}
+        self.radius, self.items = radius, []
+        held: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             for _, _, raw, at in scan.blocks(pc.utf8_lower(pa.array([text or ""]))):
-                s = scan.Scan(raw, at, punct=True)
-                n = len(s.starts)
-                if not n:
+                s = scan.Scan(plain(raw), at, punct=True)
+                if not len(s.starts):
                     continue
-                w = min(width, n)
+                w = min(width, len(s.starts))
                 h = scan.shingle_sets(s, w)[0]
                 keys, counts = np.unique(h, return_counts=True)
-                grouped.setdefault((w, len(h)), []).append(Item(item_id, n, keys, counts, len(h), pack_bits((signs(keys) * counts[:, None]).sum(axis=0)[None, :])[0]))
-        self.groups: list[Group] = []
-        owners: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for (w, size), members in sorted(grouped.items()):
-            prints = np.array([x.print for x in members], U)
-            index = []
-            for mask in self.masks:
-                by: dict[int, list[int]] = {}
-                for i, p in enumerate(prints & mask):
-                    by.setdefault(int(p), []).append(i)
-                index.append({k: np.array(v) for k, v in by.items()})
-            owners.setdefault(w, []).append((np.unique(np.concatenate([x.keys for x in members])), len(self.groups)))
-            self.groups.append(Group(w, size, members, prints, index))
-        #: By width: sorted keys, and for each (key, group) pair the group.
+                held.setdefault(w, []).append((keys, len(self.items)))
+                self.items.append(Item(item_id, keys, counts, len(h), pack_bits((signs(keys) * counts[:, None]).sum(axis=0)[None, :])))
+        #: By shingle width: sorted keys, and for each key and item that holds it the item.
         self.keys = {}
-        for w, parts in owners.items():
+        for w, parts in held.items():
             keys = np.concatenate([k for k, _ in parts])
-            group = np.concatenate([np.full(len(k), g) for k, g in parts])
+            of = np.concatenate([np.full(len(k), i) for k, i in parts])
             order = np.argsort(keys, kind="stable")
-            self.keys[w] = (keys[order], group[order])
-
-    def candidates(self, group: Group, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, item of the group, Hamming distance) of all pairs within the radius, by the block index."""
-        met = np.zeros((len(prints), len(group.prints)), bool)
-        for mask, by in zip(self.masks, group.index):
-            values = prints & mask
-            for value in np.unique(values):
-                if (hit := by.get(int(value))) is not None:
-                    met[np.ix_(values == value, hit)] = True
-        w, i = np.nonzero(met)
-        far = np.bitwise_count(prints[w] ^ group.prints[i])
-        for k in np.flatnonzero(far <= self.radius):
-            yield int(w[k]), int(i[k]), int(far[k])
+            self.keys[w] = (keys[order], of[order])
 
     def search(self, raw: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, float, int, int, int, int, int]]:
         """(document, item_id, similarity, distance, first word, words, first byte, last byte + 1): the best window of each pair."""
-        s = scan.Scan(raw, at, punct=True)
+        s = scan.Scan(plain(raw), at, punct=True)
         best: dict[tuple[int, int], tuple] = {}
-        for w, (keys, of_group) in self.keys.items():
+        for w, (keys, of_item) in self.keys.items():
             h, offsets, _ = scan.shingle_sets(s, w)
             if not len(h):
                 continue
@@ -129,38 +121,48 @@ class Index:
             if not len(hits):
                 continue
             position = np.repeat(hits, n)
-            group_of = of_group[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            item_of = of_item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             document = np.searchsorted(offsets, position, side="right") - 1
-            for d, g in np.unique(np.stack([document, group_of], 1), axis=0):
-                group, a, b = self.groups[g], offsets[d], offsets[d + 1]
-                anchors = position[(document == d) & (group_of == g)] - a
-                m, size = b - a, min(group.size, b - a)
+            order = np.lexsort((position, item_of, document))
+            position, item_of, document = position[order], item_of[order], document[order]
+            pairs = np.flatnonzero(np.diff(document, prepend=-1) | np.diff(item_of, prepend=-1))
+            for p, q in zip(pairs, np.append(pairs[1:], len(position))):
+                d, item = int(document[p]), self.items[item_of[p]]
+                a, m = offsets[d], offsets[d + 1] - offsets[d]
+                size = min(item.total, m)
+                anchors = position[p:q] - a
                 # All windows that hold an anchor.
                 flag = np.zeros(m - size + 2, np.int64)
                 np.add.at(flag, np.maximum(anchors - size + 1, 0), 1)
                 np.add.at(flag, np.minimum(anchors, m - size) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(flag)[:-1] > 0)
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-                    first = run[0]
-                    shingles = h[a + first : a + run[-1] + size]
-                    sums = np.zeros((len(shingles) + 1, 64), np.int32)
-                    np.cumsum(signs(shingles), axis=0, out=sums[1:])
-                    prints = pack_bits(sums[run - first + size] - sums[run - first])
-                    for window, i, far in self.candidates(group, prints):
-                        item, start = group.items[i], int(run[window])
-                        got, counts = np.unique(shingles[start - first : start - first + size], return_counts=True)
-                        where = np.minimum(np.searchsorted(item.keys, got), len(item.keys) - 1)
-                        common = int(np.minimum(counts, item.counts[where])[item.keys[where] == got].sum())
-                        alike = common / (item.total + size - common)
-                        if alike >= similarity:
-                            words = min(size + w - 1, int(s.first[d + 1] - s.first[d]))
-                            first_word = int(s.first[d]) + start
-                            row = (alike, -far, -start, words, int(s.starts[first_word] - at[d]), int(s.ends[first_word + words - 1] - at[d]))
-                            key = (int(d), item.item_id)
-                            if key not in best or row > best[key]:
-                                best[key] = row
+                for start, far in self.near(item, h[a : a + m], starts, size):
+                    got, counts = np.unique(h[a + start : a + start + size], return_counts=True)
+                    where = np.minimum(np.searchsorted(item.keys, got), len(item.keys) - 1)
+                    common = int(np.minimum(counts, item.counts[where])[item.keys[where] == got].sum())
+                    alike = common / (item.total + size - common)
+                    if alike >= similarity:
+                        words = min(size + w - 1, int(s.first[d + 1] - s.first[d]))
+                        first_word = int(s.first[d]) + start
+                        row = (alike, -far, -start, words, int(s.starts[first_word] - at[d]), int(s.ends[first_word + words - 1] - at[d]))
+                        if (d, item.item_id) not in best or row > best[d, item.item_id]:
+                            best[d, item.item_id] = row
         return [(d, item, alike, -far, -start, words, x, y) for (d, item), (alike, far, start, words, x, y) in sorted(best.items())]
 
+    def near(self, item: Item, shingles: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+        """Windows whose fingerprints lie within the radius of the item's, and their distances; a bounded run at a time."""
+        lo = 0
+        while lo < len(starts):
+            hi = int(np.searchsorted(starts, starts[lo] + RUN))
+            first = starts[lo]
+            sums = np.zeros((int(starts[hi - 1] - first) + size + 1, BITS), np.int32)
+            np.cumsum(signs(shingles[first : starts[hi - 1] + size]), axis=0, out=sums[1:])
+            here = starts[lo:hi] - first
+            ok, far = apart(pack_bits(sums[here + size] - sums[here]), item.print, self.radius)
+            for k in np.flatnonzero(ok & (far <= self.radius)):
+                yield int(starts[lo + k]), int(far[k])
+            lo = hi
+
 
 _FOUND = "doc_id long, item_id long, similarity double, hamming int, first_word long, n_words long, first_byte long, end_byte long"
 
@@ -174,17 +176,18 @@ def _indexes(benchmark: DataFrame, width: int, radius: int) -> Iterator[Index]:
         yield Index(sorted((r.item_id, r.text) for r in part.collect()), width, radius)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 63) -> DataFrame:
     """The best window of each pair of a document and an item that it holds, over all ``docs`` (doc_id, text).
 
     Returns doc_id, item_id, similarity, hamming, first_word, n_words, first_byte, end_byte
     (bytes of the lower-cased text). A window has as many words as the item, or the whole
     text if that is shorter. The similarity is sum of minima over sum of maxima of the
     counts of ``width``-word shingles, in lower case and without punctuation; an item of
-    fewer words is one shingle. Fingerprints of windows of similarity 0.8 differ in 9.7 bits
-    on average, with a deviation of 2.9; those within ``radius`` are all found. Null
+    fewer words is one shingle. Fingerprints of windows of similarity 0.8 differ in 39 of 256
+    bits on average, with a deviation of 5.7; those within ``radius`` are all found. Null
     and wordless texts or items match nothing; rows that repeat a doc_id match each;
-    further columns are not read. A benchmark too large to hold is taken in blocks.
+    texts of any length are read whole; further columns are not read; an empty table gives
+    no rows. A benchmark too large to hold is taken in blocks.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], _FOUND)
@@ -204,8 +207,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, simil
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 63) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns.
+
+    Null and wordless texts hold none. Rows that repeat are judged each; an empty table
+    gives no rows.
+    """
     for index in _indexes(benchmark, width, radius):
 
         def keep(text: pa.Array, index: Index = index) -> np.ndarray:
