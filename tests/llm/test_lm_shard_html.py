@@ -64,6 +64,56 @@ def test_state_is_carried_to_the_end():
         assert got[d] == pytest.approx(total, rel=1e-3)
 
 
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(6)
+    p = {k: v.astype(np.float64) for k, v in network(4).items()}
+    h = rng.normal(size=(3, lm.HIDDEN)) * 0.3
+    read, want = rng.integers(0, lm.TOP + lm.TAILS, (5, 3)), rng.integers(0, lm.TOP + lm.TAILS, (5, 3))
+    want[0, 0], want[1, 1] = 5, lm.TOP + 3
+    g, _, loss = lm.gradients(p, h, read, want)
+    assert loss > 0
+    for k in p:
+        flat, grad = p[k].reshape(-1), g[k].reshape(-1)
+        busy = np.flatnonzero(np.abs(grad) > 1e-6)
+        for i in rng.choice(busy, min(8, len(busy)), replace=False):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = lm.gradients(p, h, read, want)[2]
+            flat[i] = old - 1e-5
+            down = lm.gradients(p, h, read, want)[2]
+            flat[i] = old
+            assert grad[i] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-9), k
+
+
+def test_the_whole_score_is_a_distribution():
+    """Over all known words, rare ones too, the end and one unknown word the probabilities add up to one."""
+    rng = np.random.default_rng(9)
+    n = 4000
+    words, tails = rng.integers(0, 2**63, n).astype(np.uint64), np.arange(n) % lm.TAILS
+    counts = np.sort(rng.integers(1, 400, n))[::-1].astype(np.int64)
+    mass = np.bincount(tails, counts + 0.5, lm.TAILS)
+    known = lm.Vocabulary.of(int(counts.sum()), n, words[: lm.TOP], tails[: lm.TOP], counts[: lm.TOP], mass)
+    every, c = np.append(words, np.uint64(12345)), np.append(counts, 0)
+    symbols = known.symbols(every, np.append(tails, 7), c)
+    assert symbols[-1] == lm.TOP and len(set(symbols[: lm.TOP].tolist())) == lm.TOP and (symbols[lm.TOP :] >= lm.TOP).all()
+    p = network(5)
+    h = np.repeat(np.random.default_rng(2).normal(size=(1, lm.HIDDEN)).astype(np.float32), n + 1, axis=0)
+    assert np.exp(lm.output(p, h, symbols).astype(float) + known.tail(symbols, c)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_averages_in_a_tree(spark, monkeypatch):
+    from verdure.llm.store import Store
+
+    monkeypatch.setattr(lm, "FAN", 3)
+    rng = np.random.default_rng(3)
+    w, n = rng.normal(size=(20, 4)).astype(np.float32), rng.integers(1, 50, 20).astype(float)
+    df = spark.createDataFrame([(i, float(n[i]), w[i].tobytes()) for i in range(20)], "chunk long, n double, w binary")
+    parts = lm.averaged(df, Store(spark, "t"), "w")
+    assert len(parts) <= 3
+    total, mean = lm._mean(parts)
+    assert total == n.sum() and np.allclose(mean, (w * n[:, None]).sum(0) / n.sum(), atol=1e-5)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(4)
     stream = np.tile(np.array([3, 70, 500, 12, 900, 33, 1030, 4]), 1500)
@@ -73,6 +123,13 @@ def test_training_lowers_the_loss():
     assert lm.likelihoods(lm.train(p, stream, 8), stream[:800], np.array([800]))[0] > before + 200
 
 
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(i, f"text {i % 7}", 5, 6, 7, 8, "x", True) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, size int, range int, shard int, text_crc32 string, held boolean")
+    assert shard(df, 4).select("slot").distinct().count() >= 12 and shard(df, 4).count() == 50
+    assert lm.score(df).count() == 50
+
+
 def test_shards(spark, edge, edge_rows, empty):
     rows = shard(edge, 4).collect()
     assert len(rows) == len(edge_rows) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
@@ -91,6 +148,31 @@ def test_shards_are_even_with_a_hot_group(spark):
         assert sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_splitters_against_a_sort(spark):
+    """Each boundary halves the sorted keys' cumulated bytes as near as its tolerance, or a row, allows."""
+    from pyspark.sql import functions as F
+
+    from verdure.llm.sharding import TOP, histogram, splitters
+
+    rng = np.random.default_rng(11)
+    key = np.concatenate([rng.integers(0, TOP, 3000), rng.integers(0, 1 << 40, 1500), np.full(500, TOP // 3)])
+    size = rng.integers(1, 2000, len(key))
+    df = spark.createDataFrame([(int(k), int(s)) for k, s in zip(key, size)], "key long, size long").repartition(5).cache()
+    order = np.argsort(key, kind="stable")
+    keys, below = key[order], np.cumsum(size[order])
+    probes = np.sort(rng.integers(0, TOP, 20))
+    got, rows = histogram(df, probes)
+    assert got[:-1].tolist() == [int(size[key < p].sum()) for p in probes] and rows[:-1].tolist() == [int((key < p).sum()) for p in probes]
+    cuts, before = splitters(df, 8, np.full(7, 0.001))
+    for k, cut in enumerate(cuts, 1):
+        target, under = below[-1] * k / 8, int(size[key < cut].sum())
+        assert before[k] == (key < cut).sum()
+        # No key is a better boundary by more than the tolerance, unless rows alike in key lie there.
+        best = min(abs(int(size[key < c].sum()) - target) for c in np.unique(keys))
+        assert abs(under - target) <= max(0.001 * below[-1], best) + 1e-6
+    df.unpersist()
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site name here</header>
 <nav><ul><li><a href="/x">menu one</a></li></ul></nav><!-- no --><div class="ad">Buy now and save</div>
 <article><h1>A &amp; B</h1><p><b>First  words<br>of&nbsp;it<p>Second &lt;one&gt;</p><div class="cookie notice">accept this</div><form><label>Mail</label><input></form>

@@ -30,6 +30,8 @@ END = U(0xE0D)
 WINDOW = 32
 #: Parts of a chunk that are read side by side in training, at most.
 WIDTH = 256
+#: Chunks' weights that are averaged at once.
+FAN = 32
 Weights = dict[str, np.ndarray]
 
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, tails binary, seen binary"
@@ -141,6 +143,65 @@ def output(p: Weights, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(p: Weights, h: np.ndarray, read: np.ndarray, want: np.ndarray) -> tuple[Weights, np.ndarray, float]:
+    """Gradient of the mean loss over a window, by backpropagation to its start; the state at its end; the loss.
+
+    ``read`` and ``want``: (steps, width) symbols that enter, and that are to be predicted.
+    """
+    steps, width = read.shape
+    caches, states = [], []
+    for k in range(steps):
+        h, cache = step(p, h, read[k])
+        caches.append(cache)
+        states.append(h)
+    hs, want = np.concatenate(states), want.reshape(-1)
+    scale, every = h.dtype.type(1 / len(want)), np.arange(len(want))
+    g = {k: np.zeros_like(x) for k, x in p.items()}
+    top = want < TOP
+    cls = np.where(top, want // WORDS, CLASSES + want - TOP)
+    d = _softmax(hs @ p["c"] + p["cb"])
+    loss = -float(np.log(np.maximum(d[every, cls], 1e-30)).sum())
+    d[every, cls] -= 1
+    d *= scale
+    g["c"], g["cb"] = hs.T @ d, d.sum(axis=0)
+    dh_all = d @ p["c"].T
+    here = np.flatnonzero(top)
+    order = here[np.argsort(cls[here], kind="stable")]
+    cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    for k in range(CLASSES):
+        rows = order[cut[k] : cut[k + 1]]
+        if len(rows):
+            e = _softmax(hs[rows] @ p["w"][k] + p["wb"][k])
+            at = np.arange(len(rows)), want[rows] % WORDS
+            loss -= float(np.log(np.maximum(e[at], 1e-30)).sum())
+            e[at] -= 1
+            e *= scale
+            g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(axis=0)
+            dh_all[rows] += e @ p["w"][k].T
+    dh_all = dh_all.reshape(steps, width, HIDDEN)
+    dh = np.zeros_like(h)
+    gates = np.empty((steps, width, 3 * HIDDEN), h.dtype)
+    u = p["u"]
+    for k in range(steps - 1, -1, -1):
+        h0, z, r, _, n = caches[k]
+        dh = dh + dh_all[k]
+        dn = dh * z * (1 - n * n)
+        dz = dh * (n - h0) * z * (1 - z)
+        drh = dn @ u[:, 2 * HIDDEN :].T
+        dr = drh * h0 * r * (1 - r)
+        gates[k] = np.concatenate([dz, dr, dn], axis=1)
+        dh = dh * (1 - z) + drh * r + gates[k][:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
+    flat = gates.reshape(-1, 3 * HIDDEN)
+    g["u"][:, : 2 * HIDDEN] = np.concatenate([c[0] for c in caches]).T @ flat[:, : 2 * HIDDEN]
+    g["u"][:, 2 * HIDDEN :] = np.concatenate([c[3] for c in caches]).T @ flat[:, 2 * HIDDEN :]
+    g["b"] = flat.sum(axis=0)
+    symbols = read.reshape(-1)
+    order = np.argsort(symbols, kind="stable")
+    names, first = np.unique(symbols[order], return_index=True)
+    g["x"][names] = np.add.reduceat(flat[order], first, axis=0)
+    return g, h, loss * scale
+
+
 def train(p: Weights, stream: np.ndarray, width: int, rate: float = 0.01) -> Weights:
     """Truncated backpropagation over ``stream`` cut into ``width`` parallel parts; Adam.
 
@@ -153,59 +214,11 @@ def train(p: Weights, stream: np.ndarray, width: int, rate: float = 0.01) -> Wei
     grid = stream[(np.arange(length + 1)[:, None] + np.arange(width) * length) % len(stream)]
     m, v2 = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     h = np.zeros((width, HIDDEN), np.float32)
-    t = 0
-    for lo in range(0, length, WINDOW):
-        steps = min(WINDOW, length - lo)
-        caches, states = [], []
-        for k in range(steps):
-            h, cache = step(p, h, grid[lo + k])
-            caches.append(cache)
-            states.append(h)
-        hs, want = np.concatenate(states), grid[lo + 1 : lo + steps + 1].reshape(-1)
-        scale = np.float32(1 / len(want))
-        g = {k: np.zeros_like(x) for k, x in p.items()}
-        top = want < TOP
-        cls = np.where(top, want // WORDS, CLASSES + want - TOP)
-        d = _softmax(hs @ p["c"] + p["cb"])
-        d[np.arange(len(d)), cls] -= 1
-        d *= scale
-        g["c"], g["cb"] = hs.T @ d, d.sum(axis=0)
-        dh_all = d @ p["c"].T
-        here = np.flatnonzero(top)
-        order = here[np.argsort(cls[here], kind="stable")]
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[cut[k] : cut[k + 1]]
-            if len(rows):
-                e = _softmax(hs[rows] @ p["w"][k] + p["wb"][k])
-                e[np.arange(len(rows)), want[rows] % WORDS] -= 1
-                e *= scale
-                g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(axis=0)
-                dh_all[rows] += e @ p["w"][k].T
-        dh_all = dh_all.reshape(steps, width, HIDDEN)
-        dh = np.zeros_like(h)
-        gates = np.empty((steps, width, 3 * HIDDEN), np.float32)
-        u = p["u"]
-        for k in range(steps - 1, -1, -1):
-            h0, z, r, rh, n = caches[k]
-            dh = dh + dh_all[k]
-            dn = dh * z * (1 - n * n)
-            dz = dh * (n - h0) * z * (1 - z)
-            drh = dn @ u[:, 2 * HIDDEN :].T
-            dr = drh * h0 * r * (1 - r)
-            gates[k] = np.concatenate([dz, dr, dn], axis=1)
-            dh = dh * (1 - z) + drh * r + gates[k][:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
-        flat = gates.reshape(-1, 3 * HIDDEN)
-        g["u"][:, : 2 * HIDDEN] = np.concatenate([c[0] for c in caches]).T @ flat[:, : 2 * HIDDEN]
-        g["u"][:, 2 * HIDDEN :] = np.concatenate([c[3] for c in caches]).T @ flat[:, 2 * HIDDEN :]
-        g["b"] = flat.sum(axis=0)
-        read = grid[lo : lo + steps].reshape(-1)
-        order = np.argsort(read, kind="stable")
-        names, first = np.unique(read[order], return_index=True)
-        g["x"][names] = np.add.reduceat(flat[order], first, axis=0)
+    for t, lo in enumerate(range(0, length, WINDOW), 1):
+        hi = min(lo + WINDOW, length)
+        g, h, _ = gradients(p, h, grid[lo:hi], grid[lo + 1 : hi + 1])
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        t += 1
         fix = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * min(1.0, t / 20)
         for k in p:
             x = g[k] * clip
@@ -263,6 +276,18 @@ class Vocabulary:
     counts: np.ndarray  # by symbol
     tail_mass: np.ndarray  # smoothed counts in each tail class; the unknown word is in the first
 
+    @classmethod
+    def of(cls, tokens: int, distinct: int, words: np.ndarray, tails: np.ndarray, counts: np.ndarray, mass: np.ndarray) -> Vocabulary:
+        """From the frequent words, by rank, with their tail classes and counts, and each tail class's smoothed counts of all its words."""
+        mass = mass - np.bincount(tails, counts + 0.5, TAILS)
+        mass[0] += 0.5
+        order = np.argsort(words)
+        return cls(tokens, distinct, words[order], order.astype(np.int64), counts.astype(np.float64), np.maximum(mass, 1e-9))
+
+    def tail(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each word within its tail class, by its count; 0 for a frequent word."""
+        return np.where(symbols >= TOP, np.log((counts + 0.5) / self.tail_mass[np.maximum(symbols - TOP, 0)]), 0.0)
+
     def symbols(self, words: np.ndarray, tails: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         out = TOP + tails.astype(np.int64)
         if counts is not None:
@@ -280,6 +305,32 @@ def _columns(batch: pa.RecordBatch, i: int) -> tuple:
     return np.array(batch.column("held")[i].as_py(), bool), sizes, scan.unpack_numbers(batch.column("tokens")[i].as_buffer(), int(sizes.sum())), get("words", np.uint64), get("tails", np.uint8)
 
 
+def _mean(parts: list[tuple[float, bytes]]) -> tuple[float, np.ndarray]:
+    """Tokens of all parts, and their weights' mean."""
+    n, total = 0.0, None
+    for tokens, w in parts:
+        x = np.frombuffer(w, np.float32).astype(np.float64) * tokens
+        n, total = n + tokens, x if total is None else total + x
+    return n, (total / n).astype(np.float32)
+
+
+def averaged(trained: DataFrame, store: Store, name: str) -> list[tuple[float, bytes]]:
+    """At most FAN partial means of the chunks' weights; no task, and not the driver, reads more than FAN of them at once."""
+
+    def mean(table: pa.Table) -> pa.Table:
+        n, w = _mean([(n, w.as_buffer()) for n, w in zip(table.column("n").to_pylist(), table.column("w"))])
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "n": pa.array([n]), "w": pa.array([w.tobytes()], pa.binary())})
+
+    level, width = 0, FAN
+    while trained.count() > FAN:
+        level += 1
+        trained = store.save(trained.groupBy(F.expr(f"chunk div {width}")).applyInArrow(mean, "chunk long, n double, w binary"), f"{name}-{level}")
+        width *= FAN
+    parts = [(r["n"], bytes(r["w"])) for r in sorted(trained.collect())]
+    store.drop(*[f"{name}-{k}" for k in range(1, level + 1)])
+    return parts
+
+
 def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1", *, rounds: int = 2, chunk_bytes: int = 16_000_000) -> DataFrame:
     """Log10-probabilities of every whole text of ``docs`` (doc_id, text); rows with ``held_out`` teach nothing.
 
@@ -289,9 +340,10 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
     Counts and the network cover all training documents: of every chunk of the corpus,
     each of ``rounds`` rounds trains on a part, and the parts make up the chunk.
 
-    A null or empty text is its end alone. Rows that repeat a doc_id are scored, and
-    counted, each; a null doc_id is scored and not counted. Without training rows every
-    word is unknown. An empty table gives no rows; further columns are not read.
+    A null or empty text is its end alone; texts of any length are read whole. Rows that
+    repeat a doc_id are scored, and counted, each; a null doc_id is scored, not counted, and
+    held out. Without training rows every word is unknown. An empty table gives no rows;
+    further columns are not read.
     """
     spark = docs.sparkSession
     store = Store(spark, "lm")
@@ -311,12 +363,7 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
     mass = np.zeros(TAILS)
     for r in counts.groupBy("tail").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
         mass[r["tail"]] = r["m"]
-    for r in top:
-        mass[r["tail"]] -= r["c"] + 0.5
-    mass[0] += 0.5
-    words = np.array([r["word"] for r in top], np.int64).view(U)
-    order = np.argsort(words)
-    known = Vocabulary(int(total), int(distinct), words[order], order.astype(np.int64), np.array([r["c"] for r in top], np.float64), np.maximum(mass, 1e-9))
+    known = Vocabulary.of(int(total), int(distinct), np.array([r["word"] for r in top], np.int64).view(U), np.array([r["tail"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64), mass)
 
     weights = start(known.counts, known.tail_mass)
     names = list(weights)
@@ -336,23 +383,12 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
                         continue
                     stream = symbols[np.concatenate([tokens[at[d] : at[d + 1]] for d in picked])]
                     new = train(p, stream, int(min(WIDTH, max(4, len(stream) // (100 * WINDOW)))))
-                    yield pa.RecordBatch.from_arrays([pa.array([float(len(stream))]), pa.array([b"".join(new[k].tobytes() for k in names)], pa.binary())], names=["n", "w"])
+                    yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([float(len(stream))]), pa.array([b"".join(new[k].tobytes() for k in names)], pa.binary())], names=["chunk", "n", "w"])
 
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, w = 0.0, None
-            for batch in batches:
-                for a, b in zip(batch.column("n").to_pylist(), batch.column("w")):
-                    x = np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) * a
-                    n, w = n + a, x if w is None else w + x
-            if w is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(w / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
-
-        trained = store.save(coded.select("chunk", "held", "sizes", "tokens", "words", "tails").mapInArrow(learn, "n double, w binary"), f"weights-{turn}")
-        # Averaged in two steps: by partition, then few sums on the driver.
-        parts = trained.coalesce(16).mapInArrow(average, "n double, w binary").collect()
+        trained = store.save(coded.select("chunk", "held", "sizes", "tokens", "words", "tails").mapInArrow(learn, "chunk long, n double, w binary"), f"weights-{turn}")
+        parts = averaged(trained, store, f"weights-{turn}")
         if parts:
-            n = sum(r["n"] for r in parts)
-            flat = sum(np.frombuffer(r["w"], np.float32).astype(np.float64) * (r["n"] / n) for r in parts).astype(np.float32)
+            flat = _mean(parts)[1]
             cut = np.cumsum([0, *[int(np.prod(shapes[k])) for k in names]])
             weights = {k: flat[a:b].reshape(shapes[k]) for k, a, b in zip(names, cut, cut[1:])}
         store.drop(f"weights-{turn}")
@@ -379,7 +415,7 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 base = np.log10((c + 0.5) / (known.tokens + 0.5 * (known.distinct + 1)))[tokens]
                 symbols = known.symbols(words, tails, c)
-                inner = np.where(symbols >= TOP, np.log((c + 0.5) / known.tail_mass[np.maximum(symbols - TOP, 0)]), 0.0)
+                inner = known.tail(symbols, c)
                 s = symbols[tokens]
                 net = likelihoods(weights, s, sizes) + scan.run_sums(inner[tokens], at)
                 yield pa.RecordBatch.from_arrays([
