@@ -109,6 +109,43 @@ def test_closed_set_splits_and_breaks_ties():
     assert decide.closed_set(prob * 0.5, family, ok) == []
 
 
+def test_closed_set_keeps_a_small_second_family():
+    prob, family = np.full((7, 7), 0.95), np.ones((7, 7), int)
+    family[:3, :3] = 2
+    found = decide.closed_set(prob, family, np.ones((7, 7), bool))
+    assert sorted((f, int(m.sum())) for m, f in found) == [(1, 40), (2, 9)]
+    family[:3, :3] = 0  # no family: no share, and no region of its own
+    assert [(f, int(m.sum())) for m, f in decide.closed_set(prob, family, np.ones((7, 7), bool))] == [(1, 49)]
+    prob[:, 3] = 0.1
+    assert [int(m.sum()) for m, _ in decide.closed_set(prob, np.ones((7, 7), int), np.ones((7, 7), bool), least=1)] == [49]
+    assert len(decide.closed_set(prob, np.ones((7, 7), int), np.ones((7, 7), bool), close=0, least=22)) == 0
+
+
+def test_open_set_floor_adds_pixels():
+    rng = np.random.default_rng(1)
+    distance, zero = rng.random((20, 20)), np.zeros((20, 20))
+    distance[5:9, 5:9] = 9.0
+    valid = np.ones((20, 20), bool)
+    meta = {"thresholds": {}, "floors": {}, "dino_threshold": 5.0}
+    found, z = decide.open_set(distance, zero, zero, zero, valid, meta)
+    assert [int(m.sum()) for m in found] == [16] and set(z) == {"dino", "color", "residual"}
+    assert decide.open_set(distance, zero, zero, zero, valid, meta, use_floor=False)[0] == []
+    seeded = {"thresholds": {"dino": 4.0}, "floors": {}, "dino_threshold": 99.0}
+    assert [int(m.sum()) for m in decide.open_set(distance, zero, zero, zero, valid, seeded)[0]] == [16]
+    valid[5:9, 5:7] = False
+    assert [int(m.sum()) for m in decide.open_set(distance, zero, zero, zero, valid, meta, close=0)[0]] == [8]
+
+
+def test_residual_needs_support_or_smallness():
+    zero = np.zeros((20, 20))
+    residual = np.random.default_rng(2).random((20, 20)) * 0.1
+    residual[2:8, 2:8] = 50.0
+    meta = {"thresholds": {"residual": 5.0}, "floors": {}, "dino_threshold": 9.0}
+    valid = np.ones((20, 20), bool)
+    assert len(decide.open_set(zero, zero, zero, residual, valid, meta, cap=36)[0]) == 1
+    assert decide.open_set(zero, zero, zero, residual, valid, meta, cap=35)[0] == []
+
+
 def test_robust_z_is_one_sided():
     v = np.array([1.0, 2, 3, 4, 100])
     z = decide.robust_z(v, np.ones(5, bool))

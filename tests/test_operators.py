@@ -57,7 +57,41 @@ def test_upsert_and_retract(spark):
     labels = spark.createDataFrame(rows, "crop string, family string")
     new = spark.createDataFrame([("region_46.png", "g")], labels.schema)
     assert sorted((r.crop, r.family) for r in state.upsert_labels(labels, new).collect()) == [("region_46.png", "g"), ("region_463.png", "f")]
-    assert [r.crop for r in state.retract_labels(labels, new).collect()] == ["region_463.png"]
+    assert sorted(r.crop for r in state.retract_labels(labels, new).collect()) == ["region_463.png", "region_46_1.png"]
+    negatives = spark.createDataFrame([("tile_3_hardneg_1.png", "rejected"), ("tile_3_hardneg_2.png", "rejected"), ("region_4_x0.png", "f"), ("region_4_x1.png", "f")], labels.schema)
+    gone = negatives.where("crop in ('tile_3_hardneg_1.png', 'region_4_x0.png')")
+    assert sorted(r.crop for r in state.retract_labels(negatives, gone).collect()) == ["region_4_x1.png", "tile_3_hardneg_2.png"]
+
+
+def test_dendrogram_against_a_replay(spark):
+    import numpy as np
+
+    v = np.random.default_rng(4).normal(size=(40, 3))
+    merges = cluster.linkage(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "point_id long, v array<double>")).cache()
+    node, want = list(range(40)), {}
+    for r in sorted(merges.collect()):
+        want[r.step + 40] = (node[r.i], node[r.j])
+        node[r.i] = r.step + 40
+    assert {r.id: (r.left, r.right) for r in cluster.dendrogram(merges, 40).collect()} == want
+
+
+def test_counted_median(spark):
+    import statistics
+
+    from verdure.operators import stats
+
+    rows = [("a", x) for x in (3.0, 1.0, 2.0, 2.0)] + [("b", 5.0), ("b", None), ("c", None), ("d", 1.0), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.m for r in stats.counted_median(df, ["k"], "v", "m").collect()}
+    assert got == {k: statistics.median([x for j, x in rows if j == k and x is not None]) for k in "abd"}
+    assert {r.k: r.med for r in stats.robust_scale(df, ["k"], "v").collect()} == {**got, "c": None}
+
+
+def test_totals_without_noise(spark):
+    rows = spark.createDataFrame([(1, -1, 4.0), (1, 0, 2.0), (1, 0, 3.0), (2, -1, 1.0)], "leaf int, label int, area double")
+    leaves = spark.createDataFrame([(1, 10), (2, 10), (3, 0)], "leaf int, leaf_px int")
+    got = {r.leaf: r for r in regions.wide_export(rows, leaves, [(0, "f")], noise=-1).collect()}
+    assert [(got[k].total_n, got[k].total_area, got[k].f_n, got[k].f_mean) for k in (1, 2, 3)] == [(2, 5.0, 2, 2.5), (0, 0.0, 0, None), (0, 0.0, 0, None)]
 
 
 def test_undo_log(spark):

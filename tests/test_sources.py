@@ -24,6 +24,54 @@ def test_sort_log(spark, tmp_path):
     assert sorted((r.source_path, r.status) for r in files.sort_state(spark, p).collect()) == [("/a,b/x.png", "bad"), ("/y.png", "good")]
 
 
+def test_logs_that_grow_file_by_file(spark, tmp_path):
+    import time
+
+    p = f"{tmp_path}/log"
+    for k, state in enumerate(("first", "second", "third")):
+        df = spark.createDataFrame([("a", 0, f"{state}{j}", 1, 1) for j in range(3)], "src string, n int, state string, w int, h int").repartition(3)
+        sinks.append_json(df, p, ["state"])
+        time.sleep(0.02)
+    assert [r.state for r in files.review_state(spark, p).collect()] == ["third2"]
+    for k, status in enumerate(("x", "y", "z")):
+        (tmp_path / "sort").mkdir(exist_ok=True)
+        (tmp_path / "sort" / f"{9 - k}.csv").write_text(f"source_path,status\n/a.png,{status}\n")
+        time.sleep(0.02)
+    assert [(r.source_path, r.status) for r in files.sort_state(spark, f"{tmp_path}/sort").collect()] == [("/a.png", "z")]
+
+
+def test_polygon_lines(spark, tmp_path):
+    (tmp_path / "im.txt").write_text("1 0.5 x 0.25 1 1 0 0.5\nx 0 0 1 0 1 1\n2 0 0 1 0 1\n3 0 0 1 0 1 1\n1.5 0 0 1 0 1 1\n")
+    sizes = spark.createDataFrame([("im", 100, 200)], "stem string, w int, h int")
+    got = sorted((r["class"], [(q.x, q.y) for q in r.ring]) for r in files.polygons(spark, str(tmp_path / "im.txt"), sizes).collect())
+    assert got == [(1, [(50.0, 50.0), (100.0, 200.0), (0.0, 100.0)]), (3, [(0.0, 0.0), (100.0, 0.0), (100.0, 200.0)])]
+
+
+def test_png_rows_against_the_definition():
+    rng = np.random.default_rng(3)
+    for kind in range(5):
+        line, above = rng.integers(0, 256, (9, 3)).astype(np.uint8), rng.integers(0, 256, (9, 3)).astype(np.uint8)
+        flat, up, want = line.ravel().astype(int), above.ravel().astype(int), np.zeros(27, int)
+        for i in range(27):
+            a, b, c = (want[i - 3] if i >= 3 else 0), up[i], (up[i - 3] if i >= 3 else 0)
+            p = [0, a, b, (a + b) // 2, min((a, b, c), key=lambda v: abs(v - (a + b - c)))][kind]
+            want[i] = (flat[i] + p) % 256
+        assert images._unfilter(line, kind, above).ravel().tolist() == want.tolist()
+
+
+def test_scan_outside_a_folder(spark, tmp_path):
+    for d in ("in", "in/out", "in/about/out", "in/output"):
+        (tmp_path / d).mkdir(parents=True, exist_ok=True)
+        (tmp_path / d / "a.png").write_bytes(b"x")
+    found = images.scan(spark, f"{tmp_path}/in", outside=f"file://{tmp_path}/in//out/")
+    assert sorted(r.path.split("/in/")[1] for r in found.select("path").collect()) == ["a.png", "about/out/a.png", "output/a.png"]
+    assert images.count(found).first().n == 3
+    for a, b in (("/x/in", "file:///x/in/out"), ("file:/x/in/", "/x//in"), ("/x/in/./out", "/x/in")):
+        with pytest.raises(ValueError):
+            images.check_apart(a, b)
+    images.check_apart("/x/in", "/x/inner")
+
+
 def test_meta_and_head(spark, tmp_path):
     p = write(tmp_path / "m.json", json.dumps({"threshold": 1.0, "ch_thresholds": {"dist": 2.0}, "scale_floors": {}, "dim": 3}))
     meta = files.detector_meta(spark, p)

@@ -24,36 +24,52 @@ def chroma(a: np.ndarray, b: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return np.where(valid, np.hypot(a - np.median(a[valid]), b - np.median(b[valid])), 0.0)
 
 
-def open_set(distance: np.ndarray, a: np.ndarray, b: np.ndarray, residual: np.ndarray, valid: np.ndarray, meta: dict, *, low: tuple = (0.4, 0.9, 0.6), cap: int = 100, close: int = 1, least: int = 3) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
-    """Novel regions: hysteresis on each channel's z, a scale gate on residual-only ones, and an absolute floor of the distance."""
-    z = {"dist": robust_z(distance, valid, meta["floors"].get("dist", 0.0)), "color": robust_z(chroma(a, b, valid), valid, meta["floors"].get("color", 0.0)), "residual": robust_z(residual, valid, meta["floors"].get("residual", 0.0))}
-    masks = {}
-    for (name, v), ratio in zip(z.items(), low):
+def open_set(distance: np.ndarray, a: np.ndarray, b: np.ndarray, residual: np.ndarray, valid: np.ndarray, meta: dict, *, low: tuple = (0.4, 0.9, 0.6), cap: int = 100, close: int = 1, least: int = 3, use_floor: bool = True) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    """Novel regions of a whole leaf, and the z of its channels.
+
+    Hysteresis on each channel's z; residual-only components must be small or touch the
+    others; pixels at or over the distance's absolute threshold are added; then a close.
+    ``meta``: thresholds and floors by channel (dino, color, residual), and dino_threshold.
+    A channel without a threshold has an empty mask.
+    """
+    values = {"dino": distance, "color": chroma(a, b, valid), "residual": residual}
+    z, masks = {}, {}
+    for (name, v), ratio in zip(values.items(), low):
+        z[name] = robust_z(v, valid, meta["floors"].get(name, 0.0))
         t = meta["thresholds"].get(name, float("inf"))
-        masks[name] = raster.hysteresis(v, t, ratio * t, valid) if np.isfinite(t) else np.zeros(valid.shape, bool)
-    support = masks["dist"] | masks["color"]
+        masks[name] = raster.hysteresis(z[name], t, ratio * t, valid) if np.isfinite(t) else np.zeros(valid.shape, bool)
+    support = masks["dino"] | masks["color"]
     mask = support | raster.scale_gate(masks["residual"], support, cap)
-    mask &= (distance >= meta.get("distance_floor", 0.0)) | masks["color"] | masks["residual"]
-    mask = raster.close(mask, close) & valid
+    if use_floor:
+        mask |= distance >= meta.get("dino_threshold", float("inf"))
+    mask = raster.close(mask & valid, close)
     labels, n = raster.label(mask)
     return [m for k in range(1, n + 1) if (m := labels == k).sum() >= least], z
 
 
-def closed_set(prob: np.ndarray, family: np.ndarray, valid: np.ndarray, *, tau: float = 0.85, grow: float = 0.7, per_family: dict[int, float] | None = None, least: int = 16, share: float = 0.15) -> list[tuple[np.ndarray, int]]:
-    """Regions with their family: blobs where two families or more hold a share are split, others take the majority, ties the lowest."""
-    mask = raster.family_hysteresis(prob, family, tau, per_family or {}, grow, least, valid)
-    labels, n = raster.label(mask)
+def closed_set(prob: np.ndarray, family: np.ndarray, valid: np.ndarray, *, tau: float = 0.85, grow: float = 0.7, per_family: dict[int, float] | None = None, component: int = 16, close: int = 1, least: int = 16, share: float = 0.15, part: int = 3) -> list[tuple[np.ndarray, int]]:
+    """Regions with their family.
+
+    Hysteresis with components of ``component`` pixels at least, a close, and blobs of
+    ``least`` pixels at least. A blob of which two families or more hold a ``share``, of
+    the pixels that have a family, is split into their components of ``part`` pixels at
+    least; any other takes its majority, ties the lowest. Family 0 is none.
+    """
+    mask = raster.family_hysteresis(prob, family, tau, per_family or {}, grow, component, np.ones(valid.shape, bool)) & valid
+    labels, n = raster.label(raster.close(mask, close))
     out = []
     for k in range(1, n + 1):
         blob = labels == k
-        names, counts = np.unique(family[blob], return_counts=True)
-        big = names[counts >= share * blob.sum()]
+        if blob.sum() < least:
+            continue
+        names, counts = np.unique(family[blob & (family != 0)], return_counts=True)
+        big = names[counts >= share * counts.sum()] if len(names) else names
         if len(big) < 2:
-            out.append((blob, int(names[np.argmax(counts)])))
+            out.append((blob, int(names[np.argmax(counts)]) if len(names) else 0))
             continue
         for f in big:
             parts, m = raster.label(blob & (family == f))
-            out += [(part, int(f)) for i in range(1, m + 1) if (part := parts == i).sum() >= least]
+            out += [(sub, int(f)) for i in range(1, m + 1) if (sub := parts == i).sum() >= part]
     return out
 
 

@@ -63,14 +63,15 @@ def wide_export(regions: DataFrame, leaves: DataFrame, families: list[tuple[obje
 
     regions (leaf, label, area), leaves (leaf, leaf_px, ...); ``families`` are (label, name) in column order.
     """
-    counted = regions.groupBy("leaf").pivot("label", [f for f, _ in families]).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
-    kept = regions if noise is None else regions.where(F.col("label") != noise)
-    totals = kept.groupBy("leaf").agg(F.count("*").alias("total_n"), F.sum("area").alias("total_area"))
-    out = leaves.join(counted, "leaf", "left").join(totals, "leaf", "left")
+    kept = F.lit(True) if noise is None else F.col("label") != noise
+    of = lambda f: F.col("label") == F.lit(f)
+    tallies = [x for k, (f, _) in enumerate(families) for x in (F.count_if(of(f)).alias(f"_{k}_n"), F.sum(F.when(of(f), F.col("area"))).alias(f"_{k}_area"))]
+    counted = regions.groupBy("leaf").agg(F.count_if(kept).alias("total_n"), F.sum(F.when(kept, F.col("area"))).alias("total_area"), *tallies)
+    out = leaves.join(counted, "leaf", "left")
     px = F.greatest(F.col("leaf_px"), F.lit(1))
     columns = [*[F.col(c) for c in leaves.columns], F.coalesce("total_n", F.lit(0)).alias("total_n"), F.coalesce("total_area", F.lit(0.0)).alias("total_area")]
-    for f, name in families:
-        n, area = F.coalesce(F.col(f"`{f}_n`"), F.lit(0)), F.coalesce(F.col(f"`{f}_area`"), F.lit(0.0))
+    for k, (_, name) in enumerate(families):
+        n, area = F.coalesce(F.col(f"_{k}_n"), F.lit(0)), F.coalesce(F.col(f"_{k}_area"), F.lit(0.0))
         columns += [n.alias(f"{name}_n"), area.alias(f"{name}_area"), F.try_divide(area, F.when(n > 0, n)).alias(f"{name}_mean"), (area * 100.0 / px).alias(f"{name}_pct")]
     return out.select(*columns)
 

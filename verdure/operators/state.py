@@ -25,9 +25,8 @@ def upsert_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def retract_labels(labels: DataFrame, crops: DataFrame) -> DataFrame:
-    """Removes a region's rows, tiles included."""
-    hit = crops.select(region_of(F.col("crop")).alias("_r")).distinct()
-    return labels.withColumn("_r", region_of(F.col("crop"))).join(hit, "_r", "left_anti").drop("_r")
+    """``labels`` without the rows of these very crops; other crops of the same region stay."""
+    return labels.join(crops.select("crop"), "crop", "left_anti").select(*labels.columns)
 
 
 def rename_family(labels: DataFrame, old: str, new: str) -> DataFrame:

@@ -11,11 +11,12 @@ SCALE = 1.4826
 def robust_scale(df: DataFrame, keys: list[str], value: str, floor: float = 0.0) -> DataFrame:
     """keys, med, mad, scale: the lower median deviation over values up to the median, the median itself included.
 
-    Null values take no part; a group without values has nulls. Two grouped passes.
+    Null values take no part; a group without values has nulls. Equal values are counted
+    before they are ordered, so that no aggregate holds a group's values.
     """
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"))
-    below = df.join(med, keys).where(F.col(value) <= F.col("med"))
-    mad = below.groupBy(*keys).agg(F.median(F.col("med") - F.col(value)).alias("mad"))
+    med = df.select(*keys).distinct().join(counted_median(df, keys, value, "med"), keys, "left")
+    below = df.join(med, keys).where(F.col(value) <= F.col("med")).select(*keys, (F.col("med") - F.col(value)).alias("_d"))
+    mad = counted_median(below, keys, "_d", "mad")
     return med.join(mad, keys, "left").withColumn("scale", F.greatest(F.col("mad") * SCALE, F.lit(float(floor))) + 1e-6)
 
 
@@ -35,6 +36,15 @@ def _at_rank(df: DataFrame, keys: list[str], value: str, rank, name: str) -> Dat
     return g.where((F.col("_k") < F.col("_hi")) & (F.col("_k") >= F.col("_hi") - F.col("_c"))).select(*keys, F.col(value).alias(name))
 
 
+def counted_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The mean of each group's two middle values, by counts of equal values."""
+    w = Window.partitionBy(*keys)
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    g = g.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda k: F.max(F.when((k < F.col("_hi")) & (k >= F.col("_hi") - F.col("_c")), F.col(value).cast("double")))
+    return g.groupBy(*keys).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias(name))
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
     """The value at index round(p / 100 * (n - 1)) of each group's sorted values."""
     return _at_rank(df, keys, value, lambda n: F.round(F.lit(percent / 100.0) * (n - 1)).cast("long"), "pct")

@@ -25,25 +25,32 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("crop", *[F.coalesce(c, F.lit("")).alias(c) for c in ("mask", "family", "source", "leaf_src")], F.coalesce("ts", F.lit(0)).alias("ts"))
 
 
+#: Order of a log's lines: files by the time of their last change, then splits, then lines within a split.
+PLACE = ["_time", "_file", "_split", "_line"]
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their place: one log, read whole so that order is known."""
-    lines = spark.read.text(path, wholetext=True)
-    return lines.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """Lines of a log, which may have grown file by file, with their place in it; no file is held whole."""
+    at = lambda c: F.col(f"_metadata.{c}")
+    return spark.read.text(path).select(F.col("value").alias("text"), at("file_modification_time").alias("_time"), at("file_path").alias("_file"), at("file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
 
 
 def review_state(spark: SparkSession, path: str) -> DataFrame:
     """The last state of each (src, n); rows that lack src, n or state are dropped; "none" cancels a mark."""
     row = F.from_json("text", REVIEW).alias("r")
-    rows = _numbered(spark, path).select("line", row).select("line", "r.*").where("src is not null and n is not null and state is not null")
+    rows = _numbered(spark, path).select(*PLACE, row).select(*PLACE, "r.*").where("src is not null and n is not null and state is not null")
     rows = rows.withColumn("w", F.coalesce("w", F.lit(0))).withColumn("h", F.coalesce("h", F.lit(0)))
-    return last_write_wins(rows, ["src", "n"], ["line"]).where("state <> 'none'").drop("line")
+    return last_write_wins(rows, ["src", "n"], PLACE).where("state <> 'none'").drop(*PLACE)
 
 
 def sort_state(spark: SparkSession, path: str) -> DataFrame:
-    """The last status of each path; a line is parted at its last comma, the header is skipped."""
+    """The last status of each path; a line is parted at its last comma, each file's header is skipped."""
     part = lambda k: F.trim(F.regexp_extract("text", "^(.*),([^,]*)$", k))
-    rows = _numbered(spark, path).where("line > 0 and text like '%,%'").select("line", part(1).alias("source_path"), part(2).alias("status"))
-    return last_write_wins(rows, ["source_path"], ["line"]).drop("line")
+    lines = _numbered(spark, path)
+    header = lines.groupBy("_file").agg(F.min(F.struct("_split", "_line")).alias("_h")).select("_file", "_h._split", "_h._line")
+    rows = lines.join(header, ["_file", "_split", "_line"], "left_anti").where("text like '%,%'")
+    rows = rows.select(*PLACE, part(1).alias("source_path"), part(2).alias("status")).where("source_path <> ''")
+    return last_write_wins(rows, ["source_path"], PLACE).drop(*PLACE)
 
 
 def detector_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -86,13 +93,25 @@ def bank_bytes(v: np.ndarray) -> bytes:
     return struct.pack("<II", *v.shape) + v.astype("<f4").tobytes()
 
 
-def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, class, ring) of polygon label files: a class, then x and y in turn; lines of under 3 points or odd counts are dropped."""
+def polygons(spark: SparkSession, path: str, sizes: DataFrame | None = None) -> DataFrame:
+    """(path, line, class, ring) of polygon label files: a class, then x and y in turn.
+
+    Words that aren't numbers are passed over; lines without a whole class, of under 3
+    points or of an odd count are dropped. With ``sizes`` (stem, w, h) of the images, the
+    coordinates, shares of the image, become pixels.
+    """
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     numbers = lines.select("path", "line", F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "").alias("words"))
-    v = F.transform("words", lambda x: x.try_cast("double"))
-    rows = numbers.select("path", "line", v.alias("v")).where("size(v) >= 7 and size(v) % 2 = 1 and forall(v, x -> x is not null)")
-    return rows.select("path", "line", F.get("v", F.lit(0)).cast("int").alias("class"), F.transform(F.sequence(F.lit(1), F.floor((F.size("v") - 1) / 2).cast("int")), lambda i: F.struct(F.get("v", (i * 2 - 1).cast("int")).alias("x"), F.get("v", (i * 2).cast("int")).alias("y"))).alias("ring"))
+    rest = F.filter(F.transform(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
+    first = F.get("words", F.lit(0))
+    rows = numbers.select("path", "line", F.when(first.rlike("^[0-9]+$"), first.try_cast("int")).alias("class"), rest.alias("v")).where("class is not null and size(v) >= 6 and size(v) % 2 = 0")
+    w, h = F.lit(1), F.lit(1)
+    if sizes is not None:
+        stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+        rows = rows.withColumn("stem", stem).join(sizes.select("stem", "w", "h"), "stem")
+        w, h = F.col("w"), F.col("h")
+    point = lambda i: F.struct((F.get("v", (i * 2).cast("int")) * w).alias("x"), (F.get("v", (i * 2 + 1).cast("int")) * h).alias("y"))
+    return rows.select("path", "line", "class", F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), point).alias("ring"))
 
 
 def export_map(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import struct
 import zlib
 
@@ -21,7 +23,23 @@ def scan(spark: SparkSession, folder: str, outside: str | None = None) -> DataFr
     """binaryFile rows of all images below a folder, of any case; not those below ``outside``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
-    return files if outside is None else files.where(~F.col("path").contains(outside.rstrip("/") + "/"))
+    return files if outside is None else files.where(~F.startswith(F.regexp_replace("path", _SCHEME, "/"), F.lit(_plain(outside) + "/")))
+
+
+#: A local path's scheme, in any of its forms.
+_SCHEME = "^file:/+"
+
+
+def _plain(path: str) -> str:
+    """A folder's path without a local scheme, repeated slashes, dots or a slash at its end."""
+    path = re.sub(_SCHEME, "/", path)
+    head, rest = (m[0], path[m.end() :]) if (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", path)) else ("", path)
+    return head + posixpath.normpath(rest).rstrip("/")
+
+
+def count(files: DataFrame) -> DataFrame:
+    """The number of files; contents aren't read."""
+    return files.select("path").agg(F.count("*").alias("n"))
 
 
 def listing(files: DataFrame) -> DataFrame:
@@ -33,7 +51,7 @@ def listing(files: DataFrame) -> DataFrame:
 
 def check_apart(source: str, out: str) -> None:
     """Refuses an output folder that is, holds or lies in the source."""
-    a, b = source.rstrip("/") + "/", out.rstrip("/") + "/"
+    a, b = _plain(source) + "/", _plain(out) + "/"
     if a.startswith(b) or b.startswith(a):
         raise ValueError(f"{out} and {source} must not lie in each other")
 
@@ -50,7 +68,7 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, body, palette, alpha, head = 8, b"", None, None, None
+    at, body, palette, alpha, head = 8, [], None, None, None
     while at < len(data):
         (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + n]
@@ -61,30 +79,17 @@ def _png(data: bytes) -> np.ndarray:
         elif kind == b"tRNS":
             alpha = np.frombuffer(part, np.uint8)
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
         at += 12 + n
     if head is None or head[2] != 8 or head[6]:
         raise ValueError("not an 8-bit, non-interlaced PNG")
     w, h, _, colour = head[:4]
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
-    out, above = np.zeros((h, w * n), np.uint8), np.zeros(w * n, np.int32)
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
+    out, above = np.zeros((h, w, n), np.uint8), np.zeros((w, n), np.uint8)
     for y in range(h):
-        line, kind = raw[y, 1:].astype(np.int32), raw[y, 0]
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind:
-            for i in range(w * n):
-                a, b, c = (line[i - n] if i >= n else 0), above[i], (above[i - n] if i >= n else 0)
-                if kind == 1:
-                    p = a
-                elif kind == 3:
-                    p = (a + b) // 2
-                else:
-                    p = min((a, b, c), key=lambda v, t=a + b - c: abs(t - v))
-                line[i] = (line[i] + p) & 255
-        out[y], above = line, line
-    px = out.reshape(h, w, n)
+        above = out[y] = _unfilter(raw[y, 1:].reshape(w, n), int(raw[y, 0]), above)
+    px = out
     if colour == 3:
         a = np.full(len(palette), 255, np.uint8)
         if alpha is not None:
@@ -94,6 +99,30 @@ def _png(data: bytes) -> np.ndarray:
     return np.concatenate([rgb, px[..., -1:] if n in (2, 4) else np.full((h, w, 1), 255, np.uint8)], axis=2)
 
 
+def _unfilter(line: np.ndarray, kind: int, above: np.ndarray) -> np.ndarray:
+    """A row of pixels (w, channels) from its filtered form; a running sum for kind 1, pixel by pixel for 3 and 4."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line, axis=0, dtype=np.uint8)
+    if kind == 2:
+        return line + above
+    out, up, x = np.empty_like(line), above.astype(np.int32), line.astype(np.int32)
+    left = np.zeros(line.shape[1], np.int32)
+    corner = left
+    for i in range(len(line)):
+        if kind == 3:
+            p = (left + up[i]) >> 1
+        else:
+            t = left + up[i] - corner
+            a, b, c = np.abs(t - left), np.abs(t - up[i]), np.abs(t - corner)
+            p = np.where((a <= b) & (a <= c), left, np.where(b <= c, up[i], corner))
+        left = (x[i] + p) & 255
+        corner = up[i]
+        out[i] = left
+    return out
+
+
 def encode(rgba: np.ndarray) -> bytes:
     """An 8-bit RGBA PNG."""
     h, w = rgba.shape[:2]

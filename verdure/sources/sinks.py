@@ -20,8 +20,10 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None, mode: st
     out.write.mode(mode).option("header", "true").option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_json(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Appends rows to a log, as one file, in their order if it is given; the readers take files by their time."""
+    one = df.coalesce(1)
+    (one.sortWithinPartitions(*order) if order else one).write.mode("append").json(path)
 
 
 def write_generation(df: DataFrame, path: str, number: int) -> str:
