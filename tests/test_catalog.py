@@ -7,9 +7,11 @@ import os
 import duckdb
 import pytest
 
-from verdure.plans import catalog
+from verdure.plans import catalog, pixels  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
+#: Queries without rows on the smallest tables.
+EMPTY = {"px_geometric_holes"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
     got = catalog.QUERIES[name](spark, DIR).toPandas()
-    assert len(got) > 0
+    assert len(got) > 0 or name in EMPTY
     if name in catalog.ORACLE_SQL:
         want = db.execute(catalog.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)

@@ -100,3 +100,21 @@ def merge_groups(members: DataFrame, component: str, region: str) -> DataFrame:
     """Union of the boxes of each group; the lowest id survives."""
     x1, y1 = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
     return members.groupBy(component).agg(F.min(region).alias("survivor"), F.min("x").alias("x"), F.min("y").alias("y"), (x1 - F.min("x")).alias("w"), (y1 - F.min("y")).alias("h"), F.sum("area").alias("area"), F.count("*").alias("parts"))
+
+
+def extract(labelled: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """Box, area and centroid of each region from its pixels (keys, x, y); regions under ``least`` pixels are dropped."""
+    x, y = F.col("x"), F.col("y")
+    found = labelled.groupBy(*keys).agg(F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x) - F.min(x) + 1).alias("w"), (F.max(y) - F.min(y) + 1).alias("h"), F.count("*").alias("area"), F.avg(x).alias("cx"), F.avg(y).alias("cy"))
+    return found.where(F.col("area") >= least)
+
+
+def worth_a_look(pixels: DataFrame, size: int, least: int) -> DataFrame:
+    """(leaf, tx, ty, n) of the tiles with enough valid pixels for a model to be run on them."""
+    n = F.count("*")
+    return pixels.groupBy("leaf", F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty")).agg(n.alias("n")).where(F.col("n") >= max(least, 1))
+
+
+def novel_gate(pixels: DataFrame, keys: list[str], z: str, threshold: float, factor: float = 1.5) -> DataFrame:
+    """Regions (keys, mean) whose pixels' mean z reaches a multiple of the channel's threshold."""
+    return pixels.groupBy(*keys).agg(F.avg(z).alias("mean")).where(F.col("mean") >= factor * threshold)
