@@ -180,3 +180,53 @@ def cross_entropy(p: Column, truth: Column, floor: float = 1e-7) -> Column:
 def entropy(p: Column, floor: float = 1e-7) -> Column:
     q = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p))
     return -(q * F.ln(q) + (1 - q) * F.ln(1 - q))
+
+
+def json_escape(x: Column) -> Column:
+    """Backslashes and quotes escaped."""
+    return F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def saturating_minus(a: Column, b: Column) -> Column:
+    """The difference, or 0 if it were below."""
+    return F.greatest(a - b, F.lit(0))
+
+
+def resized(w: Column, h: Column, percent: float | None = None, longest: int | None = None) -> tuple[Column, Column]:
+    """A size by a percentage, or with a given longest side; at least one pixel each way."""
+    k = F.lit(percent / 100.0) if percent is not None else F.lit(float(longest)) / F.greatest(w, h)
+    return tuple(F.greatest(F.floor(x * k + 0.5), F.lit(1)).cast("int") for x in (w, h))
+
+
+def polyline_distance(line: Column, x: Column, y: Column, closed: bool = False) -> Column:
+    """Least distance of a point to an array of structs with x and y, joined in order; of a polygon if closed."""
+    n = F.size(line)
+    last = n if closed else n - 1
+    part = lambda i: segment_distance(x, y, F.element_at(line, i)["x"], F.element_at(line, i)["y"], F.element_at(line, i % n + 1)["x"], F.element_at(line, i % n + 1)["y"])
+    return F.when(n == 1, F.hypot(x - F.element_at(line, 1)["x"], y - F.element_at(line, 1)["y"])).when(n > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), part)))
+
+
+def scatter(i: Column, n: Column, spread: float = 0.35) -> tuple[Column, Column]:
+    """Places of n items on a square grid, each jittered."""
+    side = F.ceil(F.sqrt(n))
+    jx, jy = jitter(i, spread)
+    return i % side + jx, F.floor(i / side) + jy
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text with so many decimals; null stays null."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x.cast("double")))
+
+
+def no_delete_loss(p: Column, present: Column) -> Column:
+    """An aggregate: how much of what is present a prediction takes away, on average."""
+    return F.avg(F.when(present, F.greatest(1 - p, F.lit(0.0))))
+
+
+def hole_loss(p: Column, hole: Column) -> Column:
+    """An aggregate: how far a prediction leaves holes open, on average."""
+    return F.avg(F.when(hole, 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))

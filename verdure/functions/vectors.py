@@ -52,3 +52,8 @@ def logit(v: Column, weights: Column, bias: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def count_bad(v: Column) -> Column:
+    """An aggregate: vectors with a component that isn't finite."""
+    return F.count_if(~finite(v))

@@ -572,3 +572,9 @@ def mean_pool(features: np.ndarray, mask: np.ndarray | None = None) -> np.ndarra
     """Mean of tokens (rows, columns, dim) on a mask; of all if none is."""
     on = features[mask] if mask is not None and mask.any() else features.reshape(-1, features.shape[-1])
     return on.mean(axis=0)
+
+
+def total_variation(v: np.ndarray) -> tuple[float, float]:
+    """Mean absolute difference of neighbours along rows, and along columns; 0 without neighbours."""
+    mean = lambda d: float(np.abs(d).mean()) if d.size else 0.0
+    return mean(np.diff(v, axis=1)), mean(np.diff(v, axis=0))

@@ -56,3 +56,53 @@ def false_positive_rate(df: DataFrame, fired: Column, valid: Column) -> DataFram
     """(fired, valid, rate); raises an error if nothing is valid."""
     n = F.count_if(valid)
     return df.agg(F.count_if(fired & valid).alias("fired"), n.alias("valid"), F.when(n == 0, F.raise_error(F.lit("no valid rows")).cast("double")).otherwise(F.count_if(fired & valid) / F.greatest(n, F.lit(1))).alias("rate"))
+
+
+def silhouette_counts(mask, values: dict, steps: int = 31, low: float = 0.20, step: float = 0.02) -> dict:
+    """Pixel counts of one sample's refined silhouette at each threshold.
+
+    ``values``: prob, visible and truth (0 or 1) on the canvas; for ``verdure.kernels.apply.map_masks``.
+    """
+    import numpy as np
+
+    from verdure.kernels import raster
+
+    truth, visible = values["truth"] > 0, values["visible"] > 0
+    rows = []
+    for k in range(steps):
+        tau = low + step * k
+        p = raster.refine_silhouette(values["prob"], visible, tau)
+        rows.append((k, tau, truth.sum(), (truth & ~visible).sum(), p.sum(), (p & ~visible).sum(), (p & truth).sum(), (p | truth).sum(), visible.sum()))
+    names = ("k", "tau", "whole", "lost", "found", "added", "both", "either", "seen")
+    return {n: np.array([r[i] for r in rows]) for i, n in enumerate(names)}
+
+
+SILHOUETTE = "k int, tau double, whole long, lost long, found long, added long, both long, either long, seen long"
+
+
+def silhouette_report(counts: DataFrame, head_area: Column | None = None) -> DataFrame:
+    """By threshold: lost-tissue error and bias, whole-area error, IoU, Dice, and the error of the area head, if there is one.
+
+    counts as from ``silhouette_counts``; samples without true area are skipped. ``head_area``
+    is the area regressor's estimate in pixels.
+    """
+    c = {n: F.col(n).cast("double") for n in ("whole", "lost", "found", "added", "both", "either", "seen")}
+    share = c["lost"] / c["whole"]
+    d = F.coalesce(F.try_divide(c["added"], c["found"]), F.lit(0.0)) - share
+    whole = F.greatest(head_area if head_area is not None else F.lit(1.0), F.lit(1.0))
+    head = F.abs(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (whole - c["seen"]) / whole)) - share)
+    out = [F.count("*").alias("n"), F.avg(F.abs(d)).alias("lost_mae"), F.avg(d).alias("lost_bias"), F.avg(F.abs(c["found"] - c["whole"]) / c["whole"]).alias("whole_mape"),
+           F.avg(c["both"] / F.greatest(c["either"], F.lit(1.0))).alias("iou"), F.avg(2 * c["both"] / F.greatest(c["whole"] + c["found"], F.lit(1.0))).alias("dice")]
+    return counts.where("whole > 0").groupBy("k", "tau").agg(*out, *([F.avg(head).alias("head_mae")] if head_area is not None else []))
+
+
+def best_report(reports: DataFrame) -> DataFrame:
+    """The report of the smallest absolute bias; the lowest threshold of equals."""
+    names = reports.columns
+    return reports.agg(F.min_by(F.struct(*names), F.struct(F.round(F.abs("lost_bias"), 12), "k")).alias("r")).select("r.*")
+
+
+def overall_and_by_type(rows: DataFrame, kind: str, value: str) -> DataFrame:
+    """(type, n, mean) of all rows, named "all", and of each type."""
+    agg = (F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return rows.agg(*agg).select(F.lit("all").alias("type"), "n", "mean").union(rows.groupBy(F.col(kind).alias("type")).agg(*agg).select("type", "n", "mean"))

@@ -118,3 +118,49 @@ def worth_a_look(pixels: DataFrame, size: int, least: int) -> DataFrame:
 def novel_gate(pixels: DataFrame, keys: list[str], z: str, threshold: float, factor: float = 1.5) -> DataFrame:
     """Regions (keys, mean) whose pixels' mean z reaches a multiple of the channel's threshold."""
     return pixels.groupBy(*keys).agg(F.avg(z).alias("mean")).where(F.col("mean") >= factor * threshold)
+
+
+def cluster_table(regions: DataFrame, leaves: DataFrame, current: int) -> DataFrame:
+    """For each cluster: pixels in all, pixels on the current leaf, their share of that leaf and of its reconstruction.
+
+    regions (leaf, label, area), leaves (leaf, leaf_px, recon_whole). A share of nothing known is null.
+    """
+    leaf = leaves.where(F.col("leaf") == current).agg(F.max("leaf_px").alias("px"), F.max("recon_whole").alias("whole"))
+    tallies = regions.groupBy("label").agg(F.sum("area").alias("total"), F.sum(F.when(F.col("leaf") == current, F.col("area"))).alias("here"), F.count_distinct("leaf").alias("leaves"))
+    here = F.coalesce("here", F.lit(0)) * 100.0
+    return tallies.join(F.broadcast(leaf)).select("label", "total", "here", "leaves", (here / F.greatest("px", F.lit(1))).alias("leaf_pct"), F.try_divide(here, F.when(F.col("whole") > 0, F.col("whole"))).alias("recon_pct"))
+
+
+def category_counts(items: DataFrame, status: str, unsorted: str, special: tuple[str, ...] = ()) -> DataFrame:
+    """(category, n) of each status, the special ones included even if none has them, "unsorted" and "total"."""
+    spark = items.sparkSession
+    kind = F.when(F.col(status) == unsorted, "unsorted").otherwise(F.col(status))
+    n = items.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    names = spark.createDataFrame([(x,) for x in ("unsorted", *special)], "category string")
+    every = n.join(names, "category", "full").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.union(n.agg(F.lit("total").alias("category"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+
+
+def family_histogram(named: DataFrame, name: str) -> DataFrame:
+    """(family, n), the largest first, then by name."""
+    return named.groupBy(F.col(name).alias("family")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "family")
+
+
+def distinct_clusters(regions: DataFrame, label: str) -> DataFrame:
+    """The number of clusters; noise, below 0, is none."""
+    return regions.agg(F.count_distinct(F.when(F.col(label) >= 0, F.col(label))).alias("n"))
+
+
+def to_embed(regions: DataFrame, embedding: str, order: list[Column]) -> DataFrame:
+    """Regions without an embedding, in the order in which they are worth one."""
+    return regions.where(F.col(embedding).isNull()).orderBy(*order)
+
+
+def least_typical(scored: DataFrame, score: str, key: list[str]) -> list[Column]:
+    """Sort keys: the least typical first, then by key."""
+    return [F.desc(score), *map(F.col, key)]
+
+
+def confident(found: DataFrame, score: str, least: float, most: int = 300) -> DataFrame:
+    """Detections of at least a score, the best of them only."""
+    return found.where(F.col(score) >= least).orderBy(F.desc(score), *[c for c in found.columns if c != score]).limit(most)

@@ -74,3 +74,15 @@ def hash_split(df: DataFrame, key: Column, share: float = 0.9) -> DataFrame:
 
 def drop_small_classes(df: DataFrame, label: str, least: int = 3) -> DataFrame:
     return df.join(df.groupBy(label).count().where(F.col("count") >= least).select(label), label, "left_semi")
+
+
+def by_quota(df: DataFrame, label: str, order: list[str], target: int) -> DataFrame:
+    """Evenly strided rows of each class by water-filled quotas of ``target`` rows; the classes' counts come to the driver."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    return stratified_stride(df, label, order, water_fill(counts, target)) if counts else df
+
+
+def enough(df: DataFrame, label: str, classes: int = 2, rows: int = 15) -> bool:
+    """Whether there are enough classes and rows to learn from."""
+    n = df.agg(F.count_distinct(label).alias("classes"), F.count(label).alias("rows")).first()
+    return n["classes"] >= classes and n["rows"] >= rows

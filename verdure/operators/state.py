@@ -75,3 +75,27 @@ def fold_edits(edits: DataFrame, key: str, seq: str) -> DataFrame:
     undone = edits.where("kind = 'undo'").select(F.col("undoes").alias(seq))
     live = edits.where("kind <> 'undo'").join(undone, seq, "left_anti")
     return last_write_wins(live.select(key, seq, "after"), [key], [seq]).select(key, "after")
+
+
+def class_named(classes: DataFrame, name: str, wanted: str) -> DataFrame:
+    """The class of a name, whatever its case and the spaces around it."""
+    return classes.where(F.lower(F.trim(F.col(name))) == wanted.strip().lower())
+
+
+def recent(opened: DataFrame, item: str, seq: str, most: int = 10) -> DataFrame:
+    """(item, place): the last opened first, each once, at most ``most``."""
+    last = opened.groupBy(item).agg(F.max(seq).alias(seq)).orderBy(F.desc(seq)).limit(most)
+    return last.withColumn("place", F.row_number().over(Window.orderBy(F.desc(seq))) - 1).select(item, "place")
+
+
+def delete_class(head: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The head and the label rows without a family."""
+    return head.where(F.col("name") != name), labels.where(F.col("family") != name)
+
+
+def merge_family(head: DataFrame, labels: DataFrame, old: str, into: str) -> tuple[DataFrame, DataFrame]:
+    """The head without ``old``, and its label rows renamed; nothing changes unless both names exist."""
+    both = head.agg(F.bool_or(F.col("name") == old).alias("a"), F.bool_or(F.col("name") == into).alias("b")).first()
+    if not (both["a"] and both["b"]):
+        return head, labels
+    return head.where(F.col("name") != old), rename_family(labels, old, into)

@@ -96,3 +96,10 @@ def ring_interpolation(df: DataFrame, keys: list[str], i: str, value: str, valid
     between = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * F.coalesce(F.try_divide(F.col("_p") - F.col("_l.at"), gap), F.lit(0.0))
     r = F.when(F.col(valid), F.col(value)).otherwise(F.coalesce(between, F.lit(0.0)))
     return filled.where("_t = 0").select(*keys, i, r.alias("r"))
+
+
+def covariance(df: DataFrame, vector: str) -> DataFrame:
+    """(i, j, cov): population covariance of each pair of components, i <= j; by partial sums, a row for each pair."""
+    v = F.col(vector).cast("array<double>")
+    parts = df.select(F.posexplode(v).alias("i", "x"), v.alias("_v")).select("i", "x", F.posexplode("_v").alias("j", "y")).where("i <= j")
+    return parts.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))

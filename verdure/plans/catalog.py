@@ -233,11 +233,6 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", scalars.file_name(u).alias("file"), scalars.stem(u).alias("stem"), scalars.extension(u).alias("ext"))
 
 
-@query()
-def fuzzy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.fuzzy_score(F.col("p_name"), F.lit("ae")).alias("score"))
-
-
 # --- robust statistics ---
 
 MAD = """
