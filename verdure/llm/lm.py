@@ -85,18 +85,35 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words[part]), chunk)), pa.array(words[part]), pa.array(tails[part].astype(np.int32)), pa.array(seen[part])], names=["chunk", "word", "tail", "seen"])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+
+
+def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(outputs, rows) less each row's largest: reductions over outputs then run along rows."""
+    x = w.T @ h.T
+    x += b[:, None]
+    x -= x.max(axis=0)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _picked(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of one output of each row."""
+    x = _logits(h, w, b)
+    out = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    return out - np.log(x.sum(axis=0))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    x /= x.sum(axis=-1, keepdims=True)
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(outputs, rows) of probabilities."""
+    x = _logits(h, w, b)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
     return x
 
 
@@ -117,29 +134,34 @@ def start(top_counts: np.ndarray, tail_mass: np.ndarray, seed: int = 1) -> Weigh
 
 def step(p: Weights, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One step of the gated unit: update, reset and candidate."""
-    a = p["x"][symbols] + p["b"]
-    g = h @ p["u"][:, : 2 * HIDDEN]
-    zr = _sigmoid(a[:, : 2 * HIDDEN] + g)
+    a = p["x"][symbols]
+    a += p["b"]
+    zr, n = a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]
+    zr += h @ p["u"][:, : 2 * HIDDEN]
+    _sigmoid(zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     rh = r * h
-    n = np.tanh(a[:, 2 * HIDDEN :] + rh @ p["u"][:, 2 * HIDDEN :])
-    return h + z * (n - h), (h, z, r, rh, n)
+    n += rh @ p["u"][:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = n - h
+    new *= z
+    new += h
+    return new, (h, z, r, rh, n)
 
 
 def output(p: Weights, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Natural log-probability of each symbol's class, and of the word among a frequent class's words."""
     top = symbols < TOP
     cls = np.where(top, symbols // WORDS, CLASSES + symbols - TOP)
-    outer = _log_softmax(h @ p["c"] + p["cb"])
-    out = outer[np.arange(len(h)), cls]
+    out = _picked(h, p["c"], p["cb"], cls)
     here = np.flatnonzero(top)
     order = here[np.argsort(cls[here], kind="stable")]
     cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    states, within = h[order], symbols[order] % WORDS
     for k in range(CLASSES):
-        rows = order[cut[k] : cut[k + 1]]
-        if len(rows):
-            inner = _log_softmax(h[rows] @ p["w"][k] + p["wb"][k])
-            out[rows] += inner[np.arange(len(rows)), symbols[rows] % WORDS]
+        if cut[k] < cut[k + 1]:
+            rows = slice(cut[k], cut[k + 1])
+            out[order[rows]] += _picked(states[rows], p["w"][k], p["wb"][k], within[rows])
     return out
 
 
@@ -159,25 +181,27 @@ def gradients(p: Weights, h: np.ndarray, read: np.ndarray, want: np.ndarray) ->
     g = {k: np.zeros_like(x) for k, x in p.items()}
     top = want < TOP
     cls = np.where(top, want // WORDS, CLASSES + want - TOP)
-    d = _softmax(hs @ p["c"] + p["cb"])
-    loss = -float(np.log(np.maximum(d[every, cls], 1e-30)).sum())
-    d[every, cls] -= 1
+    d = _softmax(hs, p["c"], p["cb"])
+    loss = -float(np.log(np.maximum(d[cls, every], 1e-30)).sum())
+    d[cls, every] -= 1
     d *= scale
-    g["c"], g["cb"] = hs.T @ d, d.sum(axis=0)
-    dh_all = d @ p["c"].T
+    g["c"], g["cb"] = (d @ hs).T, d.sum(axis=1)
+    dh_all = d.T @ p["c"].T
     here = np.flatnonzero(top)
     order = here[np.argsort(cls[here], kind="stable")]
     cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    seen, within, back = hs[order], want[order] % WORDS, np.empty((len(order), HIDDEN), h.dtype)
     for k in range(CLASSES):
-        rows = order[cut[k] : cut[k + 1]]
-        if len(rows):
-            e = _softmax(hs[rows] @ p["w"][k] + p["wb"][k])
-            at = np.arange(len(rows)), want[rows] % WORDS
+        if cut[k] < cut[k + 1]:
+            rows = slice(cut[k], cut[k + 1])
+            e = _softmax(seen[rows], p["w"][k], p["wb"][k])
+            at = within[rows], np.arange(cut[k + 1] - cut[k])
             loss -= float(np.log(np.maximum(e[at], 1e-30)).sum())
             e[at] -= 1
             e *= scale
-            g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(axis=0)
-            dh_all[rows] += e @ p["w"][k].T
+            g["w"][k], g["wb"][k] = (e @ seen[rows]).T, e.sum(axis=1)
+            back[rows] = e.T @ p["w"][k].T
+    dh_all[order] += back
     dh_all = dh_all.reshape(steps, width, HIDDEN)
     dh = np.zeros_like(h)
     gates = np.empty((steps, width, 3 * HIDDEN), h.dtype)
