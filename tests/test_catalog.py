@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from verdure.plans import catalog, pixels, rows  # noqa: F401
+from verdure.plans import catalog, files, pixels, rows  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 #: Queries without rows on the smallest tables.

@@ -202,3 +202,46 @@ def test_registered_heads_are_trained_to_the_end(spark, tmp_path):
     assert 11 < len(losses) < 2_000 and losses[10] > losses[-1] * (1 + 1e-6)
     assert catalog.ml_head_retrain(spark, str(tmp_path)).first().loss == pytest.approx(losses[-1], rel=1e-7)
     assert len(catalog.domain_projection(spark, "/root/testdata/sf0.001").first().v) == 64
+
+
+def test_principal_components(spark):
+    from verdure.operators import stats
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 5)) * [5, 1, 3, 0.1, 2] @ np.linalg.qr(rng.normal(size=(5, 5)))[0] + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    values, directions, mean = stats.principal(df, "v", 2)
+    c = np.cov(x.T, bias=True)
+    assert np.allclose(values, np.sort(np.linalg.eigvalsh(c))[::-1][:2]) and np.allclose(mean, x.mean(0))
+    assert np.allclose(np.array(directions) @ np.array(directions).T, np.eye(2)) and np.allclose(c @ np.array(directions).T, np.array(directions).T * values)
+    got = {r.id: r.projected for r in stats.project(df, "v", directions, mean).collect()}
+    assert np.allclose([got[i] for i in range(300)], (x - x.mean(0)) @ np.array(directions).T)
+
+
+def test_numbered_groups(spark):
+    import random
+
+    from verdure.operators.ranking import numbered
+
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.randint(0, 50), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(5)
+    want = {}
+    for k in {r[0] for r in rows}:
+        for i, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))):
+            want[r[2]] = i
+    got = numbered(df, ["k"], [F.desc("v"), F.col("id")])
+    assert got.columns == ["k", "v", "id", "_i"] and {r.id: r._i for r in got.collect()} == want
+    assert sorted(r._i for r in numbered(df, [], [F.col("id")]).collect()) == list(range(800))
+    assert numbered(df.limit(0), ["k"], [F.col("id")]).collect() == []
+
+
+def test_eps_pairs_by_strips(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(150, 3)) * [8, 1, 1], np.zeros((60, 3)), [[0.5, 0, 0], [1.0, 0, 0]]])
+    for eps in (0.5, 1.3, 100.0):
+        pairs = neighbors.eps_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, v array<double>"), eps).collect()
+        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+        want = {(i, j) for i, j in zip(*np.nonzero(d2 <= eps * eps))}
+        assert len(pairs) == len(want) and {(r.a, r.b) for r in pairs} == want

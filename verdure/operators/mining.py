@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.functions.vectors import doubles
+from verdure.operators.ranking import numbered
 from verdure.operators.sampling import capped, reservoir
-from verdure.operators.stats import SCALE
+from verdure.operators.stats import SCALE, counted_median
 
 
 def hybrid_descriptor(regions: DataFrame, key: str, descriptor: str, embedding: str, weight: float, floor: float = 1e-6) -> DataFrame:
@@ -29,15 +30,17 @@ def calibrate(signals: DataFrame, channel: str, tile: str, value: str, fp_rate:
     """(channel, floor, threshold): the floor is a percentile of the tiles' positive scales, the threshold the
     1 - fp_rate rank of all z under that floor. Two passes over the signals of healthy tiles.
     """
-    med = signals.groupBy(channel, tile).agg(F.median(value).alias("med"))
-    mad = signals.join(med, [channel, tile]).where(F.col(value) <= F.col("med")).groupBy(channel, tile).agg(F.first("med").alias("med"), (F.median(F.col("med") - F.col(value)) * SCALE).alias("scale"))
-    w = Window.partitionBy(channel)
-    rank = lambda p: F.round(F.lit(p) * (F.col("n") - 1)) + 1
-    ranked = mad.where("scale > 0").withColumn("r", F.row_number().over(w.orderBy("scale", tile))).withColumn("n", F.count("*").over(w))
-    floors = ranked.where(F.col("r") == rank(floor_percent / 100)).select(channel, F.col("scale").alias("floor"))
-    z = signals.join(mad, [channel, tile]).join(floors, channel).withColumn("z", (F.col(value) - F.col("med")) / (F.greatest("scale", "floor") + 1e-6))
-    top = z.withColumn("r", F.row_number().over(w.orderBy("z", tile))).withColumn("n", F.count("*").over(w)).where(F.col("r") == rank(1 - fp_rate))
-    return top.select(channel, "floor", F.col("z").alias("threshold"))
+    med = counted_median(signals, [channel, tile], value, "med")
+    below = signals.join(med, [channel, tile]).where(F.col(value) <= F.col("med")).select(channel, tile, (F.col("med") - F.col(value)).alias("_d"))
+    mad = med.join(counted_median(below, [channel, tile], "_d", "_m"), [channel, tile]).select(channel, tile, "med", (F.col("_m") * SCALE).alias("scale"))
+    def at_rank(rows: DataFrame, by: str, share: float) -> DataFrame:
+        """The row at round(share * (n - 1)) of each channel's order; a large channel is numbered by ranges."""
+        n = rows.groupBy(channel).agg(F.count("*").alias("n"))
+        return numbered(rows, [channel], [F.col(by), F.col(tile)]).join(n, channel).where(F.col("_i") == F.round(F.lit(share) * (F.col("n") - 1)))
+
+    floors = at_rank(mad.where("scale > 0"), "scale", floor_percent / 100).select(channel, F.col("scale").alias("floor"))
+    z = signals.join(mad, [channel, tile]).join(floors, channel).select(channel, tile, "floor", ((F.col(value) - F.col("med")) / (F.greatest("scale", "floor") + 1e-6)).alias("z"))
+    return at_rank(z, "z", 1 - fp_rate).select(channel, "floor", F.col("z").alias("threshold"))
 
 
 def hard_negatives(patches: DataFrame, prob: str, tau: float, item: str, order: list[str], per_item: int = 10, cap: int = 2000) -> DataFrame:
@@ -89,6 +92,5 @@ def significant_families(pixels: DataFrame, blob: str, family: str, share: float
 
 def masked_pool(tokens: DataFrame, region: str, vector: str, on: Column) -> DataFrame:
     """(region, dim, value): mean of the tokens on the mask, of all if none is."""
-    w = Window.partitionBy(region)
-    used = tokens.withColumn("_on", on).withColumn("_any", F.max(F.col("_on").cast("int")).over(w) == 1).where(~F.col("_any") | F.col("_on"))
-    return used.select(region, F.posexplode(doubles(F.col(vector))).alias("dim", "x")).groupBy(region, "dim").agg(F.avg("x").alias("value"))
+    parts = tokens.select(region, on.alias("_on"), F.posexplode(doubles(F.col(vector))).alias("dim", "x"))
+    return parts.groupBy(region, "dim").agg(F.coalesce(F.avg(F.when(F.col("_on"), F.col("x"))), F.avg("x")).alias("value"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdure.functions.vectors import dot
+
 #: Rows of a block.
 BLOCK = 2048
 #: A bank of at most so many numbers is broadcast whole.
@@ -93,17 +95,39 @@ def _in_blocks(q: DataFrame, bank: DataFrame, blocks: int, k: int, ties: str) ->
     return left.union(right).groupBy("block").applyInArrow(run, f"q_id {dict(q.dtypes)['q_id']}, d double")
 
 
+def axis(points: DataFrame, sample: int = 10_000) -> np.ndarray:
+    """The direction in which a bounded sample of the vectors varies most."""
+    rows = points.where("v is not null").orderBy(F.xxhash64("point_id")).limit(sample).select(F.col("v").cast("array<double>").alias("v")).toArrow()
+    x = _matrix(rows.column("v"))
+    x = x[np.isfinite(x).all(axis=1)]
+    if len(x) < 2:
+        return np.eye(1, max(x.shape[1], 1))[0]
+    return np.linalg.eigh(np.cov(x.T).reshape(x.shape[1], -1))[1][:, -1]
+
+
 def eps_pairs(points: DataFrame, eps: float) -> DataFrame:
     """(a, b, d) for all pairs within ``eps``, each point with itself too; points (point_id, v).
 
-    Points are dealt to blocks of bounded size; each pair of blocks meets in one task, and
-    only neighbours become rows.
+    Points are dealt to strips, as wide as ``eps``, along the direction in which they vary
+    most, so that neighbours lie in the same strip or in adjacent ones; large strips are cut
+    to blocks of bounded size. Two blocks meet in a task, and only neighbours become rows.
     """
+    p = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null and point_id is not null")
+    placed = p.withColumn("strip", F.floor(dot(F.col("v"), F.lit([float(x) for x in axis(p)])) / (eps * (1 + 1e-9) if eps > 0 else 1.0)))
+    blocks = placed.groupBy("strip").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    own = placed.join(blocks, "strip").withColumn("own", F.pmod(F.xxhash64("point_id"), F.col("n")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ["point_id", "v"]
+    inside = own.select("*", every("n").alias("other")).select(F.col("strip").alias("s"), F.col("strip").alias("t"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), *row)
+    above = own.join(blocks.select((F.col("strip") - 1).alias("strip"), F.col("n").alias("m")), "strip")
+    above = above.select("*", every("m").alias("other")).select(F.col("strip").alias("s"), (F.col("strip") + 1).alias("t"), F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), *row)
+    below = own.join(blocks.select((F.col("strip") + 1).alias("strip"), F.col("n").alias("m")), "strip")
+    below = below.select("*", every("m").alias("other")).select((F.col("strip") - 1).alias("s"), F.col("strip").alias("t"), F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *row)
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        ids, m, block = table.column("point_id").to_numpy(), _matrix(table.column("v")), table.column("own").to_numpy()
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
+        s, t, i, j = (k.as_py() for k in key)
+        ids, m = table.column("point_id").to_numpy(), _matrix(table.column("v"))
+        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
         found = []
         for lo in range(0, len(left), 256):
             rows = left[lo : lo + 256]
@@ -111,11 +135,11 @@ def eps_pairs(points: DataFrame, eps: float) -> DataFrame:
             x, y = np.nonzero(d <= eps * eps)
             found.append((ids[rows[x]], ids[right[y]], np.sqrt(d[x, y])))
         a, b, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
-        if i != j:
+        if (s, i) != (t, j):
             a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
         return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
 
-    return _block_pairs(points).groupBy("i", "j").applyInArrow(run, "a long, b long, d double")
+    return inside.union(above).union(below).groupBy("s", "t", "i", "j").applyInArrow(run, "a long, b long, d double")
 
 
 def kth_distance(points: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.functions.scalars import lost_percent, slug
+from verdure.operators.ranking import numbered
 
 
 def visible(regions: DataFrame, hidden: DataFrame, region: list[str], rejected_leaves: DataFrame, leaf: str) -> DataFrame:
@@ -93,7 +94,8 @@ def status_counts(items: DataFrame, status: str, unsorted: str) -> DataFrame:
 
 
 def page_of(rows: DataFrame, keys: list[str], order: list[Column], size: int = 60) -> DataFrame:
-    return rows.withColumn("page", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    """``rows`` with the page, from 0, of each row's place in its group; a large group is numbered by ranges."""
+    return numbered(rows, keys, order).withColumn("page", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def merge_groups(members: DataFrame, component: str, region: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdure.operators.ranking import numbered
+
 
 def water_fill(counts: dict[object, int], target: int) -> dict[object, int]:
     """Quota of each class: equal shares, what a small class leaves is dealt to those with room."""
@@ -26,9 +28,9 @@ def water_fill(counts: dict[object, int], target: int) -> dict[object, int]:
 
 def stratified_stride(df: DataFrame, label: str, order: list[str], quota: dict[object, int]) -> DataFrame:
     """Evenly strided rows of each class, up to its quota."""
-    w = Window.partitionBy(label)
+    n = df.groupBy(label).agg(F.count("*").alias("_n"))
     want = F.create_map(*[x for c, q in quota.items() for x in (F.lit(c), F.lit(q))])[F.col(label)]
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_want", want)
+    ranked = numbered(df, [label], [F.col(c) for c in order]).join(n, label).select(*df.columns, "_i", "_n").withColumn("_want", want)
     stride = F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest(F.col("_want"), F.lit(1))))
     return ranked.where((F.col("_i") % stride == 0) & (F.floor(F.col("_i") / stride) < F.col("_want"))).drop("_i", "_n", "_want")
 
@@ -48,8 +50,7 @@ def evenly_spaced(df: DataFrame, order: list[str], count: int) -> DataFrame:
     """Rows at places i * n div count."""
     n = df.count()
     at = sorted({i * n // count for i in range(count)}) if n else []
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
-    return numbered.where(F.col("_i").isin(at)).drop("_i")
+    return numbered(df, [], [F.col(c) for c in order]).where(F.col("_i").isin(at)).drop("_i")
 
 
 def class_weights(df: DataFrame, label: str, crop: str | None = None, hard: Column | None = None, floor: int = 15) -> DataFrame:
@@ -61,15 +62,16 @@ def class_weights(df: DataFrame, label: str, crop: str | None = None, hard: Colu
         w = F.when(hard, w * 4).otherwise(w)
     out = df.join(per, label)
     if crop is not None:
-        w = w / F.count("*").over(Window.partitionBy(crop))
-    return out.withColumn("weight", w).drop("_c")
+        out = out.join(df.groupBy(crop).agg(F.count("*").alias("_r")), crop)
+        w = w / F.col("_r")
+    return out.select(*df.columns, w.alias("weight"))
 
 
 def hash_split(df: DataFrame, key: Column, share: float = 0.9) -> DataFrame:
-    """part "train" for the first ceil(share * n) rows in hash order, else "val"; one ordering of narrow rows."""
+    """part "train" for the first ceil(share * n) rows in hash order, else "val"."""
     n = df.count()
-    place = F.row_number().over(Window.orderBy(key))
-    return df.withColumn("part", F.when(place <= F.ceil(F.lit(share) * n), "train").otherwise("val"))
+    placed = numbered(df.withColumn("_key", key), [], [F.col("_key")])
+    return placed.select(*df.columns, F.when(F.col("_i") < F.ceil(F.lit(share) * n), "train").otherwise("val").alias("part"))
 
 
 def drop_small_classes(df: DataFrame, label: str, least: int = 3) -> DataFrame:

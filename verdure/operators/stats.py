@@ -103,3 +103,30 @@ def covariance(df: DataFrame, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     parts = df.select(F.posexplode(v).alias("i", "x"), v.alias("_v")).select("i", "x", F.posexplode("_v").alias("j", "y")).where("i <= j")
     return parts.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+
+
+def principal(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]], list[float]]:
+    """Variances and directions of the k principal components, and the mean; from grouped sums of dim * dim rows.
+
+    A direction's sign is set by its largest component.
+    """
+    import numpy as np
+
+    rows = covariance(df, vector).collect()
+    means = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
+    dim = len(means)
+    c = np.zeros((dim, dim))
+    for r in rows:
+        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["cov"]
+    values, directions = np.linalg.eigh(c)
+    top = np.argsort(-values, kind="stable")[:k]
+    chosen = directions[:, top].T
+    chosen *= np.sign(chosen[np.arange(len(chosen)), np.abs(chosen).argmax(axis=1)])[:, None]
+    return np.maximum(values[top], 0).tolist(), chosen.tolist(), [r["m"] for r in means]
+
+
+def project(df: DataFrame, vector: str, directions: list[list[float]], mean: list[float], name: str = "projected") -> DataFrame:
+    """``df`` with the centred vector's components along each direction."""
+    centred = F.zip_with(F.col(vector).cast("array<double>"), F.lit([float(x) for x in mean]), lambda x, m: x - m)
+    along = lambda d: F.aggregate(F.zip_with(F.col("_c"), d, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return df.withColumn("_c", centred).withColumn(name, F.transform(F.lit(directions), along)).drop("_c")

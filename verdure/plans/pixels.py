@@ -276,6 +276,12 @@ on_leaves(
 )
 
 
+on_leaves(
+    lambda mask, c: at(raster.cutout_alpha(mask, _rgb(mask, c)[..., :3])), "x int, y int",
+    f"""{WITH}, solid AS (SELECT * FROM px WHERE greatest(v * 2, f * 50, v * 7 % 256) >= 30),{outside('o', 'solid')} SELECT p.leaf, p.x, p.y FROM px p LEFT JOIN o ON o.leaf = p.leaf AND o.x = p.x AND o.y = p.y WHERE o.leaf IS NULL""", "px_cutout_alpha",
+)
+
+
 def _by_row(values: np.ndarray) -> dict[str, np.ndarray]:
     """One number of each row of an image that depends on all of it."""
     return {"y": np.arange(len(values)), "s": (values * (np.arange(values.shape[1]) + 1)).sum(axis=1).astype(float)}

@@ -366,6 +366,17 @@ def vector_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(vectors.normalize(v), ones), 5).alias("unit"), F.round(vectors.dot(vectors.rescale(v), ones), 5).alias("root2"), F.round(z, 5).alias("logit"), r6(vectors.sigmoid(z)).alias("share"))
 
 
+@query(f"""
+WITH m AS (SELECT dim, avg(x) AS m FROM ({EXPLODED}) GROUP BY dim), t AS (SELECT sum(v) AS t FROM (SELECT var_pop(x) AS v FROM ({EXPLODED}) GROUP BY dim))
+SELECT vec_id, round(sum((x - m) ** 2), 5) AS norm2, round(max(t), 5) AS total FROM ({EXPLODED}) JOIN m USING (dim), t GROUP BY vec_id""")
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on all principal components: its distance to the mean and the sum of variances stay the same."""
+    e = table(spark, sf_dir, "embeddings")
+    values, directions, mean = stats.principal(e, "embedding", 64)
+    out = stats.project(e.select("vec_id", "embedding"), "embedding", directions, mean)
+    return out.select("vec_id", F.round(vectors.dot(F.col("projected"), F.col("projected")), 5).alias("norm2"), F.lit(round(sum(values), 5)).alias("total"))
+
+
 _K5 = "SELECT a AS point_id, round(d, 6) AS d FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b) WHERE a <> b) WHERE r = 5"
 
 

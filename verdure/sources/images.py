@@ -44,9 +44,9 @@ def count(files: DataFrame) -> DataFrame:
 
 def listing(files: DataFrame) -> DataFrame:
     """Paths in order, with their place; contents aren't read."""
-    from pyspark.sql import Window
+    from verdure.operators.ranking import numbered
 
-    return files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("ord"))
+    return numbered(files.select("path"), [], [F.col("path")], "ord")
 
 
 def check_apart(source: str, out: str) -> None:
