@@ -66,6 +66,19 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").collect() == []
 
 
+def test_a_run_leaves_its_result_alone(spark, folder):
+    import glob
+
+    from verdure.llm.store import Store, shared_folder
+
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/*/*"))
+    mark = len(Store.made)
+    rows = corpus_pipeline.run(spark, folder)
+    assert rows.count() > 0
+    left = {p.rsplit("/", 1)[1] for p in set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/*/*")) - before}
+    assert left == {"packing"} and len(Store.made) == mark + 1
+
+
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())

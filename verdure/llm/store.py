@@ -37,13 +37,20 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 class Store:
-    """Tables of one operator run, in a folder of its own."""
+    """Tables of one operator run, in a folder of its own.
+
+    Tables that a returned DataFrame reads must stay until it has been written or read;
+    ``sweep`` removes all that were made since a mark.
+    """
+
+    made: list[Store] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.saved: set[str] = set()
+        Store.made.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -65,6 +72,14 @@ class Store:
             self.saved.discard(table)
 
 
+def sweep(mark: int, but: Store | None = None) -> None:
+    """Removes the tables of the stores made since ``len(Store.made)`` was ``mark``, once no live result reads them."""
+    for store in Store.made[mark:]:
+        if store is not but:
+            store.drop(*store.saved)
+    del Store.made[mark:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
