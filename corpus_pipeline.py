@@ -16,7 +16,7 @@ from verdure.llm.dedup import without_near_duplicates
 from verdure.llm.labelled import training_rows
 from verdure.llm.packing import pack
 from verdure.llm.queries import QUALITY_BYTES, QUALITY_ROWS, TOXICITY_ROWS
-from verdure.llm.store import Store, table
+from verdure.llm.store import Store, sweep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,11 +86,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written and read again before the next."""
+    """The stages in order, each written and read again before the next; only the last one's table stays."""
     store = Store(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        mark = len(Store.made)
         docs = store.save(stage(spark, docs, sf_dir), name)
+        sweep(mark)
         if k:
             store.drop(STAGES[k - 1][0])
     return docs
