@@ -450,7 +450,7 @@ def morphology_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey || '.png' AS "Filename", CAST(greatest(p_size * 20 - floor(p_retailprice), 0) AS VARCHAR) AS "Damage_px", printf('%.2f', greatest(p_size * 20 - floor(p_retailprice), 0) * 100.0 / (p_size * 20)) AS "Pct_Damage", 6 AS n_columns FROM part""".replace("CAST(greatest(p_size * 20 - floor(p_retailprice), 0) AS VARCHAR)", "CAST(CAST(greatest(p_size * 20 - floor(p_retailprice), 0) AS BIGINT) AS VARCHAR)"))
+SELECT p_partkey || '.png' AS "Filename", CAST(greatest(p_size * 20 - floor(p_retailprice), 0) AS VARCHAR) AS "Damage_px", printf('%.2f', floor(greatest(p_size * 20 - floor(p_retailprice), 0) * 10000.0 / (p_size * 20) + 0.5) / 100) AS "Pct_Damage", 6 AS n_columns FROM part""".replace("CAST(greatest(p_size * 20 - floor(p_retailprice), 0) AS VARCHAR)", "CAST(CAST(greatest(p_size * 20 - floor(p_retailprice), 0) AS BIGINT) AS VARCHAR)"))
 def reconstruction_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.concat(F.lit("d/"), "p_partkey", F.lit(".png")).alias("path"), F.floor("p_retailprice").alias("leaf"), (F.col("p_size") * 20).cast("long").alias("predicted"))
     path = shared_path(spark, "recon")
