@@ -11,7 +11,7 @@ from verdure.plans import catalog, files, pixels, rows  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 #: Queries without rows on the smallest tables.
-EMPTY = {"px_geometric_holes", "populated_classes"}
+EMPTY = {"px_geometric_holes", "px_hole_regions", "populated_classes"}
 
 
 @pytest.fixture(scope="module")

@@ -85,6 +85,23 @@ def margin_holes(holes: list[np.ndarray], opaque: np.ndarray, margin: int = 16)
     return holes if d is None else [m for m in holes if d[m].max() >= margin]
 
 
+def without_margin_holes(mask: np.ndarray, holes: list[np.ndarray], opaque: np.ndarray, margin: int = 16) -> np.ndarray:
+    """The mask less the pixels of holes that reach no farther than the margin."""
+    kept = margin_holes(holes, opaque, margin)
+    gone = [m for m in holes if not any(m is k for k in kept)]
+    return mask & ~np.logical_or.reduce(gone) if gone else mask.copy()
+
+
+def hole_regions(opaque: np.ndarray, flagged: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Holes that become regions, and the flagged pixels with all holes added; one of which over half is flagged already is no region."""
+    out, now = [], flagged.copy()
+    for m in raster.geometric_holes(opaque, least):
+        if 2 * flagged[m].sum() <= m.sum():
+            out.append(m)
+        now |= m
+    return out, now
+
+
 def describe(mask: np.ndarray, z: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, ma: float, mb: float) -> np.ndarray:
     """Eight numbers: mean z by channel, mean chroma offsets, ln(1 + area), elongation, extent."""
     ys, xs = np.nonzero(mask)

@@ -48,6 +48,13 @@ def hard_negatives(patches: DataFrame, prob: str, tau: float, item: str, order:
     return capped(patches.where(F.col(prob) >= tau), item, order, per_item, cap).withColumn("family", F.lit("rejected")).withColumn("source", F.lit("mined"))
 
 
+def mined_rows(negatives: DataFrame, image: Column, x: Column, y: Column, side: int) -> DataFrame:
+    """Label rows of mined patches: names of the crop and its mask, by image and place, and the square that is cut."""
+    stem = F.regexp_replace(F.regexp_extract(image, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    name = F.format_string("%s_hardneg_%d_%d", stem, x, y)
+    return negatives.select("*", F.concat(name, F.lit(".png")).alias("crop"), F.concat(name, F.lit("_mask.png")).alias("mask"), x.alias("x0"), y.alias("y0"), (x + side).alias("x1"), (y + side).alias("y1"))
+
+
 def unmarked(patches: DataFrame, regions: DataFrame, reviewed: DataFrame, leaf: str, cell: list[str]) -> DataFrame:
     """Patches of fully reviewed leaves that no region covers."""
     return patches.join(reviewed, leaf, "left_semi").join(regions.select(leaf, *cell).distinct(), [leaf, *cell], "left_anti").withColumn("source", F.lit("unmarked"))

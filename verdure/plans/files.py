@@ -174,7 +174,7 @@ def detector_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT 'now' AS file, n_nationkey AS class, n_name AS name, n_regionkey * 0.5 AS intercept, CAST(n_nationkey * 3 AS DOUBLE) AS total, CASE WHEN n_nationkey % 2 = 0 THEN 0.6 ELSE 0.8 END AS tau FROM nation UNION ALL SELECT 'before', n_nationkey, n_name, n_regionkey * 0.5, CAST(n_nationkey * 3 AS DOUBLE), 0.8 FROM nation")
+@query("SELECT 'now' AS file, n_nationkey AS class, n_name AS name, CAST(n_regionkey * 0.5 AS DOUBLE) AS intercept, CAST(n_nationkey * 3 AS DOUBLE) AS total, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 0.6 ELSE 0.8 END AS DOUBLE) AS tau FROM nation UNION ALL SELECT 'before', n_nationkey, n_name, n_regionkey * 0.5, CAST(n_nationkey * 3 AS DOUBLE), 0.8 FROM nation")
 def classifier_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A head written twice; the first version stays beside it."""
     rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()

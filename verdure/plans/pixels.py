@@ -184,6 +184,22 @@ SELECT leaf, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y)
 )
 
 
+def _hole_regions(mask: np.ndarray, _: dict) -> dict[str, np.ndarray]:
+    y, x = np.mgrid[:H, :W]
+    kept, flagged = decide.hole_regions(raster.dilate(mask, 1), (x + y) % 3 == 0, 2)
+    first = {int(np.flatnonzero(m)[0]) for m in kept}
+    holes = raster.geometric_holes(raster.dilate(mask, 1), 2)
+    rows = [(f := int(np.flatnonzero(m)[0]), int(m.sum()), int(f in first), int(flagged[m].sum())) for m in holes]
+    return dict(zip(("first", "n", "region", "flagged"), np.array(rows, np.int64).reshape(-1, 4).T))
+
+
+on_leaves(
+    _hole_regions, "first int, n int, region int, flagged int",
+    f"""{WITH},{around('d', 'px', False)},{outside('o', 'd', False)}, h0 AS (SELECT f.* FROM o_f f LEFT JOIN o ON o.leaf = f.leaf AND o.x = f.x AND o.y = f.y WHERE o.leaf IS NULL),{comp('k', 'h0')}
+SELECT leaf, CAST(c AS INTEGER) AS first, CAST(count(*) AS INTEGER) AS n, CASE WHEN 2 * count(*) FILTER ((x + y) % 3 = 0) > count(*) THEN 0 ELSE 1 END AS region, CAST(count(*) AS INTEGER) AS flagged FROM k GROUP BY leaf, c HAVING count(*) >= 2""", "px_hole_regions",
+)
+
+
 def _margin(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
     opaque = raster.dilate(mask, 1)
     labels, n = raster.label(mask & (c["f"] == 2))
@@ -197,6 +213,19 @@ on_leaves(
 far AS (SELECT k.leaf, k.x, k.y, k.c, min(abs(k.x - o.x) + abs(k.y - o.y)) AS d FROM k JOIN o ON o.leaf = k.leaf GROUP BY ALL)
 SELECT leaf, x, y FROM far JOIN (SELECT leaf, c FROM far GROUP BY leaf, c HAVING max(d) >= 3) USING (leaf, c)""", "px_margin_holes",
 )
+
+
+def _cleared(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
+    labels, n = raster.label(mask & (c["f"] == 2))
+    return at(decide.without_margin_holes(mask, [labels == k for k in range(1, n + 1)], raster.dilate(mask, 1), 3))
+
+
+on_leaves(
+    _cleared, "x int, y int",
+    f"""{WITH},{around('d', 'px', False)},{outside('o', 'd')}, two AS (SELECT * FROM px WHERE f = 2),{comp('k', 'two')},
+far AS (SELECT k.leaf, k.x, k.y, k.c, min(abs(k.x - o.x) + abs(k.y - o.y)) AS d FROM k JOIN o ON o.leaf = k.leaf GROUP BY ALL)
+SELECT leaf, x, y FROM px WHERE f <> 2 UNION ALL SELECT leaf, x, y FROM far JOIN (SELECT leaf, c FROM far GROUP BY leaf, c HAVING max(d) >= 3) USING (leaf, c)""", "px_margin_cleared",
+)
 on_leaves(
     lambda mask, c: at(raster.refine_silhouette(c["v"] / 100, mask & (c["f"] == 0), 0.5)), "x int, y int",
     f"""{WITH}, s AS (SELECT * FROM px WHERE v > 50 OR f = 0),{comp('k', 's', True)},
@@ -513,7 +542,7 @@ def _outline(mask: np.ndarray, _: dict) -> dict[str, np.ndarray]:
     return {"corners": np.array([len(ring)]), "area": np.array([_area(ring)]), "steps": np.array([len(traced)]), "smooth": np.array([_area(raster.smooth(traced))])}
 
 
-@query(f"SELECT w * 100 + h AS leaf, 4 AS corners, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS INTEGER) AS steps, w * h - 0.125 AS smooth FROM ({SIZES}) WHERE w * h >= 16")
+@query(f"SELECT w * 100 + h AS leaf, 4 AS corners, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS INTEGER) AS steps, CAST(w * h - 0.125 AS DOUBLE) AS smooth FROM ({SIZES}) WHERE w * h >= 16")
 def px_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_masks(_rectangles(spark, sf_dir), _outline, "corners int, area double, steps int, smooth double", 24, 56).withColumn("leaf", F.col("leaf").cast("int"))
 

@@ -142,6 +142,15 @@ def rank_not_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.to_embed(rows, "v", order).select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
+@query(f"""
+WITH p AS (SELECT * FROM lineitem WHERE l_tax >= 0.06 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {KEYS}) <= 10), q AS (SELECT * FROM p ORDER BY {KEYS} LIMIT 2000)
+SELECT {KEYS}, 'rejected' AS family, 'mined' AS source, 'leaf' || l_orderkey || '_hardneg_' || l_partkey % 40 * 16 || '_' || l_suppkey % 30 * 16 || '.png' AS crop, 'leaf' || l_orderkey || '_hardneg_' || l_partkey % 40 * 16 || '_' || l_suppkey % 30 * 16 || '_mask.png' AS mask, l_partkey % 40 * 16 + 256 AS x1, l_suppkey % 30 * 16 + 256 AS y1 FROM q""")
+def mined_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mining.hard_negatives(_lines(spark, sf_dir).select(*REGION, "l_tax"), "l_tax", 0.06, "l_orderkey", REGION)
+    image = F.concat(F.lit("d/leaf"), "l_orderkey", F.lit(".jpg"))
+    return mining.mined_rows(found, image, F.col("l_partkey") % 40 * 16, F.col("l_suppkey") % 30 * 16, 256).select(*REGION, "family", "source", "crop", "mask", "x1", "y1")
+
+
 @query(f"{pixels.WITH} SELECT p.leaf, p.x, p.y FROM (SELECT DISTINCT leaf, x + 1 AS x, y FROM px WHERE f = 0) p WHERE NOT EXISTS (SELECT 1 FROM px q WHERE q.leaf = p.leaf AND q.x = p.x AND q.y = p.y AND q.f <> 0)")
 def paint_stroke(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels.pixels(spark, sf_dir)
@@ -338,7 +347,7 @@ def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.merge_groups(members, "component", "region")
 
 
-@query("SELECT src, count(*) AS n, sum(k) AS s FROM (SELECT 'curation' AS src, s_suppkey AS k FROM supplier UNION ALL SELECT 'base', p_partkey FROM part) GROUP BY src")
+@query("SELECT src, count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM (SELECT 'curation' AS src, s_suppkey AS k FROM supplier UNION ALL SELECT 'base', p_partkey FROM part) GROUP BY src")
 def curation_and_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "supplier").select(F.lit("curation").alias("src"), F.col("s_suppkey").alias("k"))
     b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lit("base").alias("src"))
