@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from verdure.llm import scan
 from verdure.llm.components import components
-from verdure.llm.store import Store
+from verdure.llm.store import FILE_ROWS, Store
 
 U = np.uint64
 #: Members of a block of a bucket, and shingles of all its sets together; two blocks meet in a task.
@@ -213,9 +213,9 @@ def near_duplicates(
     # A band's hash already holds its number; pivots differ by bucket and lie anywhere in it.
     in_bands = classes.select("rep", F.explode("bands").alias("bucket")).where("rep is not null")
     shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep")).alias(f"p{k}") for k in range(pivots)]).where("n > 1")
-    members = store.save(in_bands.join(shared.select("bucket", "n", F.element_at(F.array(*[F.col(f"p{k}.rep") for k in range(pivots)]), F.pmod("bucket", F.lit(pivots)).cast("int") + 1).alias("pivot")), "bucket"), "members")
+    members = store.save(in_bands.join(shared.select("bucket", "n", F.element_at(F.array(*[F.col(f"p{k}.rep") for k in range(pivots)]), F.pmod("bucket", F.lit(pivots)).cast("int") + 1).alias("pivot")), "bucket"), "members", 4 * n_rows)
     n_members = members.count()
-    sets = store.save(text.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(width), "rep long, hashes binary"), "sets")
+    sets = store.save(text.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(width), "rep long, hashes binary"), "sets", 8 * n_rows)
 
     small = classes.select("rep", "n_shingles", "sketch")
 
@@ -267,7 +267,7 @@ def near_duplicates(
     moved = classes.select("key_a", "key_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     moved = store.save(moved.select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("found")), "moved", n_rows)
     store.drop(*store.saved - {"sketches", "moved"})
-    out = sketched.select("doc_id", "n_shingles", "key_a", "key_b", "text_hash").join(moved, ["key_a", "key_b", "n_shingles"], "left")
+    out = sketched.select("doc_id", "n_shingles", "key_a", "key_b", "text_hash").join(moved, ["key_a", "key_b", "n_shingles"], "left").coalesce(1 + n_rows // FILE_ROWS)
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_hash")

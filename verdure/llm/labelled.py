@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from verdure.llm.store import Store
 
+#: Labelled rows of a file.
+PART_ROWS = 2_500
+
 
 def remainder() -> Column:
     """crc32 of the decimal doc_id, modulo 5; null for a null id."""
@@ -24,10 +27,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, sto
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).where(remainder() != 0)
-    share = min(1.0, most / max(known.count(), 1))
+    n = known.count()
+    share = min(1.0, most / max(n, 1))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
     known = known.where(place < int(share * 1_000_000))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    saved = store.save(rows.join(F.broadcast(known), "doc_id"), f"labelled-{label}")
+    # So few rows are dealt anew, to files of some thousands.
+    found = rows.join(F.broadcast(known), "doc_id").repartition(1 + int(min(most, n)) // PART_ROWS)
+    saved = store.save(found, f"labelled-{label}")
     size = saved.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     return saved if size <= most_bytes else saved.where(place < int(share * 1_000_000 * most_bytes / size))
