@@ -87,7 +87,7 @@ def test_probes_are_counted_on_true_neighbours():
 def test_ann_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [0.0, 2.0])]
-    df = spark.createDataFrame([(*r, 1, True) for r in rows], "vec_id long, embedding array<double>, label int, is_query boolean")
+    df = spark.createDataFrame([(*r, 1, True, [7], 3, [4], 5) for r in rows], "vec_id long, embedding array<double>, label int, is_query boolean, v array<int>, list int, probed array<int>, task int")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 100 == 0).collect())
     s2, s5 = 2**0.5, 5**0.5
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, s2), (0, 4, 100, s5), (100, 1, 3, 1.0), (100, 2, 0, s5), (100, 3, 1, s5), (100, 4, 2, s5)]
