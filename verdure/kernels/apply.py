@@ -59,9 +59,9 @@ def map_masks(pixels: DataFrame, kernel: Callable[[np.ndarray, dict[str, np.ndar
     return pixels.groupBy(leaf).applyInArrow(run, StructType([pixels.schema[leaf], *StructType.fromDDL(schema).fields]))
 
 
-def predict(model: Callable, column: str, return_type, batch_size: int = 16):
+def predict(model: Callable, column: str, return_type, batch_size: int = 16, **more):
     """A pluggable network, ``model()`` giving a function on numpy batches, as a vectorised column function."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import functions as F
 
-    return predict_batch_udf(model, return_type=return_type, batch_size=batch_size)(F.col(column))
+    return predict_batch_udf(model, return_type=return_type, batch_size=batch_size, **more)(F.col(column))

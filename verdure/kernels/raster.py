@@ -545,11 +545,18 @@ def damage(mask: np.ndarray, mode: str, share: float, seed: int) -> np.ndarray:
 MODES = ("coastal", "spots", "snake", "ellipses", "apex", "clusters", "lobe", "sector")
 
 
-def random_damage(mask: np.ndarray, weights: dict[str, float], low: float, high: float, seed: int) -> tuple[np.ndarray, str]:
+def random_damage(mask: np.ndarray, weights: dict[str, float], low: float, high: float, seed: int, apex: float = 0.0) -> tuple[np.ndarray, str]:
+    """One weighted mode's damage, of a share between the bounds, and with the chance ``apex`` a part of the tip besides."""
     rng = np.random.default_rng(seed)
     names = [m for m in MODES if weights.get(m, 0) > 0]
     mode = str(rng.choice(names, p=np.array([weights[m] for m in names]) / sum(weights[m] for m in names)))
-    return damage(mask, mode, float(rng.uniform(low, high)), seed + 1), mode
+    share = float(rng.uniform(low, high))
+    tip = mode != "apex" and rng.random() < apex
+    out = damage(mask, mode, share / 2 if tip else share, seed + 1)
+    if tip and out.any():  # the same share in all: what is left of it comes off the tip
+        left = int(share * mask.sum()) - int((mask & ~out).sum())
+        out = damage(out, "apex", (left + 0.5) / out.sum(), seed + 2)
+    return out, mode
 
 
 def augment(arrays: list[np.ndarray], seed: int) -> list[np.ndarray]:

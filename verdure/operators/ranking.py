@@ -1,4 +1,4 @@
-"""Row numbers of large groups, without a task that holds a whole group."""
+"""Row numbers and running sums of large groups, without a task that holds a whole group."""
 
 from __future__ import annotations
 
@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from verdure.session import cut
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_i") -> DataFrame:
-    """``df`` with each row's place, from 0, in the order of its group.
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` up to and with each row, in the order of its group.
 
-    Rows are dealt by ranges of key and order and kept in a table; each range numbers its own rows,
-    and the ranges' counts, a row for each range and group, are added up.
+    Rows are dealt by ranges of key and order and kept in a table; each range sums up its own rows,
+    and the ranges' sums, a row for each range and group, are added up. The order must tell rows apart.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(ranges, *map(F.col, keys), *order).withColumn("_p", F.spark_partition_id()))
-    groups = dealt.groupBy("_p", *keys).agg(F.count("*").alias("_c"))
+    dealt = cut(df.withColumn("_a", amount).repartitionByRange(ranges, *map(F.col, keys), *order).withColumn("_p", F.spark_partition_id()))
+    groups = dealt.groupBy("_p", *keys).agg(F.sum("_a").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     bases = groups.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b")
-    own = dealt.withColumn("_l", F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)) - 1)
+    own = dealt.withColumn("_l", F.sum("_a").over(Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     same = F.col("_p") == F.col("_q")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return own.join(bases, same).select(*df.columns, (F.col("_b") + F.col("_l")).alias(name))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_i") -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of its group."""
+    return running_sum(df, keys, order, F.lit(1), name).withColumn(name, F.col(name) - 1)

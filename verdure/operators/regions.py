@@ -44,6 +44,17 @@ def smallest_hit(points: DataFrame, regions: DataFrame, point: str, region: str,
     return hit.groupBy(point).agg(F.min_by(region, F.struct(F.col("w").cast("long") * F.col("h"), F.col(region))).alias(region))
 
 
+def smallest_mask_hit(points: DataFrame, pixels: DataFrame, point: str, region: str, keys: list[str]) -> DataFrame:
+    """The region with the smallest box among those whose mask holds each point, the lowest id among equals.
+
+    points (point, keys), pixels (region, keys): the keys are the leaf and the place; joined by equality.
+    """
+    x, y = F.col("x"), F.col("y")
+    boxes = pixels.groupBy(region).agg(((F.max(x) - F.min(x) + 1).cast("long") * (F.max(y) - F.min(y) + 1)).alias("_box"))
+    hit = points.join(pixels.select(region, *keys), keys).join(boxes, region)
+    return hit.groupBy(point).agg(F.min_by(region, F.struct("_box", region)).alias(region))
+
+
 def leaf_ordinal(leaves: DataFrame, src: str, leaf: str) -> DataFrame:
     return leaves.withColumn("ordinal", F.row_number().over(Window.partitionBy(src).orderBy(leaf)) - 1)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdure.operators.ranking import running_sum
+
 SCALE = 1.4826
 
 
@@ -28,19 +30,23 @@ def robust_z(df: DataFrame, keys: list[str], value: str, floor: float = 0.0, val
     return df.join(scales, keys, "left").withColumn("z", z).drop("med", "mad", "scale")
 
 
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _c, _hi, _n): how often each value occurs, how many rows it and smaller ones have, and how many the group has."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    g = running_sum(g, keys, [F.col(value)], F.col("_c"), "_hi")
+    n = g.groupBy(*keys).agg(F.max("_hi").alias("_n"))
+    return g.join(n, keys) if keys else g.join(n)
+
+
 def _at_rank(df: DataFrame, keys: list[str], value: str, rank, name: str) -> DataFrame:
     """The value at a rank, from 0, of each group's sorted values; equal values are counted before they are ordered."""
-    w = Window.partitionBy(*keys)
-    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    g = g.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_k", rank(F.sum("_c").over(w)))
+    g = _counted(df, keys, value).withColumn("_k", rank(F.col("_n")))
     return g.where((F.col("_k") < F.col("_hi")) & (F.col("_k") >= F.col("_hi") - F.col("_c"))).select(*keys, F.col(value).alias(name))
 
 
 def counted_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The mean of each group's two middle values, by counts of equal values."""
-    w = Window.partitionBy(*keys)
-    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    g = g.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    g = _counted(df, keys, value)
     at = lambda k: F.max(F.when((k < F.col("_hi")) & (k >= F.col("_hi") - F.col("_c")), F.col(value).cast("double")))
     return g.groupBy(*keys).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias(name))
 

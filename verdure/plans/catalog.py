@@ -121,7 +121,7 @@ def fully_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.fully_reviewed(leaves, found, leaves.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", F.col("l_linestatus") == "F").select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY ((o_orderkey - 700) % 15000 + 15000) % 15000, o_orderkey LIMIT 1")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey < 700, o_orderkey LIMIT 1")
 def unreviewed_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.next_unreviewed(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderstatus") == "O", 700).select("o_orderkey")
 

@@ -416,6 +416,14 @@ on_leaves(
 )
 
 
+def _random_damage(mask: np.ndarray, _: dict) -> dict[str, np.ndarray]:
+    left, mode = raster.random_damage(mask, {"coastal": 1, "snake": 2, "spots": 1}, 0.3, 0.3, 11, apex=1.0)
+    return {"removed": np.array([int((mask & ~left).sum())]), "added": np.array([int((left & ~mask).sum())]), "known": np.array([mode in ("coastal", "snake", "spots")])}
+
+
+on_leaves(_random_damage, "removed int, added int, known boolean", f"{WITH} SELECT leaf, CAST(floor(CAST(0.3 AS DOUBLE) * count(*)) AS INTEGER) AS removed, 0 AS added, true AS known FROM px GROUP BY leaf", "px_random_damage")
+
+
 def _augment(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
     a, b = raster.augment([mask, np.where(mask, c["v"] + 1, 0)], 5)
     return {"paired": np.array([bool(((b > 0) == a).all())]), "area": np.array([a.size])}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdure.functions import scalars, vectors
 from verdure.kernels.apply import map_masks
@@ -98,6 +99,18 @@ def palette_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins ---
 
 
+@query(f"""
+{pixels.WITH}, r AS (SELECT leaf * 10 AS region, leaf, x, y FROM px UNION ALL SELECT leaf * 10 + 1 + f, leaf, x, y FROM px), b AS (SELECT region, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS box FROM r GROUP BY region),
+p AS (SELECT c_custkey AS point, CAST(c_custkey % 50 + 1 AS INTEGER) AS leaf, CAST(c_custkey * 13 % {pixels.W} AS INTEGER) AS x, CAST(c_custkey * 7 % {pixels.H} AS INTEGER) AS y FROM customer)
+SELECT point, arg_min(region, (box, region)) AS region FROM p JOIN r USING (leaf, x, y) JOIN b USING (region) GROUP BY point""")
+def point_in_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels.pixels(spark, sf_dir)
+    every = px.select((F.col("leaf") * 10).alias("region"), "leaf", "x", "y").union(px.select(F.col("leaf") * 10 + 1 + F.col("f"), "leaf", "x", "y"))
+    k = F.col("c_custkey")
+    points_ = table(spark, sf_dir, "customer").select(k.alias("point"), (k % 50 + 1).cast("int").alias("leaf"), (k * 13 % pixels.W).cast("int").alias("x"), (k * 7 % pixels.H).cast("int").alias("y"))
+    return regions.smallest_mask_hit(points_, every, "point", "region", ["leaf", "x", "y"])
+
+
 @query("SELECT l_orderkey, sum(l_quantity * o_totalprice) AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) >= 2")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists that share an index are joined by it, never by the order of rows."""
@@ -375,6 +388,20 @@ def vector_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(vectors.normalize(v), ones), 5).alias("unit"), F.round(vectors.dot(vectors.rescale(v), ones), 5).alias("root2"), F.round(z, 5).alias("logit"), r6(vectors.sigmoid(z)).alias("share"))
 
 
+@query(f"SELECT vec_id, round(sum(x * x * (dim + 1)), 4) AS score FROM ({EXPLODED}) GROUP BY vec_id")
+def model_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pluggable network's place, taken by a fixed function."""
+    from verdure.kernels.apply import predict
+
+    def model():
+        import numpy as np
+
+        return lambda batch: ((np.asarray(batch, float) ** 2) * np.arange(1, 65)).sum(axis=1)
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
+    return e.select("vec_id", F.round(predict(model, "v", T.DoubleType(), input_tensor_shapes=[[64]]), 4).alias("score"))
+
+
 @query(f"""
 WITH m AS (SELECT dim, avg(x) AS m FROM ({EXPLODED}) GROUP BY dim), t AS (SELECT sum(v) AS t FROM (SELECT var_pop(x) AS v FROM ({EXPLODED}) GROUP BY dim))
 SELECT vec_id, round(sum((x - m) ** 2), 5) AS norm2, round(max(t), 5) AS total FROM ({EXPLODED}) JOIN m USING (dim), t GROUP BY vec_id""")
@@ -425,14 +452,29 @@ def _fixed_merges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return part.where("p_partkey > 0").select(step.cast("int").alias("step"), ((j * 7 + 3) % j).cast("int").alias("i"), j.cast("int").alias("j"), (step + (step * 37 % 11) / 16.0).alias("dist")), n
 
 
-@query(f"""
-WITH RECURSIVE {_MERGES}, tree AS (SELECT CAST(p_partkey AS INTEGER) AS node, coalesce(i, CAST(p_partkey AS INTEGER)) AS parent FROM part LEFT JOIN (SELECT g.* FROM g, n WHERE step < n - 8) ON j = p_partkey), {_ROOTS}, lead_ AS (SELECT * FROM root), {_LABEL}
-SELECT point, CAST(CASE WHEN n >= 3 THEN label ELSE -1 END AS INTEGER) AS label FROM root JOIN rank_ USING (cluster)""")
+def _cut_sql(k: int, least: int) -> str:
+    return f"""
+WITH RECURSIVE {_MERGES}, tree AS (SELECT CAST(p_partkey AS INTEGER) AS node, coalesce(i, CAST(p_partkey AS INTEGER)) AS parent FROM part LEFT JOIN (SELECT g.* FROM g, n WHERE step < n - {k}) ON j = p_partkey), {_ROOTS}, lead_ AS (SELECT * FROM root), {_LABEL}
+SELECT point, CAST(CASE WHEN n >= {least} THEN label ELSE -1 END AS INTEGER) AS label FROM root JOIN rank_ USING (cluster)"""
+
+
+@query(_cut_sql(8, 3))
 def fixed_cut_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges, n = _fixed_merges(spark, sf_dir)
     return cluster.cut_k(merges, n, 8, 3).select("point", F.col("label").cast("int"))
 
 
+@query(f"SELECT 20 AS k, point, label FROM ({_cut_sql(20, 1)}) UNION ALL SELECT 5, point, label FROM ({_cut_sql(5, 2)})")
+def fixed_recut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merges, kept in a table, cut at other numbers without being made again."""
+    from verdure.session import cut
+
+    merges, n = _fixed_merges(spark, sf_dir)
+    kept = cut(merges)
+    one = lambda k, least: cluster.cut_k(kept, n, k, least).select(F.lit(k).alias("k"), "point", F.col("label").cast("int"))
+    return one(20, 1).union(one(5, 2))
+
+
 @query(f"""
 WITH {_MERGES}, d AS (SELECT step, lead(dist) OVER (ORDER BY step) - dist AS gap FROM g)
 SELECT CAST(row_number() OVER (ORDER BY gap DESC, step) AS INTEGER) AS place, gap, CAST((SELECT n FROM n) - step - 1 AS INTEGER) AS k FROM d WHERE gap IS NOT NULL ORDER BY gap DESC, step LIMIT 4""")
