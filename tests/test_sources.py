@@ -59,6 +59,57 @@ def test_png_rows_against_the_definition():
         assert images._unfilter(line, kind, above).ravel().tolist() == want.tolist()
 
 
+def png(kind, depth, rows, more=()):
+    """A PNG of unfiltered rows of bytes."""
+    import struct
+    import zlib
+
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", rows[0][0], len(rows), depth, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + b"".join(part(k, v) for k, v in more) + part(b"IDAT", zlib.compress(b"".join(b"\0" + r for _, r in rows))) + part(b"IEND", b"")
+
+
+def test_png_depths():
+    import struct
+
+    assert images.decode(png(0, 1, [(10, bytes([0b10110000, 0b01000000]))]))[0, :, 0].tolist() == [255, 0, 255, 255, 0, 0, 0, 0, 0, 255]
+    assert images.decode(png(0, 4, [(3, bytes([0x0F, 0x80]))]))[0, :, 1].tolist() == [0, 255, 136]
+    two = images.decode(png(3, 2, [(3, bytes([0b00011000]))], [(b"PLTE", bytes([1, 2, 3, 4, 5, 6, 7, 8, 9])), (b"tRNS", bytes([9]))]))
+    assert two[0].tolist() == [[1, 2, 3, 9], [4, 5, 6, 255], [7, 8, 9, 255]]
+    deep = struct.pack(">6H", 0x1234, 0xFF00, 1, 0x0101, 2, 3)
+    assert images.decode(png(2, 16, [(2, deep)], [(b"tRNS", struct.pack(">3H", 0x0101, 2, 3))]))[0].tolist() == [[0x12, 0xFF, 0, 255], [1, 0, 0, 0]]
+
+
+def test_bmp_and_tiff():
+    import struct
+    import zlib
+
+    rgb = np.random.default_rng(4).integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    want = np.concatenate([rgb, np.full((3, 5, 1), 255, np.uint8)], axis=2)
+    rows = b"".join(r[:, ::-1].tobytes() + b"\0" for r in rgb[::-1])
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 5, 3, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+    assert (images.decode(bmp) == want).all()
+    top = b"BM" + struct.pack("<IHHI", 0, 0, 0, 62) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 8, 0, 4, 0, 0, 2, 0) + bytes([3, 2, 1, 0, 6, 5, 4, 0]) + bytes([1, 0, 0, 0])
+    assert images.decode(top)[0].tolist() == [[4, 5, 6, 255], [1, 2, 3, 255]]
+    for end, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        for packing, predictor in ((1, 1), (8, 2)):
+            px = np.diff(rgb, axis=1, prepend=np.zeros((3, 1, 3), np.uint8)) if predictor == 2 else rgb
+            strips = [px[:2].tobytes(), px[2:].tobytes()]
+            strips = [zlib.compress(x) for x in strips] if packing == 8 else strips
+            entries = [(256, 3, 1, 5), (257, 3, 1, 3), (258, 3, 3, 200), (259, 3, 1, packing), (262, 3, 1, 2), (273, 4, 2, 210), (277, 3, 1, 3), (278, 3, 1, 2), (279, 4, 2, 220), (317, 3, 1, predictor)]
+            ifd = struct.pack(end + "H", len(entries)) + b"".join(struct.pack(end + "HHI", t, k, n) + (struct.pack(end + "HH", v, 0) if k == 3 and n == 1 else struct.pack(end + "I", v)) for t, k, n, v in entries) + b"\0" * 4
+            data = bytearray(300)
+            data[:8] = mark + struct.pack(end + "I", 8)
+            data[8 : 8 + len(ifd)] = ifd
+            data[200:206] = struct.pack(end + "3H", 8, 8, 8)
+            data[210:218] = struct.pack(end + "2I", 300, 300 + len(strips[0]))
+            data[220:228] = struct.pack(end + "2I", *map(len, strips))
+            assert (images.decode(bytes(data) + b"".join(strips)) == want).all()
+    for bad in (b"BM" + b"\0" * 60, b"II*\0" + b"\x08\0\0\0" + b"\0" * 20):
+        with pytest.raises(ValueError):
+            images.decode(bad)
+
+
 def test_scan_outside_a_folder(spark, tmp_path):
     for d in ("in", "in/out", "in/about/out", "in/output"):
         (tmp_path / d).mkdir(parents=True, exist_ok=True)

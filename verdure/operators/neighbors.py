@@ -56,7 +56,7 @@ def knn_mean(queries: DataFrame, bank: DataFrame, k: int, ties: str = "rows") ->
     if not n:
         return q.limit(0).select("q_id", F.lit(0.0).alias("score"))
     if n * dim <= BROADCAST:
-        held = np.array([r.v for r in bank.collect()], np.float64)
+        held = _matrix(bank.select("v").toArrow().column("v"))
         shared = q.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

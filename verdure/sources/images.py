@@ -57,18 +57,25 @@ def check_apart(source: str, out: str) -> None:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """RGBA pixels. PNG of 8 bits is read here; other formats need an image library."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return _png(data)
+    """RGBA pixels. PNG without interlacing, plain BMP and stripped 8-bit TIFF are read here; other formats need an image library."""
+    for mark, read in ((b"\x89PNG\r\n\x1a\n", _png), (b"BM", _bmp), (b"II*\0", _tiff), (b"MM\0*", _tiff)):
+        if data[: len(mark)] == mark:
+            return read(data)
     try:
         from PIL import Image
     except ImportError as e:
-        raise ValueError("only 8-bit PNG can be read without an image library") from e
+        raise ValueError("only PNG, BMP and TIFF can be read without an image library") from e
     return np.asarray(Image.open(io.BytesIO(data)).convert("RGBA"))
 
 
+def _with_alpha(px: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
+    """RGBA from grey or RGB pixels, opaque unless alpha is given."""
+    rgb = np.repeat(px[..., :1], 3, axis=2) if px.shape[2] < 3 else px[..., :3]
+    return np.concatenate([rgb, np.full((*px.shape[:2], 1), 255, np.uint8) if alpha is None else alpha], axis=2)
+
+
 def _png(data: bytes) -> np.ndarray:
-    at, body, palette, alpha, head = 8, [], None, None, None
+    at, body, palette, clear, head = 8, [], None, None, None
     while at < len(data):
         (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + n]
@@ -77,26 +84,75 @@ def _png(data: bytes) -> np.ndarray:
         elif kind == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
-            alpha = np.frombuffer(part, np.uint8)
+            clear = part
         elif kind == b"IDAT":
             body.append(part)
         at += 12 + n
-    if head is None or head[2] != 8 or head[6]:
-        raise ValueError("not an 8-bit, non-interlaced PNG")
-    w, h, _, colour = head[:4]
+    if head is None or head[6]:
+        raise ValueError("not a PNG without interlacing")
+    w, h, depth, colour = head[:4]
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
-    out, above = np.zeros((h, w, n), np.uint8), np.zeros((w, n), np.uint8)
+    width, step = -(-w * n * depth // 8), max(1, n * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + width)
+    out, above = np.zeros((h, width // step, step), np.uint8), np.zeros((width // step, step), np.uint8)
     for y in range(h):
-        above = out[y] = _unfilter(raw[y, 1:].reshape(w, n), int(raw[y, 0]), above)
-    px = out
+        above = out[y] = _unfilter(raw[y, 1:].reshape(-1, step), int(raw[y, 0]), above)
+    if depth < 8:  # several samples to a byte, the first in its high bits
+        parts = (out[..., 0][:, :, None] >> np.arange(8 - depth, -1, -depth)) & ((1 << depth) - 1)
+        value = parts.reshape(h, -1, 1)[:, :w]
+    else:
+        value = out.reshape(h, w, n, depth // 8).astype(np.uint16)
+        value = value[..., 0] if depth == 8 else value[..., 0] << 8 | value[..., 1]
     if colour == 3:
-        a = np.full(len(palette), 255, np.uint8)
-        if alpha is not None:
-            a[: len(alpha)] = alpha
-        return np.concatenate([palette, a[:, None]], axis=1)[px[..., 0]]
-    rgb = np.repeat(px[..., :1], 3, axis=2) if n < 3 else px[..., :3]
-    return np.concatenate([rgb, px[..., -1:] if n in (2, 4) else np.full((h, w, 1), 255, np.uint8)], axis=2)
+        alpha = np.full(len(palette), 255, np.uint8)
+        if clear is not None:
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+        return np.concatenate([palette, alpha[:, None]], axis=1)[value[..., 0]]
+    px = (value * (255 // ((1 << depth) - 1)) if depth < 8 else value >> (depth - 8)).astype(np.uint8)
+    if n in (2, 4):
+        return _with_alpha(px, px[..., -1:])
+    if clear is not None:  # one colour that is transparent
+        key = np.array(struct.unpack(f">{n}H", clear))
+        return _with_alpha(px, np.where((value == key).all(axis=2), 0, 255).astype(np.uint8)[..., None])
+    return _with_alpha(px)
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    start, size, w, h, _, bits, packing = struct.unpack("<I I i i H H I", data[10:34])
+    if bits not in (8, 24, 32) or packing not in (0, 3):
+        raise ValueError("not a plain BMP of 8, 24 or 32 bits")
+    stride = -(-w * bits // 32) * 4
+    raw = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)
+    raw = raw[::-1] if h > 0 else raw
+    if bits == 8:
+        used = struct.unpack("<I", data[46:50])[0] or 256
+        table = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
+        return _with_alpha(table[raw[..., 0]])
+    return _with_alpha(raw[..., 2::-1], raw[..., 3:] if bits == 32 and packing == 3 else None)
+
+
+def _tiff(data: bytes) -> np.ndarray:
+    end = "<" if data[:2] == b"II" else ">"
+    (at,) = struct.unpack(end + "I", data[4:8])
+    tags: dict[int, tuple] = {}
+    for k in range(struct.unpack(end + "H", data[at : at + 2])[0]):
+        tag, kind, n, _ = struct.unpack(end + "HHII", data[at + 2 + 12 * k : at + 14 + 12 * k])
+        letter = {1: "B", 3: "H", 4: "I"}.get(kind)
+        if letter:
+            size = n * struct.calcsize(letter)
+            place = at + 10 + 12 * k if size <= 4 else struct.unpack(end + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
+            tags[tag] = struct.unpack(f"{end}{n}{letter}", data[place : place + size])
+    one = lambda t, d: tags.get(t, (d,))[0]
+    w, h, n, packing = one(256, 0), one(257, 0), one(277, 1), one(259, 1)
+    if set(tags.get(258, (8,))) != {8} or packing not in (1, 8, 32946) or one(284, 1) != 1 or one(262, 1) > 2 or 273 not in tags:
+        raise ValueError("not a stripped TIFF of 8 bits, plain or deflated")
+    strips = [data[a : a + b] for a, b in zip(tags[273], tags[279])]
+    px = np.frombuffer(b"".join(s if packing == 1 else zlib.decompress(s) for s in strips), np.uint8).reshape(h, w, n)
+    if one(317, 1) == 2:
+        px = np.cumsum(px, axis=1, dtype=np.uint8)
+    if one(262, 1) == 0:
+        px = np.concatenate([255 - px[..., :1], px[..., 1:]], axis=2)
+    return _with_alpha(px, px[..., -1:] if n in (2, 4) else None)
 
 
 def _unfilter(line: np.ndarray, kind: int, above: np.ndarray) -> np.ndarray:
