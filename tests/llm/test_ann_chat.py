@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdure.llm.ann import nearest, rotation, scan_lists
-from verdure.llm.chat import maximal_conversations, prefix_hashes, render
+from verdure.llm.chat import maximal_conversations, prefix_hashes
 
 
 def exact(rows, q, k=10):

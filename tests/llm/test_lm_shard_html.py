@@ -150,8 +150,6 @@ def test_shards_are_even_with_a_hot_group(spark):
 
 def test_splitters_against_a_sort(spark):
     """Each boundary halves the sorted keys' cumulated bytes as near as its tolerance, or a row, allows."""
-    from pyspark.sql import functions as F
-
     from verdure.llm.sharding import TOP, histogram, splitters
 
     rng = np.random.default_rng(11)
