@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verdure.llm import quality, toxicity
 from verdure.llm.decontam import without_contaminated

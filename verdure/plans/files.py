@@ -17,7 +17,7 @@ from verdure.functions import scalars
 from verdure.kernels.apply import map_leaves
 from verdure.operators import state
 from verdure.plans.catalog import EXPLODED, query, r6, table
-from verdure.session import shared_path
+from verdure.session import cut, shared_path
 from verdure.sources import exports, files, images, sinks
 
 # --- images ---
@@ -247,7 +247,7 @@ def sort_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = spark.createDataFrame([(-1, "source_path,status")], "event_id long, value string")
     header.union(lines).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
     live = files.sort_state(spark, path).withColumn("by", F.lit("log"))
-    kept = spark.createDataFrame(live.collect(), live.schema)
+    kept = cut(live)
     return kept.union(files.sort_state(spark, exports.archive(spark, path)).withColumn("by", F.lit("archived")))
 
 
@@ -379,7 +379,7 @@ def sorted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = images.scan(spark, root).select(plain(F.col("path")).alias("path"))
     k = F.regexp_extract("path", r"i(\d+)\.[^.]*$", 1).cast("long")
     items = found.select("path", exports.destination(F.col("path"), source, F.when(k % 2 == 0, "even").otherwise("odd")).alias("target"), (k % 2 == 1).alias("odd"))
-    items = spark.createDataFrame(items.collect(), items.schema)
+    items = cut(items)  # what lies in the folder before anything is moved
     done = exports.copy_files(items.where("not odd"), out).count() + exports.copy_files(items.where("odd"), out, move=True).count()
     left = images.scan(spark, root).select(F.lit(1)).count()
     by = F.when(F.startswith("name", F.lit("even/")), "copied").otherwise(F.when(F.lit(left + items.where("odd").count() == done), "moved").otherwise("kept"))
