@@ -109,7 +109,9 @@ def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_returnflag AS label, sum(l_quantity) AS total, sum(l_quantity) FILTER (l_orderkey = 1) AS here, count(DISTINCT l_orderkey) AS leaves
 FROM lineitem GROUP BY 1""")
 def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.sum("l_quantity").alias("total"), F.sum(F.when(F.col("l_orderkey") == 1, F.col("l_quantity"))).alias("here"), F.count_distinct("l_orderkey").alias("leaves"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("leaf"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("area"))
+    leaves = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("leaf"), F.lit(1).alias("leaf_px"), F.lit(0).alias("recon_whole"))
+    return regions.cluster_table(found, leaves, 1).select("label", "total", "here", "leaves")
 
 
 @query("""
@@ -449,12 +451,8 @@ def merge_forest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    share = PCA(k=8, inputCol="v", outputCol="p").fit(e).explainedVariance.toArray()
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(share)], "component int, share double")
+    values, _, _ = stats.principal(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    return spark.createDataFrame([(i, x / sum(values)) for i, x in enumerate(values[:8])], "component int, share double")
 
 
 @query()
