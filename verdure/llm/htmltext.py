@@ -43,7 +43,7 @@ AGAINST = frozenset(
     "nav menu navbar header masthead banner footer foot aside sidebar ad ads adv advert advertisement sponsor sponsored promo promoted popup modal cookie cookies consent notice alert form search login signup subscribe newsletter share social related recommend recommended breadcrumb breadcrumbs comment comments reply replies respond disqus discussion widget toolbar pagination pager tags button input label dialog copyright legal".split()
 )
 PRIOR = 4.0
-#: Elements around all text, which say nothing.
+#: Elements around all text: their attributes say nothing.
 EVERYWHERE = frozenset({"<html>", "<body>"})
 #: Bounds of a word's score: text amid the region that counts against it can't part it at once.
 WORST, BEST = -0.5, 2.0
