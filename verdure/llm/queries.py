@@ -13,6 +13,7 @@ from verdure.llm.chat import maximal_conversations
 from verdure.llm.decontam import contaminated
 from verdure.llm.dedup import near_duplicates
 from verdure.llm.htmltext import main_text
+from verdure.llm.layout import neighbourhoods
 from verdure.llm.labelled import remainder, training_rows
 from verdure.llm.packing import pack
 from verdure.llm.sharding import shard
@@ -76,6 +77,10 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbourhoods(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_recurrent_lm,
         op9_html_main_text,
         op10_histogram_sharding,
+        op11_clustered_layout,
     )
 }
 
@@ -115,4 +121,17 @@ kept AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM hashed GROUP
 SELECT conv_id, CAST(n_turns AS INTEGER) AS n_turns, n_copies,
   array_to_string(list_transform(turns, lambda s: '<|im_start|>' || coalesce(nullif(replace(s.r, '<|', '<\u200b|'), ''), 'unknown') || chr(10) || coalesce(replace(s.x, '<|', '<\u200b|'), '') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM kept JOIN hashed USING (conv_id)""",
+    "op11_clustered_layout": """
+WITH v AS (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN -1 ELSE strlen(text) END AS length,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::UBIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 365 AS date FROM documents),
+c AS (SELECT doc_id, 8 * (rank() OVER (ORDER BY source NULLS FIRST) - 1) // count(*) OVER () AS c0, 8 * (rank() OVER (ORDER BY lang NULLS FIRST) - 1) // count(*) OVER () AS c1,
+    8 * (rank() OVER (ORDER BY length NULLS FIRST) - 1) // count(*) OVER () AS c2, 8 * (rank() OVER (ORDER BY date NULLS FIRST) - 1) // count(*) OVER () AS c3 FROM v),
+z AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda b: ((c0 >> b & 1) * 8 + (c1 >> b & 1) * 4 + (c2 >> b & 1) * 2 + (c3 >> b & 1)) << 4 * b))::BIGINT AS z FROM c),
+f AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position, (row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1) // 1000 AS file FROM z),
+b AS (SELECT file, min(c0) AS l0, max(c0) AS h0, min(c1) AS l1, max(c1) AS h1, min(c2) AS l2, max(c2) AS h2, min(c3) AS l3, max(c3) AS h3 FROM f GROUP BY file),
+q AS (SELECT DISTINCT z, c0, c1, c2, c3 FROM f),
+t AS (SELECT z, count(*) AS files_touched FROM q JOIN b ON c0 BETWEEN l0 AND h0 AND c1 BETWEEN l1 AND h1 AND l2 <= c2 + 1 AND h2 >= c2 - 1 AND l3 <= c3 + 1 AND h3 >= c3 - 1 GROUP BY z),
+m AS (SELECT q.z, count(DISTINCT file) AS files_matching FROM q JOIN (SELECT DISTINCT file, c0, c1, c2, c3 FROM f) f ON f.c0 = q.c0 AND f.c1 = q.c1 AND abs(f.c2 - q.c2) <= 1 AND abs(f.c3 - q.c3) <= 1 GROUP BY q.z)
+SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',', l0, h0, l1, h1, l2, h2, l3, h3) AS file_bounds FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)""",
 }
