@@ -15,6 +15,7 @@ from verdure.llm.dedup import near_duplicates
 from verdure.llm.htmltext import main_text
 from verdure.llm.layout import neighbourhoods
 from verdure.llm.labelled import remainder, training_rows
+from verdure.llm.lloyd import clusters
 from verdure.llm.packing import pack
 from verdure.llm.sharding import shard
 from verdure.llm.store import Store, table
@@ -81,6 +82,10 @@ def op11_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhoods(table(spark, sf_dir, "documents"))
 
 
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,9 +100,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_main_text,
         op10_histogram_sharding,
         op11_clustered_layout,
+        op12_delta_lloyd,
     )
 }
 
+
+def _lloyd_sql(k: int, rounds: int, dim: int) -> str:
+    """Lloyd's rounds, one after the other."""
+    steps = [
+        f"""WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS m FROM e QUALIFY c < {k})""",
+    ]
+    near = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, min(struct_pack(d := {near}, c := c)) AS best FROM e, c{i} GROUP BY ALL)""")
+        if i < rounds:
+            mean = "list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i)"
+            sums = f"(SELECT best.c AS c, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{i}, range(1, {dim + 1}) t(i) GROUP BY ALL)"
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(x.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, {mean} AS m FROM {sums} GROUP BY c) x USING (c))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+
+
 #: DuckDB SQL of the same rows, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": """
@@ -134,4 +160,5 @@ q AS (SELECT DISTINCT z, c0, c1, c2, c3 FROM f),
 t AS (SELECT z, count(*) AS files_touched FROM q JOIN b ON c0 BETWEEN l0 AND h0 AND c1 BETWEEN l1 AND h1 AND l2 <= c2 + 1 AND h2 >= c2 - 1 AND l3 <= c3 + 1 AND h3 >= c3 - 1 GROUP BY z),
 m AS (SELECT q.z, count(DISTINCT file) AS files_matching FROM q JOIN (SELECT DISTINCT file, c0, c1, c2, c3 FROM f) f ON f.c0 = q.c0 AND f.c1 = q.c1 AND abs(f.c2 - q.c2) <= 1 AND abs(f.c3 - q.c3) <= 1 GROUP BY q.z)
 SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',', l0, h0, l1, h1, l2, h2, l3, h3) AS file_bounds FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)""",
+    "op12_delta_lloyd": _lloyd_sql(8, 10, 64),
 }
