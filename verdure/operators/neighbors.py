@@ -1,6 +1,7 @@
-"""Neighbour joins in blocks: one block of the bank meets all queries, or two blocks meet in a task.
+"""Neighbour joins by metric partitioning: vectors meet those of the cells that may hold a neighbour.
 
 Distances are computed within Arrow batches; only what a join returns becomes rows.
+Vectors that are null or have a null or non-finite component take no part.
 """
 
 from __future__ import annotations
@@ -9,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark import Accumulator
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdure.functions.vectors import dot
+from verdure.operators import pivots
+from verdure.operators.pivots import Cells, finite
+from verdure.session import cut
 
 #: Rows of a block.
 BLOCK = 2048
@@ -45,14 +50,13 @@ def knn_mean(queries: DataFrame, bank: DataFrame, k: int, ties: str = "rows") ->
     """(q_id, score): mean distance to the k nearest rows of the bank, or the k nearest distinct distances.
 
     queries (q_id, v), bank (row_id, v); k is at most the bank's size. A bank of checked,
-    small size is broadcast; a larger one is taken in blocks whose best k are merged.
-    An empty bank gives no rows.
+    small size is broadcast; a larger one is searched by cells. An empty bank gives no rows.
     """
     if ties not in ("rows", "distinct"):
         raise ValueError("ties is rows or distinct")
-    bank = bank.select("row_id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    bank = bank.select("row_id", F.col("v").cast("array<double>").alias("v")).where(finite("v"))
     n, dim = bank.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    q = queries.select("q_id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    q = queries.select("q_id", F.col("v").cast("array<double>").alias("v")).where(finite("v"))
     if not n:
         return q.limit(0).select("q_id", F.lit(0.0).alias("score"))
     if n * dim <= BROADCAST:
@@ -67,106 +71,155 @@ def knn_mean(queries: DataFrame, bank: DataFrame, k: int, ties: str = "rows") ->
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_smallest(x, k, ties).mean() for x in d])], names=["q_id", "score"])
 
         return q.mapInArrow(run, f"q_id {dict(q.dtypes)['q_id']}, score double")
-    blocks = -(-n // BLOCK)
-    near = _in_blocks(q, bank, blocks, k, ties)
-    d = F.dense_rank() if ties == "distinct" else F.row_number()
-    best = near.withColumn("rank", d.over(Window.partitionBy("q_id").orderBy("d"))).where(F.col("rank") <= k)
-    best = best.dropDuplicates(["q_id", "d"]) if ties == "distinct" else best
-    return best.groupBy("q_id").agg(F.avg("d").alias("score"))
-
-
-def _in_blocks(q: DataFrame, bank: DataFrame, blocks: int, k: int, ties: str) -> DataFrame:
-    """Distances to the k nearest of each block of the bank."""
-    some = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
-    left = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("q_id").alias("id"), "v", F.lit(True).alias("asks"))
-    right = bank.select(some.alias("block"), F.lit(None).cast(dict(q.dtypes)["q_id"]).alias("id"), "v", F.lit(False).alias("asks"))
-
-    def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        m, ids = _matrix(table.column("v")), table.column("id").filter(pa.array(asks))
-        rows, at = [], []
-        for i, x in enumerate(m[asks]):
-            best = _smallest(np.sqrt(_square(x[None, :], m[~asks]))[0], k, ties) if (~asks).any() else np.zeros(0)
-            rows.append(best)
-            at.append(np.full(len(best), i))
-        index = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return pa.table({"q_id": ids.take(pa.array(index.astype(np.int64))), "d": pa.array(np.concatenate(rows) if rows else np.zeros(0))})
-
-    return left.union(right).groupBy("block").applyInArrow(run, f"q_id {dict(q.dtypes)['q_id']}, d double")
-
-
-def axis(points: DataFrame, sample: int = 10_000) -> np.ndarray:
-    """The direction in which a bounded sample of the vectors varies most."""
-    rows = points.where("v is not null").orderBy(F.xxhash64("point_id")).limit(sample).select(F.col("v").cast("array<double>").alias("v")).toArrow()
-    x = _matrix(rows.column("v"))
-    x = x[np.isfinite(x).all(axis=1)]
-    if len(x) < 2:
-        return np.eye(1, max(x.shape[1], 1))[0]
-    return np.linalg.eigh(np.cov(x.T).reshape(x.shape[1], -1))[1][:, -1]
-
-
-def eps_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b, d) for all pairs within ``eps``, each point with itself too; points (point_id, v).
+    near = k_nearest(q.withColumnRenamed("q_id", "id"), bank.withColumnRenamed("row_id", "id"), k, ties)
+    return near.select(F.col("id").alias("q_id"), (F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("score"))
+
+
+def k_nearest(queries: DataFrame, bank: DataFrame, k: int, ties: str = "rows", others: bool = False, compared: Accumulator | None = None) -> DataFrame:
+    """(id, near): the k smallest distances of each query to rows of the bank, in order, exactly; queries (id, v), bank (id, v).
 
-    Points are dealt to strips, as wide as ``eps``, along the direction in which they vary
-    most, so that neighbours lie in the same strip or in adjacent ones; large strips are cut
-    to blocks of bounded size. Two blocks meet in a task, and only neighbours become rows.
+    A query looks at its nearest cells first, until they hold k rows; the k-th distance
+    found there is the radius within which every cell that may hold something nearer is
+    looked at. ``others``: rows of the query's own id don't count. ``ties`` "distinct"
+    counts equal distances once. ``compared`` adds up how many pairs met.
     """
-    p = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null and point_id is not null")
-    placed = p.withColumn("strip", F.floor(dot(F.col("v"), F.lit([float(x) for x in axis(p)])) / (eps * (1 + 1e-9) if eps > 0 else 1.0)))
-    blocks = placed.groupBy("strip").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    own = placed.join(blocks, "strip").withColumn("own", F.pmod(F.xxhash64("point_id"), F.col("n")).cast("int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = ["point_id", "v"]
-    inside = own.select("*", every("n").alias("other")).select(F.col("strip").alias("s"), F.col("strip").alias("t"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), *row)
-    above = own.join(blocks.select((F.col("strip") - 1).alias("strip"), F.col("n").alias("m")), "strip")
-    above = above.select("*", every("m").alias("other")).select(F.col("strip").alias("s"), (F.col("strip") + 1).alias("t"), F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), *row)
-    below = own.join(blocks.select((F.col("strip") + 1).alias("strip"), F.col("n").alias("m")), "strip")
-    below = below.select("*", every("m").alias("other")).select((F.col("strip") - 1).alias("s"), F.col("strip").alias("t"), F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *row)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        s, t, i, j = (k.as_py() for k in key)
-        ids, m = table.column("point_id").to_numpy(), _matrix(table.column("v"))
-        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-        found = []
-        for lo in range(0, len(left), 256):
-            rows = left[lo : lo + 256]
-            d = np.array([((m[right] - m[r]) ** 2).sum(1) for r in rows]).reshape(len(rows), len(right))
-            x, y = np.nonzero(d <= eps * eps)
-            found.append((ids[rows[x]], ids[right[y]], np.sqrt(d[x, y])))
-        a, b, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
-        if (s, i) != (t, j):
-            a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
+    q = cut(queries.select("id", F.col("v").cast("array<double>").alias("v")).where(finite("v")))
+    bank = bank.select("id", F.col("v").cast("array<double>").alias("v")).where(finite("v"))
+    x, n = pivots.sample(bank, "id")
+    if not n:
+        return q.limit(0).select("id", F.array().cast("array<double>").alias("near"))
+    # On the sample, the place of the k-th neighbour among fewer rows gives about its distance.
+    d = np.sort(pivots.distances(x[:1024], x), axis=1)
+    chosen = Cells(pivots.choose(x, n, d[:, min(len(x) - 1, max(1, round(k * len(x) / n)))] if len(x) > 1 else np.zeros(1), BLOCK))
+    placed = cut(pivots.place(bank, "id", chosen))
+    cells = pivots.measured(placed, chosen)
+    want = k + bool(others)
+
+    def first(cells: Cells, d: np.ndarray, radius: np.ndarray, off: float) -> np.ndarray:
+        order = np.argsort(np.where(cells.count > 0, d, np.inf), axis=1, kind="stable")
+        sofar = np.cumsum(cells.count[order], axis=1) - cells.count[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, (sofar < want) & (cells.count[order] > 0), axis=1)
+        return out
+
+    def rest(cells: Cells, d: np.ndarray, radius: np.ndarray, off: float) -> np.ndarray:
+        return cells.visits(d, radius, off) & ~first(cells, d, radius, off)
+
+    kind = dict(q.dtypes)["id"]
+
+    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, radius, x, y = asked.column("id"), asked.column("r").to_numpy(), _matrix(asked.column("v")), _matrix(held.column("v"))
+        same = held.column("id")
+        at, found, n = [], [], np.zeros(len(x), np.int64)
+        order = np.argsort(held.column("r").to_numpy())
+        y, r = y[order], held.column("r").to_numpy()[order]
+        names = same.to_numpy(zero_copy_only=False)[order]
+        own = ids.to_numpy(zero_copy_only=False)
+        met = 0
+        for lo in range(0, len(x), 64):
+            part = slice(lo, lo + 64)
+            # Only rows whose distance to the pivot lies within the radius of the queries' own can be near.
+            z = y
+            which = names
+            if len(z) and np.isfinite(radius[part]).all():
+                to = pivots.distances(x[part], cells.pivots[[held.column("cell")[0].as_py()]])[:, 0]
+                reach = radius[part] + 2 * pivots.slack(x[part], y)
+                a, b = np.searchsorted(r, (to - reach).min()), np.searchsorted(r, (to + reach).max(), side="right")
+                z, which = y[a:b], names[a:b]
+            met += len(x[part]) * len(z)
+            may = np.not_equal.outer(own[part], which) if others else np.ones((len(x[part]), len(z)), bool)
+            i, dist = _nearest(x[part], z, may, k) if ties == "rows" else _every(x[part], z, may, k)
+            n[part] = np.bincount(i, minlength=len(x[part]))
+            found.append(dist)
+        if compared is not None:
+            compared.add(met)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        return pa.table({"id": ids.combine_chunks(), "near": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0)))})
 
-    return inside.union(above).union(below).groupBy("s", "t", "i", "j").applyInArrow(run, "a long, b long, d double")
+    def merged(rows: DataFrame) -> DataFrame:
+        every = F.flatten(F.collect_list("near"))
+        every = F.array_distinct(F.transform(every, lambda x: F.round(x, 9))) if ties == "distinct" else every
+        return rows.groupBy("id").agg(F.slice(F.sort_array(every), 1, k).alias("near"))
 
+    def search(asking: DataFrame, which) -> DataFrame:
+        visits = cut(pivots.visiting(asking, "id", "radius", cells, which))
+        return pivots.meet(visits, placed, cells, BLOCK, near, f"id {kind}, near array<double>")
+
+    found = cut(merged(search(q.withColumn("radius", F.lit(float("inf"))), first)))
+    # Fewer than k so far: everything is looked at.
+    radius = F.when(F.size("near") < k, F.lit(float("inf"))).otherwise(F.element_at("near", -1) + (1e-9 if ties == "distinct" else 0.0))
+    again = q.join(found.select("id", radius.alias("radius")), "id")
+    return merged(found.union(search(again, rest)))
+
+
+def _every(q: np.ndarray, b: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, distance): its k smallest distinct distances to rows that it may meet."""
+    at, out = [], []
+    for i, d in enumerate(np.sqrt(_square(q, b))):
+        near = _smallest(d[may[i]], k, "distinct")
+        out.append(near)
+        at.append(np.full(len(near), i))
+    return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0))
 
-def kth_distance(points: DataFrame, k: int) -> DataFrame:
-    """(point_id, d): the distance to the k-th nearest other point; points (point_id, v) with fewer than k others give no row.
 
-    Each pair of blocks meets in one task, as in ``eps_pairs``; a point's k nearest of a block become one row.
+def eps_pairs(points: DataFrame, eps: float, compared: Accumulator | None = None) -> DataFrame:
+    """(a, b, d) for all pairs within ``eps``, each point with itself too; points (point_id, v).
+
+    Each point meets the points of its own cell and of those, of smaller number, that the
+    triangle inequality leaves; within a cell, those whose distances to the pivot differ by
+    no more than ``eps``. ``compared`` adds up how many pairs met.
     """
+    p = points.select(F.col("point_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(finite("v") & F.col("id").isNotNull())
+    x, n = pivots.sample(p, "id")
+    if not n:
+        return p.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d"))
+    chosen = Cells(pivots.choose(x, n, np.full(len(x), float(eps)), BLOCK))
+    placed = cut(pivots.place(p, "id", chosen))
+    cells = pivots.measured(placed, chosen)
+
+    def which(cells: Cells, d: np.ndarray, radius: np.ndarray, off: float) -> np.ndarray:
+        home = d.argmin(axis=1)[:, None]
+        other = np.arange(d.shape[1])[None, :]
+        return cells.visits(d, radius, off) & (other < home)
+
+    def pairs(asked: pa.Table, held: pa.Table) -> pa.Table:
+        at = cells.pivots[[held.column("cell")[0].as_py()]] if held.num_rows else None
+        x, y = _matrix(asked.column("v")), _matrix(held.column("v"))
+        left, right = asked.column("id").to_numpy(), held.column("id").to_numpy()
+        found, met = [], 0
+        if len(x) and len(y):
+            to, r = pivots.distances(x, at)[:, 0], held.column("r").to_numpy()
+            rows, order = np.argsort(to), np.argsort(r)
+            y, r, right = y[order], r[order], right[order]
+            off = pivots.slack(x, y)
+            # A visitor's pairs hold in both directions; points at home, whose radius is -1, ask for themselves.
+            home = asked.column("r").to_numpy() < 0
+            for lo in range(0, len(rows), 128):
+                part = rows[lo : lo + 128]
+                a, b = np.searchsorted(r, to[part[0]] - eps - 2 * off), np.searchsorted(r, to[part[-1]] + eps + 2 * off, side="right")
+                met += len(part) * (b - a)
+                i, j = np.nonzero(pivots.distances(x[part], y[a:b]) <= eps + off)
+                i, j = part[i], j + a
+                d = ((x[i] - y[j]) ** 2).sum(1)
+                near = d <= eps * eps
+                i, j, d = i[near], j[near], np.sqrt(d[near])
+                found.append((left[i], right[j], d))
+                out = ~home[i]
+                found.append((right[j[out]], left[i[out]], d[out]))
+        if compared is not None:
+            compared.add(int(met))
+        a, b, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
+
+    visits = cut(pivots.visiting(p.withColumn("radius", F.lit(float(eps))), "id", "radius", cells, which))
+    asking = visits.union(placed.select("id", "v", F.lit(-1.0).alias("radius"), "cell"))
+    return pivots.meet(asking, placed, cells, BLOCK, pairs, "a long, b long, d double")
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        ids, m, block = table.column("point_id").to_numpy(), _matrix(table.column("v")), table.column("own").to_numpy()
-        sides = [np.flatnonzero(block == i), np.flatnonzero(block == j)]
-        at, near, n = [], [], []
-        for rows, others in [sides] if i == j else [sides, sides[::-1]]:
-            for lo in range(0, len(rows), 64):
-                part = rows[lo : lo + 64]
-                x, d = _nearest(m[part], m[others], np.not_equal.outer(ids[part], ids[others]), k)
-                at.append(ids[part])
-                near.append(d)
-                n.append(np.bincount(x, minlength=len(part)))
-        at, near, n = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (near, float), (n, np.int64)))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-        return pa.table({"point_id": pa.array(at), "near": pa.ListArray.from_arrays(offsets, pa.array(near))})
 
-    near = _block_pairs(points).groupBy("i", "j").applyInArrow(run, "point_id long, near array<double>")
-    best = near.groupBy("point_id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
-    return best.where(F.size("near") >= k).select("point_id", F.element_at("near", k).alias("d"))
+def kth_distance(points: DataFrame, k: int) -> DataFrame:
+    """(point_id, d): the distance to the k-th nearest other point; points (point_id, v) with fewer than k others give no row."""
+    p = points.select(F.col("point_id").cast("long").alias("id"), "v").where("id is not null")
+    return k_nearest(p, p, k, others=True).where(F.size("near") >= k).select(F.col("id").alias("point_id"), F.element_at("near", k).alias("d"))
 
 
 def _nearest(q: np.ndarray, b: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +238,3 @@ def _nearest(q: np.ndarray, b: np.ndarray, may: np.ndarray, k: int) -> tuple[np.
     x, d = x[order], d[order]
     keep = np.arange(len(x)) - np.searchsorted(x, x) < k
     return x[keep], d[keep]
-
-
-def _block_pairs(points: DataFrame) -> DataFrame:
-    """(i, j, own, point_id, v): each point, of block ``own``, once for every pair i <= j of blocks that it is in."""
-    p = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null and point_id is not null")
-    blocks = max(1, -(-p.count() // BLOCK))
-    own = p.withColumn("own", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
-    return own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point_id", "v")
