@@ -24,7 +24,7 @@ def chroma(a: np.ndarray, b: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return np.where(valid, np.hypot(a - np.median(a[valid]), b - np.median(b[valid])), 0.0)
 
 
-def open_set(distance: np.ndarray, a: np.ndarray, b: np.ndarray, residual: np.ndarray, valid: np.ndarray, meta: dict, *, low: tuple = (0.4, 0.9, 0.6), cap: int = 100, close: int = 1, least: int = 3, use_floor: bool = True) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+def open_set(distance: np.ndarray, a: np.ndarray, b: np.ndarray, residual: np.ndarray, valid: np.ndarray, meta: dict, *, low: tuple = (0.4, 0.9, 0.6), cap: int = 100, close: int = 1, least: int = 3, use_floor: bool = True) -> tuple[list[raster.Region], dict[str, np.ndarray]]:
     """Novel regions of a whole leaf, and the z of its channels.
 
     Hysteresis on each channel's z; residual-only components must be small or touch the
@@ -44,10 +44,10 @@ def open_set(distance: np.ndarray, a: np.ndarray, b: np.ndarray, residual: np.nd
         mask |= distance >= meta.get("dino_threshold", float("inf"))
     mask = raster.close(mask & valid, close)
     labels, n = raster.label(mask)
-    return [m for k in range(1, n + 1) if (m := labels == k).sum() >= least], z
+    return raster.regions_of(labels, np.flatnonzero(raster.sizes(labels, n)[1:] >= least) + 1), z
 
 
-def closed_set(prob: np.ndarray, family: np.ndarray, valid: np.ndarray, *, tau: float = 0.85, grow: float = 0.7, per_family: dict[int, float] | None = None, component: int = 16, close: int = 1, least: int = 16, share: float = 0.15, part: int = 3) -> list[tuple[np.ndarray, int]]:
+def closed_set(prob: np.ndarray, family: np.ndarray, valid: np.ndarray, *, tau: float = 0.85, grow: float = 0.7, per_family: dict[int, float] | None = None, component: int = 16, close: int = 1, least: int = 16, share: float = 0.15, part: int = 3) -> list[tuple[raster.Region, int]]:
     """Regions with their family.
 
     Hysteresis with components of ``component`` pixels at least, a close, and blobs of
@@ -57,26 +57,35 @@ def closed_set(prob: np.ndarray, family: np.ndarray, valid: np.ndarray, *, tau:
     """
     mask = raster.family_hysteresis(prob, family, tau, per_family or {}, grow, component, np.ones(valid.shape, bool)) & valid
     labels, n = raster.label(raster.close(mask, close))
-    out = []
-    for k in range(1, n + 1):
-        blob = labels == k
-        if blob.sum() < least:
-            continue
-        names, counts = np.unique(family[blob & (family != 0)], return_counts=True)
-        big = names[counts >= share * counts.sum()] if len(names) else names
-        if len(big) < 2:
-            out.append((blob, int(names[np.argmax(counts)]) if len(names) else 0))
-            continue
-        for f in big:
-            parts, m = raster.label(blob & (family == f))
-            out += [(sub, int(f)) for i in range(1, m + 1) if (sub := parts == i).sum() >= part]
-    return out
-
-
-def novel_only(open_mask: np.ndarray, closed_mask: np.ndarray, z: np.ndarray, threshold: float) -> list[np.ndarray]:
+    # How many pixels of each family each blob has, for all blobs at once.
+    on = labels > 0
+    names, at = np.unique(family[on], return_inverse=True)
+    counts = np.bincount(labels[on].astype(np.int64) * len(names) + at, minlength=(n + 1) * len(names)).reshape(n + 1, -1)
+    counts[:, names == 0] = 0
+    total, size = counts.sum(axis=1), raster.sizes(labels, n)
+    big = (counts > 0) & (counts >= share * total[:, None])
+    whole = (size >= least) & (big.sum(axis=1) < 2)
+    split = (size >= least) & ~whole
+    split[0] = whole[0] = False
+    major = np.where(total > 0, names[counts.argmax(axis=1)] if len(names) else 0, 0)
+    out = [(k, m, int(major[k])) for k, m in zip(np.flatnonzero(whole), raster.regions_of(labels, np.flatnonzero(whole)))]
+    if split.any():
+        # A part is a run of one family within one blob: blobs are apart, so that a family's parts of all blobs are found together.
+        column = np.zeros(labels.shape, np.int64)
+        column[on] = at
+        ours = on & split[labels] & big[labels, column]
+        for j in np.flatnonzero(big[split].any(axis=0)):
+            parts, m = raster.label(ours & (column == j))
+            some = np.flatnonzero(raster.sizes(parts, m)[1:] >= part) + 1
+            out += [(int(labels.ravel()[sub.at[0]]), sub, int(names[j])) for sub in raster.regions_of(parts, some)]
+    return [(m, f) for _, m, f in sorted(out, key=lambda x: (x[0], x[2]))]
+
+
+def novel_only(open_mask: np.ndarray, closed_mask: np.ndarray, z: np.ndarray, threshold: float) -> list[raster.Region]:
     """Components of the open-set mask outside the closed-set one, with a mean z of 1.5 thresholds or more."""
     labels, n = raster.label(open_mask & ~closed_mask)
-    return [m for k in range(1, n + 1) if z[m := labels == k].mean() >= 1.5 * threshold]
+    sums = np.bincount(labels.ravel(), weights=z.ravel(), minlength=n + 1)[1:]
+    return raster.regions_of(labels, np.flatnonzero(sums / raster.sizes(labels, n)[1:] >= 1.5 * threshold) + 1)
 
 
 def margin_holes(holes: list[np.ndarray], opaque: np.ndarray, margin: int = 16) -> list[np.ndarray]:

@@ -305,9 +305,29 @@ on_leaves(
 )
 
 
+def _cutout(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
+    soft = raster.bilinear(c["v"][::2, ::2].astype(float), H, W) / 100.0
+    alpha, kept = raster.cutout(soft, _rgb(mask, c)[..., :3], chroma=60, interior=0.9)
+    return at(soft >= 0.25, alpha=alpha, kept=kept)
+
+
+#: The soft mask lies on every other pixel; between them it is bilinear.
+SOFT = f"""
+soft AS (SELECT g.leaf, g.x, g.y, sum(coalesce(p.v, 0) * wx * wy) / 100.0::DOUBLE AS s FROM grid g,
+    (SELECT x AS gx, unnest([x // 2 - 1 + x % 2, x // 2 + x % 2]) AS sx, unnest([CASE WHEN x % 2 = 1 THEN 0.75 ELSE 0.25 END::DOUBLE, CASE WHEN x % 2 = 1 THEN 0.25 ELSE 0.75 END::DOUBLE]) AS wx FROM (SELECT unnest(range({W})) AS x)),
+    (SELECT y AS gy, unnest([y // 2 - 1 + y % 2, y // 2 + y % 2]) AS sy, unnest([CASE WHEN y % 2 = 1 THEN 0.75 ELSE 0.25 END::DOUBLE, CASE WHEN y % 2 = 1 THEN 0.25 ELSE 0.75 END::DOUBLE]) AS wy FROM (SELECT unnest(range({H})) AS y))
+    LEFT JOIN px p ON p.leaf = g.leaf AND p.x = 2 * least(greatest(sx, 0), {W // 2 - 1}) AND p.y = 2 * least(greatest(sy, 0), {H // 2 - 1})
+    WHERE gx = g.x AND gy = g.y GROUP BY g.leaf, g.x, g.y),
+c AS (SELECT s.leaf, s.x, s.y, s, coalesce(v * 2, 0) AS r, coalesce(f * 50, 0) AS g, coalesce(v * 7 % 256, 0) AS b FROM soft s LEFT JOIN px p ON p.leaf = s.leaf AND p.x = s.x AND p.y = s.y)"""
 on_leaves(
-    lambda mask, c: at(raster.cutout_alpha(mask, _rgb(mask, c)[..., :3])), "x int, y int",
-    f"""{WITH}, solid AS (SELECT * FROM px WHERE greatest(v * 2, f * 50, v * 7 % 256) >= 30),{outside('o', 'solid')} SELECT p.leaf, p.x, p.y FROM px p LEFT JOIN o ON o.leaf = p.leaf AND o.x = p.x AND o.y = p.y WHERE o.leaf IS NULL""", "px_cutout_alpha",
+    _cutout, "x int, y int, alpha int, kept boolean",
+    f"""{WITH},{SOFT},
+back AS (SELECT leaf, count(*) AS n, sum(r) // count(*) AS br, sum(g) // count(*) AS bg, sum(b) // count(*) AS bb FROM c WHERE s < 0.25 GROUP BY leaf),
+a AS (SELECT c.*, CAST(floor(least(greatest((s - 0.5::DOUBLE) / 0.1::DOUBLE, 0), 1) * 255.0::DOUBLE + 0.5::DOUBLE) AS INTEGER) AS alpha,
+  greatest(r, g, b) - least(r, g, b) < 60 OR coalesce(n > 16 AND (r - br) ** 2 + (g - bg) ** 2 + (b - bb) ** 2 < 45 * 45, false) AS alike FROM c LEFT JOIN back USING (leaf)),
+solid AS (SELECT * FROM a WHERE NOT (s < 0.5 OR alike AND s < 0.9::DOUBLE AND alpha > 0)),{outside('o', 'solid')}
+SELECT a.leaf, a.x, a.y, CASE WHEN o.leaf IS NOT NULL AND s < 0.9::DOUBLE THEN 0 ELSE alpha END AS alpha, s >= 0.5 AND NOT (o.leaf IS NOT NULL AND s < 0.9::DOUBLE) AS kept
+FROM a LEFT JOIN o ON o.leaf = a.leaf AND o.x = a.x AND o.y = a.y WHERE s >= 0.25""", "px_cutout_alpha",
 )
 
 
@@ -406,13 +426,39 @@ SELECT w.leaf, CAST(ray AS INTEGER) AS ray, round(coalesce(max(r) FILTER (p.leaf
 
 
 def _damage(mask: np.ndarray, _: dict) -> dict[str, np.ndarray]:
-    left = [raster.damage(mask, m, 0.25, 7) for m in raster.MODES]
-    return {"mode": np.array(raster.MODES, object), "removed": np.array([int((mask & ~m).sum()) for m in left]), "added": np.array([int((m & ~mask).sum()) for m in left])}
+    """For each mode: pixels removed and added, and those that its rule does not allow."""
+    rows = []
+    for m in raster.MODES:
+        left = raster.damage(mask, m, 0.25, 7)
+        gone = mask & ~left
+        # Grazing leaves no hole: what it took is connected to the outside, or to a hole that was there, by what it took.
+        parts, n = raster.label(gone, eight=False)
+        reached = np.bincount(parts[raster._margin(mask) & gone], minlength=n + 1)[1:] > 0
+        loose = int(gone.sum()) - int(raster.sizes(parts, n)[1:][reached].sum()) if m in ("coastal", "clusters") else 0
+        rows.append((m, int(gone.sum()), int((left & ~mask).sum()), loose))
+    return {k: np.array(v, object) for k, v in zip(("mode", "removed", "added", "loose"), zip(*rows))}
 
 
 on_leaves(
-    _damage, "mode string, removed int, added int",
-    f"{WITH} SELECT leaf, mode, CAST(floor(0.25 * count(*)) AS INTEGER) AS removed, 0 AS added FROM px, (SELECT unnest({list(raster.MODES)}) AS mode) GROUP BY leaf, mode", "px_damage",
+    _damage, "mode string, removed int, added int, loose int",
+    f"""{WITH}, n AS (SELECT leaf, count(*) AS n, min(x) AS lo, max(x) AS hi FROM px GROUP BY leaf)
+SELECT leaf, mode, CAST(CASE WHEN mode = 'apex' THEN least(floor(0.25 * n), (SELECT count(*) FROM px WHERE px.leaf = n.leaf AND (hi - x) / greatest(hi - lo, 1) < 0.25)) ELSE floor(0.25 * n) END AS INTEGER) AS removed, 0 AS added, 0 AS loose
+FROM n, (SELECT unnest({list(raster.MODES)}) AS mode)""", "px_damage",
+)
+on_leaves(
+    lambda mask, _: at(raster.sector(mask, 0.3, (0.6, 0.8), np.argwhere(mask).sum(axis=1) % 3 * 0.75)), "x int, y int",
+    f"""{WITH}, p AS (SELECT *, (x - avg(x) OVER w) * 0.6::DOUBLE + (y - avg(y) OVER w) * 0.8::DOUBLE + (x + y) % 3 * 0.75::DOUBLE AS along, count(*) OVER w AS n FROM px WINDOW w AS (PARTITION BY leaf))
+SELECT leaf, x, y FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY along DESC, y, x) AS k FROM p) WHERE k > floor(n * 0.3::DOUBLE)""", "px_sector",
+)
+on_leaves(
+    lambda mask, _: at(raster.strip(mask, 0.2, 0) | raster.strip(mask, 0.3, 3)), "x int, y int",
+    f"""{WITH}, b AS (SELECT leaf, min(y) AS top, greatest(max(y) - min(y), 1) AS h, max(x) AS last, greatest(max(x) - min(x), 1) AS w FROM px GROUP BY leaf)
+SELECT leaf, x, y FROM px JOIN b USING (leaf) WHERE NOT ((y - top) / h < 0.2::DOUBLE AND (last - x) / w < 0.3::DOUBLE)""", "px_strip",
+)
+on_leaves(
+    lambda mask, _: at(raster.smooth_edges(mask, 1)), "x int, y int",
+    f"""{WITH} SELECT g.leaf, g.x, g.y FROM grid g CROSS JOIN off LEFT JOIN px p ON p.leaf = g.leaf AND p.x = g.x + dx AND p.y = g.y + dy
+WHERE g.x + dx BETWEEN 0 AND {W - 1} AND g.y + dy BETWEEN 0 AND {H - 1} GROUP BY g.leaf, g.x, g.y HAVING 2 * count(p.leaf) > count(*)""", "px_smoothed",
 )
 
 
@@ -425,11 +471,21 @@ on_leaves(_random_damage, "removed int, added int, known boolean", f"{WITH} SELE
 
 
 def _augment(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
-    a, b = raster.augment([mask, np.where(mask, c["v"] + 1, 0)], 5)
-    return {"paired": np.array([bool(((b > 0) == a).all())]), "area": np.array([a.size])}
+    """Both kinds of a change of scale, after a flip, with a pixel's value and whether the pair is still aligned."""
+    out = []
+    for kind, scale, offset in (("pad", 0.8, (0, 0)), ("crop", 1.2, (3, 5))):
+        y, x, known = raster.source_pixels(H, W, flip=(False, True), scale=scale, offset=offset)
+        shown, v = known & mask[y, x], c["v"][y, x]
+        out.append({"kind": np.full(int(shown.sum()), kind, object), **at(shown, v=v)})
+    return {k: np.concatenate([o[k] for o in out]) for k in ("kind", "x", "y", "v")}
 
 
-on_leaves(_augment, "paired boolean, area int", f"{WITH} SELECT leaf, true AS paired, {W * H} AS area FROM leaves", "px_augment")
+on_leaves(
+    _augment, "kind string, x int, y int, v int",
+    f"""{WITH}, s AS (SELECT * FROM (VALUES ('pad', 0.8::DOUBLE, {-(W - 32) // 2}, {-(H - 24) // 2}, 32, 24), ('crop', 1.2::DOUBLE, 5, 3, 48, 36)) t(kind, scale, dx, dy, w, h))
+SELECT g.leaf, kind, g.x, g.y, v FROM grid g, s JOIN px p ON p.leaf = g.leaf AND p.x = {W - 1} - least(CAST(floor((g.x + s.dx) / scale) AS INTEGER), {W - 1}) AND p.y = least(CAST(floor((g.y + s.dy) / scale) AS INTEGER), {H - 1})
+WHERE g.x + s.dx BETWEEN 0 AND w - 1 AND g.y + s.dy BETWEEN 0 AND h - 1""", "px_augment",
+)
 
 
 # --- decisions ---
@@ -453,7 +509,7 @@ SELECT leaf, label, CAST(i AS INTEGER) AS i, round(x, 3) AS x FROM (SELECT leaf,
 
 
 def _novel(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
-    kept = decide.novel_only(mask, mask & (c["f"] == 1), c["v"].astype(float), 40.0)
+    kept = [m.mask() for m in decide.novel_only(mask, mask & (c["f"] == 1), c["v"].astype(float), 40.0)]
     return at(np.logical_or.reduce(kept) if kept else np.zeros(mask.shape, bool))
 
 
@@ -463,8 +519,8 @@ on_leaves(
 )
 
 
-def _found(masks: list[np.ndarray], family: list[int]) -> dict[str, np.ndarray]:
-    rows = [(int(np.flatnonzero(m)[0]), int(m.sum()), f) for m, f in zip(masks, family)]
+def _found(masks: list[raster.Region], family: list[int]) -> dict[str, np.ndarray]:
+    rows = [(int(m.at[0]), m.sum(), f) for m, f in zip(masks, family)]
     return dict(zip(("first", "n", "family"), np.array(rows, np.int64).reshape(-1, 3).T))
 
 
