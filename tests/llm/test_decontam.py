@@ -1,12 +1,14 @@
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from verdure.llm import decontam
-from verdure.llm.decontam import BITS, apart, contaminated, plain, without_contaminated
+from verdure.llm.decontam import BITS, contaminated, plain, without_contaminated
 
 
 def words(text):
@@ -66,18 +68,26 @@ def test_against_brute_force(spark, case):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in {k for k, _ in want})
 
 
-def test_blocks_pass_all_within_the_radius_and_few_others():
+def an_index(prints, radius=63):
+    index = decontam.Index([], 5, radius)
+    index.prints, index.items = prints, [None] * len(prints)
+    return index
+
+
+def test_tables_name_all_within_the_radius_and_few_others():
     rng = np.random.default_rng(1)
-    own = rng.integers(0, 2**64, (1, BITS // 64), dtype=np.uint64)
+    own = rng.integers(0, 2**64, (50, BITS // 64), dtype=np.uint64)
     flips = np.zeros((4000, BITS), bool)
     for k in range(len(flips)):
         flips[k, rng.choice(BITS, rng.integers(0, 100), replace=False)] = True
-    prints = own ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
-    ok, far = apart(prints, own, 63)
-    assert (far == flips.sum(axis=1)).all() and ok[far <= 63].all()
+    of = rng.integers(0, 50, 4000)
+    prints = own[of] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+    window, item = an_index(own).lookup(prints)
+    named = set(zip(window.tolist(), item.tolist()))
+    assert len(named) == len(window) and all((k, of[k]) in named for k in np.flatnonzero(flips.sum(axis=1) <= 63))
     others = rng.integers(0, 2**64, (4000, BITS // 64), dtype=np.uint64)
-    ok, far = apart(others, own, 63)
-    assert ok.mean() < 0.25 and not (far <= 63).any()
+    assert len(an_index(own).lookup(others)[0]) < 0.25 * 4000 * 50
+    assert len(an_index(own, 15).lookup(others)[0]) < 0.01 * 4000 * 50
 
 
 def test_short_items_at_the_threshold_lie_within_the_radius():
@@ -91,13 +101,64 @@ def test_short_items_at_the_threshold_lie_within_the_radius():
             a, b = keys[:size], np.concatenate([keys[:common], keys[size : 2 * size - common]])
             if common / (2 * size - common) < 0.8:
                 continue
-            prints = [decontam.pack_bits(decontam.signs(x).sum(axis=0)[None, :]) for x in (a, b)]
-            ok, far = apart(prints[0], prints[1], 63)
-            assert ok[0] and far[0] <= 63
+            prints = [decontam.fingerprint(x, np.ones(size, np.int64)) for x in (a, b)]
+            assert np.bitwise_count(prints[0] ^ prints[1]).sum() <= 63 and len(an_index(prints[0]).lookup(prints[1])[0]) == 1
             n += 1
     assert n > 1000
 
 
+def test_results_come_through_the_tables(spark, case, monkeypatch):
+    docs, items = case
+    index = decontam.Index(sorted((i, t) for i, t in items if t), 5, 63)
+    texts = [t for _, t in docs if t]
+    at = np.concatenate(([0], np.cumsum([len(t.lower().encode()) for t in texts])))
+    raw = np.frombuffer("".join(texts).lower().encode(), np.uint8)
+    assert len(index.search(raw, at, 0.8)) > 50
+    starts, held = index.tables
+    index.__dict__["tables"] = np.zeros_like(starts), held
+    assert index.search(raw, at, 0.8) == []
+
+
+def test_window_fingerprints_in_runs(monkeypatch):
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    starts = rng.integers(0, 400, 60)
+    ends = starts + rng.integers(1, 100, 60)
+    want = np.concatenate([decontam.pack_bits(decontam.signs(h[a:b]).sum(axis=0)[None, :]) for a, b in zip(starts, ends)])
+    for run in (7, 64, 4096):
+        monkeypatch.setattr(decontam, "RUN", run)
+        assert (decontam.window_fingerprints(h, starts, ends) == want).all()
+
+
+def test_a_phrase_in_very_many_items_and_documents():
+    """Documents that hold only a phrase that 2,000 items begin with cost next to nothing; whole items are found."""
+    rng = random.Random(6)
+    phrase = "which of the following statements is true"
+    items = [(i, phrase + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(2000)]
+    index = decontam.Index(items, 5, 63)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(150)) + f" {phrase} " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(150)) for _ in range(20)] + [f"x y {items[7][1]} z"]
+    at, raw = np.concatenate(([0], np.cumsum([len(t) for t in texts]))), np.frombuffer("".join(texts).encode(), np.uint8)
+    index.tables  # made once in a process
+    began = time.time()
+    assert [(d, i, a) for d, i, a, *_ in index.search(raw, at, 0.8)] == [(20, 7, 1.0)]
+    assert time.time() - began < 1
+
+
+def test_a_very_long_item_in_bounded_memory():
+    rng = np.random.default_rng(7)
+    item = " ".join(f"w{x}" for x in rng.integers(0, 10**7, 300_000))
+    changed = item.split()
+    for k in rng.choice(300_000, 3_000, replace=False):
+        changed[k] = "zzz"
+    text = "before it " + " ".join(changed) + " and after"
+    tracemalloc.start()
+    index = decontam.Index([(1, item)], 5, 63)
+    found = index.search(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and found[0][4] in (1, 2, 3) and found[0][2] > 0.85 and peak < 300e6, peak
+
+
 def test_punctuation_beyond_ascii(spark):
     item = 'He said: "this is the well-known test item of the set" -- or was it another one, then?'
     docs = [(1, "a b c " + "He said: \u201cthis is the well\u2011known test item of the set\u201d \u2014 or was it another one, then\uff1f" + " d e"), (2, "\u00abnothing\u00bb of the kind\u2026")]

@@ -1,17 +1,23 @@
 """Benchmark decontamination by SimHash windows.
 
 Every benchmark item has a 256-bit SimHash of its weighted shingles. Windows of
-the item's number of words slide over each document. A window's fingerprint is
-held against those of the items in blocks of 16 bits: within the radius, one
-block differs in so few bits that all others are ruled out without a look at the
-rest. What is left within the radius is verified by exact weighted-shingle
-similarity. A window is held only against items that it shares a shingle with:
-its similarity to all others is 0.
+the item's number of words slide over each document. An index of several tables
+holds the items' fingerprints by blocks of 16 bits, each under all values within
+a few bits of its own: as not all blocks of two fingerprints within the radius
+can differ in more, a window's 16 blocks look up every item within the radius.
+An item that some table names for a window is measured by its whole
+fingerprint, and verified by exact weighted-shingle similarity if that lies
+within the radius.
+
+Windows in which too few shingles occur in any item at all can be like none,
+whatever the item, and get no fingerprint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import combinations
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +30,11 @@ from verdure.llm import scan
 from verdure.llm.rows import filter_text
 
 U = np.uint64
-#: Items that are held at once; a larger benchmark is taken in blocks of so many.
-ITEMS = 20_000
+#: Items that are held at once, their tables taking 22 KB each; a larger benchmark is taken in blocks of so many.
+ITEMS = 4096
 #: Bits of a fingerprint and of its blocks.
 BITS, BLOCK_BITS = 256, 16
-#: Shingles whose signs are summed at once.
+#: Shingles whose signs are summed at once, and windows that are looked up at once.
 RUN = 4096
 _BITS = np.arange(64, dtype=U)
 _SALT = scan.randoms(BITS // 64, 23)
@@ -45,14 +51,25 @@ def pack_bits(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")
 
 
-def apart(prints: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which fingerprints pass the block test, and all Hamming distances.
+def fingerprint(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(1, BITS / 64) words of the weighted shingles, a run at a time."""
+    sums = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), RUN):
+        sums += (signs(hashes[lo : lo + RUN]) * counts[lo : lo + RUN, None]).sum(axis=0)
+    return pack_bits(sums[None, :])
 
-    Of B blocks, one of a pair within ``radius`` differs in radius // B bits at most, so that
-    the test passes all pairs within the radius.
-    """
-    far = np.bitwise_count((prints ^ other).view("<u2"))
-    return (far <= radius // (BITS // BLOCK_BITS)).any(axis=1), far.sum(axis=1, dtype=np.int32)
+
+def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, BITS / 64) words of the windows, from running sums at their ends; a run of shingles is in memory at a time."""
+    at, where = np.unique(np.concatenate((starts, ends)), return_inverse=True)
+    held, sofar = np.zeros((len(at), BITS), np.int32), np.zeros(BITS, np.int32)
+    for lo in range(int(at[0]), int(at[-1]) + 1, RUN):
+        some = slice(*np.searchsorted(at, (lo, lo + RUN)))
+        sums = np.zeros((min(RUN, len(shingles) - lo) + 1, BITS), np.int32)
+        np.cumsum(signs(shingles[lo : lo + RUN]), axis=0, out=sums[1:])
+        held[some] = sofar + sums[at[some] - lo]
+        sofar = sofar + sums[-1]
+    return pack_bits(held[where[len(starts) :]] - held[where[: len(starts)]])
 
 
 def plain(raw: np.ndarray) -> np.ndarray:
@@ -82,11 +99,11 @@ class Item:
 
 
 class Index:
-    """Items with their fingerprints, and which of them hold a shingle."""
+    """Items with their fingerprints in tables by block, and the shingles that any of them holds."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int):
         self.radius, self.items = radius, []
-        held: dict[int, list[tuple[np.ndarray, int]]] = {}
+        widths = []
         for item_id, text in items:
             for _, _, raw, at in scan.blocks(pc.utf8_lower(pa.array([text or ""]))):
                 s = scan.Scan(plain(raw), at, punct=True)
@@ -95,73 +112,126 @@ class Index:
                 w = min(width, len(s.starts))
                 h = scan.shingle_sets(s, w)[0]
                 keys, counts = np.unique(h, return_counts=True)
-                held.setdefault(w, []).append((keys, len(self.items)))
-                self.items.append(Item(item_id, keys, counts, len(h), pack_bits((signs(keys) * counts[:, None]).sum(axis=0)[None, :])))
-        #: By shingle width: sorted keys, and for each key and item that holds it the item.
-        self.keys = {}
-        for w, parts in held.items():
-            keys = np.concatenate([k for k, _ in parts])
-            of = np.concatenate([np.full(len(k), i) for k, i in parts])
-            order = np.argsort(keys, kind="stable")
-            self.keys[w] = (keys[order], of[order])
+                widths.append(w)
+                self.items.append(Item(item_id, keys, counts, len(h), fingerprint(keys, counts)))
+        self.width, self.total = np.array(widths, np.int64), np.array([i.total for i in self.items], np.int64)
+        self.prints = np.concatenate([i.print for i in self.items]) if self.items else np.zeros((0, BITS // 64), U)
+        #: By shingle width: the sorted shingles of all items, and the items' numbers of them.
+        self.keys = {int(w): np.unique(np.concatenate([i.keys for i, v in zip(self.items, widths) if v == w])) for w in np.unique(self.width)}
+        self.sizes = {int(w): np.unique(self.total[self.width == w]) for w in np.unique(self.width)}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # each process makes its own
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each block, where the items of each of its values begin, and these items: those whose block differs in ``radius`` // blocks bits at most."""
+        bits = self.radius // (BITS // BLOCK_BITS)
+        near = np.array([sum(1 << b for b in some) for n in range(bits + 1) for some in combinations(range(BLOCK_BITS), n)], np.uint16)
+        blocks = self.prints.view("<u2")
+        starts, held = np.zeros((blocks.shape[1], (1 << BLOCK_BITS) + 1), np.int64), np.zeros((blocks.shape[1], len(blocks) * len(near)), np.uint16)
+        of = np.repeat(np.arange(len(blocks), dtype=np.uint16), len(near))
+        for j in range(blocks.shape[1]):
+            values = (blocks[:, j, None] ^ near).reshape(-1)
+            held[j] = of[np.argsort(values, kind="stable")]
+            starts[j, 1:] = np.cumsum(np.bincount(values, minlength=1 << BLOCK_BITS))
+        return starts, held
+
+    def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item): every pair that a table names, once."""
+        starts, held = self.tables
+        found = []
+        for j, value in enumerate(prints.view("<u2").T.astype(np.int64)):
+            lo = starts[j, value]
+            n = starts[j, value + 1] - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.repeat(np.arange(len(prints)), n) * len(self.items) + held[j, at])
+        window, item = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.items)))
+        return window, item
+
+    def windows(self, flagged: np.ndarray, w: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of a document's windows in which enough shingles occur in items; ``flagged`` has their running number."""
+        m = len(flagged) - 1
+        totals = self.sizes[w]
+        starts, sizes = [], []
+        for size in np.unique(np.minimum(totals[totals * similarity <= m], m)):
+            # A window like some item shares so many shingles with it.
+            least = 2 * size * similarity / (1 + similarity) - 1e-6
+            at = np.flatnonzero(flagged[size:] - flagged[: m - size + 1] >= least)
+            starts.append(at)
+            sizes.append(np.full(len(at), size))
+        return (np.concatenate(starts), np.concatenate(sizes)) if starts else (np.zeros(0, np.int64),) * 2
 
     def search(self, raw: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, float, int, int, int, int, int]]:
         """(document, item_id, similarity, distance, first word, words, first byte, last byte + 1): the best window of each pair."""
         s = scan.Scan(plain(raw), at, punct=True)
         best: dict[tuple[int, int], tuple] = {}
-        for w, (keys, of_item) in self.keys.items():
+        for w, keys in self.keys.items():
             h, offsets, _ = scan.shingle_sets(s, w)
             if not len(h):
                 continue
             may = np.zeros(1 << 16, bool)
             may[(keys >> U(48)).astype(np.int64)] = True
             hits = np.flatnonzero(may[(h >> U(48)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, h[hits], side="left"), np.searchsorted(keys, h[hits], side="right")
-            hits, lo, n = hits[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            hits = hits[keys[np.minimum(np.searchsorted(keys, h[hits]), len(keys) - 1)] == h[hits]]
             if not len(hits):
                 continue
-            position = np.repeat(hits, n)
-            item_of = of_item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            document = np.searchsorted(offsets, position, side="right") - 1
-            order = np.lexsort((position, item_of, document))
-            position, item_of, document = position[order], item_of[order], document[order]
-            pairs = np.flatnonzero(np.diff(document, prepend=-1) | np.diff(item_of, prepend=-1))
-            for p, q in zip(pairs, np.append(pairs[1:], len(position))):
-                d, item = int(document[p]), self.items[item_of[p]]
-                a, m = offsets[d], offsets[d + 1] - offsets[d]
-                size = min(item.total, m)
-                anchors = position[p:q] - a
-                # All windows that hold an anchor.
-                flag = np.zeros(m - size + 2, np.int64)
-                np.add.at(flag, np.maximum(anchors - size + 1, 0), 1)
-                np.add.at(flag, np.minimum(anchors, m - size) + 1, -1)
-                starts = np.flatnonzero(np.cumsum(flag)[:-1] > 0)
-                for start, far in self.near(item, h[a : a + m], starts, size):
-                    got, counts = np.unique(h[a + start : a + start + size], return_counts=True)
-                    where = np.minimum(np.searchsorted(item.keys, got), len(item.keys) - 1)
-                    common = int(np.minimum(counts, item.counts[where])[item.keys[where] == got].sum())
-                    alike = common / (item.total + size - common)
-                    if alike >= similarity:
-                        words = min(size + w - 1, int(s.first[d + 1] - s.first[d]))
-                        first_word = int(s.first[d]) + start
+            flag = np.zeros(len(h) + 1, np.int64)
+            flag[hits + 1] = 1
+            np.cumsum(flag, out=flag)
+            for d in np.flatnonzero(np.diff(flag[offsets])):
+                a, b = int(offsets[d]), int(offsets[d + 1])
+                starts, sizes = self.windows(flag[a : b + 1] - flag[a], w, similarity)
+                order = np.argsort(starts, kind="stable")
+                near: dict[int, list] = {}
+                for lo in range(0, len(order), RUN):
+                    some = order[lo : lo + RUN]
+                    for item, start, far in self.near(h[a:b], starts[some], sizes[some], w):
+                        near.setdefault(item, []).append((start, far))
+                for k, found in near.items():
+                    item = self.items[k]
+                    row = self.verified(item, h[a:b], found, similarity)
+                    if row:
+                        alike, far, start, size = row
+                        words, first_word = min(size + w - 1, int(s.first[d + 1] - s.first[d])), int(s.first[d]) + start
                         row = (alike, -far, -start, words, int(s.starts[first_word] - at[d]), int(s.ends[first_word + words - 1] - at[d]))
                         if (d, item.item_id) not in best or row > best[d, item.item_id]:
                             best[d, item.item_id] = row
-        return [(d, item, alike, -far, -start, words, x, y) for (d, item), (alike, far, start, words, x, y) in sorted(best.items())]
-
-    def near(self, item: Item, shingles: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-        """Windows whose fingerprints lie within the radius of the item's, and their distances; a bounded run at a time."""
-        lo = 0
-        while lo < len(starts):
-            hi = int(np.searchsorted(starts, starts[lo] + RUN))
-            first = starts[lo]
-            sums = np.zeros((int(starts[hi - 1] - first) + size + 1, BITS), np.int32)
-            np.cumsum(signs(shingles[first : starts[hi - 1] + size]), axis=0, out=sums[1:])
-            here = starts[lo:hi] - first
-            ok, far = apart(pack_bits(sums[here + size] - sums[here]), item.print, self.radius)
-            for k in np.flatnonzero(ok & (far <= self.radius)):
-                yield int(starts[lo + k]), int(far[k])
-            lo = hi
+        return [(int(d), item, alike, -far, -start, words, x, y) for (d, item), (alike, far, start, words, x, y) in sorted(best.items())]
+
+    def near(self, shingles: np.ndarray, starts: np.ndarray, sizes: np.ndarray, w: int) -> Iterator[tuple[int, int, int]]:
+        """(item, start, distance) of the windows within the radius of an item of their size."""
+        prints = window_fingerprints(shingles, starts, starts + sizes)
+        window, item = self.lookup(prints)
+        fits = (self.width[item] == w) & (np.minimum(self.total[item], len(shingles)) == sizes[window])
+        window, item = window[fits], item[fits]
+        far = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1, dtype=np.int64)
+        for k in np.flatnonzero(far <= self.radius):
+            yield int(item[k]), int(starts[window[k]]), int(far[k])
+
+    def verified(self, item: Item, shingles: np.ndarray, found: list[tuple[int, int]], similarity: float) -> tuple[float, int, int, int] | None:
+        """(similarity, distance, start, size) of the best of an item's windows; None if none is similar enough.
+
+        Windows are taken by how many of their shingles the item holds at all, which
+        no similarity exceeds, so that most need no look.
+        """
+        start, far = np.array(found, np.int64).T
+        size = min(item.total, len(shingles))
+        ours = np.zeros(len(shingles) + 1, np.int64)
+        np.cumsum(item.keys[np.minimum(np.searchsorted(item.keys, shingles), len(item.keys) - 1)] == shingles, out=ours[1:])
+        most = np.minimum(ours[start + size] - ours[start], size)
+        best = None
+        for k in np.lexsort((start, far, -most)):
+            bound = most[k] / (item.total + size - most[k])
+            if bound < similarity or (best is not None and bound < best[0]):
+                break
+            got, counts = np.unique(shingles[start[k] : start[k] + size], return_counts=True)
+            where = np.minimum(np.searchsorted(item.keys, got), len(item.keys) - 1)
+            common = int(np.minimum(counts, item.counts[where])[item.keys[where] == got].sum())
+            row = common / (item.total + size - common), -int(far[k]), -int(start[k])
+            if row[0] >= similarity and (best is None or row > best):
+                best = row
+        return (best[0], -best[1], -best[2], size) if best else None
 
 
 _FOUND = "doc_id long, item_id long, similarity double, hamming int, first_word long, n_words long, first_byte long, end_byte long"
@@ -187,7 +257,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, simil
     bits on average, with a deviation of 5.7; those within ``radius`` are all found. Null
     and wordless texts or items match nothing; rows that repeat a doc_id match each;
     texts of any length are read whole; further columns are not read; an empty table gives
-    no rows. A benchmark too large to hold is taken in blocks.
+    no rows. Long items and texts are held as shingles; fingerprints are summed in runs. A
+    benchmark too large to hold is taken in blocks.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], _FOUND)
