@@ -105,6 +105,47 @@ def test_toxicity(spark, data, edge, empty):
     assert found and all("venom" in texts[r.doc_id].lower().encode()[p.start_byte : p.end_byte].decode(errors="ignore") for r in found[:20] for p in r.passages[:1])
 
 
+def hand_set(words, odds=2.0):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    s = scan.Scan(raw, np.array([0, len(raw)]), punct=True)
+    keys = np.unique(s.words ^ np.uint64(1))
+    return toxicity.Model(keys, np.full(len(keys), odds), 0.8, 1.0, 0.01, 1.0, 0.0)
+
+
+def passages(model, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return [(p["first_word"], p["last_word"]) for p in toxicity.read(model, raw, np.array([0, len(raw)]))[3][0]]
+
+
+def test_a_passage_that_comes_again_is_found_again():
+    bad = ["vile", "rotten", "filthy", "wretch", "scum"]
+    model, calm = hand_set(bad), [f"w{k}" for k in range(400)]
+    once = " ".join([*bad, *calm])
+    assert passages(model, once) == [(0, 4)]
+    assert passages(model, f"{once} {' '.join(bad)}") == [(0, 4), (405, 409)]
+    # A word that stood alone in harmless text before doesn't weaken the passage.
+    assert passages(model, " ".join(["scum", *calm, *bad])) == [(401, 405)]
+
+
+def test_a_repeated_word_makes_no_passage():
+    model = hand_set(["dull"])
+    assert passages(model, "dull " * 300) == [] == passages(model, " ".join(["dull", *["x"] * 9] * 60))
+
+
+def test_repeats_within_reach():
+    rng = np.random.default_rng(3)
+    words, document = rng.integers(0, 5, 300).astype(np.uint64), np.sort(rng.integers(0, 3, 300))
+    at = np.cumsum(rng.integers(1, 30, 300))
+    want = [sum(words[j] == words[i] and document[j] == document[i] and at[j] >= at[i] - toxicity.NEAR for j in range(i)) for i in range(300)]
+    assert toxicity.repeats(words, document, at).tolist() == want
+
+
+def test_the_model_depends_on_no_order(spark, data):
+    docs, labels = data
+    fits = [toxicity.fit(training_rows(docs.repartition(n), labels, "toxic", 5_000, Store(spark, "t"))) for n in (2, 7)]
+    assert (fits[0].keys == fits[1].keys).all() and np.allclose(fits[0].odds, fits[1].odds) and np.isclose(fits[0].lam, fits[1].lam) and np.isclose(fits[0].slope, fits[1].slope)
+
+
 def test_toxicity_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(training_rows(edge, none, "toxic", 100, Store(spark, "t")))

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from verdure.llm.store import Store
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
-#: White space that the fast engine isn't trusted with: its pattern's stack ends between 100,000 and 1,000,000 characters.
-LONG_RUN = re.compile(r"\s{10000}")
+#: White space that the fast engine isn't given: its pattern takes the square of a run's length, and its stack ends between 100,000 and 1,000,000 characters.
+LONG_RUN = re.compile(r"\s{100}")
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:

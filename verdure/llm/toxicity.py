@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from verdure.llm import scan
 from verdure.llm.rows import filter_text
+from verdure.llm.store import Store
 
 U = np.uint64
 #: Lengths, in bytes, of the prefixes that stand behind a word.
@@ -28,6 +29,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 SIGNIFICANT = 2.3
 #: Words that a text counts as at least, and the evidence of a text without any segment.
 SHORT, NOTHING = 50, -6.0
+#: Tokens back to which a word's repeats count for less.
+NEAR = 50
 #: Log-odds nearer than this to those of the prefix behind are left to it.
 SAME = 0.05
 
@@ -168,14 +171,25 @@ def _tables(learn: DataFrame) -> DataFrame:
     return by_prefix.union(by_word)
 
 
+def repeats(words: np.ndarray, document: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each token's word stood among the ``NEAR`` tokens before it in its document; ``at`` are the tokens' places."""
+    order = np.lexsort((at, words, document))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order][1:] != words[order][:-1]) | (document[order][1:] != document[order][:-1])
+    group = np.cumsum(new) - 1
+    # Places of different groups lie farther apart than any two of one.
+    place = group * (int(at.max(initial=0)) + NEAR + 2) + at[order]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.searchsorted(place, place - NEAR)
+    return out
+
+
 def _scanned(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[scan.Scan, list[list[tuple[int, int, float]]]]:
-    """Words and segments of each document. As in the counts, a word speaks for toxicity once in a document."""
+    """Words and segments of each document. Every token counts; one whose word stood n times shortly before counts for an (n + 1)th, so that no repeated word makes a passage by itself."""
     s = scan.Scan(raw, at, punct=True)
     w = model.weights(s)
     up = np.flatnonzero(w > 0)
-    again = np.ones(len(up), bool)
-    again[np.unique(s.words[up] + scan.mix(s.document()[up].astype(U)), return_index=True)[1]] = False
-    w[up[again]] = 0.0
+    w[up] /= 1.0 + repeats(s.words[up], s.document()[up], up)
     w -= model.drift
     return s, [segments(w[a:b]) if b > a else [] for a, b in zip(s.first[:-1], s.first[1:])]
 
@@ -274,15 +288,17 @@ def extreme_value_law(scores: np.ndarray, words: float) -> tuple[float, float]:
 def fit(labelled: DataFrame, *, prior: float = 4.0, drift: float = 0.8) -> Model:
     """Learns from ``labelled`` (doc_id, text, label 0/1), a bounded table, over whole texts.
 
-    Of near copies one counts. Log-odds come from three fifths of the rest, the
+    Of near copies that of the smallest doc_id counts. Log-odds come from three fifths of the rest, the
     extreme-value law and the calibration from the others. ``drift`` is what a token of
     neither class costs, so that harmless text scores below zero. Null texts are empty.
     With one class only, or no rows, every score is that class's share.
     """
     spark = labelled.sparkSession
     keyed = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
-    keyed = keyed.mapInArrow(_distinct, "doc_id long, text string, label int, near long").dropDuplicates(["near", "label"])
-    rows = keyed.withColumn("part", F.pmod(F.xxhash64("near", F.lit(6)), F.lit(5)))
+    keyed = keyed.mapInArrow(_distinct, "doc_id long, text string, label int, near long").groupBy("near", "label").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text"))
+    # Kept once, so that counts, odds and calibration are of the same texts.
+    store = Store(spark, "toxicity-fit")
+    rows = store.save(keyed, "distinct", 0).withColumn("part", F.pmod(F.xxhash64("near", F.lit(6)), F.lit(5)))
     learn = rows.where("part > 1").select("label", "text")
     size = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -305,6 +321,7 @@ def fit(labelled: DataFrame, *, prior: float = 4.0, drift: float = 0.8) -> Model
     if n1 and n0 and calm.any() and not calm.all():
         model.slope, model.offset = _logistic(np.array([model.evidence(x, int(n)) for x, n in zip(scores, n_words)]), label)
         model.slope = max(model.slope, 0.0)
+    store.drop("distinct")
     return model
 
 
