@@ -59,7 +59,7 @@ def family(rng, size, n, changes):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("width,similarity", [(1, 80), (5, 80), (3, 85), (1, 60)])
+@pytest.mark.parametrize("width,similarity", [(1, 80), (3, 85)])
 def test_light_and_heavy_sets_and_drifting_groups(spark, width, similarity):
     """Sets of 4 to 120 shingles, most pairs of a large group not linked, copies among them."""
     rng = random.Random(width * 100 + similarity)
@@ -89,7 +89,7 @@ def test_ids_that_repeat_with_other_texts(spark):
 def test_every_split_of_light_and_heavy_gives_the_same(spark, monkeypatch):
     rng = random.Random(11)
     texts = [t for size in (5, 8, 10, 13, 15) for t in family(rng, size, 14, 3)]
-    for heavy in (1, 8, 12, 25):
+    for heavy in (8, 25):
         monkeypatch.setattr(overlaps, "boundary", lambda sizes, similarity, x=heavy: x)
         check(spark, list(enumerate(texts)), 1)
 
@@ -125,7 +125,7 @@ def test_rows_grow_with_a_group_not_with_its_pairs(spark, monkeypatch):
     """A drifting group of near copies: list members and what is left for blocks grow in proportion."""
     held = []
     monkeypatch.setattr(overlaps, "spread", lambda placed, mixed, f=overlaps.spread: (held.append((placed.count(), f(placed, mixed).count())), f(placed, mixed))[1])
-    for n in (300, 600):
+    for n in (200, 400):
         rng = random.Random(4)
         check(spark, list(enumerate(family(rng, 100, n, 6))))
     assert held[1][0] <= 3 * held[0][0] and held[1][1] <= 3 * held[0][1] + 100, held

@@ -13,9 +13,10 @@ that is large enough to be its partner. The boundary is where the enumerated sub
 and the lists' entries are fewest together, from sums by set size.
 
 Sets meet in lists, and lists with the same members are one. Within a list, links are
-made to one member first; where it still has more than one component, the members
-outside the largest one scan inverted lists over blocks of all, which gives exact
-overlaps. Only links that join components become rows; nothing is capped.
+made to one member first. Lists that still have more than one component are put together
+to groups where they share members, unless single lists make fewer rows; the members
+outside a group's largest component scan inverted lists over blocks of all. Only links
+that join components become rows; nothing is capped.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 
 from verdure.llm import scan
 from verdure.llm.components import components
+from verdure.llm.dedup import BLOCK as MEMBERS
+from verdure.llm.dedup import BLOCK_SHINGLES as MEMBER_SHINGLES
 from verdure.llm.dedup import ROUNDS, spread
 from verdure.llm.store import FILE_ROWS, Store
 
@@ -277,27 +280,34 @@ def _linked(similarity: int):
 
 
 def _scanned(similarity: int):
-    """Links across components between a block of a list's members outside its largest component and a block of all: overlaps by inverted lists over the latter."""
+    """Links across components between a block of a group's members outside its largest component and a block of all.
+
+    Inverted lists over the rarest shingles of the latter name the candidates; whole sets decide.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, asks, outside, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "asks", "outside", "n"))
+        rep, comp, asks, outside, n, keep = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "asks", "outside", "n", "keep"))
         sets = _lists(table.column("hashes"))
         comp = comp.copy()
         right = np.flatnonzero(~asks)
-        owner = np.repeat(np.arange(len(right)), [len(sets[k]) for k in right])
-        hashes = np.concatenate([sets[k] for k in right]) if len(right) else np.zeros(0, U)
+        owner = np.repeat(right, keep[right])
+        hashes = np.concatenate([sets[k][: keep[k]] for k in right]) if len(right) else np.zeros(0, U)
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         xs, ys = [], []
         for k in np.flatnonzero(asks):
-            lo, hi = np.searchsorted(hashes, sets[k], "left"), np.searchsorted(hashes, sets[k], "right")
-            count = hi - lo
-            at = np.repeat(lo, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-            overlap = np.bincount(owner[at], minlength=len(right))
+            mine = sets[k][: keep[k]]
+            lo = np.searchsorted(hashes, mine, "left")
+            count = np.searchsorted(hashes, mine, "right") - lo
+            may = np.unique(owner[np.repeat(lo, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))])
             # Two members outside the largest component meet from either side; the smaller one asks.
-            may = (~outside[right] | (rep[right] > rep[k])) & ((100 + similarity) * overlap >= similarity * (n[right] + n[k]))
-            for y in right[may]:
-                if comp[y] != comp[k]:
+            may = may[(comp[may] != comp[k]) & (~outside[may] | (rep[may] > rep[k])) & (100 * np.minimum(n[may], n[k]) >= similarity * np.maximum(n[may], n[k]))]
+            own = np.sort(sets[k])
+            for y in may:
+                if comp[y] == comp[k]:
+                    continue
+                at = np.minimum(np.searchsorted(own, sets[y]), len(own) - 1)
+                if (100 + similarity) * np.count_nonzero(own[at] == sets[y]) >= similarity * (n[y] + n[k]):
                     comp[comp == comp[y]] = comp[k]
                     xs.append(rep[k])
                     ys.append(rep[y])
@@ -306,13 +316,41 @@ def _scanned(similarity: int):
     return run
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(bucket, n, shingles, outer, outer_shingles, largest, rows) of the buckets of more than one component: members, those outside the largest one, and the rows that ``spread`` makes of them."""
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "shingles", "component")).alias("top")).where("n > top.n")
+    mixed = mixed.select("bucket", "n", "shingles", (F.col("n") - F.col("top.n")).alias("outer"), (F.col("shingles") - F.col("top.shingles")).alias("outer_shingles"), F.col("top.component").alias("largest"))
+    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / F.lit(MEMBERS)), F.ceil(F.col(s) / F.lit(MEMBER_SHINGLES)))
+    return mixed.withColumn("rows", F.col("n") * blocks("outer", "outer_shingles") + F.col("outer") * blocks("n", "shingles"))
+
+
+def _grouped(placed: DataFrame, mixed: DataFrame, store: Store, n_members: int) -> tuple[DataFrame, DataFrame]:
+    """Lists that share members as one group, so that a set goes to a task once and not for each of its lists, wherever that makes fewer rows."""
+    left = store.save(placed.join(mixed.select("bucket"), "bucket"), "left", n_members)
+    first = left.groupBy("bucket").agg(F.min("rep").alias("v"))
+    found = store.save(components(left.join(first, "bucket").select(F.col("rep").alias("u"), "v"), store, "groups", n_members), "groups", n_members)
+    # A group's members, each once, in the group's own bucket.
+    whole = store.save(left.select("rep", "shingles", "component").distinct().join(found.withColumnRenamed("node", "rep").withColumnRenamed("component", "group"), "rep").select(F.xxhash64("group", F.lit("group")).alias("bucket"), "rep", "shingles", "component", "group"), "whole", n_members)
+    mixed_groups = _mixed(whole)
+    own = mixed.join(first, "bucket").join(found.withColumnRenamed("node", "v").withColumnRenamed("component", "group"), "v")
+    rows = own.groupBy("group").agg(F.sum("rows").alias("listed"))
+    better = store.save(mixed_groups.join(whole.select("bucket", "group").distinct(), "bucket").join(rows, "group").where("rows <= listed").select("group", "bucket"), "better", n_members // 8)
+    groups = mixed_groups.join(better.select("bucket"), "bucket")
+    rest = own.join(better.select("group"), "group", "left_anti").select(mixed.columns)
+    columns = ["bucket", "rep", "component"]
+    return whole.join(better.select("bucket"), "bucket").select(columns).union(left.join(rest.select("bucket"), "bucket").select(columns)), groups.select(mixed.columns).union(rest)
+
+
 def _link(members: DataFrame, sets: DataFrame, similarity: int, store: Store, n_members: int) -> DataFrame:
-    """(node, component) of the linked sets, members (bucket, rep) meeting in lists; sets (rep, n, hashes)."""
+    """(node, component) of the linked sets, members (bucket, rep) meeting in lists; sets (rep, n, keep, hashes)."""
     side = lambda s: sets.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"set_{s}"))
+    size = lambda s: sets.select(F.col("rep").alias(s), F.col("n").alias(f"m_{s}"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        met = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(n_x, n_y) >= {similarity} * greatest(n_x, n_y)").withColumn("n", F.col("n_x") + F.col("n_y"))
+        pairs = pairs.join(size("x"), "x").join(size("y"), "y").where(f"100 * least(m_x, m_y) >= {similarity} * greatest(m_x, m_y)").select("x", "y")
+        met = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "set_x", "set_y", (F.col("n_x") + F.col("n_y")).alias("n"))
         return met.mapInArrow(_linked(similarity), "x long, y long").select(F.col("x").alias("u"), F.col("y").alias("v"))
 
     order = F.struct(F.xxhash64("rep"), "rep")
@@ -321,13 +359,10 @@ def _link(members: DataFrame, sets: DataFrame, similarity: int, store: Store, n_
     sized = store.save(members.join(sets.select("rep", F.size("hashes").cast("long").alias("shingles")), "rep"), "sized", n_members)
     for k in range(ROUNDS + 1):
         placed = store.save(sized.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "shingles", F.coalesce("component", "rep").alias("component")), f"placed-{k}", n_members)
-        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
-        mixed = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "shingles", "component")).alias("top")).where("n > top.n")
-        mixed = store.save(mixed.select("bucket", "n", "shingles", (F.col("n") - F.col("top.n")).alias("outer"), (F.col("shingles") - F.col("top.shingles")).alias("outer_shingles"), F.col("top.component").alias("largest")), f"mixed-{k}", n_members // 8)
-        # Rounds of single members go on while blocks would ship more rows than there are members.
-        blocks = lambda c: F.ceil(F.col(c) / F.lit(4096)) - 1
-        more, least = mixed.agg(F.coalesce(F.sum(F.col("n") * blocks("outer") + F.col("outer") * blocks("n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if k == ROUNDS or more <= least:
+        mixed = store.save(_mixed(placed), f"mixed-{k}", n_members // 8)
+        # Rounds of single members go on while blocks would ship more than two rows for each.
+        rows, least = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("n") + F.col("outer")), F.lit(0))).first()
+        if k == ROUNDS or rows <= least:
             break
         outer = placed.join(mixed.select("bucket", "largest"), "bucket")
         chosen = outer.where("component <> largest").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "component")).alias("p"))
@@ -336,7 +371,8 @@ def _link(members: DataFrame, sets: DataFrame, similarity: int, store: Store, n_
         if links.isEmpty():
             break
         found = store.save(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), store, f"round-{k}", n_members), f"found-{k + 1}", n_members)
-    held = spread(placed.drop("shingles"), mixed).join(sets.select("rep", "n", "hashes"), "rep")
+    placed, mixed = _grouped(placed, mixed, store, n_members)
+    held = spread(placed, mixed.drop("rows")).join(sets.select("rep", "n", "keep", "hashes"), "rep")
     links = held.groupBy("bucket", "i", "j").applyInArrow(_scanned(similarity), "u long, v long")
     return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), store, "all", n_members)
 
@@ -378,7 +414,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, similarity: int = 80,
     only = met.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket"))
     members = store.save(lists.join(only.select("bucket"), "bucket"), "members")
     n_members = members.count()
-    found = store.save(_link(members, sets.select(F.col("id").alias("rep"), "n", "hashes"), similarity, store, n_members), "found", n_members)
+    found = store.save(_link(members, sets.select(F.col("id").alias("rep"), "n", "keep", "hashes"), similarity, store, n_members), "found", n_members)
     # The component of a class of equal sets is named by its smallest doc_id.
     named = found.join(sets.select(F.col("id").alias("node"), "rep", "key_a", "key_b", "n"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
