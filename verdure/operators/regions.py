@@ -164,9 +164,10 @@ def distinct_clusters(regions: DataFrame, label: str) -> DataFrame:
     return regions.agg(F.count_distinct(F.when(F.col(label) >= 0, F.col(label))).alias("n"))
 
 
-def to_embed(regions: DataFrame, embedding: str, order: list[Column]) -> DataFrame:
-    """Regions without an embedding, in the order in which they are worth one."""
-    return regions.where(F.col(embedding).isNull()).orderBy(*order)
+def to_embed(regions: DataFrame, embedding: str, order: list[Column] | None = None) -> DataFrame:
+    """Regions without an embedding, in the order in which they are worth one if it is given."""
+    left = regions.where(F.col(embedding).isNull())
+    return left.orderBy(*order) if order else left
 
 
 def least_typical(scored: DataFrame, score: str, key: list[str]) -> list[Column]:

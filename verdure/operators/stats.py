@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,11 +108,44 @@ def ring_interpolation(df: DataFrame, keys: list[str], i: str, value: str, valid
     return filled.where("_t = 0").select(*keys, i, r.alias("r"))
 
 
+def _moments(dim: int):
+    """Each partition's count, mean and sums of products of deviations, merged batch by batch: dim * (dim + 1) / 2 rows for any number of vectors."""
+    i, j = np.triu_indices(dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, products = 0, np.zeros(dim), np.zeros((dim, dim))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            own = x.mean(axis=0)
+            d, apart = x - own, own - mean
+            products += d.T @ d + np.outer(apart, apart) * (n * len(x) / (n + len(x)))
+            mean, n = mean + apart * (len(x) / (n + len(x))), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n)), pa.array(mean[i]), pa.array(mean[j]), pa.array(products[i, j])], names=["i", "j", "n", "mi", "mj", "s"])
+
+    return run
+
+
 def covariance(df: DataFrame, vector: str) -> DataFrame:
-    """(i, j, cov): population covariance of each pair of components, i <= j; by partial sums, a row for each pair."""
-    v = F.col(vector).cast("array<double>")
-    parts = df.select(F.posexplode(v).alias("i", "x"), v.alias("_v")).select("i", "x", F.posexplode("_v").alias("j", "y")).where("i <= j")
-    return parts.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    """(i, j, cov): population covariance of each pair of components, i <= j.
+
+    Vectors are summed up by partition; only those sums are shuffled. Null vectors and those
+    with a null component take no part; all others must be as long as the longest. No
+    vectors give no rows.
+    """
+    v = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    dim = v.agg(F.max(F.size("v"))).first()[0]
+    if not dim:
+        return df.limit(0).select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("cov"))
+    parts = v.mapInArrow(_moments(dim), "i int, j int, n long, mi double, mj double, s double")
+    total = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.collect_list(F.struct("n", "mi", "mj")).alias("parts"))
+    # Between partitions: deviations of their means from the mean of all, a partial sum for each.
+    sums = lambda f: F.aggregate("parts", F.lit(0.0), lambda a, p: a + f(p))
+    total = total.withColumn("_i", sums(lambda p: p["n"] * p["mi"]) / F.col("n")).withColumn("_j", sums(lambda p: p["n"] * p["mj"]) / F.col("n"))
+    between = sums(lambda p: p["n"] * (p["mi"] - F.col("_i")) * (p["mj"] - F.col("_j")))
+    return total.select("i", "j", ((F.col("s") + between) / F.col("n")).alias("cov"))
 
 
 def principal(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]], list[float]]:
@@ -116,8 +153,6 @@ def principal(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[lis
 
     A direction's sign is set by its largest component.
     """
-    import numpy as np
-
     rows = covariance(df, vector).collect()
     means = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
     dim = len(means)

@@ -6,12 +6,13 @@ Roles as in ``verdure.plans.catalog``; the evaluation samples are the leaves of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdure.functions import scalars, vectors
 from verdure.kernels.apply import map_masks
+from verdure.operators.ranking import numbered
 from verdure.operators import cluster, evaluation, mining, neighbors, regions, sampling, state, stats
 from verdure.plans import pixels
 from verdure.plans.catalog import EXPLODED, REGION, points, query, r6, table
@@ -90,10 +91,15 @@ def enough_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a, b)], "enough boolean, few boolean")
 
 
+def _placed(rows: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """The rows' places, from 1, in an order of all of them; by ranges, in no single task."""
+    return numbered(rows, [], order, "place").select(*columns, (F.col("place") + 1).alias("place"))
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size > 25 DESC, p_retailprice DESC, p_partkey) AS place FROM part")
 def palette_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [*scalars.palette_rank(F.col("p_size") > 25, F.col("p_retailprice")), F.col("p_partkey")]
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return _placed(table(spark, sf_dir, "part"), ["p_partkey"], order)
 
 
 # --- joins ---
@@ -152,7 +158,7 @@ def rank_not_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("p_partkey"), F.col("embedding").alias("v"))
     rows = table(spark, sf_dir, "part").join(e, "p_partkey", "left")
     order = [F.desc("p_size"), F.col("p_partkey")]
-    return regions.to_embed(rows, "v", order).select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return _placed(regions.to_embed(rows, "v"), ["p_partkey"], order)
 
 
 @query(f"""
@@ -318,7 +324,7 @@ def least_typical_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir)
     m = stats.upper_median(rows, ["l_returnflag"], "l_quantity")
     scored = rows.join(m, "l_returnflag").select(*REGION, stats.area_atypicality(F.col("l_quantity"), F.col("upper_median")).alias("score"))
-    return scored.select(*REGION, F.row_number().over(Window.orderBy(*regions.least_typical(scored, "score", REGION))).cast("long").alias("place"))
+    return _placed(scored, REGION, regions.least_typical(scored, "score", REGION))
 
 
 @query("""

@@ -49,9 +49,10 @@ def markdown(title: str, rows: list[dict]) -> str:
 
 def dataset_index(items: DataFrame, recorded: DataFrame, src: str = "src") -> DataFrame:
     """Items with a stable index: the recorded one, else new ones after the largest, in order of src."""
-    from pyspark.sql import Window
+    from verdure.operators.ranking import numbered
 
     top = recorded.agg(F.coalesce(F.max("index"), F.lit(-1))).first()[0]
-    out = items.join(recorded.select(src, "index"), src, "left")
-    fresh = F.row_number().over(Window.partitionBy(F.col("index").isNull()).orderBy(src))
-    return out.withColumn("index", F.coalesce("index", F.lit(top) + fresh))
+    kind = dict(recorded.dtypes)["index"]
+    known = items.join(recorded.select(src, "index"), src)
+    fresh = numbered(items.join(recorded.select(src), src, "left_anti"), [], [F.col(src)], "index").withColumn("index", F.col("index") + top + 1)
+    return known.unionByName(fresh.withColumn("index", F.col("index").cast("long" if kind == "bigint" else kind)))
