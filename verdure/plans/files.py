@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import struct
+import threading
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from verdure.kernels.apply import map_leaves
 from verdure.operators import state
 from verdure.plans.catalog import EXPLODED, query, r6, table
 from verdure.session import cut, shared_path
-from verdure.sources import exports, files, images, sinks
+from verdure.sources import buckets, exports, files, images, sinks
 
 # --- images ---
 
@@ -275,6 +276,54 @@ def label_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"""
+WITH l AS (SELECT *, r % 64 AS b FROM ({_LABELS})), s AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 64 < 7)
+SELECT op, crop, family, rewritten FROM (
+  SELECT 'upsert' AS op, crop, family FROM l WHERE r NOT IN (FROM s) UNION ALL SELECT 'upsert', 'region_' || s_suppkey || '.png', 'new' FROM s
+  UNION ALL SELECT 'retract', crop, family FROM l WHERE r NOT IN (FROM s) UNION ALL SELECT 'retract', 'region_' || s_suppkey || '.png', 'new' FROM s WHERE s_suppkey % 2 = 1
+  UNION ALL SELECT 'rename', crop, CASE WHEN family = 'Brand#2' THEN 'two' ELSE family END FROM l WHERE r NOT IN (FROM s) UNION ALL SELECT 'rename', 'region_' || s_suppkey || '.png', 'new' FROM s WHERE s_suppkey % 2 = 1)
+JOIN (SELECT 'upsert' AS op, (SELECT count(DISTINCT s_suppkey % 64) FROM s) AS rewritten UNION ALL SELECT 'retract', (SELECT count(DISTINCT s_suppkey % 64) FROM s WHERE s_suppkey % 2 = 0)
+  UNION ALL SELECT 'rename', (SELECT count(DISTINCT b) FROM l WHERE family = 'Brand#2' AND r NOT IN (FROM s))) USING (op)""")
+def label_table_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of curation rows on disk, and how many of the table's 64 buckets each of them rewrote."""
+    rows = _labels(spark, sf_dir).select("crop", F.lit("").alias("mask"), "family", F.lit("").alias("source"), F.lit("").alias("leaf_src"), F.lit(0).cast("long").alias("ts"))
+    labels = buckets.label_table(spark, shared_path(spark, "curation"))
+    buckets.upsert_label_rows(labels, rows)
+    key = table(spark, sf_dir, "supplier").where("s_suppkey % 64 < 7")
+    crop = F.concat(F.lit("region_"), "s_suppkey", F.lit(".png")).alias("crop")
+    out = None
+    for op, edit in (
+        ("upsert", lambda: buckets.upsert_label_rows(labels, key.select(crop, F.lit("").alias("mask"), F.lit("new").alias("family"), F.lit("").alias("source"), F.lit("").alias("leaf_src"), F.lit(1).cast("long").alias("ts")))),
+        ("retract", lambda: buckets.retract_label_rows(labels, key.where("s_suppkey % 2 = 0").select(crop))),
+        ("rename", lambda: buckets.rename_label_family(labels, "Brand#2", "two")),
+    ):
+        done = edit()
+        one = cut(labels.read().select(F.lit(op).alias("op"), "crop", "family", F.lit(len(done.buckets)).cast("long").alias("rewritten")))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("""
+WITH e AS (SELECT *, sum(bytes) OVER (ORDER BY used DESC, item_id ROWS UNBOUNDED PRECEDING) <= 400000 AS kept FROM (SELECT item_id, 100 + coalesce(size, 0) * 10 AS bytes, item_id * 37 % 1009 AS used FROM items) WHERE used >= 100),
+now AS (SELECT item_id, bytes, CASE WHEN item_id % 3 = 0 THEN 2000 ELSE used END AS used FROM e WHERE kept), w AS (SELECT item_id, count(*) FILTER (kept) > 0 AS hit FROM items LEFT JOIN e USING (item_id) WHERE item_id % 3 = 0 GROUP BY item_id),
+last AS (SELECT item_id, sum(bytes) OVER (ORDER BY used DESC, item_id ROWS UNBOUNDED PRECEDING) <= 200000 AS kept FROM now)
+SELECT item_id, hit, coalesce(kept, false) AS kept, true AS bound FROM w LEFT JOIN last USING (item_id)""")
+def bounded_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache on disk held to a number of bytes and an age, asked for every third entry, and held to fewer bytes then: what was asked for stays first."""
+    items = table(spark, sf_dir, "items").select("item_id", (F.lit(100) + F.coalesce("size", F.lit(0)) * 10).cast("long").alias("bytes"), (F.col("item_id") * 37 % 1009).alias("used"))
+    cache = buckets.Buckets(spark, shared_path(spark, "cache"), "item_id long, bytes long, used long", F.col("item_id"), 32)
+    buckets.upsert(cache, items, ["item_id"], ["used"])
+    held = []
+    for most, since in ((400_000, 100), (200_000, None)):
+        buckets.evict(cache, ["item_id"], "bytes", "used", most, since)
+        held.append(cache.read().agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] <= most)
+        if since:
+            hits, misses, _ = buckets.look_up(cache, items.where("item_id % 3 = 0"), ["item_id"], "used", 2000)
+    asked = hits.select("item_id", F.lit(True).alias("hit")).union(misses.select("item_id", F.lit(False)))
+    kept = cache.read().select("item_id", F.lit(True).alias("kept"))
+    return asked.join(kept, "item_id", "left").select("item_id", "hit", F.coalesce("kept", F.lit(False)).alias("kept"), F.lit(all(held)).alias("bound"))
+
+
 @query(f"SELECT crop, family, '' AS mask, 0 AS ts FROM ({_LABELS})")
 def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label rows appended to a JSON-lines file amid broken lines."""
@@ -507,22 +556,51 @@ def stream_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(s_suppkey) AS BIGINT) AS s, true AS partial FROM supplier")
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, count(*) FILTER (o_orderkey % 4 < 2) AS before, true AS cancelled, 4 AS batches FROM orders")
 def stream_stopped_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that is stopped part of the way leaves valid output; started again it goes on where it was."""
-    from verdure.streaming.state import append_regions, read_stream
+    """A run over four files that is cancelled while its second batch is written leaves two of them; started again it does the rest, each once."""
+    from verdure.streaming.state import BatchRun, read_stream
 
     root = shared_path(spark, "stream")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
-    rows.where("k % 2 = 0").coalesce(1).write.parquet(f"{root}/in")
-    schema = rows.schema
-    first = append_regions(read_stream(spark, f"{root}/in", schema, per_trigger=1), lambda df: df, f"{root}/out", f"{root}/log")
-    first.awaitTermination()
-    first.stop()
-    partial = spark.read.parquet(f"{root}/out").count() == rows.where("k % 2 = 0").count()
-    rows.where("k % 2 = 1").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    append_regions(read_stream(spark, f"{root}/in", schema, per_trigger=1), lambda df: df, f"{root}/out", f"{root}/log").awaitTermination()
-    return spark.read.parquet(f"{root}/out").agg(F.count("*").alias("n"), F.sum("k").alias("s")).withColumn("partial", F.lit(partial))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    for k in range(4):  # files are taken in order of their time
+        rows.where(F.col("o_orderkey") % 4 == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    start = lambda after=None: BatchRun(read_stream(spark, f"{root}/in", rows.schema, per_trigger=1), lambda df: df, f"{root}/out", f"{root}/log", after)
+    run: list[BatchRun] = []
+    begun = threading.Event()
+
+    def after(number: int) -> None:
+        if number == 1:
+            begun.wait(60)
+            run[0].cancel()
+
+    run.append(start(after))
+    begun.set()
+    ended = run[0].wait()
+    kept = lambda: spark.read.schema("o_orderkey long, batch int").parquet(f"{root}/out")
+    before = kept().count()
+    start().wait()
+    return kept().agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"), F.lit(before).cast("long").alias("before"), F.lit(not ended).alias("cancelled"), F.count_distinct("batch").cast("int").alias("batches"))
+
+
+@query("""
+WITH c AS (SELECT *, client_id % 64 < 5 AND change_id % 2 = 1 AS late FROM client_changes WHERE client_id IS NOT NULL),
+n AS (SELECT count(DISTINCT client_id % 64) FILTER (NOT late) AS first, count(DISTINCT client_id % 64) FILTER (late) AS second FROM c)
+SELECT client_id, arg_max(change_id, (seq, change_id)) AS change_id, arg_max(coalesce(op, '-'), (seq, change_id)) AS op, any_value(first) AS first, any_value(second) AS second FROM c, n WHERE seq IS NOT NULL GROUP BY client_id""")
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change of each client, kept by a stream: its second batch rewrites the buckets of its own clients only."""
+    from verdure.streaming.state import latest_generation, read_stream, upsert_state
+
+    root = shared_path(spark, "stream")
+    rows = table(spark, sf_dir, "client_changes").where("client_id is not null and change_id is not null").select("client_id", "seq", "change_id", F.coalesce("op", F.lit("-")).alias("op"))
+    late = (F.col("client_id") % 64 < 5) & (F.col("change_id") % 2 == 1)
+    commits: list = []
+    for part in (~late, late):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = read_stream(spark, f"{root}/in", rows.schema, per_trigger=1)
+        upsert_state(stream, f"{root}/state", f"{root}/log", ["client_id"], ["seq", "change_id"], F.col("client_id"), 64, commits).awaitTermination()
+    found = latest_generation(spark, f"{root}/state").where("seq is not null")
+    return found.select("client_id", "change_id", "op", *[F.lit(len(c.buckets)).cast("long").alias(n) for n, c in zip(("first", "second"), commits)])
 
 
 @query("SELECT s_suppkey % 6 = 0 AS failed, count(*) AS n FROM supplier GROUP BY 1")

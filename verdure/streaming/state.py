@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from verdure.operators.state import last_write_wins
+from verdure.sources.buckets import Buckets, Commit, current, upsert
 
 
 def read_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 64, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
@@ -18,27 +21,62 @@ def read_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 64,
     return reader.format(fmt).load(folder)
 
 
-def upsert_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: list[str]) -> StreamingQuery:
-    """Keeps the latest row of each key below ``path``, one generation for each batch.
+def latest_generation(spark: SparkSession, path: str) -> DataFrame:
+    """The state that the last committed batch left."""
+    return current(spark, path)
+
+
+def upsert_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: list[str], bucket: Column | None = None, buckets: int = 64, commits: list[Commit] | None = None) -> StreamingQuery:
+    """Keeps the latest row of each key below ``path``: a batch rewrites the buckets of its keys and no others.
 
-    A repeated batch writes its own generation again, so that a restart changes nothing.
+    ``bucket`` is a number by key, by default a hash. Batches commit under their numbers, so that one that comes again after a restart
+    changes nothing. What a batch replaces is removed. ``commits`` gets what each did.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = last_write_wins(batch, keys, seq)
-        if number:
-            fresh = last_write_wins(fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{path}/generation={number - 1}")), keys, seq)
-        fresh.write.mode("overwrite").parquet(f"{path}/generation={number}")
+        table = Buckets(batch.sparkSession, path, batch.schema, F.xxhash64(*keys) if bucket is None else bucket, buckets)
+        done = upsert(table, batch, keys, seq, number)
+        if commits is not None:
+            commits.append(done)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_generation(spark: SparkSession, path: str) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    last = max(int(s.getPath().getName().split("=")[1]) for s in found if s.getPath().getName().startswith("generation="))
-    return spark.read.parquet(f"{path}/generation={last}")
+class Cancelled(Exception):
+    """A run was asked to stop before its next batch."""
+
+
+class BatchRun:
+    """A run over a stream that can be cancelled between two batches and resumed from its checkpoint.
+
+    Each batch is written below ``path`` under its number, a repeated one over itself.
+    """
+
+    def __init__(self, stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, after: Callable[[int], None] | None = None):
+        self._stop = threading.Event()
+
+        def write(batch: DataFrame, number: int) -> None:
+            if self._stop.is_set():
+                raise Cancelled(number)
+            transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            if after:
+                after(number)
+
+        self.query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def cancel(self) -> None:
+        """No further batch begins; the one that is being written is finished."""
+        self._stop.set()
+
+    def wait(self) -> bool:
+        """Whether the run came to its end; false if it was cancelled before."""
+        try:
+            self.query.awaitTermination()
+            return True
+        except StreamingQueryException:
+            if self._stop.is_set() and "Cancelled" in str(self.query.exception()):
+                return False
+            raise
 
 
 def append_regions(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
