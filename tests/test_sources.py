@@ -143,6 +143,29 @@ def test_bank_round_trip(spark, tmp_path):
     assert "match" in files.bank(spark, str(tmp_path / "cut.bin")).first().error
 
 
+def test_banks_and_dumps_in_parts_by_ranges(spark, tmp_path):
+    from verdure.sources import binary
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(500, 5)).astype(np.float32)
+    rows = spark.createDataFrame([(i, i % 3, i * 0.5, x.tolist()) for i, x in enumerate(v)], "id long, class int, weight double, v array<float>").repartition(7)
+    assert binary.write_bank(rows, ["id"], f"{tmp_path}/bank", 64) == 8
+    assert len((tmp_path / "bank" / "000000000000064.bin").read_bytes()) == 8 + 64 * 20
+    assert binary.write_dump(rows, ["id"], f"{tmp_path}/dump", 200) == 3
+    (tmp_path / "one.bin").write_bytes(files.bank_bytes(v))
+    for size in (19, 333, 1 << 20):
+        for path in ("bank", "one.bin"):
+            got = sorted(binary.bank(spark, f"{tmp_path}/{path}", size).collect(), key=lambda r: r.row_id)
+            assert [r.row_id for r in got] == list(range(500)) and np.allclose([r.v for r in got], v)
+        got = sorted(binary.base_set(spark, f"{tmp_path}/dump", size).collect(), key=lambda r: r.row_id)
+        assert [(r.row_id, r["class"], r.weight) for r in got] == [(i, i % 3, i * 0.5) for i in range(500)] and np.allclose([r.v for r in got], v)
+    (tmp_path / "bank" / "000000000000448.bin").write_bytes(b"\1\0")
+    bad = binary.bank(spark, f"{tmp_path}/bank", 333)
+    assert [r.error for r in bad.where("error is not null").collect()] == ["ValueError: no header"] and bad.where("error is null").count() == 448
+    with pytest.raises(ValueError, match="don't fit"):
+        binary.write_bank(rows.union(spark.createDataFrame([(900, 0, 0.0, [1.0])], rows.schema)), ["id"], f"{tmp_path}/x")
+
+
 def test_polygons_and_maps(spark, tmp_path):
     p = write(tmp_path / "p.txt", "1 0 0 1 0 1 1\n2 0 0 1\n3 0 0 1 0 1 x\n\n")
     rows = files.polygons(spark, p).collect()

@@ -6,7 +6,6 @@ What is written comes from whole tables, so that SQL over the tables gives the s
 from __future__ import annotations
 
 import json
-import struct
 import threading
 
 import numpy as np
@@ -19,7 +18,7 @@ from verdure.kernels.apply import map_leaves
 from verdure.operators import state
 from verdure.plans.catalog import EXPLODED, query, r6, table
 from verdure.session import cut, shared_path
-from verdure.sources import buckets, exports, files, images, sinks
+from verdure.sources import binary, buckets, exports, files, images, sinks
 
 # --- images ---
 
@@ -76,17 +75,17 @@ def image_scan_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.scan(spark, root, outside=f"{root}/out").select(_below(root).alias("name"))
 
 
-@query("SELECT true AS same, true AS nested, true AS holds, false AS beside")
+@query("""
+WITH p AS (SELECT p_partkey, 'd/' || p_size AS folder, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/' || p_brand WHEN 2 THEN '0' ELSE '' END AS tail, p_partkey % 8 >= 4 AS turned FROM part)
+SELECT p_partkey, tail = '0' AS apart FROM p""")
 def folders_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def refused(a: str, b: str) -> bool:
-        try:
-            images.check_apart(a, b)
-        except ValueError:
-            return True
-        return False
-
-    row = refused("/x/in/", "file:/x/in"), refused("/x/in", "/x/in/out"), refused("/x/in/a", "/x//in"), refused("/x/in", "/x/inner")
-    return spark.createDataFrame([row], "same boolean, nested boolean, holds boolean, beside boolean")
+    """Pairs of folders: the same in other words, one within the other, either way, and one whose name only begins alike."""
+    k = F.col("p_partkey") % 4
+    source = F.concat(F.lit("/d/"), "p_size")
+    out = F.when(k == 0, F.concat(F.lit("file:///d//"), "p_size", F.lit("/"))).when(k == 1, F.concat(source, F.lit("/"), "p_brand")).when(k == 2, F.concat(source, F.lit("0"))).otherwise(source)
+    turned = F.col("p_partkey") % 8 >= 4
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(turned, out).otherwise(source).alias("a"), F.when(turned, source).otherwise(out).alias("b"))
+    return rows.select("p_partkey", images.lie_apart(F.col("a"), F.col("b")).alias("apart"))
 
 
 @query(f"""
@@ -151,14 +150,13 @@ def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id, round(sum(x * (dim + 1)), 3) AS s FROM ({EXPLODED}) GROUP BY vec_id")
 def bank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bank written in its binary form and read again."""
+    """A bank written in its binary form, in parts, and read again by ranges."""
     from verdure.functions import vectors
 
-    v = np.array(table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").toArrow().column(0).to_pylist(), np.float32)
     root = shared_path(spark, "bank")
-    exports.folder_writer(root)("bank.bin", files.bank_bytes(v))
+    binary.write_bank(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")), ["vec_id"], root, 300)
     ones = F.lit([float(d + 1) for d in range(64)])
-    return files.bank(spark, f"{root}/bank.bin").select("row_id", F.round(vectors.dot(F.col("v"), ones), 3).alias("s"))
+    return binary.bank(spark, root, 20_000).select("row_id", F.round(vectors.dot(F.col("v"), ones), 3).alias("s"))
 
 
 @query("""
@@ -189,14 +187,32 @@ def classifier_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT vec_id AS row_id, CAST(label AS INTEGER) AS class, CAST(vec_id % 4 * 0.25 AS DOUBLE) AS weight, round(sum(x * (dim + 1)), 3) AS s FROM ({EXPLODED}) GROUP BY vec_id, label")
 def training_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training matrix in its binary form, read again as a base set."""
+    """The training matrix in its binary form, in parts, read again as a base set by ranges."""
     from verdure.functions import vectors
 
-    rows = table(spark, sf_dir, "embeddings").orderBy("vec_id").toArrow().to_pylist()
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("class"), (F.col("vec_id") % 4 * 0.25).alias("weight"), F.col("embedding").alias("v"))
     root = shared_path(spark, "dump")
-    exports.folder_writer(root)("retrain_dump.bin", exports.dump_bytes(sorted({r["label"] for r in rows}), [(r["label"], r["vec_id"] % 4 * 0.25, np.array(r["embedding"], np.float32)) for r in rows]))
+    binary.write_dump(rows, ["vec_id"], root, 300)
     ones = F.lit([float(d + 1) for d in range(64)])
-    return exports.base_set(spark, f"{root}/retrain_dump.bin").select("row_id", "class", F.col("weight").cast("double").alias("weight"), F.round(vectors.dot(F.col("v"), ones), 3).alias("s"))
+    return binary.base_set(spark, root, 20_000).select("row_id", "class", F.col("weight").cast("double").alias("weight"), F.round(vectors.dot(F.col("v"), ones), 3).alias("s"))
+
+
+@query(f"""
+WITH s AS (SELECT label, dim, sum(x) AS t FROM ({EXPLODED}) GROUP BY ALL), m AS (SELECT label, dim, avg(x) AS t FROM ({EXPLODED}) GROUP BY ALL),
+n AS (SELECT 'before' AS phase, label, sqrt(sum(CAST(t AS DOUBLE) ** 2)) AS norm FROM s GROUP BY label UNION ALL SELECT 'after', label, sqrt(sum(CAST(t AS DOUBLE) ** 2)) FROM m GROUP BY label)
+SELECT phase, CAST(label AS INTEGER) AS class, CASE WHEN label = 0 THEN 'Healthy' ELSE 'family ' || label END AS name, round(norm, 4) AS coef_norm, CAST(-label AS DOUBLE) AS intercept, (SELECT count(*) FROM embeddings) AS n_rows, 64 AS dim FROM n""")
+def retrain_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms of a head's coefficients before and after a run, as one row of JSON, read again."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("total"), F.avg("x").alias("mean"))
+
+    def head(column: str) -> DataFrame:
+        coef = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", column))).alias("c"))
+        return coef.select(F.col("label").alias("class"), F.when(F.col("label") > 0, F.concat(F.lit("family "), "label")).alias("name"), F.transform("c", lambda c: c[column]).alias("coef"), (-F.col("label")).cast("double").alias("intercept"))
+
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n_rows"), F.lit(64).alias("dim"))
+    path = shared_path(spark, "diagnostics")
+    exports.diagnostics(n, head("total"), head("mean")).write.text(path)
+    return files.diagnostics(spark, path).select("phase", "class", "name", F.round("coef_norm", 4).alias("coef_norm"), "intercept", "n_rows", "dim")
 
 
 @query("SELECT p_partkey AS path, p_size AS resolution, 64 AS dim, p_partkey < 500 AND p_size % 2 = 0 AND p_partkey % 10 <> 0 AS cached FROM part")
@@ -617,18 +633,16 @@ def failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'not a base set' AS dump, 'ValueError: no header' AS bank, 'the head''s shapes disagree' AS head")
+@query("""
+SELECT CASE n_nationkey % 4 WHEN 0 THEN 'ValueError: no header' WHEN 1 THEN 'ValueError: the body doesn''t match the header' WHEN 2 THEN 'not a base set' ELSE 'read' END AS said, count(*) AS n FROM nation GROUP BY 1""")
 def failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a run that can't go on says: by rows where one file is bad, by an exception where a model is."""
+    """What readers say of files made from the nations' rows: too short, cut, of another kind, or good; one bad file is one row and the others are read."""
     root = shared_path(spark, "bad")
-    write = exports.folder_writer(root)
-    write("dump.bin", struct.pack("<IIII", 1, 0, 0, 0))
-    write("bank.bin", b"abc")
-    exports.put_text(spark, f"{root}/head.json", json.dumps({"dim": 2, "classes": [0], "intercept": [], "coef": [], "tau_default": 0.8}))
-    try:
-        files.classifier_head(spark, f"{root}/head.json").collect()
-        said = ""
-    except Exception as e:
-        said = "the head's shapes disagree" if "the head's shapes disagree" in str(e) else str(e)[:100]
-    dump, bank = exports.base_set(spark, f"{root}/dump.bin").first()["error"], files.bank(spark, f"{root}/bank.bin").first()["error"]
-    return spark.createDataFrame([(dump, bank, said)], "dump string, bank string, head string")
+    k = F.col("n_nationkey")
+    word = lambda n: F.unhex(F.concat(F.lpad(F.hex(F.lit(n)), 2, "0"), F.lit("000000")))
+    number = F.unhex(F.concat(F.lpad(F.hex(k), 2, "0"), F.lit("00803F")))
+    content = F.when(k % 4 == 0, F.unhex(F.lit("010203"))).when(k % 4 == 1, F.concat(word(2), word(1), number)).otherwise(F.concat(word(1), word(1), number))
+    name = F.concat(F.when(k % 4 == 2, "dump/").otherwise("bank/"), k.cast("string"), F.lit(".bin"))
+    cut(exports.put_files(table(spark, sf_dir, "nation").select(name.alias("name"), content.alias("content")), root))
+    said = files.bank(spark, f"{root}/bank").select("error").union(exports.base_set(spark, f"{root}/dump").select("error"))
+    return said.groupBy(F.coalesce("error", F.lit("read")).alias("said")).agg(F.count("*").alias("n"))

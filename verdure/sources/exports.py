@@ -222,25 +222,24 @@ def dump_bytes(classes: list[int], rows: list[tuple[int, float, np.ndarray]]) ->
 
 
 def base_set(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, class, weight, v, error) of a training dump, in blocks of rows; a file that is none gives one row with its error."""
+    """(row_id, class, weight, v, error) of a training dump, by ranges; a file that is none gives one row with its error."""
+    from verdure.sources import binary
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row_id", pa.int64()), ("class", pa.int32()), ("weight", pa.float32()), ("v", pa.list_(pa.float32())), ("error", pa.string())])
-        for batch in batches:
-            for data in batch.column(0):
-                raw = data.as_buffer()
-                head = struct.unpack("<IIII", raw[:16].to_pybytes()) if raw.size >= 16 else (0, 0, 0, 0)
-                _, n, dim, k = head
-                if head[0] != MAGIC or raw.size != 16 + 4 * k + n * (8 + 4 * dim):
-                    yield pa.RecordBatch.from_pylist([{"error": "not a base set" if head[0] != MAGIC else "the body doesn't match the header"}], schema)
-                    continue
-                body = np.frombuffer(raw, np.dtype([("c", "<i4"), ("w", "<f4"), ("v", "<f4", (dim,))]), n, 16 + 4 * k)
-                for lo in range(0, n, 4096):
-                    part = body[lo : lo + 4096]
-                    offsets = pa.array(np.arange(len(part) + 1) * dim, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part["c"]), pa.array(part["w"]), pa.ListArray.from_arrays(offsets, pa.array(part["v"].reshape(-1))), pa.nulls(len(part), pa.string())], schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_id long, class int, weight float, v array<float>, error string")
+    return binary.base_set(spark, path)
+
+
+def diagnostics(run: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of JSON: the columns of ``run``, itself of one row, and both heads' classes (class, name, intercept, coef) with the norms of their coefficients.
+
+    A class without a name is called by its number, class 0 healthy. The classes' number bounds the row.
+    """
+
+    def snapshot(head: DataFrame, name: str) -> DataFrame:
+        norm = F.sqrt(F.aggregate("coef", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        label = F.coalesce(F.col("name"), F.when(F.col("class") == 0, "Healthy"), F.col("class").cast("string"))
+        return head.agg(F.sort_array(F.collect_list(F.struct("class", label.alias("name"), norm.alias("coef_norm"), "intercept"))).alias(name))
+
+    return run.join(snapshot(before, "before")).join(snapshot(after, "after")).select(F.to_json(F.struct("*")).alias("value"))
 
 
 # --- sessions ---

@@ -75,18 +75,19 @@ def classifier_head(spark: SparkSession, path: str) -> DataFrame:
 
 def bank(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, v, error) of a binary bank: little-endian counts of rows and components, then the components."""
+    from verdure.sources import binary
 
-    def kernel(row: dict) -> list[dict]:
-        data = row["content"]
-        if len(data) < 8:
-            raise ValueError("no header")
-        n, d = struct.unpack("<II", data[:8])
-        if len(data) != 8 + 4 * n * d:
-            raise ValueError("the body doesn't match the header")
-        v = np.frombuffer(data, "<f4", offset=8).reshape(n, d)
-        return [{"row_id": i, "v": x.tolist()} for i, x in enumerate(v)]
-
-    return map_leaves(spark.read.format("binaryFile").load(path).select("content"), kernel, BANK)
+    return binary.bank(spark, path)
+
+
+_HEAD_ROWS = "array<struct<class:int,name:string,coef_norm:double,intercept:double>>"
+
+
+def diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    """(phase, class, name, coef_norm, intercept, n_rows, dim) of a run's diagnostics, before and after."""
+    j = spark.read.text(path, wholetext=True).select(F.from_json("value", f"n_rows long, dim int, before {_HEAD_ROWS}, after {_HEAD_ROWS}").alias("j")).select("j.*")
+    phase = lambda name: j.select(F.lit(name).alias("phase"), F.explode(name).alias("h"), "n_rows", "dim").select("phase", "h.*", "n_rows", "dim")
+    return phase("before").union(phase("after"))
 
 
 def bank_bytes(v: np.ndarray) -> bytes:

@@ -9,7 +9,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
@@ -49,6 +49,13 @@ def listing(files: DataFrame) -> DataFrame:
     return numbered(files.select("path"), [], [F.col("path")], "ord")
 
 
+def lie_apart(source: Column, out: Column) -> Column:
+    """Whether of two folders, by rows, neither is, holds or lies in the other; schemes and doubled or last slashes don't matter."""
+    plain = lambda c: F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "/+", "/"), "/$", ""), F.lit("/"))
+    a, b = plain(source), plain(out)
+    return ~(F.startswith(a, b) | F.startswith(b, a))
+
+
 def check_apart(source: str, out: str) -> None:
     """Refuses an output folder that is, holds or lies in the source."""
     a, b = _plain(source) + "/", _plain(out) + "/"
