@@ -369,11 +369,10 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions of a few folders, each in a file named by a hash of its folder, saved twice and read again."""
     folder = shared_path(spark, "sessions")
     key, name = (F.col("user_id") % 10).alias("k"), F.concat(F.col("event_id") % 3, F.lit(".png")).alias("name")
-    rows = table(spark, sf_dir, "events").groupBy(key, name).agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("last")).collect()
-    for k in sorted({r.k for r in rows}):
-        own = [r for r in rows if r.k == k]
-        exports.save_session(spark, folder, str(k), {"old.png": "x"})
-        exports.save_session(spark, folder, str(k), {r["name"]: r.status for r in own}, max(r["last"] for r in own))
+    rows = table(spark, sf_dir, "events").groupBy(key, name).agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").cast("int").alias("last_index"))
+    rows = rows.withColumn("source_folder", F.col("k").cast("string"))
+    cut(exports.save_sessions(rows.withColumn("status", F.lit("x")), folder))
+    cut(exports.save_sessions(rows, folder))
     return exports.sessions(spark, folder)
 
 
@@ -382,9 +381,9 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS src, CAST(p_partkey * 2 AS INTEGER) AS \"index\", CASE WHEN p_partkey % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM part")
 def export_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey").collect()
-    path = shared_path(spark, "map") + "/map.json"
-    exports.put_text(spark, path, json.dumps({str(r[0]): {"index": r[0] * 2, "split": "val" if r[0] % 4 == 0 else "train"} for r in rows}))
+    path = shared_path(spark, "map")
+    split = F.when(F.col("p_partkey") % 4 == 0, "val").otherwise("train")
+    exports.write_export_map(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("src"), (F.col("p_partkey") * 2).cast("int").alias("index"), split.alias("split")), path, 700)
     return files.export_map(spark, path).select(F.col("src").cast("long").alias("src"), "index", "split")
 
 

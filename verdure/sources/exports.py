@@ -254,6 +254,31 @@ def save_session(spark: SparkSession, folder: str, source: str, categorised: dic
     put_text(spark, session_path(folder, source), json.dumps({"source_folder": source, "last_index": last_index, "categorised": categorised}, indent=2))
 
 
+def save_sessions(marks: DataFrame, folder: str) -> DataFrame:
+    """Writes the session of each source folder, by the tasks that have its rows; (name, error) of each file.
+
+    marks (source_folder, last_index, name, status): the marks of a folder, which are few, make one file.
+    """
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "status"))))
+    rows = marks.groupBy("source_folder").agg(F.max("last_index").alias("last_index"), entries.alias("categorised"))
+    rows = rows.select("source_folder", F.encode(F.to_json(F.struct("source_folder", "last_index", "categorised")), "UTF-8").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [session_path("", source)[1:] for source in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], names=["name", "content"])
+
+    return put_files(rows.mapInArrow(run, "name string, content binary"), folder)
+
+
+def write_export_map(rows: DataFrame, path: str, rows_of_part: int = 50_000) -> None:
+    """An export map of (src, index, split) as JSON objects, one to a part; a part holds some thousand paths by their hash."""
+    parts = 1 + rows.count() // rows_of_part
+    entry = F.struct("src", F.struct("index", "split").alias("v"))
+    held = rows.groupBy(F.pmod(F.xxhash64("src"), F.lit(parts)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    held.repartition(parts, "part").select("value").write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 SESSION = "source_folder string, last_index int, categorised map<string,string>"
 
 

@@ -116,8 +116,8 @@ def polygons(spark: SparkSession, path: str, sizes: DataFrame | None = None) ->
 
 
 def export_map(spark: SparkSession, path: str) -> DataFrame:
-    """(src, index, split) of an export map: path to (index, split)."""
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<index:int,split:string>>").alias("m"))
+    """(src, index, split) of an export map: path to (index, split); one JSON text, or parts of one object to a line."""
+    m = spark.read.text(path, wholetext=path.endswith(".json")).select(F.from_json("value", "map<string,struct<index:int,split:string>>").alias("m"))
     return m.select(F.explode("m").alias("src", "v")).select("src", "v.index", "v.split")
 
 
