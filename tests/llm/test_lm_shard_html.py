@@ -272,3 +272,41 @@ def test_every_training_token_reaches_a_gradient_step(spark, tmp_path, monkeypat
     streams = [np.load(x) for x in tmp_path.glob("*.npy")]
     assert sum(map(len, streams)) == rows[0].train_tokens > 0
     assert len(np.unique(np.concatenate(streams))) == 1 + 2 * sum(not r.held_out for r in rows)
+
+
+def paragraphs(seed, n, words=30):
+    from tests.llm.conftest import prose
+
+    return [prose(seed * 100 + k, words) for k in range(n)]
+
+
+def learned(spark):
+    from verdure.llm import htmltext
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    return htmltext.learn(pages)
+
+
+def test_sections_stay_whatever_their_names(spark):
+    """Three equal sections, one of them with a name of boilerplate, or with one that no page has shown."""
+    from verdure.llm import htmltext
+
+    weights = learned(spark)
+    parts = [paragraphs(k, 5) for k in range(3)]
+    for outer in ("<article>{}</article>", "<div id=content>{}</div>"):
+        for name in ("discussion", "comment-on-method", "legal", "reply", "tags", "sidebar-note", "notice", "qqq", "x7"):
+            body = "".join(f"<section{f' class={name}' if k == 1 else ''}>" + "".join(f"<p>{p}</p>" for p in part) + "</section>" for k, part in enumerate(parts))
+            page = f"<html><body><nav><ul><li><a href=/>home</a></li></ul></nav>{outer.format(body)}<footer>all rights</footer></body></html>"
+            assert htmltext.extract(page, weights) == "\n".join(p for part in parts for p in part), name
+
+
+def test_adverts_forms_links_and_reader_comments_in_the_article_go(spark):
+    from verdure.llm import htmltext
+
+    weights = learned(spark)
+    a, b = paragraphs(7, 4), paragraphs(8, 4)
+    p = lambda part: "".join(f"<p>{x}</p>" for x in part)
+    comments = "<div class=comments>" + "".join(f"<div class=comment><p>{x}</p></div>" for x in paragraphs(9, 3, 40)) + "</div>"
+    for noise in ("<div class=ad><p>buy this now and save money today at our shop</p></div>", "<form><label>mail</label><input><button>go</button></form>", "<div class=share><ul>" + "<li><a href=/x>share this</a></li>" * 30 + "</ul></div>", "<aside class=related><p><a href=/y>" + " ".join(["word"] * 90) + "</a></p></aside>", comments):
+        page = f"<body><nav><a href=/>home</a></nav><article>{p(a)}{noise}{p(b)}</article><footer>all rights</footer></body>"
+        assert htmltext.extract(page, weights) == "\n".join(a + b), noise[:40]

@@ -3,9 +3,11 @@
 A page is read as a sequence of tokens. Each word scores by how much more often
 words in its surroundings belong to main text than not, each tag by how rarely
 it stands inside main text; both weights are learned from labelled pages. One
-linear scan finds the contiguous region of the highest sum. Of the elements that
-lie inside it, those whose own names count against main text (adverts, forms,
-comments) are left out; what stands round the region has no say in that.
+linear scan finds the contiguous region of the highest sum. Inside it a second scan
+has the signs turned round, over the elements whose own names count against main
+text: a name speaks for leaving its element out, each word of its prose against
+it, so that adverts, forms and link lists go and sections stay. Reader comments
+go as such by their repetition. What stands round the region has no say in that.
 """
 
 from __future__ import annotations
@@ -51,6 +53,10 @@ WORST, BEST = -0.5, 2.0
 AGAINST_ODDS = -1.0
 #: An element with such a share of a page's words stands round the page: its listed classes, or listed tags, say nothing.
 ROUND, WHOLE = 0.5, 0.8
+#: Words that a block has at least to be prose; words of prose that outweigh an element's names.
+PROSE, NAMES = 12, 60
+#: Names of reader comments, where several of them stand together.
+READERS = frozenset("comment comments reply replies respond disqus".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -233,6 +239,34 @@ def scores(page: Page, weights: Weights) -> tuple[list[float], list[bool]]:
     return [word[at] * len(value.split()) if kind == "text" else weights.tag(value) for kind, value, at in page.items], against
 
 
+def prose(page: Page, first: int, last: int) -> list[int]:
+    """By element, the words in it that stand in the region, in blocks of a sentence's length, and in no link."""
+    linked = [False] * len(page.parents)
+    for i in range(1, len(linked)):
+        linked[i] = linked[page.parents[i]] or "<a>" in page.names[i]
+    out, block = [0] * len(page.parents), []
+    for kind, value, at in [*page.items[first:last], ("close", "div", 0)]:
+        if kind == "text":
+            block.append((at, len(value.split())))
+        elif value in BLOCK:
+            if sum(n for at, n in block if not linked[at]) >= PROSE:
+                for at, n in block:
+                    out[at] += 0 if linked[at] else n
+            block = []
+    for i in range(len(out) - 1, 0, -1):
+        out[page.parents[i]] += out[i]
+    return out
+
+
+def readers(page: Page) -> list[bool]:
+    """By element, whether it bears a name of reader comments and holds, or stands beside, another that does."""
+    own = [bool(names & READERS) for names in page.names]
+    under, beside = [0] * len(own), Counter(up for up, mine in zip(page.parents, own) if mine)
+    for i in range(len(own) - 1, 0, -1):
+        under[page.parents[i]] += under[i] + own[i]
+    return [mine and (under[i] >= 2 or beside[page.parents[i]] >= 2) for i, mine in enumerate(own)]
+
+
 def region(page: Page, weights: Weights) -> tuple[int, int, list[bool]]:
     """First token, last + 1 of the maximum-scoring region, and by element whether it is left out of it."""
     value, against = scores(page, weights)
@@ -240,9 +274,10 @@ def region(page: Page, weights: Weights) -> tuple[int, int, list[bool]]:
     # Elements that begin inside the region and aren't all of it may be left out.
     held = sum(len(v.split()) for kind, v, _ in page.items[first:last] if kind == "text")
     starts = {at for kind, _, at in page.items[first:last] if kind == "open"}
-    gone = [False] * len(page.parents)
+    gone, told, crowd = [False] * len(page.parents), prose(page, first, last), readers(page)
     for i in range(1, len(gone)):
-        gone[i] = gone[page.parents[i]] or (against[i] and i in starts and page.total[i] < max(held, 1))
+        turned = (NAMES if against[i] else 0) - told[i]
+        gone[i] = gone[page.parents[i]] or (i in starts and page.total[i] < max(held, 1) and against[i] and (turned > 0 or crowd[i]))
     # Between two landmarks' text lies what is in neither.
     if page.mark and weights.name(f"!{page.mark}") <= AGAINST_ODDS and any(page.inside[at] for _, _, at in page.items[first:last]):
         gone = [g or not page.inside[i] for i, g in enumerate(gone)]
@@ -269,10 +304,11 @@ def extract(text: str, weights: Weights) -> str:
 
 
 def observe(text: str) -> Counter:
-    """(kind, name, inside) counts of a page that has a landmark of its main text; nothing from others.
+    """(kind, name, inside) counts of a page that has a landmark of its main text, by that landmark alone; nothing from others.
 
-    Listed elements that are a small part of the page label their text as no main text, wherever they
-    stand; that speaks against the listed names alone, not against plain elements that they are in or hold.
+    What a listed element holds speaks for or against its listed names, not those of the
+    plain elements that it is in or holds; for them only its prose speaks, as what else it
+    holds in a landmark may be there by habit.
     """
     page = parse(text)
     out: Counter = Counter()
@@ -280,6 +316,7 @@ def observe(text: str) -> Counter:
         return out
     n = len(page.parents)
     listed = [frozenset(x for x in own if x.strip("<>") in AGAINST) for own in page.names]
+    told = prose(page, 0, len(page.items))
     bad = [False] * n
     for i in range(1, n):
         bad[i] = bad[page.parents[i]] or bool(listed[i])
@@ -300,7 +337,7 @@ def observe(text: str) -> Counter:
         open_.append((i, new))
         for x in new:
             if bad[i]:
-                out["word", x, False] += page.total[i]
+                out["word", x, page.inside[i]] += told[i] if page.inside[i] else page.total[i]
             else:
                 out["word", x, True] += yes[i]
                 out["word", x, False] += no[i]
@@ -336,7 +373,7 @@ def learn(pages: DataFrame, *, most: int = 2_000) -> Weights:
 
 
 def weigh(counts: dict[tuple[str, str, bool], float]) -> Weights:
-    """Log-odds of all counted names; listed ones have a prior against them."""
+    """Log-odds of all counted names; listed ones have a prior against them that pages can outweigh."""
     out = Weights()
     for kind, into in (("word", out.words), ("tag", out.tags)):
         names = {n for k, n, _ in counts if k == kind}
