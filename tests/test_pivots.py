@@ -29,8 +29,7 @@ def kinds():
     }
 
 
-@pytest.mark.parametrize("kind", sorted(kinds()))
-@pytest.mark.parametrize("cells", [1, 7, 64])
+@pytest.mark.parametrize("kind,cells", [*((k, 7) for k in sorted(kinds())), ("clustered", 1), ("copies", 64)])
 def test_pairs_within_a_radius(spark, monkeypatch, kind, cells):
     x, eps = kinds()[kind]
     monkeypatch.setattr(neighbors, "BLOCK", 48)
@@ -40,8 +39,7 @@ def test_pairs_within_a_radius(spark, monkeypatch, kind, cells):
     assert len(got) == len(want) and {(r.a, r.b): r.d for r in got} == pytest.approx(want, abs=1e-9 * abs(x).max())
 
 
-@pytest.mark.parametrize("kind", sorted(kinds()))
-@pytest.mark.parametrize("ties", ["rows", "distinct"])
+@pytest.mark.parametrize("kind,ties", [*((k, "rows") for k in sorted(kinds())), ("clustered", "distinct"), ("copies", "distinct")])
 def test_k_nearest(spark, monkeypatch, kind, ties):
     x, _ = kinds()[kind]
     monkeypatch.setattr(neighbors, "BLOCK", 48)

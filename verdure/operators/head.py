@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.functions.vectors import dot
+from verdure.session import cut
+
+#: Partial gradients that come to the driver.
+SUMS = 8
 
 
 def classify(points: DataFrame, head: list[tuple[int, float, list[float]]], key: str, vector: str, healthy: int = 0) -> DataFrame:
@@ -57,9 +61,12 @@ def retrain(
 
     rows (class, weight, x). The penalty pulls coefficients towards ``anchor`` times the
     starting ones, with strength 1 / (c * crops); intercepts are free. Classes without
-    rows stay as they were; the intercept gradient is centred if there are any. Each
-    evaluation sums partial gradients on the executors; L-BFGS steps run on the driver.
+    rows stay as they were; the intercept gradient is centred if there are any. The rows
+    are kept in a table that every evaluation reads; it sums partial gradients on the
+    executors, in two steps, so that at most ``SUMS`` of them come to the driver, where the
+    L-BFGS steps run.
     """
+    rows = cut(rows.select("class", "weight", "x"))
     k, d = len(classes), start.shape[1] - 1
     seen = {r["class"] for r in rows.select("class").distinct().collect()}
     free = np.array([x in seen for x in classes])
@@ -84,7 +91,16 @@ def retrain(
                 weight += float(s.sum())
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([weight]), pa.array([grad.tobytes()], pa.binary())], names=["loss", "weight", "grad"])
 
-        parts = rows.select("class", "weight", "x").mapInArrow(run, "loss double, weight double, grad binary").collect()
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, weight, grad = 0.0, 0.0, np.zeros(k * (d + 1))
+            for batch in batches:
+                loss, weight = loss + sum(batch.column("loss").to_pylist()), weight + sum(batch.column("weight").to_pylist())
+                for x in batch.column("grad"):
+                    grad = grad + np.frombuffer(x.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([weight]), pa.array([grad.tobytes()], pa.binary())], names=["loss", "weight", "grad"])
+
+        schema = "loss double, weight double, grad binary"
+        parts = rows.mapInArrow(run, schema).repartition(SUMS).mapInArrow(add, schema).collect()
         total = max(sum(r["weight"] for r in parts), 1e-12)
         loss = sum(r["loss"] for r in parts) / total
         grad = sum(np.frombuffer(r["grad"]).reshape(k, d + 1) for r in parts) / total

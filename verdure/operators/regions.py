@@ -115,6 +115,17 @@ def merge_groups(members: DataFrame, component: str, region: str) -> DataFrame:
     return members.groupBy(component).agg(F.min(region).alias("survivor"), F.min("x").alias("x"), F.min("y").alias("y"), (x1 - F.min("x")).alias("w"), (y1 - F.min("y")).alias("h"), F.sum("area").alias("area"), F.count("*").alias("parts"))
 
 
+def merge_masks(pixels: DataFrame, groups: DataFrame) -> DataFrame:
+    """(survivor, x, y): the union of the masks of each group's regions, a pixel once; the lowest region survives.
+
+    pixels (region, x, y), groups (region, component). A region in no group is its own.
+    """
+    lowest = groups.groupBy("component").agg(F.min("region").alias("survivor"))
+    named = groups.join(lowest, "component").select("region", "survivor")
+    placed = pixels.join(named, "region", "left").select(F.coalesce("survivor", "region").alias("survivor"), "x", "y")
+    return placed.distinct()
+
+
 def extract(labelled: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """Box, area and centroid of each region from its pixels (keys, x, y); regions under ``least`` pixels are dropped."""
     x, y = F.col("x"), F.col("y")

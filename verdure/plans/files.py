@@ -398,6 +398,20 @@ def polygon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.polygons(spark, path).select("class", F.get("ring", F.lit(0))["x"].alias("x0"), F.get("ring", F.lit(2))["y"].alias("y2"), F.size("ring").alias("n"))
 
 
+@query("SELECT 'leaf' || n_nationkey AS stem, CAST(n_regionkey AS INTEGER) AS class, 0.25 * (100 + n_nationkey) AS x1, 0.5 * (50 + n_nationkey * 2) AS y2, 4 AS n FROM nation WHERE n_nationkey % 5 <> 4")
+def polygon_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files of polygons in shares of their image, with the images' sizes as pixels; an image of unknown size has none."""
+    nation = table(spark, sf_dir, "nation")
+    root = shared_path(spark, "polygons")
+    stem = F.concat(F.lit("leaf"), "n_nationkey")
+    line = F.concat_ws(" ", F.col("n_regionkey").cast("string"), F.lit("0 0 0.25 0 0.25 0.5 0 0.5"))
+    cut(exports.put_files(nation.select(F.concat(stem, F.lit(".txt")).alias("name"), F.encode(line, "UTF-8").alias("content")), root))
+    sizes = nation.where("n_nationkey % 5 <> 4").select(stem.alias("stem"), (F.col("n_nationkey") + 100).alias("w"), (F.col("n_nationkey") * 2 + 50).alias("h"))
+    found = files.polygons(spark, root, sizes)
+    name = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
+    return found.select(name.alias("stem"), "class", F.get("ring", F.lit(1))["x"].alias("x1"), F.get("ring", F.lit(2))["y"].alias("y2"), F.size("ring").alias("n"))
+
+
 @query("SELECT CAST(count(*) AS INTEGER) AS epoch, round(avg(value), 6) AS iou FROM events")
 def epoch_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.avg("value").alias("v")).first()

@@ -373,6 +373,17 @@ def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.merge_groups(members, "component", "region")
 
 
+@query(f"""
+{pixels.WITH}, m AS (SELECT leaf AS region, x, y FROM px WHERE v < 60 UNION ALL SELECT leaf + 100, x, y FROM px WHERE v >= 40),
+g AS (SELECT DISTINCT region, region % 100 // 3 AS component FROM m WHERE region % 100 > 10), l AS (SELECT component, min(region) AS survivor FROM g GROUP BY component)
+SELECT DISTINCT coalesce(survivor, region) AS survivor, x, y FROM m LEFT JOIN g USING (region) LEFT JOIN l USING (component)""")
+def merge_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels.pixels(spark, sf_dir)
+    m = px.where("v < 60").select(F.col("leaf").alias("region"), "x", "y").union(px.where("v >= 40").select(F.col("leaf") + 100, "x", "y"))
+    groups = m.select("region").distinct().where("region % 100 > 10").withColumn("component", F.floor(F.col("region") % 100 / 3))
+    return regions.merge_masks(m, groups)
+
+
 @query("SELECT src, count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM (SELECT 'curation' AS src, s_suppkey AS k FROM supplier UNION ALL SELECT 'base', p_partkey FROM part) GROUP BY src")
 def curation_and_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "supplier").select(F.lit("curation").alias("src"), F.col("s_suppkey").alias("k"))
