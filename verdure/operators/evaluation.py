@@ -22,6 +22,26 @@ def macro_average(metrics: DataFrame, names: tuple[str, ...] = ("iou", "dice", "
     return metrics.agg(*[F.avg(c).alias(c) for c in names])
 
 
+def sample_table(pixels: DataFrame, keys: list[str], prob: str, truth: Column, visible: Column, about: list[Column], cut: float = 0.5) -> DataFrame:
+    """Each sample's metrics where nothing was visible (zone_...), and of the whole silhouette (whole_...); ``about`` are aggregates to add.
+
+    A sample without hidden pixels has zone metrics of 0. One pass over the pixels, summed
+    up by partition first.
+    """
+    p = F.col(prob) > cut
+    count = lambda c: F.count_if(c)
+    kinds = {"tp": p & truth, "fp": p & ~truth, "fn": ~p & truth, "tn": ~p & ~truth}
+    g = pixels.groupBy(*keys).agg(*[count(c).alias(f"w_{k}") for k, c in kinds.items()], *[count(c & ~visible).alias(f"z_{k}") for k, c in kinds.items()], *about)
+    div = lambda a, b: a / F.greatest(b.cast("double"), F.lit(EPS))
+
+    def metrics(x: str) -> dict[str, Column]:
+        t, f, n, z = (F.col(f"{x}_{k}") for k in ("tp", "fp", "fn", "tn"))
+        return {"iou": div(t, t + f + n), "dice": div(2 * t, 2 * t + f + n), "precision": div(t, t + f), "recall": div(t, t + n), "pixel_acc": div(t + z, t + f + n + z)}
+
+    rest = [c for c in g.columns if c not in keys and c[:2] not in ("w_", "z_")]
+    return g.select(*keys, *rest, *[m.alias(f"zone_{k}") for k, m in metrics("z").items()], *[m.alias(f"whole_{k}") for k, m in metrics("w").items() if k in ("iou", "dice")])
+
+
 def area_report(samples: DataFrame, predicted: str, truth: str, keys: list[str] | None = None) -> DataFrame:
     """Mean absolute error, bias and relative error of areas; samples without true area are skipped."""
     d = F.col(predicted) - F.col(truth)

@@ -190,6 +190,20 @@ def archive(spark: SparkSession, path: str) -> str | None:
     return backup
 
 
+#: The columns of a validation table, with their decimals; text without any.
+VALIDATION = {
+    "damage_type": None, "damage_pct_actual": 3, "zone_iou": 4, "zone_dice": 4, "zone_precision": 4, "zone_recall": 4, "zone_pixel_acc": 4, "whole_iou_t05": 4, "whole_dice_t05": 4, "head_area_pred": 4,
+}
+
+
+def validation_table(samples: DataFrame) -> DataFrame:
+    """A row for each sample of ``evaluation.sample_table`` with its damage_type, damage_pct_actual and head_area_pred, in the columns of the validation CSV."""
+    from verdure.sources.sinks import fixed
+
+    named = samples.withColumnRenamed("whole_iou", "whole_iou_t05").withColumnRenamed("whole_dice", "whole_dice_t05")
+    return fixed(named.select(*VALIDATION), {c: n for c, n in VALIDATION.items() if n is not None})
+
+
 # --- models and training data ---
 
 
