@@ -7,6 +7,7 @@ import posixpath
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,17 +65,169 @@ def check_apart(source: str, out: str) -> None:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """RGBA pixels. PNG without interlacing, plain BMP and stripped 8-bit TIFF are read here; other formats need an image library."""
-    for mark, read in ((b"\x89PNG\r\n\x1a\n", _png), (b"BM", _bmp), (b"II*\0", _tiff), (b"MM\0*", _tiff)):
+    """RGBA pixels. PNG without interlacing, baseline JPEG, plain BMP and stripped 8-bit TIFF are read here; other formats, and JPEG wherever there is one, by an image library."""
+    for mark, read in ((b"\x89PNG\r\n\x1a\n", _png), (b"\xff\xd8", _photo), (b"BM", _bmp), (b"II*\0", _tiff), (b"MM\0*", _tiff)):
         if data[: len(mark)] == mark:
             return read(data)
     try:
         from PIL import Image
     except ImportError as e:
-        raise ValueError("only PNG, BMP and TIFF can be read without an image library") from e
+        raise ValueError("only PNG, JPEG, BMP and TIFF can be read without an image library") from e
     return np.asarray(Image.open(io.BytesIO(data)).convert("RGBA"))
 
 
+def _photo(data: bytes) -> np.ndarray:
+    """A JPEG by an image library, many times faster, or else by ``jpeg``."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return _with_alpha(jpeg(data))
+    return np.asarray(Image.open(io.BytesIO(data)).convert("RGBA"))
+
+
+#: Places of a block's coefficients in the order of a JPEG: by diagonals, to and fro.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+#: The cosine transform of eight samples.
+_COSINE = np.array([[np.sqrt((2 if u else 1) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _codes(part: bytes) -> dict[int, list]:
+    """Huffman tables of a segment by class and number: for each 16 bits the length of the code that they begin with, and its value."""
+    out, at = {}, 0
+    while at + 17 <= len(part):
+        counts = part[at + 1 : at + 17]
+        values, table, code = part[at + 17 : at + 17 + sum(counts)], [(0, 0)] * (1 << 16), 0
+        k = 0
+        for size, n in enumerate(counts, 1):
+            for _ in range(n):
+                width = 1 << (16 - size)
+                table[code * width : (code + 1) * width] = [(size, values[k])] * width
+                code, k = code + 1, k + 1
+            code *= 2
+        out[part[at]] = table
+        at += 17 + k
+    return out
+
+
+def _blocks(bits: bytes, plan: list[tuple[int, list, list]], mcus: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(component, coefficients (place, value)) of the blocks of one run of entropy-coded data, as ``plan`` orders them."""
+    last = [0] * (1 + max(c for c, _, _ in plan))
+    held = room = at = 0
+    n = len(bits)
+    for _ in range(mcus):
+        for c, dc, ac in plan:
+            found, k = [], 0
+            while k < 64:
+                while room < 32:  # beyond the data come ones
+                    held, room = (held << 8) | (bits[at] if at < n else 255), room + 8
+                    at += 1
+                if at > n + 8:
+                    raise ValueError("the JPEG's data end too early")
+                size, symbol = (ac if k else dc)[(held >> (room - 16)) & 65535]
+                if not size:
+                    raise ValueError("a code that the JPEG's tables don't have")
+                room -= size
+                run, width = symbol >> 4, symbol & 15
+                value = 0
+                if width:
+                    room -= width
+                    value = (held >> room) & ((1 << width) - 1)
+                    value -= 0 if value >> (width - 1) else (1 << width) - 1
+                held &= (1 << room) - 1
+                if not k:
+                    last[c] = value = last[c] + value
+                    found.append((0, value))
+                    k = 1
+                    continue
+                if not width and run < 15:
+                    break
+                k += run
+                if width:
+                    if k > 63:
+                        raise ValueError("a JPEG block of more than 64 coefficients")
+                    found.append((k, value))
+                k += 1
+            yield c, found
+
+
+def jpeg(data: bytes) -> np.ndarray:
+    """Grey or RGB pixels of a baseline JPEG; subsampled colours are repeated."""
+    quant: dict[int, np.ndarray] = {}
+    codes: dict[int, list] = {}
+    frame, every, plain, at = None, 0, False, 2
+    while at + 4 <= len(data):
+        if data[at] != 255:
+            raise ValueError("a JPEG segment without a marker")
+        kind = data[at + 1]
+        if kind == 255 or 0xD0 <= kind <= 0xD8 or kind == 1:
+            at += 1 if kind == 255 else 2
+            continue
+        (n,) = struct.unpack(">H", data[at + 2 : at + 4])
+        part, at = data[at + 4 : at + 2 + n], at + 2 + n
+        if kind == 0xDB:
+            k = 0
+            while k < len(part):
+                wide = part[k] >> 4
+                quant[part[k] & 15] = np.frombuffer(part, ">u2" if wide else "u1", 64, k + 1).astype(np.int64)
+                k += 65 + 64 * bool(wide)
+        elif kind == 0xC4:
+            codes |= _codes(part)
+        elif kind in (0xC0, 0xC1):
+            depth, h, w, m = struct.unpack(">BHHB", part[:6])
+            if depth != 8 or m not in (1, 3) or not h * w:
+                raise ValueError("not a JPEG of one or three components of 8 bits")
+            frame = h, w, [(part[6 + 3 * k], part[7 + 3 * k] >> 4, part[7 + 3 * k] & 15, part[8 + 3 * k]) for k in range(m)]
+        elif 0xC2 <= kind <= 0xCF and kind != 0xC8:
+            raise ValueError("only baseline JPEG can be read without an image library")
+        elif kind == 0xDD:
+            (every,) = struct.unpack(">H", part[:2])
+        elif kind == 0xEE and part[:5] == b"Adobe":
+            plain = part[11] == 0  # the components are colours
+        elif kind == 0xDA:
+            break
+    if frame is None or kind != 0xDA:
+        raise ValueError("a JPEG without an image")
+    h, w, parts = frame
+    if part[0] != len(parts):
+        raise ValueError("only JPEG of one scan can be read without an image library")
+    tables = {part[1 + 2 * k]: part[2 + 2 * k] for k in range(part[0])}
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    wide, high = -(-w // (8 * across)), -(-h // (8 * down))
+    plan = [(c, codes[tables[name] >> 4], codes[16 + (tables[name] & 15)]) for c, (name, a, b, _) in enumerate(parts) for _ in range(a * b)]
+    held = [np.zeros((high * wide * a * b, 64), np.int64) for _, a, b, _ in parts]
+    done = [0] * len(parts)
+    end = data.rfind(b"\xff\xd9")
+    runs = re.split(b"\xff[\xd0-\xd7]", data[at : end if end >= at else len(data)])
+    left = wide * high
+    for run in runs:
+        n = min(left, every or left)
+        for c, found in _blocks(run.replace(b"\xff\x00", b"\xff"), plan, n):
+            row = held[c][done[c]]
+            for k, value in found:
+                row[k] = value
+            done[c] += 1
+        left -= n
+        if not left:
+            break
+    if left:
+        raise ValueError("the JPEG's data end too early")
+    planes = []
+    for coef, (_, a, b, q) in zip(held, parts):
+        x = np.zeros_like(coef)
+        x[:, _ZIGZAG] = coef * quant[q]
+        px = np.einsum("ux,nuv,vy->nxy", _COSINE, x.reshape(-1, 8, 8), _COSINE) + 128.0
+        # Blocks lie by minimum units, in each by rows.
+        plane = px.reshape(high, wide, b, a, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(high * b * 8, wide * a * 8)
+        planes.append(plane.repeat(down // b, axis=0).repeat(across // a, axis=1)[:h, :w])
+    out = np.stack(planes, axis=2)
+    if len(planes) == 3 and not plain:
+        y, cb, cr = out[..., 0], out[..., 1] - 128, out[..., 2] - 128
+        out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
 def _with_alpha(px: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
     """RGBA from grey or RGB pixels, opaque unless alpha is given."""
     rgb = np.repeat(px[..., :1], 3, axis=2) if px.shape[2] < 3 else px[..., :3]
