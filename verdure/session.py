@@ -36,4 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table in the cluster's checkpoint folder."""
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table that ``cut`` made for these rows, once nothing that reads it is still to run."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
