@@ -561,7 +561,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 {pixels.WITH}, s AS (SELECT leaf, v > 50 AS p, f < 2 AS t, v % 3 = 0 AS seen, v FROM px),
 c AS (SELECT leaf, count(*) FILTER (p AND t) AS a, count(*) FILTER (p AND NOT t) AS b, count(*) FILTER (NOT p AND t) AS c, count(*) FILTER (NOT seen AND p AND t) AS za, count(*) FILTER (NOT seen AND p AND NOT t) AS zb,
-  count(*) FILTER (NOT seen AND NOT p AND t) AS zc, count(*) FILTER (NOT seen AND NOT p AND NOT t) AS zd, 100.0 * count(*) FILTER (NOT seen AND t) / greatest(count(*) FILTER (t), 1) AS pct, avg(v / 100) AS head FROM s GROUP BY leaf)
+  count(*) FILTER (NOT seen AND NOT p AND t) AS zc, count(*) FILTER (NOT seen AND NOT p AND NOT t) AS zd, 100.0 * count(*) FILTER (NOT seen AND t) / greatest(count(*) FILTER (t), 1) AS pct, avg(v) / 100 AS head FROM s GROUP BY leaf)
 SELECT CASE leaf % 3 WHEN 0 THEN 'coastal' WHEN 1 THEN 'spots' ELSE 'lobe' END AS damage_type, round(pct, 3) AS damage_pct_actual, round(za / greatest(za + zb + zc, 1e-7), 4) AS zone_iou, round(2 * za / greatest(2 * za + zb + zc, 1e-7), 4) AS zone_dice,
   round(za / greatest(za + zb, 1e-7), 4) AS zone_precision, round(za / greatest(za + zc, 1e-7), 4) AS zone_recall, round((za + zd) / greatest(za + zb + zc + zd, 1e-7), 4) AS zone_pixel_acc,
   round(a / greatest(a + b + c, 1e-7), 4) AS whole_iou_t05, round(2 * a / greatest(2 * a + b + c, 1e-7), 4) AS whole_dice_t05, round(head, 4) AS head_area_pred FROM c""")
@@ -571,7 +571,7 @@ def validation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     px = pixels.pixels(spark, sf_dir).withColumn("prob", F.col("v") / 100)
     truth, seen = F.col("f") < 2, F.col("v") % 3 == 0
-    about = [(F.lit(100.0) * F.count_if(~seen & truth) / F.greatest(F.count_if(truth), F.lit(1))).alias("damage_pct_actual"), F.avg("prob").alias("head_area_pred")]
+    about = [(F.lit(100.0) * F.count_if(~seen & truth) / F.greatest(F.count_if(truth), F.lit(1))).alias("damage_pct_actual"), (F.avg("v") / 100).alias("head_area_pred")]
     found = evaluation.sample_table(px, ["leaf"], "prob", truth, seen, about)
     kind = F.when(F.col("leaf") % 3 == 0, "coastal").when(F.col("leaf") % 3 == 1, "spots").otherwise("lobe")
     path = shared_path(spark, "validation")
