@@ -168,3 +168,21 @@ def test_linkage_matches_naive(n):
     got = complete_linkage(v)
     assert np.allclose([m[2] for m in got], naive_linkage(v), atol=1e-3)
     assert all(i < j for i, j, _ in got) and len({j for _, j, _ in got}) == n - 1
+
+
+@pytest.mark.parametrize("name", ["px_margin_cleared"])
+def test_full_canvas_equals_sql(spark, tmp_path, name):
+    """One leaf with every pixel of its canvas laid, so that it has no outside and whole tiles, and one with few."""
+    import duckdb
+
+    from verdure.plans import catalog, pixels  # noqa: F401
+
+    rows = [(30 * k + y * 13 % 30, 1, float(x)) for k in range(0, 6, 5) for y in range(30) for x in range(40)] + [(60_000 + k, 2, 3.0 * k) for k in range(9)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = db.execute(catalog.ORACLE_SQL[name]).df()
+    got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    if name == "px_tiles_filled":
+        assert (want.n == 256).any() and (got[got.n == 256].r == -1).all()

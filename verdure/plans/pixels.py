@@ -223,8 +223,8 @@ def _cleared(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
 on_leaves(
     _cleared, "x int, y int",
     f"""{WITH},{around('d', 'px', False)},{outside('o', 'd')}, two AS (SELECT * FROM px WHERE f = 2),{comp('k', 'two')},
-far AS (SELECT k.leaf, k.x, k.y, k.c, min(abs(k.x - o.x) + abs(k.y - o.y)) AS d FROM k JOIN o ON o.leaf = k.leaf GROUP BY ALL)
-SELECT leaf, x, y FROM px WHERE f <> 2 UNION ALL SELECT leaf, x, y FROM far JOIN (SELECT leaf, c FROM far GROUP BY leaf, c HAVING max(d) >= 3) USING (leaf, c)""", "px_margin_cleared",
+far AS (SELECT k.leaf, k.x, k.y, k.c, min(abs(k.x - o.x) + abs(k.y - o.y)) AS d FROM k LEFT JOIN o ON o.leaf = k.leaf GROUP BY ALL)
+SELECT leaf, x, y FROM px WHERE f <> 2 UNION ALL SELECT leaf, x, y FROM far JOIN (SELECT leaf, c FROM far GROUP BY leaf, c HAVING max(d) >= 3 OR max(d) IS NULL) USING (leaf, c)""", "px_margin_cleared",
 )
 on_leaves(
     lambda mask, c: at(raster.refine_silhouette(c["v"] / 100, mask & (c["f"] == 0), 0.5)), "x int, y int",
