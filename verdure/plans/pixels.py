@@ -201,6 +201,7 @@ SELECT leaf, CAST(c AS INTEGER) AS first, CAST(count(*) AS INTEGER) AS n, CASE W
 
 
 def _margin(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
+    """A leaf that fills its canvas has no outside: all of its holes are kept."""
     opaque = raster.dilate(mask, 1)
     labels, n = raster.label(mask & (c["f"] == 2))
     kept = decide.margin_holes([labels == k for k in range(1, n + 1)], opaque, 3)
@@ -210,8 +211,8 @@ def _margin(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
 on_leaves(
     _margin, "x int, y int",
     f"""{WITH},{around('d', 'px', False)},{outside('o', 'd')}, two AS (SELECT * FROM px WHERE f = 2),{comp('k', 'two')},
-far AS (SELECT k.leaf, k.x, k.y, k.c, min(abs(k.x - o.x) + abs(k.y - o.y)) AS d FROM k JOIN o ON o.leaf = k.leaf GROUP BY ALL)
-SELECT leaf, x, y FROM far JOIN (SELECT leaf, c FROM far GROUP BY leaf, c HAVING max(d) >= 3) USING (leaf, c)""", "px_margin_holes",
+far AS (SELECT k.leaf, k.x, k.y, k.c, min(abs(k.x - o.x) + abs(k.y - o.y)) AS d FROM k LEFT JOIN o ON o.leaf = k.leaf GROUP BY ALL)
+SELECT leaf, x, y FROM far JOIN (SELECT leaf, c FROM far GROUP BY leaf, c HAVING max(d) >= 3 OR max(d) IS NULL) USING (leaf, c)""", "px_margin_holes",
 )
 
 
