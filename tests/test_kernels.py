@@ -170,7 +170,7 @@ def test_linkage_matches_naive(n):
     assert all(i < j for i, j, _ in got) and len({j for _, j, _ in got}) == n - 1
 
 
-@pytest.mark.parametrize("name", ["px_margin_cleared", "px_margin_holes"])
+@pytest.mark.parametrize("name", ["px_margin_cleared", "px_margin_holes", "px_tiles_filled"])
 def test_full_canvas_equals_sql(spark, tmp_path, name):
     """One leaf with every pixel of its canvas laid, so that it has no outside and whole tiles, and one with few."""
     import duckdb

@@ -278,6 +278,7 @@ def _rgb(mask: np.ndarray, c: dict) -> np.ndarray:
 
 
 def _tiles(mask: np.ndarray, c: dict) -> dict[str, np.ndarray]:
+    """Each tile's fill; -1 where every pixel is valid, so that none is filled."""
     rows = [(x, y, int(v.sum()), *(rgb[~v][0] if (~v).any() else (-1, -1, -1))) for x, y, rgb, v in raster.tiles(_rgb(mask, c), 16)]
     return dict(zip(("ox", "oy", "n", "r", "g", "b"), np.array(rows, np.int64).T))
 
@@ -286,7 +287,7 @@ on_leaves(
     _tiles, "ox int, oy int, n int, r int, g int, b int",
     f"""{WITH}, t AS (SELECT leaf, CAST(ox * 16 AS INTEGER) AS ox, CAST(oy * 16 AS INTEGER) AS oy FROM leaves, (SELECT unnest(range(3)) AS ox), (SELECT unnest(range(2)) AS oy)),
 s AS (SELECT t.leaf, ox, oy, CAST(count(p.v) AS INTEGER) AS n, coalesce(sum(v * 2), 0) AS r, coalesce(sum(f * 50), 0) AS g, coalesce(sum(v * 7 % 256), 0) AS b FROM t LEFT JOIN px p ON p.leaf = t.leaf AND p.x // 16 * 16 = ox AND p.y // 16 * 16 = oy GROUP BY ALL)
-SELECT leaf, ox, oy, n, CAST(r // greatest(n, 1) AS INTEGER) AS r, CAST(g // greatest(n, 1) AS INTEGER) AS g, CAST(b // greatest(n, 1) AS INTEGER) AS b FROM s""", "px_tiles_filled",
+SELECT leaf, ox, oy, n, CASE WHEN n = 256 THEN -1 ELSE CAST(r // greatest(n, 1) AS INTEGER) END AS r, CASE WHEN n = 256 THEN -1 ELSE CAST(g // greatest(n, 1) AS INTEGER) END AS g, CASE WHEN n = 256 THEN -1 ELSE CAST(b // greatest(n, 1) AS INTEGER) END AS b FROM s""", "px_tiles_filled",
 )
 on_leaves(
     lambda mask, c: at(raster.restitch([(x, y, v) for x, y, _, v in raster.tiles(_rgb(mask, c), 16)], H, W)), "x int, y int",
