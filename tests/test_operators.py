@@ -256,3 +256,18 @@ def test_smallest_hit_joins_places_and_boxes_once(spark):
     assert got == {(0, 7), (10, 8), (20, 8)} and found.count() == 2000
     # Boxes, places and hits are aggregated each.
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
+
+
+def test_touch_components_without_pairs(spark, monkeypatch):
+    """Equal to components of all touching pairs, also for regions of several runs; a stack of 3,000 runs on one place makes no pairs."""
+    from verdure.operators.graph import components
+
+    rng = np.random.default_rng(4)
+    rows = [(int(leaf), int(r), int(y), int(x), int(x + n)) for leaf, r, y, x, n in zip(rng.integers(0, 3, 250), rng.integers(0, 120, 250), rng.integers(0, 12, 250), rng.integers(0, 60, 250), rng.integers(0, 4, 250))]
+    runs = spark.createDataFrame([(r % 3, r, y, a, b) for _, r, y, a, b in rows], "leaf int, region int, y int, x0 int, x1 int")
+    nodes, pairs = runs.selectExpr("region as node"), geometry.touching(runs, ["leaf"], "region")
+    want = {r.node: r.component for r in components(nodes, pairs).collect()}
+    monkeypatch.setattr(geometry, "touching", None)
+    assert {r.node: r.component for r in geometry.touch_components(runs, ["leaf"], "region").collect()} == want and len(set(want.values())) > 5
+    stack = spark.range(5, 3005).selectExpr("1 as leaf", "id as region", "id % 2 as y", "id % 3 as x0", "id % 3 + 1 as x1")
+    assert {(r.component) for r in geometry.touch_components(stack, ["leaf"], "region").collect()} == {5}

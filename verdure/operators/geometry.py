@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.operators.graph import components
+from verdure.session import cut
 
 
 def touching(runs: DataFrame, keys: list[str], region: str) -> DataFrame:
@@ -19,14 +20,30 @@ def touching(runs: DataFrame, keys: list[str], region: str) -> DataFrame:
 
 
 def touch_components(runs: DataFrame, keys: list[str], region: str) -> DataFrame:
-    """(node, component) of touching regions."""
-    return components(runs.select(F.col(region).alias("node")), touching(runs, keys, region))
+    """(node, component) of touching regions; no pair of them is made.
+
+    Within two neighbouring rows of a group, runs touch if they follow each other without a
+    gap, whichever row they lie in. So each run is laid on the two pairs of rows that hold
+    it, and there stands for the lowest region of its unbroken stretch; what is joined is
+    stretches, through the regions that lie in several. One group's row, of at most its width
+    in different beginnings, is a task's unit.
+    """
+    laid = runs.select(*keys, F.col(region).alias("node"), F.explode(F.array(F.col("y") - 1, F.col("y"))).alias("_p"), F.col("x0").alias("_x"), F.col("x1").alias("_e"))
+    starts = laid.groupBy(*keys, "_p", "_x").agg(F.max("_e").alias("_e"), F.min("node").alias("_low"))
+    w = Window.partitionBy(*keys, "_p").orderBy("_x")
+    new = F.coalesce(F.col("_x") > F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    numbers = starts.withColumn("_new", new).withColumn("_s", F.count_if("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = cut(numbers.withColumn("_low", F.min("_low").over(Window.partitionBy(*keys, "_p", "_s"))).select(*keys, "_p", "_x", "_low"))
+    # A row without keys or place touches nothing; equal stretches of a region are one.
+    at = cut(laid.join(stretch, [*keys, "_p", "_x"], "left").select("node", F.coalesce("_low", "node").alias("_low")).distinct())
+    own = at.groupBy("node").agg(F.min("_low").alias("_own"))
+    links = at.join(own, "node").select(F.col("_own").alias("a"), F.col("_low").alias("b")).where("a <> b").distinct()
+    found = components(at.select(F.col("_low").alias("node")).distinct(), links)
+    return own.join(found.withColumnRenamed("node", "_own"), "_own").select("node", "component")
 
 
 def runs_of(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Run-length rows (keys, y, x0, x1) of pixels (keys, x, y)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, "y").orderBy("x")
     p = pixels.select(*keys, "y", "x").distinct().withColumn("_g", F.col("x") - F.row_number().over(w))
     return p.groupBy(*keys, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
