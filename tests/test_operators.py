@@ -271,3 +271,32 @@ def test_touch_components_without_pairs(spark, monkeypatch):
     assert {r.node: r.component for r in geometry.touch_components(runs, ["leaf"], "region").collect()} == want and len(set(want.values())) > 5
     stack = spark.range(5, 3005).selectExpr("1 as leaf", "id as region", "id % 2 as y", "id % 3 as x0", "id % 3 + 1 as x1")
     assert {(r.component) for r in geometry.touch_components(stack, ["leaf"], "region").collect()} == {5}
+
+
+def test_group_values_go_to_every_task(spark):
+    """A few classes' medians or counts are broadcast, whatever the session's threshold: else one task gets a class."""
+    from verdure.plans import catalog, rows
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q in (catalog.upper_median_atypicality, rows.least_typical_first, catalog.stratified_stride_sample):
+            if q is rows.least_typical_first:
+                # Its join goes into a table on the way to the places: what that table's rows are dealt by is seen before.
+                seen = []
+                kept = rows._placed
+                rows._placed = lambda df, columns, order: seen.append(df) or kept(df, columns, order)
+                try:
+                    q(spark, "/root/testdata/sf0.001")
+                finally:
+                    rows._placed = kept
+                found = seen[0]
+            else:
+                found = q(spark, "/root/testdata/sf0.001")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            on_label = [line for line in plan.splitlines() if "Join" in line and "l_returnflag" in line]
+            assert on_label and "BroadcastHashJoin" in on_label[0], plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    empty = sampling.stratified_stride(spark.range(9).selectExpr("id", "id % 2 as k"), "k", ["id"], {})
+    assert empty.count() == 0
