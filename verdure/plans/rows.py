@@ -330,7 +330,7 @@ SELECT {KEYS}, row_number() OVER (ORDER BY score DESC, {KEYS}) AS place FROM s""
 def least_typical_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir)
     m = stats.upper_median(rows, ["l_returnflag"], "l_quantity")
-    scored = rows.join(m, "l_returnflag").select(*REGION, stats.area_atypicality(F.col("l_quantity"), F.col("upper_median")).alias("score"))
+    scored = rows.join(F.broadcast(m), "l_returnflag").select(*REGION, stats.area_atypicality(F.col("l_quantity"), F.col("upper_median")).alias("score"))
     return _placed(scored, REGION, regions.least_typical(scored, "score", REGION))
 
 
