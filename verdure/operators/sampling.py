@@ -27,10 +27,16 @@ def water_fill(counts: dict[object, int], target: int) -> dict[object, int]:
 
 
 def stratified_stride(df: DataFrame, label: str, order: list[str], quota: dict[object, int]) -> DataFrame:
-    """Evenly strided rows of each class, up to its quota."""
-    n = df.groupBy(label).agg(F.count("*").alias("_n"))
+    """Evenly strided rows of each class, up to its quota; classes without one give none.
+
+    The counts of the classes that have a quota go to every task, so that no task gets a class.
+    """
+    if not quota:
+        return df.limit(0)
+    wanted = df.where(F.col(label).isin(list(quota)))
+    n = wanted.groupBy(label).agg(F.count("*").alias("_n"))
     want = F.create_map(*[x for c, q in quota.items() for x in (F.lit(c), F.lit(q))])[F.col(label)]
-    ranked = numbered(df, [label], [F.col(c) for c in order]).join(n, label).select(*df.columns, "_i", "_n").withColumn("_want", want)
+    ranked = numbered(wanted, [label], [F.col(c) for c in order]).join(F.broadcast(n), label).select(*df.columns, "_i", "_n").withColumn("_want", want)
     stride = F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest(F.col("_want"), F.lit(1))))
     return ranked.where((F.col("_i") % stride == 0) & (F.floor(F.col("_i") / stride) < F.col("_want"))).drop("_i", "_n", "_want")
 
