@@ -6,7 +6,7 @@ Vectors that are null or have a null or non-finite component take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,17 @@ from verdure.operators import pivots
 from verdure.operators.pivots import Cells, finite
 from verdure.session import cut
 
-#: Rows of a block.
-BLOCK = 2048
+#: Rows of a block at least, and at most; between them a large table has ``SIDES`` blocks, so that each row goes to about as many, whatever their number.
+BLOCK, MOST_ROWS, SIDES = 2048, 65_536, 12
 #: A bank of at most so many numbers is broadcast whole.
 BROADCAST = 4_000_000
 
 
+def _rows(n: int) -> int:
+    """Rows of a block for ``n`` vectors."""
+    return max(BLOCK, min(MOST_ROWS, -(-n // SIDES)))
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
@@ -90,7 +95,8 @@ def k_nearest(queries: DataFrame, bank: DataFrame, k: int, ties: str = "rows", o
         return q.limit(0).select("id", F.array().cast("array<double>").alias("near"))
     # On the sample, the place of the k-th neighbour among fewer rows gives about its distance.
     d = np.sort(pivots.distances(x[:1024], x), axis=1)
-    chosen = Cells(pivots.choose(x, n, d[:, min(len(x) - 1, max(1, round(k * len(x) / n)))] if len(x) > 1 else np.zeros(1), BLOCK))
+    block = _rows(n)
+    chosen = Cells(pivots.choose(x, n, d[:, min(len(x) - 1, max(1, round(k * len(x) / n)))] if len(x) > 1 else np.zeros(1), block))
     placed = cut(pivots.place(bank, "id", chosen))
     cells = pivots.measured(placed, chosen)
     want = k + bool(others)
@@ -143,7 +149,7 @@ def k_nearest(queries: DataFrame, bank: DataFrame, k: int, ties: str = "rows", o
 
     def search(asking: DataFrame, which) -> DataFrame:
         visits = cut(pivots.visiting(asking, "id", "radius", cells, which))
-        return pivots.meet(visits, placed, cells, BLOCK, near, f"id {kind}, near array<double>")
+        return pivots.meet(visits, placed, cells, block, near, f"id {kind}, near array<double>")
 
     found = cut(merged(search(q.withColumn("radius", F.lit(float("inf"))), first)))
     # Fewer than k so far: everything is looked at.
@@ -163,7 +169,14 @@ def _every(q: np.ndarray, b: np.ndarray, may: np.ndarray, k: int) -> tuple[np.nd
 
 
 def eps_pairs(points: DataFrame, eps: float, compared: Accumulator | None = None) -> DataFrame:
-    """(a, b, d) for all pairs within ``eps``, each point with itself too; points (point_id, v).
+    """(a, b, d) for all pairs within ``eps``, each point with itself too; points (point_id, v)."""
+    return eps_fold(points, eps, lambda a, b, d: (a, b, d), "a long, b long, d double", compared)
+
+
+def eps_fold(points: DataFrame, eps: float, fold: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], schema: str, compared: Accumulator | None = None) -> DataFrame:
+    """What ``fold`` makes of the pairs (a, b, d) within ``eps`` that meet in a block, so that only that leaves the task.
+
+    Every pair is there in both directions, in one block or in two, each point with itself too.
 
     Each point meets the points of its own cell and of those, of smaller number, that the
     triangle inequality leaves; within a cell, those whose distances to the pivot differ by
@@ -172,11 +185,14 @@ def eps_pairs(points: DataFrame, eps: float, compared: Accumulator | None = None
     p = points.select(F.col("point_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(finite("v") & F.col("id").isNotNull())
     x, n = pivots.sample(p, "id")
     if not n:
-        return p.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d"))
-    chosen = Cells(pivots.choose(x, n, np.full(len(x), float(eps)), BLOCK))
+        return p.sparkSession.createDataFrame([], schema)
+    block = _rows(n)
+    chosen = Cells(pivots.choose(x, n, np.full(len(x), float(eps)), block))
     placed = cut(pivots.place(p, "id", chosen))
     cells = pivots.measured(placed, chosen)
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def which(cells: Cells, d: np.ndarray, radius: np.ndarray, off: float) -> np.ndarray:
         home = d.argmin(axis=1)[:, None]
         other = np.arange(d.shape[1])[None, :]
@@ -209,11 +225,11 @@ def eps_pairs(points: DataFrame, eps: float, compared: Accumulator | None = None
         if compared is not None:
             compared.add(int(met))
         a, b, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
+        return pa.table(dict(zip(names, map(pa.array, fold(a.astype(np.int64), b.astype(np.int64), d)))))
 
     visits = cut(pivots.visiting(p.withColumn("radius", F.lit(float(eps))), "id", "radius", cells, which))
     asking = visits.union(placed.select("id", "v", F.lit(-1.0).alias("radius"), "cell"))
-    return pivots.meet(asking, placed, cells, BLOCK, pairs, "a long, b long, d double")
+    return pivots.meet(asking, placed, cells, block, pairs, schema)
 
 
 def kth_distance(points: DataFrame, k: int) -> DataFrame:
