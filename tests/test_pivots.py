@@ -82,3 +82,39 @@ def test_vectors_without_structure_meet_in_one_cell():
     x = np.random.default_rng(3).normal(size=(2_000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     assert len(pivots.choose(x, 50_000, np.full(2_000, 1.15), 2048)) == 1
+
+
+def test_blocks_send_no_pairs(spark, monkeypatch):
+    """Degrees and clusters leave blocks as counts, forests and labels: rows out are at most two for each row of a block, not pairs."""
+    from verdure.operators import cluster
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 3)) * 0.1, rng.normal(size=(60, 3)) * 0.1 + 4, rng.normal(size=(40, 3)) * 3])
+    ids = rng.permutation(len(x)).astype(np.int64) * 2**55 - 2**61
+    p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "point_id long, v array<double>")
+    near = np.sqrt(((x[:, None] - x) ** 2).sum(2)) <= 0.9
+    kept = neighbors.eps_fold
+    sent = []
+
+    def watched(points, eps, fold, schema, compared=None):
+        out = kept(points, eps, fold, schema, compared)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "eps_fold", watched)
+    assert {r.point_id: r.degree for r in cluster.eps_degrees(p, 0.9).collect()} == dict(zip(ids.tolist(), near.sum(1).tolist()))
+    got = {r.point_id: r.label for r in cluster.dbscan(p, 0.9, 5).collect()}
+    core = near.sum(1) >= 5
+    low = np.where(core, ids, np.iinfo(np.int64).max)
+    for _ in ids:
+        low = np.where(core, np.where(near & core, low, np.iinfo(np.int64).max).min(1), low)
+    label = {c: k for k, c in enumerate(sorted(set(low[core].tolist())))}
+    seen = np.where(near & core, low, np.iinfo(np.int64).max).min(1)
+    assert got == {i: label[c] if c in label else -1 for i, c in zip(ids.tolist(), seen.tolist())} and -1 in got.values()
+    assert max(sent) <= 2 * len(x) * 4 < near.sum()
+
+
+def test_rows_go_to_as_many_blocks_however_many_there_are():
+    for n in (100_000, 400_000, 700_000):
+        assert -(-n // neighbors._rows(n)) <= neighbors.SIDES
+    assert neighbors._rows(2_000) == neighbors.BLOCK and neighbors._rows(10**9) == neighbors.MOST_ROWS
