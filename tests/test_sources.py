@@ -199,3 +199,15 @@ def test_stable_index(spark):
     items = spark.createDataFrame([("a",), ("b",), ("c",)], "src string")
     known = spark.createDataFrame([("b", 7)], "src string, index int")
     assert {r["src"]: r["index"] for r in sinks.dataset_index(items, known).collect()} == {"a": 8, "b": 7, "c": 9}
+
+
+def test_parts_of_one_append_are_in_order_of_their_numbers(spark, tmp_path):
+    """The first part of an append may be done last."""
+    import os
+
+    line = '{"src": "a", "n": 0, "state": "%s"}\n'
+    for k, (name, state) in enumerate((("part-00000-x-c000.txt", "first"), ("part-00001-x-c000.txt", "second"))):
+        os.utime(write(tmp_path / name, line % state), (1000 - 500 * k, 1000 - 500 * k))
+    assert [r.state for r in files.review_state(spark, str(tmp_path)).collect()] == ["second"]
+    os.utime(write(tmp_path / "part-00000-a-c000.txt", line % "third"), (2000, 2000))
+    assert [r.state for r in files.review_state(spark, str(tmp_path)).collect()] == ["third"]

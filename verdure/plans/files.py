@@ -238,14 +238,14 @@ def head_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """The events as a review log that grew in three appends, each in its own file, with broken lines between."""
+    """The events as a review log that grew in three appends, each in files of its own, dealt by ranges, with broken lines between."""
     path = shared_path(spark, name)
     e = table(spark, sf_dir, "events")
     for k in range(3):
         part = e.where((F.col("event_id") >= F.lit(k) * 350) & (F.col("event_id") < (k + 1) * 350 if k < 2 else F.lit(True)))
         rows = part.select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("src"), (F.col("event_id") % 2).alias("n"), F.when(F.col("event_type") == "error", "none").otherwise(F.col("event_type")).alias("state"), (F.col("event_id") % 50).alias("w"))).alias("value"))
         broken = spark.createDataFrame([(-1, "not json"), (-1, '{"n": 1}'), (-1, "")], "event_id long, value string")
-        rows.union(broken).coalesce(1).sortWithinPartitions("event_id").select("value").write.mode("append").text(path)
+        rows.union(broken).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.mode("append").text(path)
     return path
 
 
