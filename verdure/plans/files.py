@@ -262,8 +262,14 @@ def sort_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "sort") + "/_sorting_log.csv"
     e = table(spark, sf_dir, "events")
     lines = e.select("event_id", F.concat(F.lit("dir, x/"), "user_id", F.lit(".png, "), "event_type").alias("value"))
-    header = spark.createDataFrame([(-1, "source_path,status")], "event_id long, value string")
-    header.union(lines).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": ["source_path,status"]})
+        yield from batches
+
+    lines.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").mapInArrow(headed, "value string").write.text(path)
     live = files.sort_state(spark, path).withColumn("by", F.lit("log"))
     kept = cut(live)
     return kept.union(files.sort_state(spark, exports.archive(spark, path)).withColumn("by", F.lit("archived")))
