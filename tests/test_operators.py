@@ -52,6 +52,20 @@ def test_cuts(spark):
     assert len(forest) == 12 and len(set(forest.values())) == 9
 
 
+@pytest.mark.parametrize("listed", [10**6, 0])
+def test_linkage_in_rounds(spark, monkeypatch, listed):
+    """More points than one task takes, with copies, ties and a null, give the merges of one task."""
+    from verdure.operators import linkage
+
+    for name, value in {"ONE_TASK": 12, "NEAREST": 4, "MORE": 4, "LISTED": listed, "TILE": 30, "TILES": 3, "CELLS": 200, "EXACT": 20}.items():
+        monkeypatch.setattr(linkage, name, value)
+    v = np.round(np.random.default_rng(6).normal(size=(90, 2)), 1)
+    v[60:75] = v[:15]
+    rows = [(3 * i, x.tolist()) for i, x in enumerate(v)] + [(1, None)]
+    got = [(r.i, r.j, r.dist) for r in sorted(cluster.linkage(spark.createDataFrame(rows, "point_id long, v array<double>")).collect())]
+    assert got == cluster.complete_linkage(v) and len(got) == 89
+
+
 def test_upsert_and_retract(spark):
     rows = [(f"region_{x}", "f") for x in ("46.png", "46_1.png", "463.png")]
     labels = spark.createDataFrame(rows, "crop string, family string")
