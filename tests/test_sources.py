@@ -40,6 +40,16 @@ def test_logs_that_grow_file_by_file(spark, tmp_path):
     assert [(r.source_path, r.status) for r in files.sort_state(spark, f"{tmp_path}/sort").collect()] == [("/a.png", "z")]
 
 
+def test_places_of_lines_are_numbers(spark, tmp_path):
+    """A line carries no path through the sort of its key: the row would be several times as wide."""
+    (tmp_path / "log").mkdir()
+    for k in range(3):
+        (tmp_path / "log" / f"{k}.csv").write_text("source_path,status\n/a.png,x\n")
+    rows = files._numbered(spark, f"{tmp_path}/log")
+    assert all(kind in ("int", "bigint") for name, kind in rows.dtypes if name != "text")
+    assert sorted({r._file for r in rows.collect()}) == [1, 2, 3]
+
+
 def test_polygon_lines(spark, tmp_path):
     (tmp_path / "im.txt").write_text("1 0.5 x 0.25 1 1 0 0.5\nx 0 0 1 0 1 1\n2 0 0 1 0 1\n3 0 0 1 0 1 1\n1.5 0 0 1 0 1 1\n")
     sizes = spark.createDataFrame([("im", 100, 200)], "stem string, w int, h int")

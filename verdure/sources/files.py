@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
@@ -25,22 +25,25 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("crop", *[F.coalesce(c, F.lit("")).alias(c) for c in ("mask", "family", "source", "leaf_src")], F.coalesce("ts", F.lit(0)).alias("ts"))
 
 
-#: Order of a log's lines: appends by the time of their first file, then files by name, then splits, then lines within a split.
-PLACE = ["_time", "_file", "_split", "_line"]
+#: Order of a log's lines: files, then splits, then lines within a split.
+PLACE = ["_file", "_split", "_line"]
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a log, which may have grown file by file, with their place in it; no file is held whole.
 
-    The part files of one write are one append, in order of their numbers, whichever was done first.
+    Files are numbered by the time of their append's first file, then by name: numbers, as
+    all that a line carries is sorted and held. The part files of one write are one append,
+    in order of their numbers, whichever was done first.
     """
     at = lambda c: F.col(f"_metadata.{c}")
-    write = F.regexp_extract("_file", r"/part-\d+-([^/]+)-c\d+[^/]*$", 1)
-    append = F.when(write != "", F.concat(F.regexp_extract("_file", "^(.*)/", 1), F.lit("/"), write)).otherwise(F.col("_file"))
-    files = spark.read.format("binaryFile").load(path).select(at("file_path").alias("_file"), at("file_modification_time").alias("_time"))
-    times = files.groupBy(append.alias("_append")).agg(F.min("_time").alias("_time"))
-    lines = spark.read.text(path).select(F.col("value").alias("text"), at("file_path").alias("_file"), at("file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
-    return lines.withColumn("_append", append).join(F.broadcast(times), "_append").select("text", *PLACE)
+    write = F.regexp_extract("_path", r"/part-\d+-([^/]+)-c\d+[^/]*$", 1)
+    append = F.when(write != "", F.concat(F.regexp_extract("_path", "^(.*)/", 1), F.lit("/"), write)).otherwise(F.col("_path"))
+    files = spark.read.format("binaryFile").load(path).select(at("file_path").alias("_path"), at("file_modification_time").alias("_time"))
+    timed = files.withColumn("_time", F.min("_time").over(Window.partitionBy(append)))
+    numbers = timed.select("_path", F.row_number().over(Window.orderBy("_time", "_path")).alias("_file"))
+    lines = spark.read.text(path).select(F.col("value").alias("text"), at("file_path").alias("_path"), at("file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    return lines.join(F.broadcast(numbers), "_path").select("text", *PLACE)
 
 
 def review_state(spark: SparkSession, path: str) -> DataFrame:
