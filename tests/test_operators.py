@@ -66,6 +66,36 @@ def test_linkage_in_rounds(spark, monkeypatch, listed):
     assert got == cluster.complete_linkage(v) and len(got) == 89
 
 
+@pytest.mark.parametrize("single,bound", [(1_024, 20), (4, 0), (1_024, 10**6)])
+def test_nearest_clusters_are_found_from_means(monkeypatch, single, bound):
+    """The lists are those of all distances, while few pairs of points are measured; with any way to narrow them."""
+    from verdure.operators import linkage
+
+    monkeypatch.setattr(linkage, "SINGLE", single)
+    monkeypatch.setattr(linkage, "BOUND", bound)
+    monkeypatch.setattr(linkage, "CELLS", 20_000)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 12, 300)
+    v = (np.repeat(rng.normal(size=(300, 16)), sizes, axis=0) + 0.2 * rng.normal(size=(sizes.sum(), 16)) + 50).astype(np.float32)
+    at = np.cumsum(sizes) - sizes
+    d = np.sqrt(((v[:, None].astype(float) - v) ** 2).sum(2))
+    want = np.maximum.reduceat(np.maximum.reduceat(d, at, axis=0), at, axis=1)
+    np.fill_diagonal(want, np.inf)
+    measured, exact = [], linkage._exact
+    monkeypatch.setattr(linkage, "_exact", lambda x, i, y, j: measured.append(int((x.sizes[i] * y.sizes[j]).sum())) or exact(x, i, y, j))
+    every = linkage._Clusters(np.arange(300, dtype=np.int32), sizes, v)
+    every.scaled(v.mean(axis=0), 3.0)
+    near = linkage._Nearest(every, 4)
+    for lo in range(0, 300, 60):
+        piece = linkage._Clusters(every.ids[lo : lo + 60], sizes[lo : lo + 60], v[at[lo] : at[lo + 59] + sizes[lo + 59]])
+        piece.scaled(every.base, every.scale)
+        near.meet(piece)
+    assert (near.b == np.argsort(want, axis=1)[:, :4]).all() and np.allclose(near.d, np.sort(want, axis=1)[:, :4])
+    assert sum(measured) < 0.15 * len(v) ** 2, sum(measured) / len(v) ** 2
+    found = {(int(a), int(b)): float(x) for a, bs, ds in linkage._measured(every, every) for i, b_, d_ in zip(a, bs, ds) for a, b, x in zip([i] * len(b_), b_, d_)}
+    assert len(found) == 300 * 299 // 2 and all(x == np.float32(want[k]) for k, x in found.items())
+
+
 def test_upsert_and_retract(spark):
     rows = [(f"region_{x}", "f") for x in ("46.png", "46_1.png", "463.png")]
     labels = spark.createDataFrame(rows, "crop string, family string")
