@@ -114,6 +114,41 @@ def test_blocks_send_no_pairs(spark, monkeypatch):
     assert max(sent) <= 2 * len(x) * 4 < near.sum()
 
 
+@pytest.mark.parametrize("known", [1, 25, 10_000])
+def test_dbscan_asks_only_for_what_the_sample_leaves_open(spark, monkeypatch, known):
+    """Right with a sample of any size; on one dense cluster almost no point meets all others."""
+    from verdure.operators import cluster
+
+    monkeypatch.setattr(cluster, "KNOWN", known)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(70, 3)) * 0.3, rng.normal(size=(50, 3)) * 0.3 + 2.2, rng.normal(size=(60, 3)) * 2, rng.normal(size=(20, 3)) * 0.1 - 6])
+    ids = rng.permutation(len(x)).astype(np.int64) * 7 - 300
+    near = np.sqrt(((x[:, None] - x) ** 2).sum(2)) <= 0.7
+    core = near.sum(1) >= 4
+    low = np.where(core, ids, np.iinfo(np.int64).max)
+    for _ in ids:
+        low = np.where(core, np.where(near & core, low, np.iinfo(np.int64).max).min(1), low)
+    label = {c: k for k, c in enumerate(sorted(set(low[core].tolist())))}
+    seen = np.where(near & core, low, np.iinfo(np.int64).max).min(1)
+    want = {i: label[c] if c in label else -1 for i, c in zip(ids.tolist(), seen.tolist())} | {10**6: -1}
+    assert len(label) > 2 and -1 in want.values() and (near & core).any(1)[~core].any()
+    p = spark.createDataFrame([*((int(i), v.tolist()) for i, v in zip(ids, x)), (10**6, None)], "point_id long, v array<double>")
+    assert {r.point_id: r.label for r in cluster.dbscan(p, 0.7, 4).collect()} == want
+    if known == 25:
+        twice = p.union(p.where("point_id > 300"))
+        assert [r.label for r in cluster.dbscan(twice, 1e9, 4).collect()].count(-1) == 2
+        kept, asked = cluster.eps_fold, []
+
+        def watched(points, eps, fold, schema, compared=None, asking=None):
+            asked.append((points if asking is None else asking).count())
+            return kept(points, eps, fold, schema, compared, asking)
+
+        monkeypatch.setattr(cluster, "eps_fold", watched)
+        dense = rng.uniform(size=(400, 3))
+        assert {r.label for r in cluster.dbscan(points(spark, dense), 0.8, 4).collect()} == {0}
+        assert sum(asked) < 20, asked
+
+
 def test_rows_go_to_as_many_blocks_however_many_there_are():
     for n in (100_000, 400_000, 700_000):
         assert -(-n // neighbors._rows(n)) <= neighbors.SIDES
